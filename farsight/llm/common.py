@@ -57,18 +57,28 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list, list, tuple[pa.Array, pa.Array], list[pa.Array]]:
-    """Rows by key: the keys, the values of a key's first row, and offsets and values of lists with the others (null if
-    none). What a batch knows of a common key is then one row of the shuffle."""
+def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Rows by key: keys and values of a key's first row, how many others it has, and their values in that order.
+
+    What a batch knows of a common key is then one row of the shuffle. Rows keep their order, in which
+    neighbours are alike and compress."""
     order = np.lexsort(keys[::-1])
-    keys, values = [k[order] for k in keys], [v[order] for v in values]
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    first = np.flatnonzero(new)
-    more = np.diff(np.append(first, len(order))) - 1
-    offsets = np.concatenate(([0], np.cumsum(more))).astype(np.int32)
-    return [k[first] for k in keys], [v[first] for v in values], (pa.array(offsets), pa.array(more == 0)), [pa.array(v[~new]) for v in values]
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = order[new]
+    more = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+    back = np.argsort(first, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[back] = np.arange(len(first))
+    rest = order[~new]
+    rest = rest[np.argsort(np.repeat(rank, more), kind="stable")]
+    return [k[first[back]] for k in keys], [v[first[back]] for v in values], more[back], [v[rest] for v in values]
+
+
+def lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of the given sizes, null if empty."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values, mask=pa.array(sizes == 0))
 
 
 def crc32_mod(doc_id: str, k: int) -> Column:

@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import WordHashes, documents, grams, merged, shared_folder, signed, texts, word_ids, written
+from farsight.llm.common import WordHashes, documents, grams, lists, merged, shared_folder, signed, texts, word_ids, written
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
 SLOTS = 1 << 20
 #: Documents of one batch that share a token before the batch reports it as common; least sum that makes it so.
 LOCAL_COMMON, COMMON = 4, 16
+#: Tokens of its leading part that a set must share with a group's, or all that it must share if those are fewer.
+SHARED = 3
 #: Members that a group has on average at most; larger groups are dealt into several.
 GROUP = 256
 
@@ -41,34 +43,26 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, one, two = [], [], []
-        for text in texts(batch):
-            s = shingle_set(text, k)
-            digest = xxhash.xxh3_128_digest(s.tobytes())
-            sizes.append(len(s))
-            one.append(int.from_bytes(digest[:8], "little", signed=True))
-            two.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-            ["doc_id", "n_shingles", "h1", "h2"],
-        )
-
-
-def _common(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and rows (token, number of documents) for what is common in a batch."""
+    names = ["doc_id", "n_shingles", "h1", "h2", "token", "n"]
     for batch in batches:
         sets = [shingle_set(t, k) for t in texts(batch)]
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        one, two = (pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8))
+        none = pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), one, two, none, none], names)
+        tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
         often = counts >= LOCAL_COMMON
-        yield pa.RecordBatch.from_arrays([signed(tokens[often]), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+        none = pa.nulls(int(often.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 4 + [signed(tokens[often]), pa.array(counts[often].astype(np.int64))], names)
 
 
 def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tokens of which two sets over the threshold share one: n - ceil(t n) + 1, common ones last."""
+    """The tokens of which two sets over the threshold share as many as SHARED (or all they must share): n - ceil(t n) + SHARED, common ones last."""
     n = len(s)
     level = levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
     order = np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-    return s[order[: n - -(-n * num // den) + 1]]
+    return s[order[: n - -(-n * num // den) + SHARED]]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, levels) -> Iterator[pa.RecordBatch]:
@@ -79,10 +73,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lev
             lead = _leading(shingle_set(text, k), table, num, den)
             out.append(lead)
             ids.append(np.full(len(lead), doc, np.int64))
-        (token,), (doc_id,), (offsets, alone), (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
-        yield pa.RecordBatch.from_arrays(
-            [signed(token), pa.array(doc_id), pa.ListArray.from_arrays(offsets, others, mask=alone)], ["token", "doc_id", "others"]
-        )
+        (token,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
+        yield pa.RecordBatch.from_arrays([signed(token), pa.array(doc_id), lists(more, pa.array(others))], ["token", "doc_id", "others"])
 
 
 class _Group:
@@ -160,10 +152,12 @@ def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that join all that are linked among sets(doc_id, n), whose shingle sets all differ."""
+def links(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that join all that are linked among sets(doc_id, n), whose shingle sets all differ.
+
+    common(token, n) sets the order of tokens; any content gives the same links."""
     spark = docs.sparkSession
-    common = docs.mapInArrow(lambda it: _common(it, k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    common = common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     slots = (
         common.select(F.expr(f"cast(token & {SLOTS - 1} as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
         .groupBy("slot")
@@ -188,12 +182,15 @@ def links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataF
     owned = written(leads.select("token", "doc_id").join(home, "doc_id"))
     matrix = owned.groupBy("token", "g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     query = owned.select("token", "doc_id", "n", F.col("g").alias("g0"), F.col("c").alias("c0"))
+    needed = F.least(F.lit(SHARED), F.ceil(F.first("n") * num / den))
     candidates = written(
         query.join(matrix, "token")
         .filter((F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
         .filter("g > g0 or (g = g0 and c >= c0)")  # one of the two ways a pair can meet
-        .select("doc_id", "g", "c", (~((F.col("g") == F.col("g0")) & (F.col("c") == F.col("c0")))).alias("guest"))
-        .distinct()
+        .groupBy("doc_id", "g", "c")
+        .agg(F.count("*").alias("shared"), needed.alias("needed"), F.first((F.col("g") != F.col("g0")) | (F.col("c") != F.col("c0"))).alias("guest"))
+        .filter("shared >= needed")
+        .select("doc_id", "g", "c", "guest")
     )
     busy = candidates.groupBy("g", "c").agg(F.count("*").alias("rows")).filter("rows > 1").select("g", "c")
     visits = candidates.join(busy, ["g", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "guest")).alias("groups"))
@@ -214,9 +211,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     doc_id must repeat its text and get the same result. Other columns are ignored. An empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared_folder(docs.sparkSession)
-    keyed = written(docs.mapInArrow(lambda it: _keys(it, words), "doc_id long, n_shingles long, h1 long, h2 long"))
+    seen = written(docs.mapInArrow(lambda it: _keys(it, words), "doc_id long, n_shingles long, h1 long, h2 long, token long, n long"))
+    keyed, common = seen.filter("token is null").select("doc_id", "n_shingles", "h1", "h2"), seen.filter("token is not null").select("token", "n")
     classes = written(keyed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    groups = components(links(docs, classes.select(F.col("rep").alias("doc_id"), "n"), words, num, den), "a", "b")
+    groups = components(links(docs, classes.select(F.col("rep").alias("doc_id"), "n"), common, words, num, den), "a", "b")
     return (
         keyed.join(classes, ["h1", "h2"], "left")
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")

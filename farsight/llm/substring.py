@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import WordHashes, documents, grams, merged, shared_folder, signed, texts, word_ids, written
+from farsight.llm.common import WordHashes, documents, grams, lists, merged, shared_folder, signed, texts, word_ids, written
 
 #: Words of an anchor. Any K below the length gives the same result; it only sets how many anchors there are.
 K = 5
@@ -63,14 +63,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 chosen = np.unique(anchors[at[np.flatnonzero(np.diff(at, prepend=-1))]])
                 out.append(chosen)
                 ids.append(np.full(len(chosen), doc, np.int64))
-        (anchor,), (doc_id,), (offsets, alone), (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
-        yield pa.RecordBatch.from_arrays(
-            [signed(anchor), pa.array(doc_id), pa.ListArray.from_arrays(offsets, others, mask=alone)], ["anchor", "doc_id", "others"]
-        )
+        (anchor,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
+        yield pa.RecordBatch.from_arrays([signed(anchor), pa.array(doc_id), lists(more, pa.array(others))], ["anchor", "doc_id", "others"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All runs that selected a seed: a 96-bit key, the document and the place."""
+    """All runs that selected a seed: a 96-bit key, of which 32 bits share a column with the place, and the document."""
     for batch in batches:
         one, two, ids, places = [], [], [], []
         seeds = batch.column("seeds")
@@ -80,13 +78,15 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             found = np.flatnonzero(np.isin(anchors, seeds[i].values.to_numpy().view(np.uint64))[at])
             if len(found):
                 one.append(grams(words, length)[found])
-                two.append((grams(words, length, seed=7)[found] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                two.append((grams(words, length, seed=7)[found] >> np.uint64(32)).astype(np.uint32))
                 ids.append(np.full(len(found), doc, np.int64))
                 places.append(found.astype(np.int32))
         if one:
-            (h1, h2), (doc_id, at), (offsets, alone), (docs, places) = merged([np.concatenate(x) for x in (one, two)], [np.concatenate(x) for x in (ids, places)])
-            others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([docs, places], ["doc_id", "at"]), mask=alone)
-            yield pa.RecordBatch.from_arrays([signed(h1), pa.array(h2), pa.array(doc_id), pa.array(at), others], ["h1", "h2", "doc_id", "at", "others"])
+            places, two = np.concatenate(places).astype(np.int64), np.concatenate(two)
+            (h1, h2), (doc_id, at), more, (docs, places) = merged([np.concatenate(one), two], [np.concatenate(ids), places])
+            others = lists(more, pa.StructArray.from_arrays([pa.array(docs), pa.array(places)], ["doc_id", "at"]))
+            packed = pa.array((at << 32) | h2.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([signed(h1), packed, pa.array(doc_id), others], ["h1", "at_h2", "doc_id", "others"])
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -167,14 +167,14 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
 
     placed = whole.repartition("doc_id")  # one exchange of the texts for both joins
     runs = placed.join(seeded, "doc_id").select(*whole.columns, "seeds").mapInArrow(
-        lambda it: _runs(it, length), "h1 long, h2 int, doc_id long, at int, others array<struct<doc_id:bigint,at:int>>"
+        lambda it: _runs(it, length), "h1 long, at_h2 long, doc_id long, others array<struct<doc_id:bigint,at:bigint>>"
     )
-    own = F.struct("doc_id", "at")
-    every = F.array_append(F.coalesce("others", F.array().cast("array<struct<doc_id:bigint,at:int>>")), own)
-    runs = runs.select("h1", "h2", every.alias("every"))
+    own = F.expr("named_struct('doc_id', doc_id, 'at', shiftright(at_h2, 32))")
+    every = F.array_append(F.coalesce("others", F.array().cast("array<struct<doc_id:bigint,at:bigint>>")), own)
+    runs = runs.repartition("h1").select("h1", F.expr("at_h2 & 4294967295").alias("h2"), every.alias("every"))
     least = F.min(F.array_min(F.col("every.doc_id"))).over(Window.partitionBy("h1", "h2"))
     runs = runs.withColumn("lo", least).select("lo", F.explode("every").alias("x")).filter("x.doc_id > lo")
-    marks = runs.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.at").alias("starts"))
+    marks = runs.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list(F.col("x.at").cast("int")).alias("starts"))
     later = long_enough.join(firsts, ["h1", "h2", "doc_id"], "left_anti").select("doc_id", F.lit(True).alias("copy"))
     decided = marks.join(later, "doc_id", "full").groupBy("doc_id").agg(F.first("starts").alias("starts"), F.first("copy").alias("copy"))
     carried = whole.columns if carry else ["doc_id"]
