@@ -1,6 +1,504 @@
-"""The registered queries of the library, and their SQL."""
+"""The registered queries of the library on the given tables, and their SQL.
+
+Edges, neutrals and scores that the tables don't hold are derived from them in Spark, here and in the SQL alike."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from farsight.functions import text as X
+from farsight.functions import vectors as V
+from farsight.operators import clean, encode, graph, models, neutral, ranking, sampling, scores, stats
+
+ORDERS = [10, 25, 50]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- retrieval ranks and scores -------------------------------------------------------------------------------------
+
+
+def _ring(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bank; edges from each vector to the next four of its label; neutrals of each vector from other labels."""
+    bank = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding", "label")
+    w = Window.partitionBy("label").orderBy("qid")
+    numbered = bank.select("qid", "label", (F.row_number().over(w) - 1).alias("i"))
+    sizes = numbered.groupBy("label").agg(F.count("*").alias("size"))
+    numbered = numbered.join(sizes, "label")
+    steps = numbered.withColumn("k", F.explode(F.array(*map(F.lit, range(1, 5))))).withColumn("j", (F.col("i") + F.col("k")) % F.col("size"))
+    edges = steps.join(numbered.select("label", F.col("i").alias("j"), F.col("qid").alias("tag")), ["label", "j"]).filter("qid <> tag")
+    edges = edges.select("qid", "tag").distinct()
+    idx = neutral.indexed(bank.select(F.col("qid").alias("node")))
+    size = idx.count()
+    drawn = bank.select(F.col("qid").alias("tag"), "label", F.explode(F.sequence(F.lit(1), F.lit(3 * max(ORDERS)))).alias("j"))
+    drawn = drawn.withColumn("idx", F.expr(neutral._draw("tag", "j", 1, str(max(size, 1))))).join(idx, "idx")
+    drawn = drawn.join(bank.select(F.col("qid").alias("node"), F.col("label").alias("other")), "node").filter("label <> other")
+    first = drawn.groupBy("tag", "node").agg(F.min("j").alias("j"))
+    pos = F.row_number().over(Window.partitionBy("tag").orderBy("j"))
+    return bank, edges, first.select("tag", F.col("node").alias("neutral"), pos.alias("pos"))
+
+
+_RING = f"""
+WITH b AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS size,
+    row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS total FROM embeddings),
+edges AS (SELECT DISTINCT a.qid, t.qid AS tag FROM b a, range(1, 5) k(k), b t WHERE t.label = a.label AND t.i = (a.i + k.k) % a.size AND t.qid <> a.qid),
+drawn AS (SELECT b.qid AS tag, b.label, j.j, ((((b.qid * 1000003 + j.j * 7919 + 104729 + 17) % 2147483647) * 48271 % 2147483647) * 16807 % 2147483647) % b.total AS idx
+    FROM b, range(1, {3 * max(ORDERS) + 1}) j(j)),
+first AS (SELECT d.tag, n.qid AS neutral, min(d.j) AS j FROM drawn d JOIN b n ON n.idx = d.idx WHERE n.label <> d.label GROUP BY 1, 2),
+neutrals AS (SELECT tag, neutral, row_number() OVER (PARTITION BY tag ORDER BY j) AS pos FROM first),
+ns AS (SELECT n.tag, n.pos, round(list_dot_product(t.e, u.e), 9) AS sim FROM neutrals n JOIN b t ON t.qid = n.tag JOIN b u ON u.qid = n.neutral),
+os AS (SELECT e.qid, e.tag, round(list_dot_product(t.e, u.e), 9) AS s0 FROM edges e JOIN b t ON t.qid = e.tag JOIN b u ON u.qid = e.qid),
+ranks AS (SELECT os.qid, os.tag, o.n, (count(*) FILTER (ns.pos < o.n AND ns.sim > os.s0) + 1)::INT AS rank, (count(*) FILTER (ns.pos < o.n) + 1)::INT AS sample_size
+    FROM os JOIN (VALUES {', '.join(f'({n})' for n in ORDERS)}) o(n) ON true LEFT JOIN ns ON ns.tag = os.tag GROUP BY 1, 2, 3)
+"""
+
+
+def _ranks(spark: SparkSession, d: str, orders: list[int] | None = None) -> DataFrame:
+    bank, edges, neutrals = _ring(spark, d)
+    return ranking.ranks(edges, neutrals, bank, orders or ORDERS)
+
+
+def rps_by_item(spark, d):
+    """Retrieval probability score of each item: share of its ranks under 10 among 49 neutrals."""
+    r = _ranks(spark, d, [50]).groupBy("qid").agg(F.collect_list("rank").alias("r"))
+    return r.select("qid", F.round(scores.below("r", 10), 9).alias("rps"), F.size("r").cast("long").alias("tags"))
+
+
+def rank_table(spark, d):
+    return _ranks(spark, d)
+
+
+def block_rank_table(spark, d):
+    bank, edges, neutrals = _ring(spark, d)
+    return ranking.block_ranks(edges, neutrals, bank, 50)
+
+
+def rps_sweep_high_low(spark, d):
+    s = _ranks(spark, d).groupBy("qid", "n").agg(F.collect_list("rank").alias("r")).select("n", scores.below("r", 5).alias("score"))
+    return scores.on_grid(scores.high_low(s), n=[*ORDERS, 100]).select("n", *(F.round(F.col(c).cast("double"), 9).alias(c) for c in ("high", "low", "ratio")))
+
+
+def rank_risk_scores(spark, d):
+    r = _ranks(spark, d, [50]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("tag", "rank"))).alias("x")).select("qid", F.transform("x", lambda v: v["rank"]).alias("r"))
+    named = {"worst": "worst_rank", "mean": "mean_rank", "p90": "percentile_rank", "combo": "minmax_combo", "logc": "dev_log_num_tags", "power": "dev_num_tags_inverse_power", "below": "portion_below_k", "top": "exists_in_top_k"}
+    both = scores.combined(F.col("r"), ["worst_rank", "mean_rank"], [0.25, 0.75])
+    return r.select("qid", *(F.round(scores.score(n)(F.col("r")).cast("double"), 6).alias(k) for k, n in named.items()), F.round(both, 6).alias("combined"))
+
+
+def rank_export(spark, d):
+    return ranking.wide(_ranks(spark, d)).select("qid", *(F.array_join(f"rank_among_unrelevant_tags_{n}", ",").alias(f"r{n}") for n in ORDERS))
+
+
+def paired_cosine_score(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.paired_cosine(F.col("embedding")), 9).alias("score"))
+
+
+def unit_vectors(spark, d):
+    v = V.normalised(F.transform("embedding", lambda x: x.cast("double") * 3 + 1))
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(v), 9).alias("norm"), F.round(F.get(v, F.lit(5)), 9).alias("fifth"))
+
+
+# --- cleaning and keep rules ----------------------------------------------------------------------------------------
+
+
+def keep_first_canonical(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(10_000_000)).alias("label"), F.col("source").alias("file"), F.col("doc_id").alias("pos"))
+    return clean.keep_first_canonical(docs).select("doc_id", F.md5("canon").alias("canon"))
+
+
+def keep_longest_page(spark, d):
+    docs = table(spark, d, "documents").select("lang", "source", "doc_id", "text")
+    return clean.keep_longest(docs, ["lang", "source"], "text", "doc_id").select("lang", "source", "doc_id")
+
+
+def last_value_by_user(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    return clean.keep_last(e, ["user_id"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+def clean_paragraphs(spark, d):
+    docs = table(spark, d, "documents")
+    p = X.clean_paragraph(X.first_paragraph(F.col("text")))
+    return docs.select("doc_id", F.md5(F.coalesce(p, F.lit("-"))).alias("paragraph"), X.stub_paragraph(F.col("text")).alias("stub"))
+
+
+def usable_labels(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return p.filter(X.usable_label(F.col("p_name"))).withColumn("self", X.refers_to_itself(F.substring("p_name", 1, 4), F.col("p_name"), True))
+
+
+def unique_words(spark, d):
+    p = table(spark, d, "part").select(F.split("p_name", " ").alias("a"), F.array("p_brand").alias("b"))
+    return clean.unique_tags(p, ["a", "b"])
+
+
+def pair_texts(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.md5(X.pair_text(F.col("role"), F.col("text"))).alias("pair"), X.tag_name(F.col("role"), F.lit(""), F.col("turn")).alias("name"))
+
+
+def url_parts(spark, d):
+    p = table(spark, d, "pages")
+    iri = F.replace(F.col("url"), F.lit("/en/"), F.lit("/entity/"))
+    return p.select("page_id", X.iri_tail(iri).alias("tail"), X.value_type(F.col("url"), F.lit("string")).alias("kind"), F.md5(X.escape_literal(F.col("html"))).alias("escaped"))
+
+
+def phrase_places(spark, d):
+    docs = table(spark, d, "documents")
+    low = X.occurrence(F.col("text"), F.lit("the"), 3)
+    first, last = X.token_window(F.coalesce(low, F.lit(0)), F.coalesce(low, F.lit(0)) + 3, F.greatest(F.length("text"), F.lit(3)), 512)
+    return docs.select("doc_id", low.alias("at"), first.alias("w0"), last.alias("w1"))
+
+
+def token_spans(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("that the").alias("phrase"))
+    return encode.span_tokens(docs).select("doc_id", "start", "end", "token")
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    """Distinct part -> supplier edges with the first line as their place."""
+    e = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return e.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("p")).select("src", "dst", F.col("p.l_orderkey").cast("long").alias("pos"))
+
+
+_EDGES = "WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey)::BIGINT AS pos FROM lineitem GROUP BY 1, 2)"
+
+
+def relation_edges(spark, d):
+    return graph.ordered_lists(_edges(spark, d), "src", "pos", F.col("dst"), "l").select("src", F.size("l").cast("long").alias("n"), F.array_join(F.array_sort("l"), ",").alias("tags"))
+
+
+def one_hop(spark, d):
+    n = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("src"), (F.col("s_nationkey") + 20_000_000).cast("long").alias("dst"))
+    e = _edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst")).unionByName(n)
+    return graph.one_hop(e).select("src", "dst", F.array_join("hops", ",").alias("hops"))
+
+
+def unique_nodes(spark, d):
+    n = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("src"), (F.col("s_nationkey") + 20_000_000).cast("long").alias("dst"), F.lit("nation").alias("label"), F.col("s_suppkey").cast("long").alias("pos"))
+    e = _edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"), F.lit("supplier").alias("label"), "pos").unionByName(n)
+    return graph.unique_nodes(e)
+
+
+def class_closure(spark, d):
+    """Suppliers, nations and regions under the first two regions."""
+    r = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))
+    start = table(spark, d, "region").filter("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return graph.closure(spark, r.unionByName(s), start)
+
+
+def _covered(spark, d):
+    pages = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
+    parts = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("node"))
+    return _edges(spark, d).select("src", "dst"), pages, parts
+
+
+def coverage_counters(spark, d):
+    edges, pages, parts = _covered(spark, d)
+    return graph.coverage_counters(graph.coverage_flags(edges, pages, parts))
+
+
+def covered_edges(spark, d):
+    edges, pages, parts = _covered(spark, d)
+    kept = edges.join(pages.select(F.col("node").alias("dst")), "dst", "left_semi").join(parts.select(F.col("node").alias("src")), "src", "left_semi")
+    return kept.select("src", "dst")
+
+
+def covered_lists(spark, d):
+    edges, pages, _ = _covered(spark, d)
+    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("v"))
+    return graph.covered_list(lists, pages, "src", "v").select("src", F.array_join("v", ",").alias("v"))
+
+
+def neutral_sample(spark, d):
+    """Ten suppliers for each part that don't supply it."""
+    e = _edges(spark, d)
+    return neutral.neutral_sample(
+        table(spark, d, "part").select(F.col("p_partkey").alias("target")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")),
+        e.select(F.col("src").alias("target"), F.col("dst").alias("node")), 10,
+    ).select("target", "neutral")
+
+
+def unlabeled_ids(spark, d):
+    done = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    seen = table(spark, d, "customer").select("c_custkey")
+    return graph.unlabeled(seen, done, "c_custkey")
+
+
+def id_counts(spark, d):
+    seen, done = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey").distinct()
+    return graph.table_counts(seen, done)
+
+
+def upsert_labels(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("label"), "event_id", "value")
+    old, new = e.filter("value < 50"), e.filter("value >= 50")
+    base = clean.keep_last(old, ["user_id"], "event_id")
+    return graph.upsert(base, new, ["user_id"], "event_id").select("user_id", "label")
+
+
+def insert_ignore(spark, d):
+    old = table(spark, d, "customer").filter("c_acctbal > 5000").select("c_custkey")
+    return graph.insert_or_ignore(old, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+
+def score_normalize(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return o.select("o_orderkey", *(F.round(scores.normalised(o, "o_totalprice", m), 6).alias(m) for m in ("max", "zscore", "minmax")))
+
+
+def score_histogram(spark, d):
+    return stats.histogram(table(spark, d, "orders"), "o_totalprice", 20).withColumn("bin", F.col("bin").cast("long"))
+
+
+def quantile_classes(spark, d):
+    q = stats.quantile_classes(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 5)
+    return q.groupBy("class").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least")).withColumn("class", F.col("class").cast("long"))
+
+
+def _predictions(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_quantity") / 50.0).cast("double").alias("y"), (F.col("l_quantity") / 60.0 + F.col("l_discount")).cast("double").alias("pred"), "l_linenumber")
+
+
+_PREDICTIONS = "WITH p AS (SELECT (l_quantity / 50.0)::DOUBLE AS y, (l_quantity / 60.0 + l_discount)::DOUBLE AS pred, l_linenumber FROM lineitem)"
+
+
+def regression_metrics(spark, d):
+    m = stats.regression_metrics(_predictions(spark, d), by=("l_linenumber",))
+    return m.select(F.col("l_linenumber").cast("long").alias("l_linenumber"), "n", *(F.round(c, 8).alias(c) for c in ("mse", "rmse", "mae", "r2", "pearson")))
+
+
+def _classed(spark, d):
+    return _predictions(spark, d).select(V.score_class(F.col("y")).alias("truth"), V.score_class(F.col("pred")).alias("pred"))
+
+
+def confusion_matrix(spark, d):
+    return stats.confusion(_classed(spark, d))
+
+
+def class_metrics(spark, d):
+    m = stats.class_metrics(_classed(spark, d))
+    return m.select("class", "support", *(F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def kappa_mcc(spark, d):
+    m = stats.overall_metrics(_classed(spark, d))
+    return m.select("n", *(F.round(c, 8).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "mcc", "kappa")))
+
+
+def spearman(spark, d):
+    return stats.spearman(_predictions(spark, d)).select(F.round("spearman", 6).alias("spearman"))
+
+
+def seed_aggregate(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("metric"), F.col("l_quantity").cast("double").alias("value"))
+    return stats.over_seeds(m).select("model", "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def curve_band(spark, d):
+    c = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("config"), (F.col("l_orderkey") % 97).alias("seed"), F.col("l_linenumber").cast("int").alias("epoch"))
+    c = c.agg(F.max(F.col("l_quantity").cast("double")).alias("loss"))
+    return stats.curve_band(c, 9).select(F.col("config").cast("long").alias("config"), F.col("epoch").cast("long").alias("epoch"), F.round("mean", 6).alias("mean"), "least", "most")
+
+
+def loss_table(spark, d):
+    return stats.losses(_predictions(spark, d).filter("y > 0 and y < 1"), beta=0.1).select(*(F.round(c, 8).alias(c) for c in ("mse", "mae", "smooth_l1", "kl")))
+
+
+# --- samples --------------------------------------------------------------------------------------------------------
+
+
+def _sample(mode: str, amount: float):
+    def query(spark, d):
+        o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+        return sampling.by_histogram(o, "o_totalprice", "o_orderkey", 10, mode, amount).select("o_orderkey", F.col("bin").cast("long").alias("bin"))
+
+    return query
+
+
+def extremes(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.extremes(o, "o_totalprice", "o_orderkey", 0.1, 25).select("o_orderkey", "side")
+
+
+def exact_split(spark, d):
+    return sampling.split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def stratified_split(spark, d):
+    return sampling.split(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", strata="o_orderpriority").select("o_orderkey", "part")
+
+
+def worker_shards(spark, d):
+    return sampling.shards(table(spark, d, "customer").select("c_custkey"), "c_custkey", 7).select("c_custkey", F.col("shard").cast("long").alias("shard"))
+
+
+def sampled_ids(spark, d):
+    return neutral.sample_ids(table(spark, d, "events").select(F.col("user_id").alias("id")), 20)
+
+
+# --- encoders and models --------------------------------------------------------------------------------------------
+
+
+def hash_embed(spark, d):
+    return encode.embed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").cast("long").alias("width"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
+def span_embed(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("that the").alias("phrase"))
+    return encode.embed_spans(docs).select("doc_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _features(spark, d):
+    e = table(spark, d, "embeddings")
+    y = F.get("embedding", F.lit(0)).cast("double") + 0.5 * F.get("embedding", F.lit(1)).cast("double") + F.col("label") / 10.0
+    return e.select(F.col("vec_id").alias("qid"), array_to_vector(V.doubles("embedding")).alias("features"), y.alias("y"), "label")
+
+
+def model_metrics(spark, d):
+    return models.evaluate(_features(spark, d), ["zero", "one", "ridge"]).select("model", "seed", "part", "metric", F.round("value", 6).alias("value"))
+
+
+def principal_axes(spark, d):
+    p = models.principal(_features(spark, d))
+    return p.select("qid", F.round(F.abs(F.get("projection", F.lit(0))), 5).alias("a"), F.round(F.abs(F.get("projection", F.lit(1))), 5).alias("b"))
+
+
+def discriminant_axes(spark, d):
+    p = models.discriminant(_features(spark, d), "label")
+    return p.select("qid", F.round(F.abs(F.get("projection", F.lit(0))), 4).alias("a"), F.round(F.abs(F.get("projection", F.lit(1))), 4).alias("b"))
+
+
+def score_pairs(spark, d):
+    train = encode.embed(table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text", F.log1p("n_chars").alias("y")), "text")
+    model = models.artifact(train.select("qid", array_to_vector(V.doubles("embedding")).alias("features"), "y"))
+    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("label"), F.col("text").alias("context"))
+    return models.score_pairs(pairs, model, "ridge").select("conv_id", "turn", F.round("risk_score", 4).alias("risk_score"))
+
+
+_HASHED = "md5('42|' || o_orderkey)"
+_BINS = """WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT o_orderkey, o_totalprice, least(floor((o_totalprice - lo) / ((hi - lo) / {n})), {n} - 1)::BIGINT AS bin, md5('42|' || o_orderkey) AS h FROM orders, r)"""
+_B10 = _BINS.format(n=10)
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rps_by_item, rank_table, block_rank_table, rps_sweep_high_low, rank_risk_scores, rank_export, paired_cosine_score, unit_vectors, keep_first_canonical,
+        keep_longest_page, last_value_by_user, clean_paragraphs, usable_labels, unique_words, pair_texts, url_parts, phrase_places, token_spans,
+        relation_edges, one_hop, unique_nodes, class_closure, coverage_counters, covered_edges, covered_lists, neutral_sample, unlabeled_ids, id_counts,
+        upsert_labels, insert_ignore, score_normalize, score_histogram, quantile_classes, regression_metrics, confusion_matrix, class_metrics,
+        kappa_mcc, spearman, seed_aggregate, curve_band, loss_table, extremes, exact_split, stratified_split, worker_shards, sampled_ids, hash_embed,
+        span_embed, model_metrics, principal_axes, discriminant_axes, score_pairs,
+    )
+} | {f"stratified_{m}": _sample(m, a) for m, a in (("count", 20), ("average", 1), ("percentage", 0.3), ("equal", 2), ("equal_tails", 3))}
+
+_CLASS = "CASE WHEN least(greatest({0}, 0), 1) >= 0.66 THEN 'high' WHEN least(greatest({0}, 0), 1) >= 0.33 THEN 'medium' ELSE 'low' END"
+_CLASSED = f"{_PREDICTIONS}, c AS (SELECT {_CLASS.format('y')} AS truth, {_CLASS.format('pred')} AS pred FROM p)"
+_CELLS = f"{_CLASSED}, k AS (SELECT unnest(['low', 'medium', 'high']) AS class), m AS (SELECT k.class, count(*) FILTER (c.truth = k.class) AS support, count(*) FILTER (c.pred = k.class) AS predicted, count(*) FILTER (c.truth = k.class AND c.pred = k.class) AS hit FROM k, c GROUP BY 1), f AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall FROM m), g AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f)"
+_SPLIT = "CASE WHEN r <= ceil(0.15::DOUBLE * n) THEN 'test' WHEN r <= ceil(0.15::DOUBLE * n) + ceil((0.15::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE)) * (n - ceil(0.15::DOUBLE * n))) THEN 'val' ELSE 'train' END"
+_TRIM = "regexp_replace({0}, '^ +| +$', '', 'g')"
+
+ORACLES = {
+    "rps_by_item": _RING + "SELECT qid, round(avg(CASE WHEN rank < 10 THEN 1.0::DOUBLE ELSE 0 END), 9) AS rps, count(*) AS tags FROM ranks WHERE n = 50 GROUP BY 1",
+    "rank_table": _RING + "SELECT qid, tag, n, rank, sample_size FROM ranks",
+    "block_rank_table": _RING + "SELECT qid, tag, rank, sample_size FROM ranks WHERE n = 50",
+    "rps_sweep_high_low": _RING + """, s AS (SELECT qid, n, avg(CASE WHEN rank < 5 THEN 1.0::DOUBLE ELSE 0 END) AS score FROM ranks GROUP BY 1, 2),
+        h AS (SELECT n, count(*) FILTER (score > 0.5) AS high, count(*) FILTER (score <= 0.5) AS low FROM s GROUP BY 1)
+        SELECT o.n, high::DOUBLE AS high, low::DOUBLE AS low, CASE WHEN low > 0 THEN round(high::DOUBLE / (high + low), 9) END AS ratio FROM (VALUES (10), (25), (50), (100)) o(n) LEFT JOIN h ON h.n = o.n""",
+    "rank_risk_scores": _RING + """, a AS (SELECT qid, list(rank ORDER BY tag) AS r FROM ranks WHERE n = 50 GROUP BY 1)
+        SELECT qid, round(list_max(r)::DOUBLE, 6) AS worst, round(list_avg(r), 6) AS mean, round(list_aggregate(r, 'quantile_cont', 0.9::DOUBLE), 6) AS p90,
+        round(0.7::DOUBLE * list_max(r) + 0.3::DOUBLE * list_avg(r), 6) AS combo, round(1 / ln(len(r) + 1), 6) AS logc, round(1 / pow(len(r) + 1, 0.5::DOUBLE), 6) AS power,
+        round(len(list_filter(r, lambda x: x < 1000))::DOUBLE / len(r), 6) AS below, round(CASE WHEN r[1] <= 50 THEN list_min(r) / 50.0::DOUBLE ELSE 1 END, 6) AS top,
+        round(0.25::DOUBLE * list_max(r) + 0.75::DOUBLE * list_avg(r), 6) AS combined FROM a""",
+    "rank_export": _RING + "SELECT qid, " + ", ".join(f"string_agg(rank::VARCHAR, ',' ORDER BY tag) FILTER (n = {n}) AS r{n}" for n in ORDERS) + " FROM ranks GROUP BY 1",
+    "paired_cosine_score": """SELECT vec_id, round(0.5 * (list_dot_product(e[1:16], e[17:32]) / ((sqrt(list_dot_product(e[1:16], e[1:16])) + 1e-8) * (sqrt(list_dot_product(e[17:32], e[17:32])) + 1e-8)) + 1), 9) AS score
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
+    "unit_vectors": """SELECT vec_id, 1.0::DOUBLE AS norm, round(e[6] / sqrt(list_dot_product(e, e)), 9) AS fifth
+        FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS e FROM embeddings)""",
+    "keep_first_canonical": r"""WITH a AS (SELECT doc_id, source, replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), 'ß', 'ss') AS c FROM documents)
+        SELECT doc_id, md5(c) AS canon FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY source, doc_id) AS r FROM a WHERE c <> '') WHERE r = 1""",
+    "clean_paragraphs": r"""WITH a AS (SELECT doc_id, text, trim(regexp_replace(string_split(trim(text), chr(10) || chr(10))[1], '\s+', ' ', 'g')) AS t FROM documents),
+        b AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS n FROM a)
+        SELECT doc_id, md5(CASE WHEN t <> '' AND n >= 10 AND NOT regexp_matches(low, '^(may refer to|may also refer to|can refer to|can also refer to|may stand for|may mean|this category should only contain articles on species)')
+          AND NOT regexp_matches(low[1:200], 'disambiguation|may refer to one of the following|refer to one of the following|this page lists articles|this disambiguation page|wikipedia does not have an article with this exact name|this category should only contain articles on species') THEN t ELSE '-' END) AS paragraph,
+        length(trim(text)) < 60 AND regexp_matches(trim(text), '(may refer to:|is a given name and a surname\.|is a given name\.|is a surname\.)$') AS stub FROM b""",
+    "neutral_sample": f"""{_EDGES}, u AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, count(*) OVER () AS total FROM supplier),
+        w AS (SELECT p_partkey AS target, j.j, ((((p_partkey * 1000003 + j.j * 7919 + 104729 + 17) % 2147483647) * 48271 % 2147483647) * 16807 % 2147483647) % (SELECT count(*) FROM supplier) AS idx FROM part, range(1, 31) j(j)),
+        f AS (SELECT w.target, u.node, min(w.j) AS j FROM w JOIN u ON u.idx = w.idx ANTI JOIN e ON e.src = w.target AND e.dst = u.node WHERE u.node <> w.target GROUP BY 1, 2),
+        g AS (SELECT target, node, row_number() OVER (PARTITION BY target ORDER BY j) AS pos FROM f), h AS (SELECT * FROM g WHERE pos <= 10),
+        k AS (SELECT p_partkey AS target, least(10, (SELECT count(*) - 1 FROM supplier) - (SELECT count(*) FROM e WHERE e.src = p_partkey AND e.dst <> p_partkey)) - (SELECT count(*) FROM h WHERE h.target = p_partkey) AS need FROM part),
+        r AS (SELECT k.target, u.node, k.need, row_number() OVER (PARTITION BY k.target ORDER BY u.node) AS i FROM k JOIN u ON u.node <> k.target ANTI JOIN e ON e.src = k.target AND e.dst = u.node ANTI JOIN h ON h.target = k.target AND h.node = u.node WHERE k.need > 0)
+        SELECT target, node AS neutral FROM h UNION ALL SELECT target, node FROM r WHERE i <= need""",
+    "keep_longest_page": "SELECT lang, source, arg_min(doc_id, (-length(trim(text)), doc_id)) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY 1, 2",
+    "last_value_by_user": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
+    "usable_labels": """SELECT p_partkey, p_name, contains(lower(p_name), lower(substr(p_name, 1, 4))) AS self FROM part
+        WHERE trim(p_name) <> '' AND NOT regexp_matches(trim(p_name), '^Q\\d+$') AND NOT regexp_matches(trim(p_name), '^\\d+$') AND NOT regexp_matches(lower(p_name), 'wikidata|wikipedia|wikimedia')""",
+    "unique_words": "SELECT DISTINCT trim(tag) AS tag FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part UNION ALL SELECT p_brand FROM part) WHERE trim(tag) <> ''",
+    "pair_texts": """SELECT conv_id, turn, md5(CASE WHEN trim(role) <> '' AND NOT contains(lower(trim(text)), lower(trim(role))) THEN trim(role) || ' : ' || trim(text) ELSE trim(text) END) AS pair,
+        role || '_' || turn AS name FROM conversations""",
+    "url_parts": """SELECT page_id, CASE WHEN contains(u, '/entity/') THEN string_split(u, '/entity/')[-1] ELSE '' END AS tail, CASE WHEN regexp_matches(url, '^https?://') THEN 'wikibase-item' ELSE 'string' END AS kind,
+        md5(replace(replace(html, '\\', '\\\\'), '"', '\\"')) AS escaped FROM (SELECT *, replace(url, '/en/', '/entity/') AS u FROM pages)""",
+    "relation_edges": f"{_EDGES} SELECT src, count(*) AS n, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS tags FROM e GROUP BY 1",
+    "one_hop": f"""{_EDGES}, a AS (SELECT src, dst + 10000000 AS dst FROM e UNION ALL SELECT s_suppkey + 10000000, s_nationkey + 20000000 FROM supplier)
+        SELECT a.src, a.dst, coalesce(h.hops, '') AS hops FROM a LEFT JOIN (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS hops FROM (SELECT DISTINCT src, dst FROM a) GROUP BY 1) h ON h.src = a.dst""",
+    "unique_nodes": f"""{_EDGES}, a AS (SELECT dst + 10000000 AS node, 'supplier' AS label FROM e UNION SELECT s_nationkey + 20000000, 'nation' FROM supplier) SELECT DISTINCT node, label FROM a""",
+    "class_closure": """WITH RECURSIVE g AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+        t(node) AS (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey < 2 UNION SELECT g.child FROM t JOIN g ON g.parent = t.node) SELECT node FROM t""",
+    "coverage_counters": f"""{_EDGES}, o AS (SELECT e.src, CASE WHEN p.s_suppkey IS NULL THEN 'no_page' WHEN t.p_partkey IS NOT NULL THEN 'tag_list' WHEN i.p_partkey IS NOT NULL THEN 'item_list' ELSE 'no_list' END AS o
+          FROM e LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) p ON p.s_suppkey = e.dst LEFT JOIN (SELECT * FROM part WHERE p_size > 10) t ON t.p_partkey = e.dst LEFT JOIN (SELECT * FROM part WHERE p_size > 10) i ON i.p_partkey = e.src),
+        b AS (SELECT src, count(*) FILTER (o = 'no_page') AS np, count(*) FILTER (o = 'tag_list') AS tl, count(*) FILTER (o = 'item_list') AS il, count(*) FILTER (o = 'no_list') AS nl FROM o GROUP BY 1)
+        SELECT count(*) AS items, count(*) FILTER (tl + il > 0) AS items_kept, count(*) FILTER (tl + il = 0) AS items_dropped, sum(np)::BIGINT AS tags_without_page, sum(nl)::BIGINT AS tags_without_list, sum(il)::BIGINT AS tags_by_item_list, sum(tl + il)::BIGINT AS tags_kept FROM b""",
+    "covered_edges": f"{_EDGES} SELECT src, dst FROM e WHERE dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND src IN (SELECT p_partkey FROM part WHERE p_size > 10)",
+    "covered_lists": f"{_EDGES} SELECT src, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst) FILTER (dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)), '') AS v FROM e GROUP BY 1",
+    "unlabeled_ids": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    "id_counts": "SELECT (SELECT count(*) FROM customer) AS seen, (SELECT count(DISTINCT o_custkey) FROM orders) AS labeled, (SELECT count(*) FROM customer) - (SELECT count(DISTINCT o_custkey) FROM orders) AS unlabeled",
+    "upsert_labels": "SELECT user_id, coalesce(arg_max(event_type, event_id) FILTER (value >= 50), arg_max(event_type, event_id)) AS label FROM events GROUP BY 1",
+    "insert_ignore": "SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
+    "score_normalize": """WITH a AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
+        SELECT o_orderkey, round(o_totalprice / hi, 6) AS max, round((o_totalprice - m) / s, 6) AS zscore, round((o_totalprice - lo) / (hi - lo), 6) AS minmax FROM orders, a""",
+    "score_histogram": _BINS.format(n=20) + " SELECT g.bin, count(b.bin) AS n FROM (SELECT unnest(range(20)) AS bin) g LEFT JOIN b ON b.bin = g.bin GROUP BY 1",
+    "quantile_classes": """WITH q AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM orders), c AS (SELECT len(list_filter(e, lambda x: x <= o_totalprice)) AS class, o_totalprice FROM orders, q)
+        SELECT class, count(*) AS n, min(o_totalprice) AS least FROM c GROUP BY 1""",
+    "regression_metrics": _PREDICTIONS + """ SELECT l_linenumber::BIGINT AS l_linenumber, count(*) AS n, round(avg((y - pred) * (y - pred)), 8) AS mse, round(sqrt(avg((y - pred) * (y - pred))), 8) AS rmse, round(avg(abs(y - pred)), 8) AS mae,
+        round(1 - avg((y - pred) * (y - pred)) / var_pop(y), 8) AS r2, round(corr(y, pred), 8) AS pearson FROM p GROUP BY 1""",
+    "confusion_matrix": _CLASSED + " SELECT a.class AS truth, b.class AS pred, count(c.truth) AS n FROM (SELECT unnest(['low', 'medium', 'high']) AS class) a CROSS JOIN (SELECT unnest(['low', 'medium', 'high']) AS class) b LEFT JOIN c ON c.truth = a.class AND c.pred = b.class GROUP BY 1, 2",
+    "class_metrics": _CELLS + " SELECT class, support, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1 FROM g",
+    "kappa_mcc": _CELLS + """ SELECT sum(support)::BIGINT AS n, round(sum(hit) / sum(support), 8) AS accuracy, round(avg(f1), 8) AS macro_f1, round(sum(f1 * support) / sum(support), 8) AS weighted_f1,
+        round((sum(hit) * sum(support) - sum(support * predicted))::DOUBLE / sqrt((sum(support) * sum(support) - sum(predicted * predicted))::DOUBLE * (sum(support) * sum(support) - sum(support * support))), 8) AS mcc,
+        round((sum(hit) / sum(support) - sum(support * predicted)::DOUBLE / (sum(support) * sum(support))) / (1 - sum(support * predicted)::DOUBLE / (sum(support) * sum(support))), 8) AS kappa FROM g""",
+    "spearman": _PREDICTIONS + """, a AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ra, rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0 AS rb FROM p)
+        SELECT round(corr(ra, rb), 6) AS spearman FROM a""",
+    "seed_aggregate": "SELECT l_returnflag AS model, l_linestatus AS metric, round(avg(l_quantity)::DOUBLE, 6) AS mean, round(stddev_pop(l_quantity)::DOUBLE, 6) AS std FROM lineitem GROUP BY 1, 2",
+    "curve_band": """WITH c AS (SELECT (l_suppkey % 5)::BIGINT AS config, l_orderkey % 97 AS seed, l_linenumber AS epoch, max(l_quantity)::DOUBLE AS loss FROM lineitem GROUP BY 1, 2, 3),
+        g AS (SELECT config, seed, e.epoch::BIGINT AS epoch FROM (SELECT DISTINCT config, seed FROM c), range(1, 10) e(epoch)),
+        f AS (SELECT g.config, g.epoch, last_value(loss IGNORE NULLS) OVER (PARTITION BY g.config, g.seed ORDER BY g.epoch) AS loss FROM g LEFT JOIN c ON c.config = g.config AND c.seed = g.seed AND c.epoch = g.epoch)
+        SELECT config, epoch, round(avg(loss), 6) AS mean, min(loss) AS least, max(loss) AS most FROM f GROUP BY 1, 2""",
+    "loss_table": _PREDICTIONS + """, q AS (SELECT *, abs(pred - y) AS d, least(greatest(1 / (1 + exp(-pred)), 1e-7), 1 - 1e-7) AS s, least(greatest(y, 1e-7), 1 - 1e-7) AS t FROM p WHERE y > 0 AND y < 1)
+        SELECT round(avg(d * d), 8) AS mse, round(avg(d), 8) AS mae, round(avg(CASE WHEN d < 0.1 THEN d * d / 0.2::DOUBLE ELSE d - 0.05::DOUBLE END), 8) AS smooth_l1, round(avg(t * ln(t / s) + (1 - t) * ln((1 - t) / (1 - s))), 8) AS kl FROM q""",
+    "extremes": """WITH q AS (SELECT quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM orders),
+        a AS (SELECT o_orderkey, 'low' AS side, row_number() OVER (ORDER BY md5('42|' || o_orderkey)) AS r FROM orders, q WHERE o_totalprice <= lo UNION ALL
+        SELECT o_orderkey, 'high', row_number() OVER (ORDER BY md5('42|' || o_orderkey)) FROM orders, q WHERE o_totalprice >= hi) SELECT o_orderkey, side FROM a WHERE r <= 25""",
+    "exact_split": f"WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_HASHED}) AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey, {_SPLIT} AS part FROM a",
+    "stratified_split": f"WITH a AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_HASHED}) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, {_SPLIT} AS part FROM a",
+    "worker_shards": "SELECT c_custkey, ntile(7) OVER (ORDER BY c_custkey) - 1 AS shard FROM customer",
+    "sampled_ids": "SELECT user_id AS id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('1|' || user_id) LIMIT 20",
+    "hash_embed": "SELECT doc_id, 64::BIGINT AS width, 1.0::DOUBLE AS norm FROM documents",
+    "stratified_count": _B10 + " SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b) WHERE r <= 20",
+    "stratified_average": _B10 + ", c AS (SELECT ceil(count(*) / count(DISTINCT bin)) AS cap FROM b) SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b), c WHERE r <= cap",
+    "stratified_percentage": _B10 + ", c AS (SELECT ceil(0.3::DOUBLE * max(n)) AS cap FROM (SELECT count(*) AS n FROM b GROUP BY bin)) SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b), c WHERE r <= cap",
+    "stratified_equal": _B10 + ", c AS (SELECT count(*) AS k FROM b WHERE bin < 2) SELECT o_orderkey, bin FROM b WHERE bin < 2 UNION ALL SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin >= 2), c WHERE r <= k",
+    "stratified_equal_tails": _B10 + """, c AS (SELECT least(count(*) FILTER (bin < 3), count(*) FILTER (bin >= 7)) AS k FROM b)
+        SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin < 3), c WHERE r <= k UNION ALL SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin >= 7), c WHERE r <= k""",
+}
