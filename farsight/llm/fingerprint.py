@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from farsight.llm.common import documents
 
 PARAGRAPHS = 8
-#: Documents in a range of ids, about, and ranges in a range of ranges.
-FAN = 1024
+#: Documents in a range of ids, about, and the most ranges.
+FAN, RANGES = 1024, 1 << 16
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,28 +54,27 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<int>")).otherwise(apart)
 
 
-def _following(ranges: DataFrame, key: str) -> DataFrame:
-    """(key, following): the next larger key of a table of keys; the largest has null. In ranges of FAN keys each."""
-    upper = ranges.select(key, F.floor(F.col(key) / FAN).alias("u"))
-    near = upper.withColumn("near", F.lead(key).over(Window.partitionBy("u").orderBy(key)))
-    heads = upper.groupBy("u").agg(F.min(key).alias("head"))
-    far = heads.select("u", F.lead("head").over(Window.orderBy("u")).alias("far"))  # one row for FAN * FAN documents
-    return near.join(far, "u").select(key, F.coalesce("near", "far").alias("following"))
+def with_next(docs: DataFrame, column: str) -> DataFrame:
+    """docs(doc_id, ...) with `next`, the column of the following row by doc_id, after the last of the first.
 
-
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with `next`, a struct of the columns of the following row by doc_id, after the last the first."""
+    Ids are cut into ranges of equal width (RANGES at most). The first row of each range is also put at the end of the range before it, so one
+    exchange of the rows serves: the list of first ids, a row for each range, is what joins them."""
     span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     lo, hi, n = (int(x or 0) for x in span)
-    width = max(1, (hi - lo) * FAN // max(n, 1))
-    ranged = docs.withColumn("__r", F.expr(f"coalesce(doc_id - {lo}L, 0L) div {width}L"))
-    order = Window.partitionBy("__r").orderBy("doc_id", *(c for c in columns if c != "doc_id"))
-    near = ranged.withColumn("next", F.lead(F.struct(*columns)).over(order)).withColumn("__n", F.row_number().over(order))
-    heads = near.filter("__n = 1").select(F.col("__r").alias("__h"), F.struct(*columns).alias("__next"))
-    keys = ranged.select("__r").distinct()
-    follow = _following(keys, "__r").select("__r", F.coalesce("following", F.lit(0).cast("long")).alias("__h"))  # the first range is 0
-    last = near.filter("next is null").join(follow, "__r").join(heads, "__h").withColumn("next", F.col("__next"))
-    return near.filter("next is not null").select(*docs.columns, "next").unionByName(last.select(*docs.columns, "next"))
+    width = max(1, -(-(hi - lo + 1) // min(RANGES, max(1, n // FAN))))
+    ranged = docs.select("doc_id", F.expr(f"coalesce(doc_id - {lo}L, 0L) div {width}L").alias("r"))
+    heads = ranged.groupBy("r").agg(F.min("doc_id").alias("head"))
+    before = F.coalesce(F.lag("r").over(Window.orderBy("r")), F.lit(-1).cast("long"))  # -1: the first follows the last
+    last = heads.agg(F.max("r").alias("last"))
+    heads = heads.withColumn("before", before).join(F.broadcast(last)).select(
+        F.col("head").alias("__head"), F.when(F.col("before") < 0, F.col("last")).otherwise(F.col("before")).alias("__before")
+    )
+    rows = docs.withColumn("__r", F.expr(f"coalesce(doc_id - {lo}L, 0L) div {width}L"))
+    rows = rows.join(F.broadcast(heads), F.col("doc_id") == F.col("__head"), "left")  # RANGES rows at most
+    places = F.array(F.struct(F.col("__r").alias("r"), F.lit(0).alias("late")), F.struct(F.col("__before").alias("r"), F.lit(1).alias("late")))
+    rows = rows.withColumn("__x", F.explode(F.filter(places, lambda x: x["r"].isNotNull())))
+    order = Window.partitionBy("__x.r").orderBy("__x.late", "doc_id", column)
+    return rows.withColumn("next", F.lead(column).over(order)).filter("__x.late = 0").select(*docs.columns, "next")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -85,15 +84,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     (all, if it has fewer; after the last comes the first). A null text is empty. Rows that repeat a doc_id follow
     one another by text. doc_id should not be null (such rows come first); other columns are ignored; an empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("text")))
-    paired = with_next(rows, ["text", "fingerprint"]).withColumn("n_chars", F.length("text").cast("long"))
+    paired = with_next(rows, "text").withColumn("n_chars", F.length("text").cast("long"))
+    paired = paired.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("next_fingerprint", fingerprint(F.col("next")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.left(F.col("next.text"), half))
+    edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.left(F.col("next"), half))
     paired = paired.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return paired.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 

@@ -18,31 +18,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farsight.llm.common import documents, texts, written
-from farsight.llm.token_counts import pre_tokens, tokenizer
+from farsight.llm.token_counts import plain, tokenizer
 
 #: Entries after which a worker empties its memo of token ids.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Classes of lengths in the linear program, and its rounds.
 CLASSES, ROUNDS, STEP = 128, 1500, 0.1
 #: Pieces numbered by one task at most, about.
 NUMBERED = 100_000
 
 _IDS: dict[str, bytes] = {}
+_SIZES: dict[str, np.ndarray] = {}
 
 
 def _ids(text: str, path: str) -> bytes:
-    """The text's token ids as little-endian unsigned 32-bit numbers."""
+    """The text's token ids as little-endian unsigned 32-bit numbers.
+
+    Words after a single space are tokenized alone as within the text, so each is looked up in a memo; those that it
+    lacks are tokenized together and told apart by the bytes of their tokens. Other texts are tokenized whole."""
     t, special = tokenizer(path)
-    parts = pre_tokens(text, special) if text else []
+    if not text:
+        return b""
+    if not plain(text, special):
+        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    first, *words = text.split(" ")
+    head = np.array(t.encode(first, add_special_tokens=False).ids, "<u4").tobytes()
     try:
-        return b"".join(map(_IDS.__getitem__, parts))
+        return head + b"".join(map(_IDS.__getitem__, words))
     except KeyError:
         if len(_IDS) > MEMO:
             _IDS.clear()
-        new = [p for p in set(parts) if p not in _IDS]
-        for p, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            _IDS[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([_IDS[p] for p in parts])
+        new = [w for w in dict.fromkeys(words) if w not in _IDS]
+        ids = np.array(t.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.cumsum([len(w.encode()) + 1 for w in new])
+        cuts = np.searchsorted(np.cumsum(_sizes(path)[ids]), ends) + 1
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(new, cuts.tolist(), strict=True):
+            _IDS[w] = raw[4 * at : 4 * cut]
+            at = cut
+        return head + b"".join(map(_IDS.__getitem__, words))
+
+
+def _sizes(path: str) -> np.ndarray:
+    """Bytes of each token: the byte-level alphabet has a character for each byte."""
+    if path not in _SIZES:
+        vocab = tokenizer(path)[0].get_vocab()
+        out = np.zeros(max(vocab.values()) + 1, np.int64)
+        out[list(vocab.values())] = [len(k) for k in vocab]
+        _SIZES[path] = out
+    return _SIZES[path]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:

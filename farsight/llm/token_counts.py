@@ -3,30 +3,29 @@
 A pre-token here is a word with the space before it, as far as no token can reach over its ends: the tokenizer splits
 before a single space that a word follows. Other shapes (runs of white space, special strings) are joined with
 their neighbours into one longer pre-token. Each block of documents reports each of its distinct
-pre-tokens once, with (document, frequency) lists; rows are dealt and sorted by pre-token, its pieces are
+pre-tokens once, with its documents and frequencies; rows are dealt and sorted by pre-token, its pieces are
 counted once, joined to the frequencies and summed per document. No ids are kept."""
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, texts
+from farsight.llm.common import documents, lists, texts
 
 #: A block ends at so many documents or characters.
 BLOCK_DOCS, BLOCK_BYTES = 60_000, 24 << 20
 #: Sums a task holds before it passes them on.
 HELD = 2_000_000
 
+NAMES = ["part", "doc_id", "count", "docs", "counts"]
 _TOKENIZERS: dict = {}
-#: White space that isn't one space or break between two words.
-_ODD = re.compile(r"^\s|\s\s|\s$")
 
 
 def tokenizer(path: str):
@@ -42,11 +41,16 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def plain(text: str, special: list[str]) -> bool:
+    """Whether single spaces and line breaks between words are all the white space, and no special string is there."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(s in text for s in special)
+
+
 def pre_tokens(text: str, special: list[str]) -> list[str]:
     """Parts of text that are tokenized alone as they are within it."""
     parts = text.split(" ")
     parts[1:] = map(" ".__add__, parts[1:])
-    if not _ODD.search(text) and not any(s in text for s in special):
+    if plain(text, special):
         return parts
     joined, odd_before = [], False
     for i, part in enumerate(parts):
@@ -75,6 +79,7 @@ class _Block:
         self.rows.append(np.unique(at, return_counts=True))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
+        """(part, doc_id, count) of the first document of each part, and lists of the others, in slices."""
         if not self.codes:
             return
         code = np.concatenate([r[0] for r in self.rows])
@@ -82,13 +87,18 @@ class _Block:
         doc = np.repeat(np.array(self.docs, np.int64), [len(r[0]) for r in self.rows])
         order = np.argsort(code, kind="stable")
         code, count, doc = code[order], count[order], doc[order]
-        start = np.searchsorted(code, np.arange(len(self.codes) + 1))
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        first = np.flatnonzero(new)
+        more = np.diff(np.append(first, len(code))) - 1
+        start = np.concatenate(([0], np.cumsum(more)))
+        docs, counts = doc[~new], count[~new]
         names = pa.array(list(self.codes), pa.string())
-        for lo in range(0, len(self.codes), 20_000):
-            hi = min(lo + 20_000, len(self.codes))
-            offsets, a, b = pa.array((start[lo : hi + 1] - start[lo]).astype(np.int32)), start[lo], start[hi]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a:b])) for x in (doc, count)]
-            yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), *lists], ["part", "docs", "counts"])
+        for lo in range(0, len(first), 20_000):
+            hi = min(lo + 20_000, len(first))
+            a, b, at = start[lo], start[hi], first[lo:hi]
+            others = [lists(more[lo:hi], pa.array(x[a:b])) for x in (docs, counts)]
+            yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(doc[at]), pa.array(count[at]), *others], NAMES)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -126,10 +136,10 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 last, pieces = p, next(lengths)
             n[i] = pieces
         docs, counts = batch.column("docs"), batch.column("counts")
-        sizes = np.diff(docs.offsets.to_numpy())
-        held_docs.append(docs.flatten().to_numpy())
-        held_sums.append(np.repeat(n, sizes) * counts.flatten().to_numpy())
-        held += len(held_docs[-1])
+        sizes = pc.fill_null(pc.list_value_length(docs), 0).to_numpy()
+        held_docs += [batch.column("doc_id").to_numpy(), docs.flatten().to_numpy()]
+        held_sums += [n * batch.column("count").to_numpy(), np.repeat(n, sizes) * counts.flatten().to_numpy()]
+        held += len(n) + len(held_docs[-1])
         if held >= 4 * HELD:
             docs, sums = flush()
             held_docs, held_sums, held = [docs], [sums], len(docs)
@@ -148,7 +158,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     special tokens are added. doc_id must not be null; rows that repeat a doc_id must repeat its text, and each
     gets that text's count. Other columns are ignored; an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequencies = docs.mapInArrow(lambda it: _frequencies(it, path), "part string, docs array<long>, counts array<int>")
+    frequencies = docs.mapInArrow(lambda it: _frequencies(it, path), "part string, doc_id long, count int, docs array<long>, counts array<int>")
     sums = (
         frequencies.repartition("part")
         .sortWithinPartitions("part")
