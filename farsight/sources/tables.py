@@ -24,7 +24,9 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, str
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row with the number of lines that aren't objects of the schema."""
     full = T.StructType.fromDDL(schema).add("_bad", "string")
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).select("_bad", *T.StructType.fromDDL(schema).names).agg(F.count("_bad").alias("bad"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.agg(F.count_if(F.col("r").isNull() | F.col("r._bad").isNotNull()).alias("bad"))
 
 
 def read_relation_map(spark: SparkSession, path: str) -> DataFrame:
