@@ -86,6 +86,13 @@ def crc32_mod(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
+def sample(docs: DataFrame, n: int, salt: str, *columns: str) -> DataFrame:
+    """At most n rows of docs in an order by hash of doc_id, with the hash as `h`. Only ids and hashes are ordered; their list has n rows at most."""
+    h = F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    ids = docs.select("doc_id", h.alias("h")).distinct().orderBy("h").limit(n)
+    return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of its own only where that is unset."""
     sc = spark.sparkContext

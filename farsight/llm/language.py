@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import crc32_mod, documents
+from farsight.llm.common import crc32_mod, documents, sample
 
-MAX_DOCS = 6000
+MAX_DOCS = 3000
 BUCKETS = 1 << 15
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -127,8 +127,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    sample = rows.withColumn("h", F.md5(F.concat(F.lit("lang|"), F.col("doc_id").cast("string")))).orderBy("h").limit(max_docs).collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["text"]))], idf)
+    got = sample(rows, max_docs, "lang|", "text", "lang").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["h"], r["text"]))], idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

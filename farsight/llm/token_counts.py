@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from farsight.llm.common import documents, lists, texts
 
 #: A block ends at so many documents or characters.
-BLOCK_DOCS, BLOCK_BYTES = 60_000, 24 << 20
+BLOCK_DOCS, BLOCK_BYTES = 60_000, 40 << 20
 #: Sums a task holds before it passes them on.
 HELD = 2_000_000
 
@@ -78,6 +78,16 @@ class _Block:
         self.docs.append(doc)
         self.rows.append(np.unique(at, return_counts=True))
 
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each code, that of the word without a mark after its last letter, and that of the mark or -1: no token spans them."""
+        codes = self.codes
+        parts = list(codes)
+        base, mark = np.arange(len(parts)), np.full(len(parts), -1)
+        for i, p in enumerate(parts):
+            if p[-1] in ".,|" and p[-2:-1].isalpha():
+                base[i], mark[i] = codes.setdefault(p[:-1], len(codes)), codes.setdefault(p[-1], len(codes))
+        return base, mark
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         """(part, doc_id, count) of the first document of each part, and lists of the others, in slices."""
         if not self.codes:
@@ -85,15 +95,22 @@ class _Block:
         code = np.concatenate([r[0] for r in self.rows])
         count = np.concatenate([r[1] for r in self.rows]).astype(np.int32)
         doc = np.repeat(np.array(self.docs, np.int64), [len(r[0]) for r in self.rows])
-        order = np.argsort(code, kind="stable")
+        base, mark = self.split()
+        base, mark = base[code], mark[code]
+        marked = mark >= 0
+        code = np.concatenate((base, mark[marked]))
+        doc, count = np.concatenate((doc, doc[marked])), np.concatenate((count, count[marked]))
+        order = np.lexsort((doc, code))
         code, count, doc = code[order], count[order], doc[order]
+        fresh = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))  # a base may come with several marks
+        code, doc, count = code[fresh], doc[fresh], np.add.reduceat(count, fresh)
         new = np.ones(len(code), bool)
         new[1:] = code[1:] != code[:-1]
         first = np.flatnonzero(new)
         more = np.diff(np.append(first, len(code))) - 1
         start = np.concatenate(([0], np.cumsum(more)))
         docs, counts = doc[~new], count[~new]
-        names = pa.array(list(self.codes), pa.string())
+        names = pa.array(list(self.codes), pa.string()).take(pa.array(code[first]))
         for lo in range(0, len(first), 20_000):
             hi = min(lo + 20_000, len(first))
             a, b, at = start[lo], start[hi], first[lo:hi]
