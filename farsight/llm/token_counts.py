@@ -103,7 +103,7 @@ class _Block:
         order = np.lexsort((doc, code))
         code, count, doc = code[order], count[order], doc[order]
         fresh = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))  # a base may come with several marks
-        code, doc, count = code[fresh], doc[fresh], np.add.reduceat(count, fresh)
+        code, doc, count = code[fresh], doc[fresh], np.add.reduceat(count, fresh).astype(np.int32)
         new = np.ones(len(code), bool)
         new[1:] = code[1:] != code[:-1]
         first = np.flatnonzero(new)
