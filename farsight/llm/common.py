@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 BREAK = "[\\x20\\x09-\\x0D]+"
 #: Entries after which a worker empties its memo of word hashes.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)

@@ -55,6 +55,7 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         often = counts >= LOCAL_COMMON
         none = pa.nulls(int(often.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 4 + [signed(tokens[often]), pa.array(counts[often].astype(np.int64))], names)
+    _MEMO.clear()
 
 
 def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -75,6 +76,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lev
             ids.append(np.full(len(lead), doc, np.int64))
         (token,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
         yield pa.RecordBatch.from_arrays([signed(token), pa.array(doc_id), lists(more, pa.array(others))], ["token", "doc_id", "others"])
+    _MEMO.clear()
 
 
 class _Group:
@@ -150,6 +152,7 @@ def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
     if group and not closed:
         links = group.close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+    _MEMO.clear()
 
 
 def links(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -21,7 +21,7 @@ from farsight.llm.common import documents, texts, written
 from farsight.llm.token_counts import plain, tokenizer
 
 #: Entries after which a worker empties its memo of token ids.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Classes of lengths in the linear program, and its rounds.
 CLASSES, ROUNDS, STEP = 128, 1500, 0.1
 #: Pieces numbered by one task at most, about.
@@ -83,6 +83,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
                 at, piece = to, piece + 1
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    _IDS.clear()  # a worker that goes on to other work keeps nothing
 
 
 def best_pattern(prices: np.ndarray, units: np.ndarray, capacity: int) -> np.ndarray:

@@ -65,6 +65,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 ids.append(np.full(len(chosen), doc, np.int64))
         (anchor,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
         yield pa.RecordBatch.from_arrays([signed(anchor), pa.array(doc_id), lists(more, pa.array(others))], ["anchor", "doc_id", "others"])
+    _MEMO.clear()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -87,6 +88,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             others = lists(more, pa.StructArray.from_arrays([pa.array(docs), pa.array(places)], ["doc_id", "at"]))
             packed = pa.array((at << 32) | h2.astype(np.int64))
             yield pa.RecordBatch.from_arrays([signed(h1), packed, pa.array(doc_id), others], ["h1", "at_h2", "doc_id", "others"])
+    _MEMO.clear()
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
