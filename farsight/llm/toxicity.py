@@ -141,7 +141,7 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
         seen_t += grad_t**2
         field.emission -= rate * grad / np.sqrt(seen_e)
         field.transition -= rate * grad_t / np.sqrt(seen_t)
-    marginal = np.concatenate([m for m, _ in _scored([d for d in docs], field, {})]) if len(docs) else np.zeros(0)
+    marginal = np.concatenate([m for m, _ in _scored([r[0] for r in rows], field, {})]) if len(docs) else np.zeros(0)
     f = document_features(marginal, sizes)
     w, ridge = np.zeros(f.shape[1]), 0.5
 
@@ -160,15 +160,16 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
     return field
 
 
-def _scored(docs: list[list[bytes]], field: Field, memo: dict[bytes, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Marginals and sizes for runs of documents."""
+def _scored(raw: list[bytes], field: Field, memo: dict[bytes, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Marginals and sizes for runs of texts; only one run's words are held at a time."""
     at = 0
-    while at < len(docs):
+    while at < len(raw):
         to, held = at, 0
-        while to < len(docs) and held < 500_000:
-            held += len(docs[to])
+        while to < len(raw) and held < 1 << 20:
+            held += len(raw[to])
             to += 1
-        words = [w for d in docs[at:to] for w in d]
+        docs = [t.split() for t in raw[at:to]]
+        words = [w for d in docs for w in d]
         try:
             e = np.fromiter(map(memo.__getitem__, words), np.float64, count=len(words))
         except KeyError:
@@ -178,7 +179,7 @@ def _scored(docs: list[list[bytes]], field: Field, memo: dict[bytes, float]) ->
             weights = field.emission[np.array([word_features(w) for w in new])].sum(1)
             memo.update(zip(new, weights.tolist(), strict=True))
             e = np.fromiter(map(memo.__getitem__, words), np.float64, count=len(words))
-        sizes = np.array([len(d) for d in docs[at:to]], np.int64)
+        sizes = np.array([len(d) for d in docs], np.int64)
         place, n = chains(sizes)
         flat = np.zeros(n * CHAIN)
         flat[place] = e
@@ -191,9 +192,8 @@ def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     field, memo = held.value, {}
     for batch in batches:
         raw = texts(batch)
-        docs = [t.split() for t in raw]
         scores, spans, at = [], [], 0
-        for marginal, sizes in _scored(docs, field, memo):
+        for marginal, sizes in _scored(raw, field, memo):
             z = document_features(marginal, sizes) @ field.document
             scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             ends = np.cumsum(sizes)
