@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +28,67 @@ CLASSES, ROUNDS, STEP = 128, 1500, 0.1
 #: Pieces numbered by one task at most, about.
 NUMBERED = 100_000
 
+#: Characters of texts that are tokenized together, about.
+RUN = 1 << 18
+#: Marks that are tokenized apart from a letter before them.
+MARKS = ".,;:!?|#*$%&<>"
+
 _IDS: dict[str, bytes] = {}
+_MARK_IDS: dict[str, bytes] = {}
 _SIZES: dict[str, np.ndarray] = {}
 
 
-def _ids(text: str, path: str) -> bytes:
-    """The text's token ids as little-endian unsigned 32-bit numbers.
+def _encoded(t, parts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def _learn(words: list[str], t, path: str) -> None:
+    """Adds words to the memo. They are tokenized in one text and told apart by the bytes of their tokens, those with marks after
+    their last letter by way of the word without them."""
+    bare: dict[str, str] = {}
+    for w in words:
+        stem = w.rstrip(MARKS)
+        if len(stem) < len(w) and stem[-1:].isalpha():
+            bare[w] = stem
+    new = [w for w in dict.fromkeys([bare.get(w, w) for w in words]) if w not in _IDS]
+    if new:
+        (ids,) = _encoded(t, [" " + " ".join(new)])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), np.int64, count=len(new)) + 1)
+        cuts = (4 * np.searchsorted(np.cumsum(_sizes(path)[ids]), ends) + 4).tolist()
+        raw = ids.tobytes()
+        _IDS.update(zip(new, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+    marks = [m for m in {w[len(stem) :] for w, stem in bare.items()} if m not in _MARK_IDS]
+    _MARK_IDS.update(zip(marks, [x.tobytes() for x in _encoded(t, marks)], strict=True))
+    for w, stem in bare.items():
+        _IDS[w] = _IDS[stem] + _MARK_IDS[w[len(stem) :]]
+
+
+def _ids(run: list[str], path: str) -> list[bytes]:
+    """Token ids of each text as little-endian unsigned 32-bit numbers.
 
     Words after a single space are tokenized alone as within the text, so each is looked up in a memo; those that it
-    lacks are tokenized together and told apart by the bytes of their tokens. Other texts are tokenized whole."""
+    lacks are tokenized together. Texts with other white space are tokenized whole."""
     t, special = tokenizer(path)
-    if not text:
-        return b""
-    if not plain(text, special):
-        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    first, *words = text.split(" ")
-    head = np.array(t.encode(first, add_special_tokens=False).ids, "<u4").tobytes()
-    try:
-        return head + b"".join(map(_IDS.__getitem__, words))
-    except KeyError:
-        if len(_IDS) > MEMO:
-            _IDS.clear()
-        new = [w for w in dict.fromkeys(words) if w not in _IDS]
-        ids = np.array(t.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in new])
-        cuts = np.searchsorted(np.cumsum(_sizes(path)[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for w, cut in zip(new, cuts.tolist(), strict=True):
-            _IDS[w] = raw[4 * at : 4 * cut]
-            at = cut
-        return head + b"".join(map(_IDS.__getitem__, words))
+    if len(_IDS) > MEMO:
+        _IDS.clear()
+        _MARK_IDS.clear()
+    split = [text.split(" ") if plain(text, special) else [text] for text in run]
+    heads = _encoded(t, [words[0] for words in split])
+    rest = [words[1:] for words in split]
+    _learn([w for w in dict.fromkeys(chain.from_iterable(rest)) if w not in _IDS], t, path)
+    return [head.tobytes() + b"".join(map(_IDS.__getitem__, words)) for head, words in zip(heads, rest, strict=True)]
+
+
+def _runs(raw: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in runs that end once they have RUN characters."""
+    at = held = 0
+    for i, text in enumerate(raw):
+        held += len(text)
+        if held >= RUN:
+            yield raw[at : i + 1]
+            at, held = i + 1, 0
+    if at < len(raw):
+        yield raw[at:]
 
 
 def _sizes(path: str) -> np.ndarray:
@@ -73,8 +105,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
         rows: tuple[list, ...] = ([], [], [], [], [])
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            ids = memoryview(_ids(text.decode("utf-8"), path) + tail)
+        raw = [text.decode("utf-8") for text in texts(batch)]
+        found = chain.from_iterable(_ids(run, path) for run in _runs(raw))
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+            ids = memoryview(ids + tail)
             n, at, piece = len(ids) // 4, 0, 0
             while at < n:
                 to = at + (n - at - 1) % size + 1  # the first may be shorter
@@ -83,7 +117,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
                 at, piece = to, piece + 1
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    _IDS.clear()  # a worker that goes on to other work keeps nothing
+    _IDS.clear()
+    _MARK_IDS.clear()  # a worker that goes on to other work keeps nothing
 
 
 def best_pattern(prices: np.ndarray, units: np.ndarray, capacity: int) -> np.ndarray:
