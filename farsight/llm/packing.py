@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farsight.llm.common import documents, texts, written
-from farsight.llm.token_counts import plain, tokenizer
+from farsight.llm.token_counts import MARKS, plain, tokenizer
 
 #: Entries after which a worker empties its memo of token ids.
 MEMO = 500_000
@@ -30,8 +30,6 @@ NUMBERED = 100_000
 
 #: Characters of texts that are tokenized together, about.
 RUN = 1 << 18
-#: Marks that are tokenized apart from a letter before them.
-MARKS = ".,;:!?|#*$%&<>"
 
 _IDS: dict[str, bytes] = {}
 _MARK_IDS: dict[str, bytes] = {}

@@ -4,7 +4,10 @@ A pre-token here is a word with the space before it, as far as no token can reac
 before a single space that a word follows. Other shapes (runs of white space, special strings) are joined with
 their neighbours into one longer pre-token. Each block of documents reports each of its distinct
 pre-tokens once, with its documents and frequencies; rows are dealt and sorted by pre-token, its pieces are
-counted once, joined to the frequencies and summed per document. No ids are kept."""
+counted once, joined to the frequencies and summed per document. No ids are kept.
+
+Pre-tokens that are common in a sample of documents are counted beforehand and broadcast, a table of bounded size:
+blocks sum theirs at once, and only the others are dealt. The sample decides which way a pre-token goes, not the result."""
 
 from __future__ import annotations
 
@@ -17,13 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, lists, texts
+from farsight.llm.common import documents, lists, sample, texts
 
 #: A block ends at so many documents or characters.
 BLOCK_DOCS, BLOCK_BYTES = 60_000, 40 << 20
+#: Common pre-tokens that are broadcast at most, their bytes at most, and the documents that they are sought in.
+COMMON, COMMON_BYTES, COMMON_DOCS = 60_000, 64, 3_000
+#: Marks that are tokenized apart from a letter before them.
+MARKS = ".,;:!?|#*$%&"
 #: Sums a task holds before it passes them on.
 HELD = 2_000_000
 
+SCHEMA = "part string, doc_id long, count int, docs array<long>, counts array<int>"
 NAMES = ["part", "doc_id", "count", "docs", "counts"]
 _TOKENIZERS: dict = {}
 
@@ -78,28 +86,41 @@ class _Block:
         self.docs.append(doc)
         self.rows.append(np.unique(at, return_counts=True))
 
-    def split(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each code, that of the word without a mark after its last letter, and that of the mark or -1: no token spans them."""
+    def split(self, special: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each code, that of the word without the marks after its last letter, and that of the marks or -1: no token spans them."""
         codes = self.codes
         parts = list(codes)
         base, mark = np.arange(len(parts)), np.full(len(parts), -1)
         for i, p in enumerate(parts):
-            if p[-1] in ".,|" and p[-2:-1].isalpha():
-                base[i], mark[i] = codes.setdefault(p[:-1], len(codes)), codes.setdefault(p[-1], len(codes))
+            stem = p.rstrip(MARKS)
+            if len(stem) < len(p) and stem[-1:].isalpha() and not any(x in p for x in special):
+                base[i], mark[i] = codes.setdefault(stem, len(codes)), codes.setdefault(p[len(stem) :], len(codes))
         return base, mark
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """(part, doc_id, count) of the first document of each part, and lists of the others, in slices."""
+    def batches(self, special: list[str], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        """(part, doc_id, count) of the first document of each part, and lists of the others, in slices.
+
+        Before them, each document's sum over the common parts, with a null for the part."""
         if not self.codes:
             return
         code = np.concatenate([r[0] for r in self.rows])
         count = np.concatenate([r[1] for r in self.rows]).astype(np.int32)
         doc = np.repeat(np.array(self.docs, np.int64), [len(r[0]) for r in self.rows])
-        base, mark = self.split()
+        base, mark = self.split(special)
         base, mark = base[code], mark[code]
         marked = mark >= 0
         code = np.concatenate((base, mark[marked]))
         doc, count = np.concatenate((doc, doc[marked])), np.concatenate((count, count[marked]))
+        pieces = np.fromiter((common.get(p, 0) for p in self.codes), np.int64, count=len(self.codes))[code]
+        known = pieces > 0
+        if known.any():
+            ids, at = np.unique(doc[known], return_inverse=True)
+            sums = np.bincount(at, pieces[known] * count[known], len(ids)).astype(np.int32)
+            none = lists(np.zeros(len(ids), np.int64), pa.array([], pa.int64())), lists(np.zeros(len(ids), np.int64), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.string()), pa.array(ids), pa.array(sums), *none], NAMES)
+            code, doc, count = code[~known], doc[~known], count[~known]
+        if not len(code):
+            return
         order = np.lexsort((doc, code))
         code, count, doc = code[order], count[order], doc[order]
         fresh = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))  # a base may come with several marks
@@ -118,7 +139,7 @@ class _Block:
             yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(doc[at]), pa.array(count[at]), *others], NAMES)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], path: str, common: dict[str, int]) -> Iterator[pa.RecordBatch]:
     special = tokenizer(path)[1]
     block, held = _Block(), 0
     for batch in batches:
@@ -126,15 +147,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
             block.add(doc, pre_tokens(text.decode("utf-8"), special))
             held += len(text)
             if len(block.docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
-                yield from block.batches()
+                yield from block.batches(special, common)
                 block, held = _Block(), 0
-    yield from block.batches()
+    yield from block.batches(special, common)
+
+
+def _pieces(t, parts: list[str]) -> list[int]:
+    return [len(e.ids) for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def _listed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part = batch.column("part")
+        yield pa.RecordBatch.from_arrays([part, pa.array(_pieces(tokenizer(path)[0], part.to_pylist()), pa.int32())], ["part", "pieces"])
+
+
+def common_pieces(docs: DataFrame, path: str) -> dict[str, int]:
+    """Pieces of the pre-tokens that most documents of a sample have: at most COMMON short ones."""
+    met = sample(docs, COMMON_DOCS, "pieces|", "text").mapInArrow(lambda it: _frequencies(it, path, {}), SCHEMA)
+    met = met.filter(F.octet_length("part") <= COMMON_BYTES).groupBy("part").agg(F.sum(F.lit(1) + F.coalesce(F.size("docs"), F.lit(0))).alias("df"))
+    top = met.filter("df > 1").orderBy(F.desc("df"), "part").limit(COMMON).select("part")
+    return {r["part"]: r["pieces"] for r in top.mapInArrow(lambda it: _listed(it, path), "part string, pieces int").collect()}
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pre-token: each is counted once, then joined to its frequencies."""
+    """Rows come sorted by pre-token: each is counted once, then joined to its frequencies. First come those without one, whose counts are of pieces."""
     t, _ = tokenizer(path)
-    last, pieces = None, 0
+    last, pieces = None, 1
     held_docs, held_sums, held = [], [], 0
 
     def flush() -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +185,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     for batch in batches:
         parts = batch.column("part").to_pylist()
         new = [p for a, p in zip([last, *parts], parts) if a != p]  # noqa: B905
-        lengths = iter([len(e.ids) for e in t.encode_batch(new, add_special_tokens=False)])
+        lengths = iter(_pieces(t, new))
         n = np.empty(len(parts), np.int64)
         for i, p in enumerate(parts):
             if p != last:
@@ -175,9 +214,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     special tokens are added. doc_id must not be null; rows that repeat a doc_id must repeat its text, and each
     gets that text's count. Other columns are ignored; an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequencies = docs.mapInArrow(lambda it: _frequencies(it, path), "part string, doc_id long, count int, docs array<long>, counts array<int>")
+    held = docs.sparkSession.sparkContext.broadcast(common_pieces(docs, path))
+    frequencies = docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA)
     sums = (
-        frequencies.repartition("part")
+        frequencies.repartition(F.coalesce("part", F.col("doc_id").cast("string")))
         .sortWithinPartitions("part")
         .mapInArrow(lambda it: _counted(it, path), "doc_id long, n long")
         .groupBy("doc_id")
