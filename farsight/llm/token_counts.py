@@ -4,7 +4,8 @@ A pre-token here is a word with the space before it, as far as no token can reac
 before a single space that a word follows. Other shapes (runs of white space, special strings) are joined with
 their neighbours into one longer pre-token. Each block of documents reports each of its distinct
 pre-tokens once, with its documents and frequencies; rows are dealt and sorted by pre-token, its pieces are
-counted once, joined to the frequencies and summed per document. No ids are kept.
+counted once, joined to the frequencies and summed per document. A task passes its sums on as lists, one
+for each share of the documents, which are added up where the share is gathered. No ids are kept.
 
 Pre-tokens that are common in a sample of documents are counted beforehand and broadcast, a table of bounded size:
 blocks sum theirs at once, and only the others are dealt. The sample decides which way a pre-token goes, not the result."""
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from farsight.llm.common import documents, lists, sample, texts
 
 #: A block ends at so many documents or characters.
-BLOCK_DOCS, BLOCK_BYTES = 60_000, 40 << 20
+BLOCK_DOCS, BLOCK_BYTES = 60_000, 24 << 20
 #: Common pre-tokens that are broadcast at most, their bytes at most, and the documents that they are sought in.
 COMMON, COMMON_BYTES, COMMON_DOCS = 60_000, 64, 3_000
 #: Marks that are tokenized apart from a letter before them.
@@ -170,18 +171,11 @@ def common_pieces(docs: DataFrame, path: str) -> dict[str, int]:
     return {r["part"]: r["pieces"] for r in top.mapInArrow(lambda it: _listed(it, path), "part string, pieces int").collect()}
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], path: str, shares: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by pre-token: each is counted once, then joined to its frequencies. First come those without one, whose counts are of pieces."""
     t, _ = tokenizer(path)
     last, pieces = None, 1
-    held_docs, held_sums, held = [], [], 0
-
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        docs, at = np.unique(np.concatenate(held_docs), return_inverse=True)
-        sums = np.zeros(len(docs), np.int64)
-        np.add.at(sums, at, np.concatenate(held_sums))
-        return docs, sums
-
+    sums = _Sums()
     for batch in batches:
         parts = batch.column("part").to_pylist()
         new = [p for a, p in zip([last, *parts], parts) if a != p]  # noqa: B905
@@ -193,18 +187,66 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             n[i] = pieces
         docs, counts = batch.column("docs"), batch.column("counts")
         sizes = pc.fill_null(pc.list_value_length(docs), 0).to_numpy()
-        held_docs += [batch.column("doc_id").to_numpy(), docs.flatten().to_numpy()]
-        held_sums += [n * batch.column("count").to_numpy(), np.repeat(n, sizes) * counts.flatten().to_numpy()]
-        held += len(n) + len(held_docs[-1])
-        if held >= 4 * HELD:
-            docs, sums = flush()
-            held_docs, held_sums, held = [docs], [sums], len(docs)
-            if held >= HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums)], ["doc_id", "n"])
-                held_docs, held_sums, held = [], [], 0
-    if held_docs:
-        docs, sums = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums)], ["doc_id", "n"])
+        sums.add(batch.column("doc_id").to_numpy(), n * batch.column("count").to_numpy())
+        sums.add(docs.flatten().to_numpy(), np.repeat(n, sizes) * counts.flatten().to_numpy())
+        for found in sums.full():
+            yield _shared(*found, shares)
+    for found in sums.rest():
+        yield _shared(*found, shares)
+
+
+class _Sums:
+    """Sums by document, of at most HELD documents at a time."""
+
+    def __init__(self):
+        self.docs: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, docs: np.ndarray, values: np.ndarray) -> None:
+        self.docs.append(docs)
+        self.sums.append(values)
+        self.held += len(docs)
+
+    def _merge(self) -> None:
+        docs, at = np.unique(np.concatenate(self.docs), return_inverse=True)
+        sums = np.zeros(len(docs), np.int64)
+        np.add.at(sums, at, np.concatenate(self.sums))
+        self.docs, self.sums, self.held = [docs], [sums], len(docs)
+
+    def full(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held >= 4 * HELD:
+            self._merge()
+            if self.held >= HELD:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            self._merge()
+            yield self.docs[0], self.sums[0]
+            self.docs, self.sums, self.held = [], [], 0
+
+
+def _shared(docs: np.ndarray, sums: np.ndarray, shares: int) -> pa.RecordBatch:
+    """(share, docs, sums): the documents dealt to shares by a hash of their ids."""
+    mixed = docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    share = ((mixed >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    size = np.bincount(share, minlength=shares)
+    here = np.flatnonzero(size)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(here.astype(np.int32)), lists(size[here], pa.array(docs[order])), lists(size[here], pa.array(sums[order]))], ["share", "docs", "sums"]
+    )
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _Sums()
+    for batch in batches:
+        sums.add(batch.column("docs").flatten().to_numpy(), batch.column("sums").flatten().to_numpy())
+        for found in sums.full():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "n"])
+    for found in sums.rest():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "n"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -215,11 +257,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     gets that text's count. Other columns are ignored; an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = docs.sparkSession.sparkContext.broadcast(common_pieces(docs, path))
+    shares = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequencies = docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA)
     sums = (
         frequencies.repartition(F.coalesce("part", F.col("doc_id").cast("string")))
         .sortWithinPartitions("part")
-        .mapInArrow(lambda it: _counted(it, path), "doc_id long, n long")
+        .mapInArrow(lambda it: _counted(it, path, shares), "share int, docs array<long>, sums array<long>")
+        .repartition("share")
+        .mapInArrow(_gathered, "doc_id long, n long")
         .groupBy("doc_id")
         .agg(F.sum("n").alias("n"))
     )

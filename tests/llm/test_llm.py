@@ -107,6 +107,21 @@ def test_token_counts_and_packing(odd):
         assert at <= 256
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are missing")
+def test_token_counts_and_ids_of_a_table(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = {d: t.encode(x, add_special_tokens=False).ids for d, x in texts.items()}
+    assert packing._ids(list(texts.values()), PATH) == [np.array(x, "<u4").tobytes() for x in ids.values()]
+    for common in (token_counts.COMMON, 50):  # few common pre-tokens, so that most are dealt
+        monkeypatch.setattr(token_counts, "COMMON", common)
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PATH).collect()}
+        assert got == {d: len(x) for d, x in ids.items()}
+
+
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     h = Counter(int(x) for x in rng.integers(1, 400, 3000))
