@@ -17,6 +17,8 @@ from farsight.llm.common import WORD, documents
 WEIGHTS = (5, 2, 1)
 #: Times its own size that a source is used at most.
 REPEATS = 3
+#: Blocks of a mix, about: exact draws are made from less than a thousand million.
+BLOCKS = 1 << 29
 
 
 def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
@@ -46,7 +48,7 @@ def split_quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
             return
         mid = (lo + hi) // 2
         share = int(quota.sum()) * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(quota, share, method="marginals") if quota.sum() < 10**9 else _large(rng, quota, share)
+        left = rng.multivariate_hypergeometric(quota, share, method="marginals")
         split(lo, mid, left)
         split(mid, hi, quota - left)
 
@@ -55,13 +57,9 @@ def split_quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _large(rng: np.random.Generator, quota: np.ndarray, share: int) -> np.ndarray:
-    """Beyond the library's range the draw is its mean, rounded so that it sums to share."""
-    exact = [int(q) * share / int(quota.sum()) for q in quota]
-    left = np.array([int(x) for x in exact], np.int64)
-    for i in sorted(range(len(exact)), key=lambda i: left[i] - exact[i])[: share - int(left.sum())]:
-        left[i] += 1
-    return left
+def block_size(words: int, least: int) -> int:
+    """Words of a block: `least`, or as many as keep the mix within BLOCKS blocks."""
+    return max(least, -(-words // BLOCKS))
 
 
 def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -82,6 +80,7 @@ def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int
     sizes = [int(r["words"]) for r in sums]
     due = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     whole = [min(round(t), REPEATS * s) for t, s in zip(due, sizes, strict=True)]
+    block_words = block_size(sum(whole), block_words)
     quotas = split_quotas([-(-w // block_words) for w in whole], shards, seed)
     bounds = np.minimum(np.concatenate((np.zeros((1, len(sizes)), np.int64), np.cumsum(quotas, axis=0))) * block_words, whole)
     plan = spark.createDataFrame(

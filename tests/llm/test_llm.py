@@ -177,6 +177,10 @@ def test_mixing(odd):
     assert mixing.targets([10, 1], [1, 1]) == [8.0, 3.0]
     q = mixing.split_quotas([7, 100, 3], 5, 1)
     assert q.sum(0).tolist() == [7, 100, 3] and q.sum(1).max() - q.sum(1).min() <= 1
+    assert mixing.block_size(10_000, 64) == 64
+    n = mixing.block_size(20 * 10**12, 64)  # a mix of 20 million million words still splits by exact draws
+    q = mixing.split_quotas([-(-(w * 10**12) // n) for w in (15, 4, 1)], 4, 1)
+    assert q.sum() * n >= 20 * 10**12 and q.sum(1).max() - q.sum(1).min() <= 1
 
 
 def test_html(spark):
