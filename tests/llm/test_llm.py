@@ -149,6 +149,19 @@ def test_quality(spark, odd):
     assert quality.choose([(0, 5)], 20, 10, 0.02, 0.05) is None  # too few to prove it
 
 
+def test_quality_cutoffs_of_strata_with_few_labels(spark):
+    # (words, characters of words, symbols, words in repeats): 350 good and 70 bad rows of each language have labels
+    rows = [(f"{s}{i}", s, 100, 500 + i % 50, 40 + i if i % 6 == 0 else i % 4, 0, i % 5 // 4, False) for s in ("en", "de", "fr", None) for i in range(420)]
+    others = [(f"x{r[0]}", *r[1:]) for r in rows if r[1] != "fr"]  # all rows of fr have labels
+    measured = spark.createDataFrame(rows + others, "doc_id string, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    labels = spark.createDataFrame([(r[0], int(r[4] < 40)) for r in rows], "doc_id string, quality int")
+    got = quality.verdicts(measured, quality.calibrate(measured, labels)).join(labels, "doc_id")
+    share = {(r.stratum, r.quality): r.kept for r in got.groupBy("stratum", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share == {(s, q): float(q) for s in ("en", "de", "fr", None) for q in (0, 1)}
+    bad, others = ({"a": [0, 4, 2] + [0] * 47, "b": [0, 0, 6] + [0] * 47}, {"a": [0, 9, 9] + [9] * 47, "b": [0, 0, 1] + [9] * 47})
+    assert quality.chain(bad, others) == [{"b": 2}, {"b": 2, "a": 1}, {"b": 2, "a": 2}]
+
+
 def test_fingerprints(odd):
     rows = {r.doc_id: r for r in fingerprint.edited_fingerprints(odd).collect()}
     texts = [(d, t or "") for d, t, *_ in ODD]
