@@ -3,9 +3,9 @@
 Two states, clean and toxic, over word features (the word, its prefixes and suffix). Only documents carry labels, so token labels
 come from them: in a document labelled toxic, a word is toxic if it or one of its prefixes is
 found there far more often than in clean documents. The field is fitted on a bounded sample (MAX_DOCS labelled rows,
-in an order by hash) with exact forward-backward gradients. Marginals of all tokens of the whole text are then aggregated to
+in an order by hash, weighted back to the shares of all labelled rows) with exact forward-backward gradients. Marginals of all tokens of the whole text are then aggregated to
 features of a logistic score, fitted on the same labels, and tokens with a marginal over one half give the
-offending offsets. Chains are cut every CHAIN words, in training as in scoring."""
+offending offsets. A document is one chain: it is worked on in blocks of CHAIN words, and the odds are handed over from block to block."""
 
 from __future__ import annotations
 
@@ -47,28 +47,58 @@ class Field:
     document: np.ndarray
 
 
-def chains(sizes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Where each word of the documents goes in a table of chains, flattened; the number of chains."""
+def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the documents goes in a table of blocks, flattened; the number of blocks of each document."""
     per = -(-sizes // CHAIN)
     first = np.concatenate(([0], np.cumsum(per)))
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes) + np.repeat(first[:-1] * CHAIN, sizes)
-    return place, int(first[-1])
-
-
-def marginal_odds(e: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward odds (toxic to clean) for chains in rows of e, whose padding is at the end with 0; and the product."""
-    t = np.exp(transition)
-    odds = np.exp(np.clip(e, -30, 30))
-    forward, backward = np.empty_like(e), np.ones_like(e)
-    forward[:, 0] = odds[:, 0]
-    for i in range(1, e.shape[1]):
-        r = forward[:, i - 1]
-        forward[:, i] = odds[:, i] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-    for i in range(e.shape[1] - 2, -1, -1):
-        x = odds[:, i + 1] * backward[:, i + 1]
-        backward[:, i] = (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)
-    return forward, backward, forward * backward
+    begin = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+    return np.arange(int(sizes.sum())) - np.repeat(begin, sizes) + np.repeat(first[:-1] * CHAIN, sizes), per
+
+
+def marginal_odds(e: np.ndarray, transition: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds (toxic to clean) of each word, e being the emissions of documents of the given sizes, one after another."""
+    place, per = chains(sizes)
+    n, t = int(per.sum()), np.exp(transition)
+    odds, real = np.ones(n * CHAIN), np.zeros(n * CHAIN, bool)
+    odds[place], real[place] = np.exp(np.clip(e, -30, 30)), True
+    odds, real = odds.reshape(n, CHAIN).T.copy(), real.reshape(n, CHAIN).T.copy()
+    # what a block makes of (clean, toxic) before it: (a clean + b toxic, c clean + d toxic)
+    a, b, c, d = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
+    for o, here in zip(odds, real, strict=True):
+        after = a * t[0, 0] + c * t[1, 0], b * t[0, 0] + d * t[1, 0], o * (a * t[0, 1] + c * t[1, 1]), o * (b * t[0, 1] + d * t[1, 1])
+        scale = sum(after)
+        a, b, c, d = (np.where(here, x / scale, old) for x, old in zip(after, (a, b, c, d), strict=True))
+    # odds before each block, and backward odds at its end, of all documents that have a block of this number
+    first = np.concatenate(([0], np.cumsum(per)))[:-1].astype(np.int64)
+    order = np.argsort(-per, kind="stable")
+    rank = np.searchsorted(-per[order], -np.arange(int(per.max(initial=0))), side="left")  # documents with more than k blocks
+    before, end = np.zeros(n), np.ones(n)
+    for k in range(1, len(rank)):
+        at = first[order[: rank[k]]] + k
+        m = at - 1
+        if k == 1:  # a chain begins with the odds of its first word: no transition is before it
+            r = odds[0, m]
+            for o in odds[1:]:
+                r = o[m] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
+            before[at] = r
+        else:
+            before[at] = (c[m] + d[m] * before[m]) / (a[m] + b[m] * before[m])
+    for k in range(len(rank) - 1, 0, -1):
+        at = first[order[: rank[k]]] + k
+        end[at - 1] = (b[at] + d[at] * end[at]) / (a[at] + c[at] * end[at])
+    forward, backward = np.empty_like(odds), np.empty_like(odds)
+    head = np.zeros(n, bool)
+    head[first[per > 0]] = True
+    if n:
+        r = np.where(head, odds[0], odds[0] * (t[0, 1] + before * t[1, 1]) / (t[0, 0] + before * t[1, 0]))
+        forward[0], backward[-1] = r, end
+    for i in range(1, CHAIN):
+        r = forward[i - 1]
+        forward[i] = odds[i] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
+    for i in range(CHAIN - 2, -1, -1):
+        x = odds[i + 1] * backward[i + 1]
+        backward[i] = np.where(real[i + 1], (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), end)
+    return forward.T.ravel()[place], backward.T.ravel()[place]
 
 
 def document_features(marginal: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -100,8 +130,8 @@ def token_labels(docs: list[list[bytes]], toxic: np.ndarray) -> tuple[list[np.nd
     return [np.array([label and hit[w] for w in words], bool) for words, label in zip(docs, toxic, strict=True)], features
 
 
-def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, penalty: float = 1e-4) -> Field:
-    """Fits the field on (text, label) rows."""
+def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, penalty: float = 1e-4, stand: tuple[float, float] = (1.0, 1.0)) -> Field:
+    """Fits the field on (text, label) rows; a clean and a toxic row stand for so many."""
     field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0, 0.0, 0.0]))
     toxic = np.array([r[1] for r in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
@@ -110,33 +140,31 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
     docs = [r[0].split() for r in rows]
     labels, features = token_labels(docs, toxic)
     sizes = np.array([len(d) for d in docs], np.int64)
-    place, n = chains(sizes)
-    table = np.zeros((n * CHAIN, 5), np.int32)
-    table[place] = np.array([features[w] for d in docs for w in d], np.int32).reshape(-1, 5)
-    y, real = np.zeros(n * CHAIN, bool), np.zeros(n * CHAIN, bool)
-    y[place], real[place] = np.concatenate(labels), True
-    table, y, real = table.reshape(n, CHAIN, 5), y.reshape(n, CHAIN), real.reshape(n, CHAIN)
-    # all chains with toxic words, and as many others as four times that
-    has = y.any(1)
-    rest = np.flatnonzero(~has)
-    chosen = np.concatenate((np.flatnonzero(has), rest[:: max(1, len(rest) // max(1, 4 * int(has.sum())))]))
-    x, y, real = table[chosen], y[chosen], real[chosen]
+    weight = np.array(stand, float)[toxic]
+    weight *= len(rows) / weight.sum()
+    codes = {w: i for i, w in enumerate(features)}
+    x = np.fromiter((codes[w] for d in docs for w in d), np.int32, count=int(sizes.sum()))
+    buckets = np.array(list(features.values()), np.int32).reshape(-1, 5)
+    y, each = np.concatenate(labels), np.repeat(weight, sizes)
+    follows = np.ones(len(x), bool)
+    follows[np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0].astype(np.int64)] = False
+    follows = np.flatnonzero(follows)  # words with a neighbour before them
     seen_e, seen_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    both = real[:, 1:]
-    counts = np.array([[((~y[:, :-1] if a == 0 else y[:, :-1]) & (~y[:, 1:] if b == 0 else y[:, 1:]) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
+    counts = np.bincount(2 * y[follows - 1] + y[follows], each[follows], 4).reshape(2, 2)
+    n = int(chains(sizes)[1].sum())
     for _ in range(rounds):
-        e = np.where(real, field.emission[x].sum(2), 0.0)
-        forward, backward, odds = marginal_odds(e, field.transition)
-        p = odds / (1 + odds)
-        g = np.where(real, p - y, 0.0)
-        grad = np.bincount(x.ravel(), np.repeat(g.ravel(), 5), BUCKETS) + penalty * len(x) * field.emission
+        e = field.emission[buckets].sum(1)[x]
+        forward, backward = marginal_odds(e, field.transition, sizes)
+        odds = forward * backward
+        g = np.bincount(x, (odds / (1 + odds) - y) * each, len(buckets))
+        grad = np.bincount(buckets.ravel(), np.repeat(g, 5), BUCKETS) + penalty * n * field.emission
         t = np.exp(field.transition)
         # joint marginals of neighbours, from the forward odds of the left and the backward odds of the right one
-        right = np.exp(np.clip(e[:, 1:], -30, 30)) * backward[:, 1:]
-        left = forward[:, :-1]
-        joint = np.stack([np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right])
-        joint = (joint / joint.sum(0) * both).sum((1, 2)).reshape(2, 2)
-        grad_t = (joint - counts) / 10
+        right = np.exp(np.clip(e[follows], -30, 30)) * backward[follows]
+        left = forward[follows - 1]
+        joint = [np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right]
+        share = each[follows] / sum(joint)
+        grad_t = (np.array([j @ share for j in joint]).reshape(2, 2) - counts) / 10
         seen_e += grad**2
         seen_t += grad_t**2
         field.emission -= rate * grad / np.sqrt(seen_e)
@@ -147,11 +175,11 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
 
     def loss(w: np.ndarray) -> float:
         z = f @ w
-        return float(np.logaddexp(0, z).sum() - z @ toxic + ridge / 2 * w @ w)
+        return float(weight @ (np.logaddexp(0, z) - z * toxic) + ridge / 2 * w @ w)
 
     for _ in range(30):  # Newton steps of a ridge logistic regression, halved until they improve
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        step = np.linalg.solve(f.T * (p * (1 - p)) @ f + ridge * np.eye(len(w)), f.T @ (p - toxic) + ridge * w)
+        step = np.linalg.solve(f.T * (weight * p * (1 - p)) @ f + ridge * np.eye(len(w)), f.T @ (weight * (p - toxic)) + ridge * w)
         size = next((h for h in 0.5 ** np.arange(20) if loss(w - h * step) < loss(w)), 0.0)
         if not size:
             break
@@ -180,10 +208,8 @@ def _scored(raw: list[bytes], field: Field, memo: dict[bytes, float]) -> Iterato
             memo.update(zip(new, weights.tolist(), strict=True))
             e = np.fromiter(map(memo.__getitem__, words), np.float64, count=len(words))
         sizes = np.array([len(d) for d in docs], np.int64)
-        place, n = chains(sizes)
-        flat = np.zeros(n * CHAIN)
-        flat[place] = e
-        odds = marginal_odds(flat.reshape(n, CHAIN), field.transition)[2].ravel()[place] if n else flat
+        forward, backward = marginal_odds(e, field.transition, sizes)
+        odds = forward * backward
         yield odds / (1 + odds), sizes
         at = to
 
@@ -225,10 +251,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
     h = F.md5(F.concat(F.lit("tox|"), F.col("doc_id").cast("string")))
     ids = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("h", h)  # texts are met only by the chosen ids
-    chosen = [ids.filter(F.col("toxic") == y).orderBy("h").limit(n) for y, n in ((1, max_docs * 2 // 5), (0, max_docs * 3 // 5))]
+    most = max_docs * 3 // 5, max_docs * 2 // 5
+    there = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    chosen = [ids.filter(F.col("toxic") == y).orderBy("h").limit(most[y]) for y in (1, 0)]
     half = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     got = sorted((r["h"], (r["text"] or "").encode(), r["toxic"]) for r in half.collect())
-    return fit([(t, y) for _, t, y in got])
+    return fit([(t, y) for _, t, y in got], stand=tuple(max(1.0, there.get(y, 0) / max(most[y], 1)) for y in (0, 1)))
 
 
 def toxic_scores(docs: DataFrame, field: Field) -> DataFrame:

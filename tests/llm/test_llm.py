@@ -222,6 +222,33 @@ def test_models_on_small_samples(spark, odd):
     assert said[4].lang_pred == said[5].lang_pred == "und" and said[1].lang_pred in ("en", "de")
 
 
+def test_toxicity_documents_are_whole_chains():
+    rng = np.random.default_rng(0)
+    sizes, transition = np.array([0, 200, 1, 64, 0, 129, 65, 7]), np.array([[1.0, -1.0], [-0.5, 2.0]])
+    e = rng.normal(0, 1, sizes.sum())
+    forward, backward = toxicity.marginal_odds(e, transition, sizes)
+    got, at = forward * backward / (1 + forward * backward), 0
+    for n in sizes:
+        own, t = np.stack([np.ones(n), np.exp(e[at : at + n])], 1), np.exp(transition)
+        alpha, beta = own.copy(), np.ones((n, 2))
+        for i in range(1, n):
+            alpha[i] = own[i] * (alpha[i - 1] @ t) / alpha[i - 1].sum()
+        for i in range(n - 2, -1, -1):
+            beta[i] = t @ (own[i + 1] * beta[i + 1])
+            beta[i] /= beta[i].sum()
+        p = alpha * beta
+        assert got[at : at + n] == pytest.approx(p[:, 1] / p.sum(1))
+        at += n
+
+
+def test_toxicity_scores_keep_the_share_of_toxic_rows(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(30)], 20)), int(i % 10 == 0)) for i in range(1000)]  # words tell nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    field = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), max_docs=200)
+    assert toxicity.toxic_scores(docs, field).agg(F.avg("score")).first()[0] < 0.2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
