@@ -106,7 +106,7 @@ def unit_vectors(spark, d):
 
 
 def keep_first_canonical(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(10_000_000)).alias("label"), F.col("source").alias("file"), F.col("doc_id").alias("pos"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("label"), F.col("source").alias("file"), F.col("doc_id").alias("pos"))
     return clean.keep_first_canonical(docs).select("doc_id", F.md5("canon").alias("canon"))
 
 

@@ -172,3 +172,12 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("ids").count() == 2
+
+
+def test_canonical_labels_of_whole_texts(spark, tmp_path):
+    from farsight import queries
+
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('x', 10000000), cast(id div 2 as string))").alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.keep_first_canonical(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [0, 2] and len({r.canon for r in got}) == 2
