@@ -210,11 +210,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Two documents link when den * |intersection| >= num * |union| of their sets of word shingles (A-Z lower-cased);
     a document with fewer words is one shingle; one without words, or with a null text, has an empty set and links with
-    nothing. component_id is the smallest doc_id reachable by links. doc_id must not be null; rows that repeat a
+    nothing. component_id is the smallest doc_id reachable by links. a row with a null doc_id links with nothing and has a null component_id; rows that repeat a
     doc_id must repeat its text and get the same result. Other columns are ignored. An empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared_folder(docs.sparkSession)
-    seen = written(docs.mapInArrow(lambda it: _keys(it, words), "doc_id long, n_shingles long, h1 long, h2 long, token long, n long"))
+    keys = "doc_id long, n_shingles long, h1 long, h2 long, token long, n long"
+    alone = docs.filter("doc_id is null").mapInArrow(lambda it: _keys(it, words), keys).filter("token is null")
+    docs = docs.filter("doc_id is not null")
+    seen = written(docs.mapInArrow(lambda it: _keys(it, words), keys))
     keyed, common = seen.filter("token is null").select("doc_id", "n_shingles", "h1", "h2"), seen.filter("token is not null").select("token", "n")
     classes = written(keyed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     groups = components(links(docs, classes.select(F.col("rep").alias("doc_id"), "n"), common, words, num, den), "a", "b")
@@ -222,6 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         keyed.join(classes, ["h1", "h2"], "left")
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        .unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )
 
 

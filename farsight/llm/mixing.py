@@ -9,7 +9,7 @@ Places in a stream come from sums per (source, hash prefix), so that no task hol
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farsight.llm.common import WORD, documents
@@ -62,8 +62,14 @@ def block_size(words: int, least: int) -> int:
     return max(least, -(-words // BLOCKS))
 
 
+def place_hash(seed: int = 1) -> Column:
+    """Place of a document in its source's order; one without an id has its place by its text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key))
+
+
 def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs(doc_id, source, text, ...) with size, source_size, target, taken and draws.
+    """docs(doc_id, source, text, ...) with size, source_size, target, taken, draws and h, by which draws find their text.
 
     size is the number of words (null: 0), target the words due to the source, taken the words of the document in the mix,
     repeats counted: from 0 to 3 times its size. draws lists (pass, first word, words, shard, order): words drawn
@@ -73,7 +79,7 @@ def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int
     an empty table gives an empty one."""
     spark = docs.sparkSession
     sized = docs.drop("size", "source_size", "target", "taken", "draws").withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    narrow = sized.select("doc_id", "source", "size", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("h"))
+    narrow = sized.select("doc_id", "source", "size", place_hash(seed).alias("h"))
     narrow = narrow.withColumn("part", F.substring("h", 1, 3))
     parts = narrow.groupBy("source", "part").agg(F.sum("size").alias("words"))
     sums = parts.groupBy("source").agg(F.sum("words").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
@@ -100,18 +106,18 @@ def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int
           'words', least(bounds[k + 1], r * source_size + before + inside + size) - greatest(bounds[k], r * source_size + before + inside),
           'shard', k, 'order', xxhash64(doc_id, r, k, {seed}))))), d -> d.words > 0)""")
     placed = placed.withColumn("draws", draws).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "draws", "h")
 
 
-def drawn_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def drawn_texts(docs: DataFrame, mixed: DataFrame, seed: int = 1) -> DataFrame:
     """The rows of docs, once for each pass that draws from them; a text drawn in part keeps only the drawn words."""
-    taken = mixed.filter("taken > 0").select("doc_id", "size", "draws").dropDuplicates(["doc_id"]).withColumnRenamed("size", "__size").withColumnRenamed("draws", "__draws")
+    taken = mixed.filter("taken > 0").select(F.col("h").alias("__h"), "size", "draws", F.col("source").alias("__source")).dropDuplicates(["__h", "__source"]).withColumnRenamed("size", "__size").withColumnRenamed("draws", "__draws")
     passes = F.expr("""
       filter(transform(array_distinct(transform(__draws, d -> d.pass)), p -> named_struct('pass', p,
         'first', array_min(transform(filter(__draws, d -> d.pass = p), d -> d.first)),
         'words', aggregate(filter(__draws, d -> d.pass = p), 0L, (a, d) -> a + d.words))), x -> x.words > 0)""")
     words = F.expr("slice(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), cast(__x.first as int) + 1, cast(__x.words as int))")
-    rows = docs.join(taken, "doc_id").withColumn("__x", F.explode(passes))
+    rows = docs.withColumn("__k", place_hash(seed)).join(taken, F.expr("__k = __h and source <=> __source")).withColumn("__x", F.explode(passes))
     text = F.when(F.col("__x.words") >= F.col("__size"), F.col("text")).otherwise(F.array_join(words, " "))
     return rows.withColumn("text", text).select(*docs.columns)
 

@@ -148,11 +148,12 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
     A word goes if a run of `length` words that covers it also starts in a document with a smaller doc_id; runs are
     judged on the input. repeats lists the maximal repeats as first and last word. Words keep their case.
     kept_text is the text without them, with the white space between kept words. Null and empty texts have no words
-    and an empty kept_text; texts shorter than length words lose none. doc_id must not be null; rows that repeat a
+    and an empty kept_text; texts shorter than length words lose none. A row with a null doc_id loses nothing, and no other does for it; rows that repeat a
     doc_id must repeat its text: they count as one document, and each gets its result. Other columns
     are ignored, or returned too with carry, where those with names of results are replaced. An empty table gives an empty one."""
     whole = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "repeats", "starts", "copy").withColumn("doc_id", F.col("doc_id").cast("long"))
     whole = whole if carry else whole.select("doc_id", "text")
+    alone, whole = whole.filter("doc_id is null"), whole.filter("doc_id is not null")
     docs = whole.select("doc_id", "text")
     shared_folder(docs.sparkSession)
     keyed = written(docs.mapInArrow(_keys, "doc_id long, n_words long, h1 long, h2 long"))
@@ -182,7 +183,9 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
     carried = whole.columns if carry else ["doc_id"]
     added = T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<first: int, last: int>>")
     schema = T.StructType([*(whole.schema[c] for c in carried), *added.fields])
-    return placed.join(decided, "doc_id", "left").mapInArrow(lambda it: _results(it, length, carried), schema)
+    alone = alone.withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
+    found, rest = (x.mapInArrow(lambda it: _results(it, length, carried), schema) for x in (placed.join(decided, "doc_id", "left"), alone))
+    return found.unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,13 +249,23 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "n"])
 
 
+def _alone(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Bytes and tokens of each whole text."""
+    for batch in batches:
+        raw = texts(batch)
+        n = [_pieces(tokenizer(path)[0], [t.decode("utf-8")])[0] if t else 0 for t in raw]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text), by the tokenizers file at path.
 
     A null or empty text has 0 bytes and 0 tokens. Special strings in texts count as the tokenizer's one token, no other
-    special tokens are added. doc_id must not be null; rows that repeat a doc_id must repeat its text, and each
+    special tokens are added. Rows with a null doc_id are counted each on its own; rows that repeat a doc_id must repeat its text, and each
     gets that text's count. Other columns are ignored; an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    alone = docs.filter("doc_id is null").mapInArrow(lambda it: _alone(it, path), "doc_id long, n_bytes long, n_tokens long")
+    docs = docs.filter("doc_id is not null")
     held = docs.sparkSession.sparkContext.broadcast(common_pieces(docs, path))
     shares = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequencies = docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA)
@@ -272,7 +282,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     joined = sizes.join(sums, "doc_id", "left").withColumn("n_tokens", F.expr("coalesce(n, 0L) div rows"))
     return joined.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")
-    ).drop("row")
+    ).drop("row").unionByName(alone.withColumn("over_limit", F.col("n_tokens") > limit))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

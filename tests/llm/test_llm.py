@@ -249,6 +249,25 @@ def test_toxicity_scores_keep_the_share_of_toxic_rows(spark):
     assert toxicity.toxic_scores(docs, field).agg(F.avg("score")).first()[0] < 0.2
 
 
+def test_null_ids(spark):
+    import corpus_pipeline
+
+    rows = [*ODD[:4], (None, ODD[0][1], "en", "a", 9), (None, "Only this text has no id", "en", "a", 9), (None, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    alone = lambda df: collect(df.filter("doc_id is null"))
+    assert alone(jaccard.near_duplicates(docs)) == sorted([(None, 10, None), (None, 2, None), (None, 0, None)], key=str)
+    got = substring.repeated_substrings(docs)
+    assert alone(got.select("doc_id", "n_words", "n_removed")) == sorted([(None, 14, 0), (None, 6, 0), (None, 0, 0)], key=str)
+    assert collect(got.filter("doc_id is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_substring(ODD[:4])
+    assert [r[2] > 0 for r in alone(token_counts.token_counts(docs, PATH))] == [r[1] > 0 for r in alone(token_counts.token_counts(docs, PATH))]
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").filter("doc_id is null").count() == 3
+    assert corpus_pipeline.cut_repeats(spark, docs, "").filter("doc_id is null").count() == 3
+    mixed = mixing.mixture(docs)
+    texts = corpus_pipeline.mix_sources(spark, docs, "")
+    assert texts.select(F.sum(F.size(F.split("text", " +")))).first()[0] == mixed.select(F.sum("taken")).first()[0]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
