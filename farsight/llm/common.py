@@ -2,37 +2,105 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BREAK = "[\\x20\\x09-\\x0D]+"
-#: Entries after which a worker empties its memo of word hashes.
-MEMO_WORDS = 250_000
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 
 
-class WordHashes(dict):
-    """64-bit hash by word, each hashed once per worker until the memo is full."""
+#: Whether a byte parts words.
+BREAKS = np.zeros(256, bool)
+BREAKS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of texts whose words are hashed together, about.
+RUN_BYTES = 1 << 18
+
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of _BASE and of its inverse, n at least: as much memory as 16 times the longest run."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(4 * RUN_BYTES, n)
+        _POWERS[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of the bytes in data; spans are in order and not empty. Equal bytes have equal hashes wherever they stand."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        begin = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + 4 * RUN_BYTES, side="right")))
+        piece = data[begin : int(ends[to - 1])]
+        up, down = _powers(len(piece))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
+        first, last = starts[at:to] - begin, ends[at:to] - begin
+        out[at:to] = (sums[last] - sums[first]) * down[first]
+        at = to
+    out ^= out >> _SHIFT
+    out += (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def runs(sizes: list[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of the given sizes, in order; a range ends once it has so many bytes."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+@dataclass
+class Words:
+    """Words of some texts, one text after another: their bytes in data from starts to ends, and how many each text has."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    sizes: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends)
+
+    def first(self) -> np.ndarray:
+        """Number of the first word of each text, and the number of words."""
+        return np.concatenate(([0], np.cumsum(self.sizes)))
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def words_of(raw: list[bytes], breaks: np.ndarray = BREAKS) -> Words:
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    parts = breaks[data]
+    edges = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+    if not parts[0]:
+        edges = np.concatenate(([0], edges))
+    starts, ends = edges[::2], edges[1::2]
+    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw])))
+    return Words(data, starts, ends, np.diff(np.searchsorted(starts, begin)))
 
 
-def word_ids(words: list[bytes], memo: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, count=len(words))
+def hashed_words(raw: list[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, in order; only one run of texts is worked on at a time."""
+    for a, b in runs([len(t) for t in raw]):
+        words = words_of(raw[a:b])
+        yield from np.split(words.hashes(), words.first()[1:-1])
 
 
 def grams(ids: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -94,13 +162,11 @@ def sample(docs: DataFrame, n: int, salt: str, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder in the warehouse, which all machines share too."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = getattr(sc, "_farsight_folder", None)
-        if folder is None:
-            folder = sc._farsight_folder = "file://" + tempfile.mkdtemp(prefix="farsight-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_farsight"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

@@ -1,12 +1,15 @@
 """N-gram Jaccard join through a token-group matrix.
 
-Equal shingle sets are collapsed first. Each different set then gives the leading part of its tokens in one
-global order (common tokens last): two sets whose Jaccard index reaches the threshold share a token of these
-parts. Sets that share such tokens are dealt into groups; the matrix holds (token, group) for the union of each
-group's leading tokens, with the range of its set sizes. A set is a candidate for a group only if the matrix has one of its
-tokens there and the sizes can match. An opened group holds its members' whole tokens: a query whose overlap with their union
-can't reach the threshold is turned away, the others are compared exactly. Only one link for each linked part of
-a group is kept, never all pairs."""
+Equal shingle sets are collapsed, within a batch before their tokens are dealt and over all batches before they are grouped. Each different set
+gives the leading part of its tokens in one global order (common tokens last): two sets whose Jaccard index reaches the threshold share
+SHARED tokens of these parts, or all that they must share. Similar sets are dealt into groups of bounded size by their least shared token.
+
+First each group is opened for its own members: what links them makes preliminary components. Parts of one crowd
+have a few members in common, so that thousands of near copies are one component after this round.
+Then the matrix holds (token, group) for the union of each group's leading tokens, without tokens that only one component has, and with the
+range of set sizes. It bounds the overlap of every two groups; only groups that can link over the bound are opened, for the members of the other
+as queries. A query whose overlap with an opened group's union of whole tokens can't reach the threshold is turned away, the
+others are compared exactly. Links that join what is not joined yet are kept, never all pairs."""
 
 from __future__ import annotations
 
@@ -15,47 +18,54 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import WordHashes, documents, grams, lists, merged, shared_folder, signed, texts, word_ids, written
+from farsight.llm.common import documents, grams, lists, merged, runs, shared_folder, signed, texts, words_of, written
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
 SLOTS = 1 << 20
 #: Documents of one batch that share a token before the batch reports it as common; least sum that makes it so.
 LOCAL_COMMON, COMMON = 4, 16
-#: Tokens of its leading part that a set must share with a group's, or all that it must share if those are fewer.
+#: Tokens of its leading part that a set must share with another's, or all that it must share if those are fewer.
 SHARED = 3
-#: Members that a group has on average at most; larger groups are dealt into several.
-GROUP = 256
-
-_MEMO = WordHashes()
+#: Members and tokens that a group has on average at most; larger groups are dealt into several.
+GROUP, GROUP_TOKENS = 256, 1 << 18
+#: Groups whose members visit an opened group together.
+VISITORS = 16
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of the whole sequence if it has fewer words."""
-    words = text.lower().split()  # bytes: A-Z only, and breaks as WORD has them
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = word_ids(words, _MEMO)
-    return np.unique(grams(ids, k) if len(ids) >= k else grams(ids, len(ids), seed=len(ids)))
+def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text; of the whole sequence if it has fewer words."""
+    for a, b in runs([len(t) for t in raw]):
+        words = words_of([t.lower() for t in raw[a:b]])  # bytes: A-Z only
+        ids, first = words.hashes(), words.first()
+        every = grams(ids, k)
+        for lo, n in zip(first.tolist(), words.sizes.tolist(), strict=False):
+            if not n:
+                yield np.zeros(0, np.uint64)
+            else:
+                yield np.unique(every[lo : lo + n - k + 1] if n >= k else grams(ids[lo : lo + n], n, seed=n))
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows (token, number of documents) for what is common in a batch."""
     names = ["doc_id", "n_shingles", "h1", "h2", "token", "n"]
     for batch in batches:
-        sets = [shingle_set(t, k) for t in texts(batch)]
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        different: dict[bytes, np.ndarray] = {}
+        digests, sizes = [], []
+        for s in shingle_sets(texts(batch), k):
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sizes.append(len(s))
+            different.setdefault(digests[-1], s)
         one, two = (pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8))
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), one, two, none, none], names)
-        tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        none = pa.nulls(len(sizes), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), one, two, none, none], names)
+        tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *different.values()]), return_counts=True)
         often = counts >= LOCAL_COMMON
         none = pa.nulls(int(often.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 4 + [signed(tokens[often]), pa.array(counts[often].astype(np.int64))], names)
-    _MEMO.clear()
 
 
 def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -67,142 +77,177 @@ def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, levels) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id, others): a batch's documents by leading token; of equal sets the one with the smallest id."""
     table = np.frombuffer(levels.value, np.uint8)
     for batch in batches:
-        out, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            lead = _leading(shingle_set(text, k), table, num, den)
-            out.append(lead)
-            ids.append(np.full(len(lead), doc, np.int64))
-        (token,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
+        firsts: dict[bytes, tuple[int, np.ndarray]] = {}
+        for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch), k), strict=True):
+            digest = xxhash.xxh3_128_digest(s.tobytes())
+            known = firsts.get(digest)
+            if known is None:
+                firsts[digest] = doc, _leading(s, table, num, den)
+            elif doc < known[0]:
+                firsts[digest] = doc, known[1]
+        ids = [np.full(len(lead), doc, np.int64) for doc, lead in firsts.values()]
+        token, doc_id = np.concatenate([np.zeros(0, np.uint64), *(lead for _, lead in firsts.values())]), np.concatenate([np.zeros(0, np.int64), *ids])
+        (token,), (doc_id,), more, (others,) = merged([token], [doc_id])
         yield pa.RecordBatch.from_arrays([signed(token), pa.array(doc_id), lists(more, pa.array(others))], ["token", "doc_id", "others"])
-    _MEMO.clear()
 
 
 class _Group:
-    """An open group: its members' tokens by token, and which members are linked so far."""
+    """An open group: its members' tokens by token."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.docs: list[int] = []
         self.sets: list[np.ndarray] = []
-        self.tokens = None
-
-    def index(self) -> None:
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        every = np.concatenate(self.sets)
+        self.components: set[int] = set()
+        self.members = None
+
+    def index(self, members: np.ndarray) -> None:
+        self.members = members
+        sets = [self.sets[i] for i in members.tolist()]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
-        self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
         self.tokens, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.root = list(range(len(self.sets)))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
 
     def linked(self, s: np.ndarray) -> np.ndarray:
-        """Members whose Jaccard index with s reaches the threshold."""
+        """Indexed members whose Jaccard index with s reaches the threshold."""
         at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
         at = at[self.tokens[at] == s]
         if len(at) * self.den < self.num * len(s):  # the bound by the group's union
             return np.zeros(0, np.int64)
         counts = self.count[at]
         flat = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        both = np.bincount(self.owner[flat], minlength=len(self.sets))
-        return np.flatnonzero(both * self.den >= self.num * (self.sizes + len(s) - both))
+        both = np.bincount(self.owner[flat], minlength=len(self.sizes))
+        return self.members[both * self.den >= self.num * (self.sizes + len(s) - both)]
 
-    def close(self) -> list[tuple[int, int]]:
-        """Joins the members; the links that do so."""
-        self.index()
+    def joined(self) -> list[tuple[int, int]]:
+        """Links that join what is linked among the members. Whoever is reached is not searched for again."""
+        left = np.arange(len(self.sets))
         links = []
-        for i, s in enumerate(self.sets):
-            for j in self.linked(s):
-                a, b = self.find(i), self.find(int(j))
-                if a != b:
-                    self.root[max(a, b)] = min(a, b)
-                    links.append((self.docs[i], self.docs[int(j)]))
+        while len(left) > 1:
+            start, left = int(left[0]), left[1:]
+            queue = [start]
+            while queue and len(left):
+                if self.members is None or 2 * len(left) < len(self.members):
+                    self.index(left)
+                found = np.intersect1d(self.linked(self.sets[queue.pop()]), left, assume_unique=True)
+                left = np.setdiff1d(left, found, assume_unique=True)
+                links += [(self.docs[start], self.docs[i]) for i in found.tolist()]
+                queue += found.tolist()
         return links
 
-    def visit(self, doc: int, s: np.ndarray) -> list[tuple[int, int]]:
-        return [(doc, self.docs[j]) for j in {self.find(int(j)) for j in self.linked(s)}]
+    def visit(self, doc: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+        if not self.sets or self.components == {component}:
+            return []
+        if self.members is None:
+            self.index(np.arange(len(self.sets)))
+        return [(doc, self.docs[j]) for j in self.linked(s).tolist()]
 
 
 def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group, members before guests; only the members are held."""
-    key, group, closed = None, None, False
+    """Rows come sorted by group, members before guests; only the members are held. Links among the members, or where guests come, of guests with members."""
+    names, key, group = ["g", "c", "part", "guest", "doc_id", "component"], None, _Group(num, den)
+    visited = False
+
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
     for batch in batches:
         links: list[tuple[int, int]] = []
-        for g, c, guest, doc, text in zip(*(batch.column(n).to_pylist() for n in ("g", "c", "guest", "doc_id")), texts(batch), strict=True):
-            s = shingle_set(text, k)
-            if (g, c) != key:
-                if group and not closed:
-                    links += group.close()
-                key, group, closed = (g, c), _Group(num, den), False
+        for (*place, guest, doc, component), s in zip(zip(*(batch.column(n).to_pylist() for n in names), strict=True), shingle_sets(texts(batch), k), strict=True):
+            if place != key:
+                if not visited:
+                    links += group.joined()
+                key, group, visited = place, _Group(num, den), False
             if not guest:
                 group.docs.append(doc)
                 group.sets.append(s)
-            elif group.sets:
-                if not closed:
-                    links += group.close()
-                    closed = True
-                links += group.visit(doc, s)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-    if group and not closed:
-        links = group.close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-    _MEMO.clear()
-
-
-def links(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that join all that are linked among sets(doc_id, n), whose shingle sets all differ.
-
-    common(token, n) sets the order of tokens; any content gives the same links."""
-    spark = docs.sparkSession
-    common = common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+                group.components.add(component)
+            else:
+                visited = True
+                links += group.visit(doc, component, s)
+        yield out(links)
+    if not visited:
+        yield out(group.joined())
+
+
+def _opened(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): the links that open groups give; rows(doc_id, g, c, part, guest, component) say who comes where."""
+    places = rows.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "part", "guest", "component")).alias("places"))
+    shipped = docs.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("x")).select("x.*", "doc_id", "text")
+    return shipped.repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id").mapInArrow(lambda it: _open(it, k, num, den), "a long, b long")
+
+
+def _levels(docs: DataFrame, common: DataFrame):
+    """Broadcast table of how common tokens are, by slot: the logarithm of their number of documents."""
     slots = (
-        common.select(F.expr(f"cast(token & {SLOTS - 1} as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
+        common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+        .select(F.expr(f"cast(token & {SLOTS - 1} as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
         .groupBy("slot")
         .agg(F.max("level").alias("level"))
         .toArrow()  # SLOTS rows at most
-    )
+    )
     levels = np.zeros(SLOTS, np.uint8)
     levels[slots.column("slot").to_numpy()] = slots.column("level").to_numpy()
-    held = spark.sparkContext.broadcast(levels.tobytes())
+    return docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+
 
-    leading = docs.mapInArrow(lambda it: _prefixes(it, k, num, den, held), "token long, doc_id long, others array<long>")
-    rows = F.lit(1) + F.coalesce(F.size("others"), F.lit(0))
-    met = leading.withColumn("df", F.sum(rows).over(Window.partitionBy("token"))).filter("df > 1")
-    met = met.select("token", F.explode(F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))).alias("doc_id"))
-    met = written(met.join(sets, "doc_id"))
+def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, component) of those among sets(doc_id, n), whose shingle sets all differ, that are linked to another.
+
+    common(token, n) sets the order of tokens; any content gives the same result."""
+    held = _levels(docs, common)
+    leading = written(docs.mapInArrow(lambda it: _prefixes(it, k, num, den, held), "token long, doc_id long, others array<long>"))
+    least, most = F.least("doc_id", F.array_min("others")), F.greatest("doc_id", F.array_max("others"))
+    met = leading.groupBy("token").agg(F.min(least).alias("lo"), F.max(most).alias("hi")).filter("lo < hi").select("token")
+    every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
+    met = written(leading.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
     shared = met.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("token")
     leads = written(met.join(shared, "token"))
 
-    home = leads.groupBy("doc_id").agg(F.min("token").alias("g"), F.first("n").alias("n"))
-    parts = home.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("parts"))
-    home = home.join(parts, "g").select("doc_id", "n", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("c"))
-    owned = written(leads.select("token", "doc_id").join(home, "doc_id"))
-    matrix = owned.groupBy("token", "g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    query = owned.select("token", "doc_id", "n", F.col("g").alias("g0"), F.col("c").alias("c0"))
-    needed = F.least(F.lit(SHARED), F.ceil(F.first("n") * num / den))
-    candidates = written(
-        query.join(matrix, "token")
-        .filter((F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
-        .filter("g > g0 or (g = g0 and c >= c0)")  # one of the two ways a pair can meet
-        .groupBy("doc_id", "g", "c")
-        .agg(F.count("*").alias("shared"), needed.alias("needed"), F.first((F.col("g") != F.col("g0")) | (F.col("c") != F.col("c0"))).alias("guest"))
-        .filter("shared >= needed")
-        .select("doc_id", "g", "c", "guest")
-    )
-    busy = candidates.groupBy("g", "c").agg(F.count("*").alias("rows")).filter("rows > 1").select("g", "c")
-    visits = candidates.join(busy, ["g", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "guest")).alias("groups"))
-    shipped = docs.join(visits, "doc_id").select("doc_id", "text", F.explode("groups").alias("x")).select("x.g", "x.c", "x.guest", "doc_id", "text")
-    return (
-        shipped.repartition("g", "c")
-        .sortWithinPartitions("g", "c", "guest", "doc_id")
-        .mapInArrow(lambda it: _open(it, k, num, den), "a long, b long")
+    needed = lambda n: F.least(F.lit(SHARED), F.ceil(n * num / den))
+    home = leads.groupBy("doc_id").agg(F.min("token").alias("g"), F.first("n").alias("n"), F.count("*").alias("tokens")).filter(F.col("tokens") >= needed(F.col("n")))
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_TOKENS))).cast("int")
+    some = F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"), F.min_by("doc_id", F.xxhash64("doc_id"))))
+    crowds = home.groupBy("g").agg(parts.alias("parts"), some.alias("some"))
+    home = written(home.join(crowds.select("g", "parts"), "g").select("doc_id", "n", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("c")))
+    everywhere = crowds.filter("parts > 1").select("g", F.explode("some").alias("doc_id"), F.expr("sequence(0, parts - 1)").alias("c")).withColumn("c", F.explode("c"))
+    place = [F.lit(0).alias("part"), F.lit(False).alias("guest"), F.lit(0).cast("long").alias("component")]
+    first = home.select("doc_id", "g", "c").union(everywhere.select("doc_id", "g", "c")).distinct().select("*", *place)
+    found = written(components(_opened(docs, first, k, num, den), "a", "b"))
+
+    owned = leads.join(home.drop("n"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    owned = written(owned.select("token", "doc_id", "n", "g", "c", "component"))
+    apart = owned.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    owned = written(owned.join(apart, "token"))
+    matrix = owned.groupBy("token", "g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    matrix = written(matrix)
+    one, two = (matrix.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("g", "c", "least", "most", "lo", "hi"))) for i in (1, 2))
+    pairs = written(
+        one.join(two, "token")
+        .filter("g1 < g2 or (g1 = g2 and c1 < c2)")
+        .filter((F.col("least1") * num <= F.col("most2") * den) & (F.col("least2") * num <= F.col("most1") * den) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")))
+        .groupBy("g1", "c1", "g2", "c2")
+        .agg(F.count("*").alias("shared"), F.min(F.least("least1", "least2")).alias("n"))
+        .filter(F.col("shared") >= needed(F.col("n")))
+        .select("g1", "c1", "g2", "c2")
     )
+    members = owned.select("doc_id", "g", "c", "component").distinct()
+    hosts = pairs.groupBy("g2", "c2").agg(F.ceil(F.count("*") / F.lit(VISITORS)).cast("int").alias("parts"))
+    inside = hosts.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(members, F.expr("g = g2 and c = c2")).select("doc_id", "g", "c", "part", F.lit(False).alias("guest"), "component")
+    visits = pairs.join(hosts, ["g2", "c2"]).withColumn("part", F.pmod(F.xxhash64("g1", "c1"), F.col("parts")).cast("int")).join(members, F.expr("g = g1 and c = c1"))
+    visits = visits.select("doc_id", F.col("g2").alias("g"), F.col("c2").alias("c"), "part", F.lit(True).alias("guest"), "component")
+    more = _opened(docs, inside.unionByName(visits), k, num, den)
+    for end in ("a", "b"):  # links between preliminary components
+        more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}0")), end, "left").withColumn(end, F.coalesce(f"{end}0", end)).drop(f"{end}0")
+    late = components(more, "a", "b")
+    known = found.select(F.col("node").alias("doc_id"), F.col("component").alias("before")).join(late.withColumnRenamed("node", "before"), "before", "left")
+    known = known.select("doc_id", F.coalesce("component", "before").alias("component"))
+    return known.unionByName(late.withColumnRenamed("node", "doc_id").join(found.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -210,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Two documents link when den * |intersection| >= num * |union| of their sets of word shingles (A-Z lower-cased);
     a document with fewer words is one shingle; one without words, or with a null text, has an empty set and links with
-    nothing. component_id is the smallest doc_id reachable by links. a row with a null doc_id links with nothing and has a null component_id; rows that repeat a
+    nothing. component_id is the smallest doc_id reachable by links. A row with a null doc_id links with nothing and has a null component_id; rows that repeat a
     doc_id must repeat its text and get the same result. Other columns are ignored. An empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared_folder(docs.sparkSession)
@@ -220,10 +265,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     seen = written(docs.mapInArrow(lambda it: _keys(it, words), keys))
     keyed, common = seen.filter("token is null").select("doc_id", "n_shingles", "h1", "h2"), seen.filter("token is not null").select("token", "n")
     classes = written(keyed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    groups = components(links(docs, classes.select(F.col("rep").alias("doc_id"), "n"), common, words, num, den), "a", "b")
+    groups = joined(docs, classes.select(F.col("rep").alias("doc_id"), "n"), common, words, num, den)
     return (
         keyed.join(classes, ["h1", "h2"], "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
         .unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )

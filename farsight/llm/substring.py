@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import WordHashes, documents, grams, lists, merged, shared_folder, signed, texts, word_ids, written
+from farsight.llm.common import documents, grams, hashed_words, lists, merged, shared_folder, signed, texts, written
 
 #: Words of an anchor. Any K below the length gives the same result; it only sets how many anchors there are.
 K = 5
-_MEMO = WordHashes()
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,16 +55,19 @@ def _selected(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            anchors, at = _selected(word_ids(text.split(), _MEMO), length)
-            if len(at):
-                chosen = np.unique(anchors[at[np.flatnonzero(np.diff(at, prepend=-1))]])
-                out.append(chosen)
-                ids.append(np.full(len(chosen), doc, np.int64))
+        firsts: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal word sequences the one with the smallest id
+        for doc, words in zip(batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True):
+            digest = xxhash.xxh3_128_digest(words.tobytes())
+            known = firsts.get(digest)
+            if known is None:
+                anchors, at = _selected(words, length)
+                firsts[digest] = doc, np.unique(anchors[at[np.flatnonzero(np.diff(at, prepend=-1))]]) if len(at) else np.zeros(0, np.uint64)
+            elif doc < known[0]:
+                firsts[digest] = doc, known[1]
+        out = [np.zeros(0, np.uint64), *(chosen for _, chosen in firsts.values())]
+        ids = [np.zeros(0, np.int64), *(np.full(len(chosen), doc, np.int64) for doc, chosen in firsts.values())]
         (anchor,), (doc_id,), more, (others,) = merged([np.concatenate(out)], [np.concatenate(ids)])
         yield pa.RecordBatch.from_arrays([signed(anchor), pa.array(doc_id), lists(more, pa.array(others))], ["anchor", "doc_id", "others"])
-    _MEMO.clear()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -73,8 +75,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     for batch in batches:
         one, two, ids, places = [], [], [], []
         seeds = batch.column("seeds")
-        for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
-            words = word_ids(text.split(), _MEMO)
+        for i, (doc, words) in enumerate(zip(batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True)):
             anchors, at = _selected(words, length)
             found = np.flatnonzero(np.isin(anchors, seeds[i].values.to_numpy().view(np.uint64))[at])
             if len(found):
@@ -88,7 +89,6 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             others = lists(more, pa.StructArray.from_arrays([pa.array(docs), pa.array(places)], ["doc_id", "at"]))
             packed = pa.array((at << 32) | h2.astype(np.int64))
             yield pa.RecordBatch.from_arrays([signed(h1), packed, pa.array(doc_id), others], ["h1", "at_h2", "doc_id", "others"])
-    _MEMO.clear()
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
