@@ -125,19 +125,20 @@ class _Group:
         return self.members[both * self.den >= self.num * (self.sizes + len(s) - both)]
 
     def joined(self) -> list[tuple[int, int]]:
-        """Links that join what is linked among the members. Whoever is reached is not searched for again."""
+        """Links to the least of those that are linked among the members, who come by id. Whoever is reached is not searched for again."""
         left = np.arange(len(self.sets))
         links = []
         while len(left) > 1:
             start, left = int(left[0]), left[1:]
-            queue = [start]
+            queue, reached = [start], [start]
             while queue and len(left):
                 if self.members is None or 2 * len(left) < len(self.members):
                     self.index(left)
                 found = np.intersect1d(self.linked(self.sets[queue.pop()]), left, assume_unique=True)
                 left = np.setdiff1d(left, found, assume_unique=True)
-                links += [(self.docs[start], self.docs[i]) for i in found.tolist()]
+                reached += found.tolist()
                 queue += found.tolist()
+            links += [(self.docs[reached[0]], self.docs[i]) for i in reached[1:]]
         return links
 
     def visit(self, doc: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
