@@ -1,11 +1,11 @@
 """Token counts of whole texts from counts per distinct pre-token.
 
-A pre-token here is a word with the space before it, as far as no token can reach over its ends: the tokenizer splits
-before a single space that a word follows. Other shapes (runs of white space, special strings) are joined with
-their neighbours into one longer pre-token. Each block of documents reports each of its distinct
-pre-tokens once, with its documents and frequencies; rows are dealt and sorted by pre-token, its pieces are
-counted once, joined to the frequencies and summed per document. A task passes its sums on as lists, one
-for each share of the documents, which are added up where the share is gathered. No ids are kept.
+A pre-token here is a word with the space or line break before it, as far as no token can reach over its ends: the tokenizer splits
+before a single space that a word follows, and around a single line break. Other shapes (runs of white space, special strings) are joined with
+their neighbours into one longer pre-token. Documents are worked on in blocks of bounded size. A block gives a row for each of its distinct
+pre-tokens, and for each document a row with the frequencies of its pre-tokens, by their numbers in the block. Pre-tokens are
+dealt and sorted, each is counted once, and its number of pieces goes back to the blocks that have it, where they are joined to
+the documents' frequencies and summed. No ids are kept.
 
 Pre-tokens that are common in a sample of documents are counted beforehand and broadcast, a table of bounded size:
 blocks sum theirs at once, and only the others are dealt. The sample decides which way a pre-token goes, not the result."""
@@ -14,26 +14,32 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, lists, sample, texts
+from farsight.llm.common import documents, sample, span_hashes, texts, words_of, written
 
-#: A block ends at so many documents or characters.
-BLOCK_DOCS, BLOCK_BYTES = 60_000, 24 << 20
+#: A block ends at so many documents or bytes; a longer text is a block of its own.
+BLOCK_DOCS, BLOCK_BYTES = 20_000, 12 << 20
 #: Common pre-tokens that are broadcast at most, their bytes at most, and the documents that they are sought in.
 COMMON, COMMON_BYTES, COMMON_DOCS = 60_000, 64, 3_000
 #: Marks that are tokenized apart from a letter before them.
 MARKS = ".,;:!?|#*$%&"
-#: Sums a task holds before it passes them on.
-HELD = 2_000_000
-
-SCHEMA = "part string, doc_id long, count int, docs array<long>, counts array<int>"
-NAMES = ["part", "doc_id", "count", "docs", "counts"]
+#: Bytes that part the words of plain texts, and what goes before a word that begins a text or follows one of them.
+PARTS = np.zeros(256, bool)
+PARTS[[0x20, 0x0A]] = True
+LEADS = ("", " ", "\n")
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+SCHEMA = "block long, part string, code int, doc_id long, n_bytes long, known long, codes array<int>, counts array<int>"
+NAMES = ["block", "part", "code", "doc_id", "n_bytes", "known", "codes", "counts"]
 _TOKENIZERS: dict = {}
 
 
@@ -73,84 +79,122 @@ def pre_tokens(text: str, special: list[str]) -> list[str]:
     return [p for p in joined if p]
 
 
+@dataclass
+class PlainWords:
+    """Words of plain texts, in order, without the marks after a last letter, which are apart: no token spans the two.
+
+    code and mark (-1: none) number the different ones, sizes are the words of each text. keys are hashes of the different words with what goes before them."""
+
+    code: np.ndarray
+    mark: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    marks: list[str]
+    leads: np.ndarray
+    data: bytes
+    spans: tuple[np.ndarray, np.ndarray]
+
+    def words(self, which: np.ndarray) -> list[tuple[int, str]]:
+        """Different words by number, each after what goes before it (a number in LEADS)."""
+        start, end = self.spans
+        data = self.data
+        return [(k, data[a:b].decode("utf-8")) for k, a, b in zip(self.leads[which].tolist(), start[which].tolist(), end[which].tolist(), strict=True)]
+
+
+def plain_words(raw: list[bytes]) -> PlainWords:
+    words = words_of(raw, PARTS)
+    data, starts, ends = words.data, words.starts, words.ends
+    lead = 1 + (data[starts - 1] == 0x0A)
+    lead[words.first()[:-1][words.sizes > 0]] = 0
+    solid = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
+    stem = np.maximum(solid[ends - 1] + 1, starts)
+    one, two = data[stem - 1], data[stem - 2]
+    letter = _LETTER[one] | ((stem - 2 >= starts) & (one >= 0x80) & (two >= 0xC3) & (two <= 0xC8) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))
+    cut = np.flatnonzero((stem > starts) & (stem < ends) & letter)
+    mark, marks = np.full(len(starts), -1), []
+    if len(cut):
+        _, at, mark[cut] = np.unique(span_hashes(data, stem[cut], ends[cut]), return_index=True, return_inverse=True)
+        marks = [data[a:b].tobytes().decode() for a, b in zip(stem[cut[at]].tolist(), ends[cut[at]].tolist(), strict=True)]
+    last = ends.copy()
+    last[cut] = stem[cut]
+    keys = span_hashes(data, starts, last) ^ (lead.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    keys, at, code = np.unique(keys, return_index=True, return_inverse=True)
+    return PlainWords(code, mark, words.sizes, keys, marks, lead[at], data.tobytes(), (starts[at], last[at]))
+
+
 class _Block:
-    """Distinct pre-tokens of a block, with the documents and frequencies of each."""
+    """Documents of a block with the frequencies of their pre-tokens."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.docs: list[int] = []
-        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.docs: list[int | None] = []
+        self.raw: list[bytes] = []
+        self.held = 0
 
-    def add(self, doc: int, parts: list[str]) -> None:
-        codes = self.codes
-        at = np.fromiter((codes.setdefault(p, len(codes)) for p in parts), np.int64, count=len(parts))
+    def add(self, doc: int | None, text: bytes) -> bool:
+        """Whether the block is full."""
         self.docs.append(doc)
-        self.rows.append(np.unique(at, return_counts=True))
-
-    def split(self, special: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each code, that of the word without the marks after its last letter, and that of the marks or -1: no token spans them."""
-        codes = self.codes
-        parts = list(codes)
-        base, mark = np.arange(len(parts)), np.full(len(parts), -1)
-        for i, p in enumerate(parts):
-            stem = p.rstrip(MARKS)
-            if len(stem) < len(p) and stem[-1:].isalpha() and not any(x in p for x in special):
-                base[i], mark[i] = codes.setdefault(stem, len(codes)), codes.setdefault(p[len(stem) :], len(codes))
-        return base, mark
-
-    def batches(self, special: list[str], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        """(part, doc_id, count) of the first document of each part, and lists of the others, in slices.
-
-        Before them, each document's sum over the common parts, with a null for the part."""
-        if not self.codes:
-            return
-        code = np.concatenate([r[0] for r in self.rows])
-        count = np.concatenate([r[1] for r in self.rows]).astype(np.int32)
-        doc = np.repeat(np.array(self.docs, np.int64), [len(r[0]) for r in self.rows])
-        base, mark = self.split(special)
-        base, mark = base[code], mark[code]
-        marked = mark >= 0
-        code = np.concatenate((base, mark[marked]))
-        doc, count = np.concatenate((doc, doc[marked])), np.concatenate((count, count[marked]))
-        pieces = np.fromiter((common.get(p, 0) for p in self.codes), np.int64, count=len(self.codes))[code]
-        known = pieces > 0
-        if known.any():
-            ids, at = np.unique(doc[known], return_inverse=True)
-            sums = np.bincount(at, pieces[known] * count[known], len(ids)).astype(np.int32)
-            none = lists(np.zeros(len(ids), np.int64), pa.array([], pa.int64())), lists(np.zeros(len(ids), np.int64), pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.string()), pa.array(ids), pa.array(sums), *none], NAMES)
-            code, doc, count = code[~known], doc[~known], count[~known]
-        if not len(code):
-            return
-        order = np.lexsort((doc, code))
-        code, count, doc = code[order], count[order], doc[order]
-        fresh = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))  # a base may come with several marks
-        code, doc, count = code[fresh], doc[fresh], np.add.reduceat(count, fresh).astype(np.int32)
-        new = np.ones(len(code), bool)
-        new[1:] = code[1:] != code[:-1]
-        first = np.flatnonzero(new)
-        more = np.diff(np.append(first, len(code))) - 1
-        start = np.concatenate(([0], np.cumsum(more)))
-        docs, counts = doc[~new], count[~new]
-        names = pa.array(list(self.codes), pa.string()).take(pa.array(code[first]))
-        for lo in range(0, len(first), 20_000):
-            hi = min(lo + 20_000, len(first))
-            a, b, at = start[lo], start[hi], first[lo:hi]
-            others = [lists(more[lo:hi], pa.array(x[a:b])) for x in (docs, counts)]
-            yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(doc[at]), pa.array(count[at]), *others], NAMES)
+        self.raw.append(text)
+        self.held += len(text)
+        return len(self.docs) >= BLOCK_DOCS or self.held >= BLOCK_BYTES
+
+    def frequencies(self, special: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pre-tokens, and by document and pre-token: their numbers, and how often."""
+        codes: dict[str, int] = {}
+        even, odd, docs, found = [], [], [], []
+        for i, text in enumerate(self.raw):
+            if text:
+                (even if plain(text.decode("utf-8"), special) else odd).append(i)
+        for i in odd:
+            parts = pre_tokens(self.raw[i].decode("utf-8"), special)
+            found.append(np.fromiter((codes.setdefault(p, len(codes)) for p in parts), np.int64, count=len(parts)))
+            docs.append(np.full(len(parts), i))
+        if even:
+            words = plain_words([self.raw[i] for i in even])
+            base = np.array([codes.setdefault(LEADS[lead] + word, len(codes)) for lead, word in words.words(np.arange(len(words.keys)))])
+            ends = np.array([codes.setdefault(m, len(codes)) for m in words.marks], np.int64)
+            doc = np.repeat(np.array(even), words.sizes)
+            marked = words.mark >= 0
+            found += [base[words.code], ends[words.mark[marked]]]
+            docs += [doc, doc[marked]]
+        if not codes:
+            none = np.zeros(0, np.int64)
+            return [], none, none, none
+        keys, counts = np.unique(np.concatenate(docs) * len(codes) + np.concatenate(found), return_counts=True)
+        return list(codes), keys // len(codes), keys % len(codes), counts
+
+    def rows(self, block: int, special: list[str], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, with the pieces of its common pre-tokens and the others' frequencies, then a row for each of the others."""
+        parts, doc, code, count = self.frequencies(special)
+        pieces = np.fromiter((common.get(p, 0) for p in parts), np.int64, count=len(parts))
+        known = np.bincount(doc, pieces[code] * count, len(self.docs)).astype(np.int64)
+        rare = pieces[code] == 0
+        doc, code, count = doc[rare], code[rare], count[rare]
+        starts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(self.docs))))).astype(np.int32))
+        n = len(self.docs)
+        kept = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (code, count)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(self.docs, pa.int64()), pa.array([len(t) for t in self.raw], pa.int64()), pa.array(known), *kept],
+            NAMES,
+        )
+        names = pa.array(parts, pa.string())
+        rest = np.flatnonzero(pieces == 0)
+        for lo in range(0, len(rest), 50_000):
+            here = rest[lo : lo + 50_000]
+            n = len(here)
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), names.take(pa.array(here)), pa.array(here.astype(np.int32)), *none], NAMES)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], path: str, common: dict[str, int]) -> Iterator[pa.RecordBatch]:
     special = tokenizer(path)[1]
-    block, held = _Block(), 0
+    number, block = TaskContext.get().partitionId() << 32, _Block()
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            block.add(doc, pre_tokens(text.decode("utf-8"), special))
-            held += len(text)
-            if len(block.docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
-                yield from block.batches(special, common)
-                block, held = _Block(), 0
-    yield from block.batches(special, common)
+            if block.add(doc, text):
+                yield from block.rows(number, special, common)
+                number, block = number + 1, _Block()
+    if block.docs:
+        yield from block.rows(number, special, common)
 
 
 def _pieces(t, parts: list[str]) -> list[int]:
@@ -164,125 +208,84 @@ def _listed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def common_pieces(docs: DataFrame, path: str) -> dict[str, int]:
-    """Pieces of the pre-tokens that most documents of a sample have: at most COMMON short ones."""
-    met = sample(docs, COMMON_DOCS, "pieces|", "text").mapInArrow(lambda it: _frequencies(it, path, {}), SCHEMA)
-    met = met.filter(F.octet_length("part") <= COMMON_BYTES).groupBy("part").agg(F.sum(F.lit(1) + F.coalesce(F.size("docs"), F.lit(0))).alias("df"))
+    """Pieces of the pre-tokens that most blocks of a sample have, by documents of the sample: at most COMMON short ones."""
+    met = sample(docs, COMMON_DOCS, "pieces|", "text").mapInArrow(lambda it: _in_documents(it, path), "part string, df long")
+    met = met.filter(F.octet_length("part") <= COMMON_BYTES).groupBy("part").agg(F.sum("df").alias("df"))
     top = met.filter("df > 1").orderBy(F.desc("df"), "part").limit(COMMON).select("part")
     return {r["part"]: r["pieces"] for r in top.mapInArrow(lambda it: _listed(it, path), "part string, pieces int").collect()}
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str, shares: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pre-token: each is counted once, then joined to its frequencies. First come those without one, whose counts are of pieces."""
-    t, _ = tokenizer(path)
-    last, pieces = None, 1
-    sums = _Sums()
+def _in_documents(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Distinct pre-tokens of a batch, and how many of its documents have each."""
     for batch in batches:
-        parts = batch.column("part").to_pylist()
-        new = [p for a, p in zip([last, *parts], parts) if a != p]  # noqa: B905
-        lengths = iter(_pieces(t, new))
-        n = np.empty(len(parts), np.int64)
-        for i, p in enumerate(parts):
-            if p != last:
-                last, pieces = p, next(lengths)
-            n[i] = pieces
-        docs, counts = batch.column("docs"), batch.column("counts")
-        sizes = pc.fill_null(pc.list_value_length(docs), 0).to_numpy()
-        sums.add(batch.column("doc_id").to_numpy(), n * batch.column("count").to_numpy())
-        sums.add(docs.flatten().to_numpy(), np.repeat(n, sizes) * counts.flatten().to_numpy())
-        for found in sums.full():
-            yield _shared(*found, shares)
-    for found in sums.rest():
-        yield _shared(*found, shares)
-
-
-class _Sums:
-    """Sums by document, of at most HELD documents at a time."""
+        block = _Block()
+        for text in texts(batch):
+            block.add(None, text)
+        parts, _, code, _ = block.frequencies(tokenizer(path)[1])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(np.bincount(code, minlength=len(parts)))], ["part", "df"])
 
-    def __init__(self):
-        self.docs: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
-        self.held = 0
 
-    def add(self, docs: np.ndarray, values: np.ndarray) -> None:
-        self.docs.append(docs)
-        self.sums.append(values)
-        self.held += len(docs)
-
-    def _merge(self) -> None:
-        docs, at = np.unique(np.concatenate(self.docs), return_inverse=True)
-        sums = np.zeros(len(docs), np.int64)
-        np.add.at(sums, at, np.concatenate(self.sums))
-        self.docs, self.sums, self.held = [docs], [sums], len(docs)
-
-    def full(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.held >= 4 * HELD:
-            self._merge()
-            if self.held >= HELD:
-                yield from self.rest()
-
-    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.held:
-            self._merge()
-            yield self.docs[0], self.sums[0]
-            self.docs, self.sums, self.held = [], [], 0
-
-
-def _shared(docs: np.ndarray, sums: np.ndarray, shares: int) -> pa.RecordBatch:
-    """(share, docs, sums): the documents dealt to shares by a hash of their ids."""
-    mixed = docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    share = ((mixed >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
-    order = np.argsort(share, kind="stable")
-    size = np.bincount(share, minlength=shares)
-    here = np.flatnonzero(size)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(here.astype(np.int32)), lists(size[here], pa.array(docs[order])), lists(size[here], pa.array(sums[order]))], ["share", "docs", "sums"]
-    )
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _Sums()
+def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(block, code, pieces): rows come sorted by pre-token, each is counted once for all blocks that have it."""
+    t, _ = tokenizer(path)
+    last, pieces = None, 0
     for batch in batches:
-        sums.add(batch.column("docs").flatten().to_numpy(), batch.column("sums").flatten().to_numpy())
-        for found in sums.full():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "n"])
-    for found in sums.rest():
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "n"])
+        part = batch.column("part").dictionary_encode()
+        parts, at = part.dictionary.to_pylist(), part.indices.to_numpy()
+        known = parts[:1] == [last]
+        n = np.array([pieces] * known + _pieces(t, parts[known:]), np.int32)
+        last, pieces = (parts[-1], int(n[-1])) if parts else (last, pieces)
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(n[at])], ["block", "code", "pieces"])
 
 
-def _alone(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Bytes and tokens of each whole text."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block, numbers of pieces before documents; those of one block are held."""
+    now, pieces = None, np.zeros(0, np.int64)
     for batch in batches:
-        raw = texts(batch)
-        n = [_pieces(tokenizer(path)[0], [t.decode("utf-8")])[0] if t else 0 for t in raw]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        block = batch.column("block").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+        doc_id, n_bytes, tokens = [], [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if block[a] != now:
+                now, pieces = block[a], np.zeros(0, np.int64)
+            part = batch.slice(a, b - a)
+            first = int(part.column("code").null_count != len(part)) and len(part) - part.column("code").null_count
+            if first:
+                code = part.column("code").slice(0, first).to_numpy()
+                more = int(code.max()) + 1 - len(pieces)
+                pieces = np.append(pieces, np.zeros(max(0, more), np.int64))
+                pieces[code] = part.column("pieces").slice(0, first).to_numpy()
+                part = part.slice(first)
+            if len(part):
+                codes, counts = part.column("codes"), part.column("counts")
+                sizes = np.diff(codes.offsets.to_numpy())
+                each = pieces[codes.flatten().to_numpy()] * counts.flatten().to_numpy()
+                sums = np.concatenate(([0], np.cumsum(each)))
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                tokens.append(sums[ends[1:]] - sums[ends[:-1]] + part.column("known").to_numpy())
+                doc_id.append(part.column("doc_id"))
+                n_bytes.append(part.column("n_bytes"))
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(doc_id), pa.concat_arrays(n_bytes), pa.array(np.concatenate(tokens))], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text), by the tokenizers file at path.
 
     A null or empty text has 0 bytes and 0 tokens. Special strings in texts count as the tokenizer's one token, no other
-    special tokens are added. Rows with a null doc_id are counted each on its own; rows that repeat a doc_id must repeat its text, and each
-    gets that text's count. Other columns are ignored; an empty table gives an empty one."""
+    special tokens are added. Every row has its own count, also where a doc_id is null or repeats with another text.
+    Other columns are ignored; an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    alone = docs.filter("doc_id is null").mapInArrow(lambda it: _alone(it, path), "doc_id long, n_bytes long, n_tokens long")
-    docs = docs.filter("doc_id is not null")
     held = docs.sparkSession.sparkContext.broadcast(common_pieces(docs, path))
-    shares = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequencies = docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA)
-    sums = (
-        frequencies.repartition(F.coalesce("part", F.col("doc_id").cast("string")))
-        .sortWithinPartitions("part")
-        .mapInArrow(lambda it: _counted(it, path, shares), "share int, docs array<long>, sums array<long>")
-        .repartition("share")
-        .mapInArrow(_gathered, "doc_id long, n long")
-        .groupBy("doc_id")
-        .agg(F.sum("n").alias("n"))
-    )
-    sizes = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes"), F.count("*").alias("rows"))
-    joined = sizes.join(sums, "doc_id", "left").withColumn("n_tokens", F.expr("coalesce(n, 0L) div rows"))
-    return joined.select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")
-    ).drop("row").unionByName(alone.withColumn("over_limit", F.col("n_tokens") > limit))
+    # a table: both branches below read it, and a block keeps its number whatever is lost
+    blocks = written(docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA))
+    parts = blocks.filter("part is not null").select("part", "block", "code").repartition("part").sortWithinPartitions("part")
+    pieces = parts.mapInArrow(lambda it: _counted(it, path), "block long, code int, pieces int")
+    rows = pieces.unionByName(blocks.filter("part is null").select("block", "doc_id", "n_bytes", "known", "codes", "counts"), allowMissingColumns=True)
+    sums = rows.repartition("block").sortWithinPartitions("block", F.col("code").asc_nulls_last()).mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
