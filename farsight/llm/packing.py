@@ -11,28 +11,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, texts, written
-from farsight.llm.token_counts import MARKS, plain, tokenizer
+from farsight.llm.common import documents, runs, texts, written
+from farsight.llm.token_counts import plain, plain_words, tokenizer
 
-#: Entries after which a worker empties its memo of token ids.
-MEMO = 500_000
+#: Distinct words whose token ids a task keeps for its next texts, and bytes of texts that are tokenized together, about.
+MEMO, RUN = 500_000, 2 << 20
 #: Classes of lengths in the linear program, and its rounds.
 CLASSES, ROUNDS, STEP = 128, 1500, 0.1
 #: Pieces numbered by one task at most, about.
 NUMBERED = 100_000
 
-#: Characters of texts that are tokenized together, about.
-RUN = 1 << 18
-
-_IDS: dict[str, bytes] = {}
-_MARK_IDS: dict[str, bytes] = {}
 _SIZES: dict[str, np.ndarray] = {}
 
 
@@ -40,53 +34,84 @@ def _encoded(t, parts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
 
-def _learn(words: list[str], t, path: str) -> None:
-    """Adds words to the memo. They are tokenized in one text and told apart by the bytes of their tokens, those with marks after
-    their last letter by way of the word without them."""
-    bare: dict[str, str] = {}
-    for w in words:
-        stem = w.rstrip(MARKS)
-        if len(stem) < len(w) and stem[-1:].isalpha():
-            bare[w] = stem
-    new = [w for w in dict.fromkeys([bare.get(w, w) for w in words]) if w not in _IDS]
-    if new:
-        (ids,) = _encoded(t, [" " + " ".join(new)])
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), np.int64, count=len(new)) + 1)
-        cuts = (4 * np.searchsorted(np.cumsum(_sizes(path)[ids]), ends) + 4).tolist()
-        raw = ids.tobytes()
-        _IDS.update(zip(new, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-    marks = [m for m in {w[len(stem) :] for w, stem in bare.items()} if m not in _MARK_IDS]
-    _MARK_IDS.update(zip(marks, [x.tobytes() for x in _encoded(t, marks)], strict=True))
-    for w, stem in bare.items():
-        _IDS[w] = _IDS[stem] + _MARK_IDS[w[len(stem) :]]
-
-
-def _ids(run: list[str], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
-
-    Words after a single space are tokenized alone as within the text, so each is looked up in a memo; those that it
-    lacks are tokenized together. Texts with other white space are tokenized whole."""
-    t, special = tokenizer(path)
-    if len(_IDS) > MEMO:
-        _IDS.clear()
-        _MARK_IDS.clear()
-    split = [text.split(" ") if plain(text, special) else [text] for text in run]
-    heads = _encoded(t, [words[0] for words in split])
-    rest = [words[1:] for words in split]
-    _learn([w for w in dict.fromkeys(chain.from_iterable(rest)) if w not in _IDS], t, path)
-    return [head.tobytes() + b"".join(map(_IDS.__getitem__, words)) for head, words in zip(heads, rest, strict=True)]
-
-
-def _runs(raw: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in runs that end once they have RUN characters."""
-    at = held = 0
-    for i, text in enumerate(raw):
-        held += len(text)
-        if held >= RUN:
-            yield raw[at : i + 1]
-            at, held = i + 1, 0
-    if at < len(raw):
-        yield raw[at:]
+def _gathered(flat: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers in flat from each start, so many, one after another."""
+    ends = np.cumsum(many)
+    return flat[np.repeat(start - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class _Ids:
+    """Token ids of texts, as arrays of little-endian unsigned 32-bit numbers.
+
+    In plain texts a word is tokenized alone as within the text, with the space or line break before it, so each different word of a run of
+    texts is tokenized once, and what a task has met is kept, by hash, in arrays. Texts with other white space are tokenized whole."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.tokenizer, self.special = tokenizer(path)
+        self.marks: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.start, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, keys: np.ndarray, words: list[tuple[int, str]]) -> None:
+        """Adds words, which are tokenized in few texts and told apart by the bytes of their tokens. A line break is a token, which a text's first word lacks."""
+        lead = np.array([k for k, _ in words])
+        found, start, many = [self.flat], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        held = len(self.flat)
+        for between, here in ((" ", np.flatnonzero(lead == 1)), ("\n", np.flatnonzero(lead != 1))):
+            for lo in range(0, len(here), 5000):
+                part = here[lo : lo + 5000]
+                texts_ = [words[i][1] for i in part.tolist()]
+                (ids,) = _encoded(self.tokenizer, [between + between.join(texts_)])
+                ends = np.cumsum([len(w.encode()) + 1 for w in texts_])
+                cuts = np.searchsorted(np.cumsum(_sizes(self.path)[ids]), ends) + 1
+                first = np.concatenate(([0], cuts[:-1])) + (lead[part] == 0)
+                start[part], many[part] = held + first, cuts - first
+                found.append(ids)
+                held += len(ids)
+        keys, start, many = (np.concatenate(x) for x in ((self.keys, keys), (self.start, start), (self.many, many)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start, self.many, self.flat = keys[order], start[order], many[order], np.concatenate(found)
+
+    def of_marks(self, marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [m for m in marks if m not in self.marks]
+        self.marks.update(zip(new, _encoded(self.tokenizer, new), strict=True))
+        found = [self.marks[m] for m in marks]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
+
+    def of_texts(self, raw: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(raw)
+        decoded = [t.decode("utf-8") for t in raw]
+        even = [plain(t, self.special) for t in decoded]
+        whole = [i for i, e in enumerate(even) if not e]
+        for i, ids in zip(whole, _encoded(self.tokenizer, [decoded[i] for i in whole]), strict=True):
+            out[i] = ids
+        rest = [i for i, e in enumerate(even) if e]
+        if not rest:
+            return out
+        words = plain_words([raw[i] for i in rest])
+        if len(self.keys) + len(words.keys) > MEMO or len(self.marks) > MEMO:
+            self.forget()
+            self.marks.clear()
+        at = np.minimum(np.searchsorted(self.keys, words.keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != words.keys) if len(self.keys) else np.arange(len(words.keys))
+        self.learn(words.keys[new], words.words(new))
+        at = np.searchsorted(self.keys, words.keys)[words.code]
+        ends, sizes = self.of_marks(words.marks)
+        # words and their marks by turns
+        flat = np.concatenate((self.flat, ends))
+        start, many = np.zeros((len(at), 2), np.int64), np.zeros((len(at), 2), np.int64)
+        start[:, 0], many[:, 0] = self.start[at], self.many[at]
+        marked = words.mark >= 0
+        start[marked, 1], many[marked, 1] = (len(self.flat) + np.cumsum(sizes) - sizes)[words.mark[marked]], sizes[words.mark[marked]]
+        ids = _gathered(flat, start.ravel(), many.ravel())
+        cuts = np.cumsum(many.sum(1))[np.cumsum(words.sizes)[:-1] - 1]
+        for i, part in zip(rest, np.split(ids, cuts), strict=True):
+            out[i] = part
+        return out
 
 
 def _sizes(path: str) -> np.ndarray:
@@ -100,23 +125,21 @@ def _sizes(path: str) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    tail = np.array([end], "<u4").tobytes()
+    tail, encoder = np.array([end], "<u4"), _Ids(path)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         rows: tuple[list, ...] = ([], [], [], [], [])
-        raw = [text.decode("utf-8") for text in texts(batch)]
-        found = chain.from_iterable(_ids(run, path) for run in _runs(raw))
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-            ids = memoryview(ids + tail)
-            n, at, piece = len(ids) // 4, 0, 0
-            while at < n:
-                to = at + (n - at - 1) % size + 1  # the first may be shorter
-                for column, x in zip(rows, (doc, piece, at, to - at, zlib.crc32(ids[4 * at : 4 * to])), strict=True):
-                    column.append(x)
-                at, piece = to, piece + 1
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        raw, docs = texts(batch), batch.column("doc_id").to_pylist()
+        for lo, hi in runs([len(t) for t in raw], RUN):
+            for doc, ids in zip(docs[lo:hi], encoder.of_texts(raw[lo:hi]), strict=True):
+                ids = memoryview(np.append(ids, tail)).cast("B")
+                n, at, piece = len(ids) // 4, 0, 0
+                while at < n:
+                    to = at + (n - at - 1) % size + 1  # the first may be shorter
+                    for column, x in zip(rows, (doc, piece, at, to - at, zlib.crc32(ids[4 * at : 4 * to])), strict=True):
+                        column.append(x)
+                    at, piece = to, piece + 1
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    _IDS.clear()
-    _MARK_IDS.clear()  # a worker that goes on to other work keeps nothing
 
 
 def best_pattern(prices: np.ndarray, units: np.ndarray, capacity: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farsight.llm import fingerprint, html, jaccard, language, mixing, packing, quality, substring, token_counts, toxicity
+from farsight.llm import common, fingerprint, html, jaccard, language, mixing, packing, quality, substring, token_counts, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -115,13 +115,28 @@ def test_token_counts_and_ids_of_a_table(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     ids = {d: t.encode(x, add_special_tokens=False).ids for d, x in texts.items()}
-    assert packing._ids(list(texts.values()), PATH) == [np.array(x, "<u4").tobytes() for x in ids.values()]
+    raw = [x.encode() for x in texts.values()]
+    for memo in (packing.MEMO, 5):  # met words are forgotten again and again
+        monkeypatch.setattr(packing, "MEMO", memo)
+        encoder = packing._Ids(PATH)
+        assert [x.tolist() for lo in range(0, len(raw), 50) for x in encoder.of_texts(raw[lo : lo + 50])] == list(ids.values())
     for common in (token_counts.COMMON, 50):  # few common pre-tokens, so that most are dealt
         monkeypatch.setattr(token_counts, "COMMON", common)
         got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PATH).collect()}
         assert got == {d: len(x) for d, x in ids.items()}
 
 
+def test_words_of_texts():
+    raw = ["", "a", " two\twords\x0b", "x" * 3_000_000 + " y", "é\u3000日本 z", "one two"]
+    got = [h.tolist() for h in common.hashed_words([t.encode() for t in raw])]
+    assert [len(h) for h in got] == [len(words(t)) for t in raw]
+    by = {}
+    for t, h in zip(raw, got):
+        for w, x in zip(words(t), h):
+            assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+
+
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     h = Counter(int(x) for x in rng.integers(1, 400, 3000))
@@ -260,6 +275,8 @@ def test_null_ids(spark):
     assert alone(got.select("doc_id", "n_words", "n_removed")) == sorted([(None, 14, 0), (None, 6, 0), (None, 0, 0)], key=str)
     assert collect(got.filter("doc_id is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_substring(ODD[:4])
     assert [r[2] > 0 for r in alone(token_counts.token_counts(docs, PATH))] == [r[1] > 0 for r in alone(token_counts.token_counts(docs, PATH))]
+    again = spark.createDataFrame([(1, "one", None, None, 0), (1, "one two three four", None, None, 0)], SCHEMA)  # each row has its own count
+    assert sorted(r.n_tokens for r in token_counts.token_counts(again, PATH).collect()) == [1, 4]
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").filter("doc_id is null").count() == 3
     assert corpus_pipeline.cut_repeats(spark, docs, "").filter("doc_id is null").count() == 3
