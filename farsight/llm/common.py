@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
@@ -154,11 +155,36 @@ def crc32_mod(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
-def sample(docs: DataFrame, n: int, salt: str, *columns: str) -> DataFrame:
-    """At most n rows of docs in an order by hash of doc_id, with the hash as `h`. Only ids and hashes are ordered; their list has n rows at most."""
+#: Bytes of a text that a sample takes at most, and of all its texts; longer ones are left out of samples, not of results.
+SAMPLE_BYTES, SAMPLE_TOTAL = 1 << 16, 1 << 25
+
+
+def bounded(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows(text, ...) in this order, or as many as have SAMPLE_TOTAL bytes of text."""
+    first = rows.orderBy(*order).limit(n)
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") <= SAMPLE_TOTAL).drop("held")
+
+
+def sample(docs: DataFrame, n: int, salt: str, *columns: str, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most n rows of docs(doc_id, text) with texts of at most max_bytes, in an order by hash of doc_id, with the hash as `h`.
+
+    Ids and hashes are ordered first; rows are counted again at the end, as ids may repeat."""
     h = F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    ids = docs.select("doc_id", h.alias("h")).distinct().orderBy("h").limit(n)
-    return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    ids = short.select("doc_id", h.alias("h")).distinct().orderBy("h").limit(n)
+    return bounded(short.select("doc_id", *columns).join(F.broadcast(ids), "doc_id"), n, "h", *columns)
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """What fit makes of a bounded sample, which goes to one task; only the model reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))])], ["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def shared_folder(spark: SparkSession) -> str:

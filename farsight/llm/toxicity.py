@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import crc32_mod, documents, texts
+from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted, runs, texts, words_of
 
-#: Labelled rows that the field is fitted on: two in five toxic, as far as there are so many.
-MAX_DOCS = 1500
+#: Labelled rows that the field is fitted on, of at most SAMPLE_BYTES each: two in five toxic, as far as there are so many.
+MAX_DOCS = 4000
+#: Bytes of texts whose marginals are worked out together in fitting and scoring.
+RUN = 1 << 20
 CHAIN = 64
 BUCKETS = 1 << 18
 MEMO = 200_000
@@ -112,65 +113,82 @@ def document_features(marginal: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log(most / (1 - most)), np.log(total + 1e-3), np.log(total / np.maximum(sizes, 1) + 1e-4), np.log1p(sizes) / 5], 1)
 
 
-def token_labels(docs: list[list[bytes]], toxic: np.ndarray) -> tuple[list[np.ndarray], dict[bytes, list[int]]]:
-    """Toxic words of each document, from how their features are spread over toxic and clean documents."""
-    features: dict[bytes, list[int]] = {}
-    seen = (Counter(), Counter())
-    for words, label in zip(docs, toxic, strict=True):
-        found = set()
-        for w in set(words):
-            f = features.get(w)
-            if f is None:
-                f = features[w] = word_features(w)
-            found.update(f[:4])
-        seen[int(label)].update(found)
+def strong_words(codes: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Which words mark toxic documents, from how their features are spread over toxic and clean documents; codes are the words of each."""
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for found, label in zip(codes, toxic.tolist(), strict=True):
+        seen[label, np.unique(buckets[found, :4])] += 1
     n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    strong = {f for f, k in seen[1].items() if k >= 3 and (k - 0.5 * k**0.5) / n1 > 8 * (seen[0][f] + 1) / n0}
-    hit = {w: any(x in strong for x in f[:4]) for w, f in features.items()}
-    return [np.array([label and hit[w] for w in words], bool) for words, label in zip(docs, toxic, strict=True)], features
+    k = seen[1]
+    strong = (k >= 3) & ((k - 0.5 * k**0.5) / n1 > 8 * (seen[0] + 1) / n0)
+    return strong[buckets[:, :4]].any(1)
+
+
+def _coded(raw: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of the words of each text, and the feature buckets of the different words."""
+    known: dict[int, int] = {}
+    buckets: list[list[int]] = []
+    codes = []
+    for a, b in runs([len(t) for t in raw], RUN):
+        words = words_of(raw[a:b])
+        keys, at, code = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        here = np.empty(len(keys), np.int32)
+        for i, (key, lo, hi) in enumerate(zip(keys.tolist(), words.starts[at].tolist(), words.ends[at].tolist(), strict=True)):
+            n = known.get(key)
+            if n is None:
+                n = known[key] = len(buckets)
+                buckets.append(word_features(words.data[lo:hi].tobytes()))
+            here[i] = n
+        codes += np.split(here[code], words.first()[1:-1])
+    return codes, np.array(buckets, np.int32).reshape(-1, 5)
 
 
 def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, penalty: float = 1e-4, stand: tuple[float, float] = (1.0, 1.0)) -> Field:
-    """Fits the field on (text, label) rows; a clean and a toxic row stand for so many."""
+    """Fits the field on (text, label) rows; a clean and a toxic row stand for so many. Marginals are worked out by runs of documents, each a whole chain."""
     field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0, 0.0, 0.0]))
     toxic = np.array([r[1] for r in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         field.document[0] = 3.0 if len(rows) and toxic[0] else -3.0
         return field
-    docs = [r[0].split() for r in rows]
-    labels, features = token_labels(docs, toxic)
-    sizes = np.array([len(d) for d in docs], np.int64)
+    codes, buckets = _coded([r[0] for r in rows])
+    hit = strong_words(codes, toxic, buckets)
+    sizes = np.array([len(c) for c in codes], np.int64)
     weight = np.array(stand, float)[toxic]
     weight *= len(rows) / weight.sum()
-    codes = {w: i for i, w in enumerate(features)}
-    x = np.fromiter((codes[w] for d in docs for w in d), np.int32, count=int(sizes.sum()))
-    buckets = np.array(list(features.values()), np.int32).reshape(-1, 5)
-    y, each = np.concatenate(labels), np.repeat(weight, sizes)
-    follows = np.ones(len(x), bool)
-    follows[np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0].astype(np.int64)] = False
-    follows = np.flatnonzero(follows)  # words with a neighbour before them
+    parts = []
+    for a, b in runs((8 * sizes).tolist(), RUN):
+        x, n = np.concatenate([np.zeros(0, np.int32), *codes[a:b]]), sizes[a:b]
+        follows = np.ones(len(x), bool)
+        follows[(np.cumsum(n) - n)[n > 0]] = False  # words with a neighbour before them
+        parts.append((x, n, hit[x] & np.repeat(toxic[a:b] == 1, n), np.repeat(weight[a:b], n), np.flatnonzero(follows)))
     seen_e, seen_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    counts = np.bincount(2 * y[follows - 1] + y[follows], each[follows], 4).reshape(2, 2)
-    n = int(chains(sizes)[1].sum())
+    n = int((-(-sizes // CHAIN)).sum())
     for _ in range(rounds):
-        e = field.emission[buckets].sum(1)[x]
-        forward, backward = marginal_odds(e, field.transition, sizes)
-        odds = forward * backward
-        g = np.bincount(x, (odds / (1 + odds) - y) * each, len(buckets))
+        g, grad_t = np.zeros(len(buckets)), np.zeros((2, 2))
+        by_word, t = field.emission[buckets].sum(1), np.exp(field.transition)
+        for x, each_size, y, each, follows in parts:
+            e = by_word[x]
+            forward, backward = marginal_odds(e, field.transition, each_size)
+            odds = forward * backward
+            g += np.bincount(x, (odds / (1 + odds) - y) * each, len(buckets))
+            # joint marginals of neighbours, from the forward odds of the left and the backward odds of the right one
+            right = np.exp(np.clip(e[follows], -30, 30)) * backward[follows]
+            left = forward[follows - 1]
+            joint = [np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right]
+            share = each[follows] / sum(joint)
+            counts = np.bincount(2 * y[follows - 1] + y[follows], each[follows], 4).reshape(2, 2)
+            grad_t += (np.array([j @ share for j in joint]).reshape(2, 2) - counts) / 10
         grad = np.bincount(buckets.ravel(), np.repeat(g, 5), BUCKETS) + penalty * n * field.emission
-        t = np.exp(field.transition)
-        # joint marginals of neighbours, from the forward odds of the left and the backward odds of the right one
-        right = np.exp(np.clip(e[follows], -30, 30)) * backward[follows]
-        left = forward[follows - 1]
-        joint = [np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right]
-        share = each[follows] / sum(joint)
-        grad_t = (np.array([j @ share for j in joint]).reshape(2, 2) - counts) / 10
         seen_e += grad**2
         seen_t += grad_t**2
         field.emission -= rate * grad / np.sqrt(seen_e)
         field.transition -= rate * grad_t / np.sqrt(seen_t)
-    marginal = np.concatenate([m for m, _ in _scored([r[0] for r in rows], field, {})]) if len(docs) else np.zeros(0)
-    f = document_features(marginal, sizes)
+    by_word, found = field.emission[buckets].sum(1), []
+    for x, each_size, *_ in parts:
+        forward, backward = marginal_odds(by_word[x], field.transition, each_size)
+        odds = forward * backward
+        found.append(document_features(odds / (1 + odds), each_size))
+    f = np.concatenate(found)
     w, ridge = np.zeros(f.shape[1]), 0.5
 
     def loss(w: np.ndarray) -> float:
@@ -188,30 +206,21 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
     return field
 
 
-def _scored(raw: list[bytes], field: Field, memo: dict[bytes, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Marginals and sizes for runs of texts; only one run's words are held at a time."""
-    at = 0
-    while at < len(raw):
-        to, held = at, 0
-        while to < len(raw) and held < 1 << 20:
-            held += len(raw[to])
-            to += 1
-        docs = [t.split() for t in raw[at:to]]
-        words = [w for d in docs for w in d]
-        try:
-            e = np.fromiter(map(memo.__getitem__, words), np.float64, count=len(words))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            new = [w for w in set(words) if w not in memo]
-            weights = field.emission[np.array([word_features(w) for w in new])].sum(1)
-            memo.update(zip(new, weights.tolist(), strict=True))
-            e = np.fromiter(map(memo.__getitem__, words), np.float64, count=len(words))
-        sizes = np.array([len(d) for d in docs], np.int64)
-        forward, backward = marginal_odds(e, field.transition, sizes)
+def _scored(raw: list[bytes], field: Field, memo: dict[int, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Marginals and sizes for runs of texts; only one run's words are held at a time. memo has the weights of words by hash."""
+    for a, b in runs([len(t) for t in raw], RUN):
+        words = words_of(raw[a:b])
+        keys, at, code = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [(k, lo, hi) for k, lo, hi in zip(keys.tolist(), words.starts[at].tolist(), words.ends[at].tolist(), strict=True) if k not in memo]
+        if new:
+            weights = field.emission[np.array([word_features(words.data[lo:hi].tobytes()) for _, lo, hi in new])].sum(1)
+            memo.update(zip([k for k, _, _ in new], weights.tolist(), strict=True))
+        e = np.fromiter(map(memo.__getitem__, keys.tolist()), np.float64, count=len(keys))[code]
+        forward, backward = marginal_odds(e, field.transition, words.sizes)
         odds = forward * backward
-        yield odds / (1 + odds), sizes
-        at = to
+        yield odds / (1 + odds), words.sizes
 
 
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -246,17 +255,21 @@ def _spans(text: bytes, words: np.ndarray) -> list[dict]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field:
-    """Fits the field on at most max_docs rows of docs that have a label in labels(doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fits the field, in one task, on at most max_docs rows of docs that have a label in labels(doc_id, toxic) and a text of at most max_bytes.
+
+    They come in an order by hash of the id; where an id repeats, its rows count each. Ids with labels of both kinds have rows of both."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
     h = F.md5(F.concat(F.lit("tox|"), F.col("doc_id").cast("string")))
-    ids = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("h", h)  # texts are met only by the chosen ids
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    ids = short.select("doc_id").distinct().join(known, "doc_id").withColumn("h", h)  # texts are met only by the chosen ids
     most = max_docs * 3 // 5, max_docs * 2 // 5
     there = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     chosen = [ids.filter(F.col("toxic") == y).orderBy("h").limit(most[y]) for y in (1, 0)]
-    half = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    got = sorted((r["h"], (r["text"] or "").encode(), r["toxic"]) for r in half.collect())
-    return fit([(t, y) for _, t, y in got], stand=tuple(max(1.0, there.get(y, 0) / max(most[y], 1)) for y in (0, 1)))
+    rows = short.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = bounded(rows.select("toxic", "h", F.coalesce("text", F.lit("")).alias("text")), max_docs, "h", "text")
+    stand = tuple(max(1.0, there.get(y, 0) / max(most[y], 1)) for y in (0, 1))
+    return fitted(rows, lambda got: fit([(r["text"].encode(), r["toxic"]) for r in got], stand=stand))
 
 
 def toxic_scores(docs: DataFrame, field: Field) -> DataFrame:

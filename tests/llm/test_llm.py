@@ -264,6 +264,34 @@ def test_toxicity_scores_keep_the_share_of_toxic_rows(spark):
     assert toxicity.toxic_scores(docs, field).agg(F.avg("score")).first()[0] < 0.2
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are missing")
+def test_held_out_labels_and_languages(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.query(spark, d).filter("held_out").join(labels.filter("toxic is not null"), "doc_id")
+    counts = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    clean = counts.get((0, 0), 0) + counts.get((0, 1), 0)
+    assert counts.get((1, 1), 0) >= 4 and counts.get((0, 1), 0) <= 0.08 * clean  # few labels are there to learn from
+    got = language.query(spark, d).filter("held_out").join(docs.filter("lang is not null").select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog in the house", "en") for i in range(3000)] + [(9000 + i, "der hund und die katze im haus", "de") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, max_docs=60)
+    assert model.langs == ["de", "en"]
+    assert language.identify(docs.filter("lang = 'de'"), model).select("lang_pred").distinct().collect() == [("de",)]
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 90, "en")] * 50 + [(2, "y" * 900, "en"), (3, "z", "en")], "doc_id long, text string, lang string")
+    assert common.sample(docs, 10, "s", "text").count() == 10  # rows of an id that repeats count each
+    assert common.sample(docs, 100, "s", "text", max_bytes=100).filter("doc_id = 2").count() == 0
+    monkeypatch.setattr(common, "SAMPLE_TOTAL", 500)
+    assert common.sample(docs, 100, "s", "text").agg(F.sum(F.length("text"))).first()[0] <= 500
+
+
 def test_null_ids(spark):
     import corpus_pipeline
 
