@@ -2,7 +2,7 @@
 
 N-grams of one to three characters of the lower-cased letters are hashed to BUCKETS features. Document frequencies
 are counted over all training rows. The regression is fitted by follow-the-regularised-leader with an elastic net on a
-bounded sample of them (MAX_DOCS rows, in an order by hash, of which each tenth is kept for the temperature that calibrates its scores)."""
+bounded sample of them (MAX_DOCS rows, the same share of each language, in an order by hash, of which each tenth is kept for the temperature that calibrates its scores)."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import crc32_mod, documents, sample
+from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted
 
 MAX_DOCS = 3000
 BUCKETS = 1 << 15
@@ -116,8 +116,10 @@ def _predict(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """Fits on docs(doc_id, text, lang): frequencies on all rows with a lang, the regression on max_docs of them at most."""
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on docs(doc_id, text, lang): frequencies on all rows with a lang, the regression, in one task, on max_docs of them at most, with texts of at most max_bytes.
+
+    Languages share the sample evenly, so that a rare one is learned too. One row per language is collected."""
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df, total = np.zeros(BUCKETS), 0
@@ -127,8 +129,24 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    got = sample(rows, max_docs, "lang|", "text", "lang").collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["h"], r["text"]))], idf)
+    # the same share for each language, what some lack goes to the others
+    sizes = sorted((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect())  # a row for each language
+    taken, left = {}, max_docs
+    for i, (n, lang) in enumerate(sizes):
+        taken[lang] = min(n, left // (len(sizes) - i))
+        left -= taken[lang]
+    if not taken:
+        return fit([], idf)
+    h = F.md5(F.concat(F.lit("lang|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    short = rows.filter(F.octet_length("text") <= max_bytes)
+    quotas = rows.sparkSession.createDataFrame(list(taken.items()), "lang string, most int")
+    # hashes are even over their range: what lies under a language's share of it, and a margin, is ordered
+    near = short.join(F.broadcast(quotas), "lang").withColumn("h", h)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, (2 * taken[lang] + 50) / n)) for n, lang in sizes], "lang string, share double")
+    near = near.join(F.broadcast(shares), "lang").filter(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") < F.col("share") * float(1 << 48))
+    ids = near.select("doc_id", "lang", "h", "most").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter("nth <= most")
+    got = bounded(short.join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"]), max_docs, "h", "text").select("text", "lang")
+    return fitted(got, lambda found: fit([(r["text"], r["lang"]) for r in found], idf))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
