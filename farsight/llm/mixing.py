@@ -1,24 +1,34 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source is a stream of its documents in a permuted order, passed over again where its target exceeds its size, and
-cut into blocks of words. A target is a quota of blocks. A tree over the output shards splits the quotas exactly: at each
+Each source is a stream of its documents in a permuted order, cut into blocks of words. Its target is a quota of blocks: whole passes over the stream, and
+of one more pass as many blocks as are missing, the last of them cut. In each pass the blocks have a permuted order of their own,
+a bijection worked out block by block. A tree over the output shards splits the quotas exactly: at each
 node the share of the left half is one draw from the multivariate hypergeometric distribution over sources. A
-shard then owns disjoint ranges of the permuted blocks, and its rows get a random order of their own.
+shard draws disjoint ranges of the permuted blocks, and its rows are shuffled within it.
 Places in a stream come from sums per (source, hash prefix), so that no task holds a source."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import WORD, documents
+from farsight.llm.common import BREAK, WORD, documents
 
 WEIGHTS = (5, 2, 1)
 #: Times its own size that a source is used at most.
 REPEATS = 3
-#: Blocks of a mix, about: exact draws are made from less than a thousand million.
-BLOCKS = 1 << 29
+#: Words of a block at least; blocks of a mix, about: exact draws are made from less than a thousand million.
+BLOCK_WORDS, BLOCKS = 1024, 1 << 29
+#: Shards at least, and words of a shard, about.
+SHARDS, SHARD_WORDS = 16, 1 << 26
+#: Documents of a source's hash prefix, about.
+PART = 1 << 16
+#: Rounds in which the permutation of blocks swaps pairs.
+ROUNDS = 4
 
 
 def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
@@ -62,83 +72,124 @@ def block_size(words: int, least: int) -> int:
     return max(least, -(-words // BLOCKS))
 
 
+def keys(seed: int, source: int, turn: int, n: int) -> list[int]:
+    """Numbers that make the permutation of n blocks for one pass of a source: factor, shift, and what each round's pairs add up to."""
+    draw = lambda name: int(hashlib.md5(f"{seed}|{source}|{turn}|{name}".encode()).hexdigest()[:15], 16) % max(n, 1)
+    factor = max(draw("factor"), 1)
+    while math.gcd(factor, n) > 1:
+        factor += 1
+    return [factor, draw("shift"), *(draw(f"round {i}") for i in range(1, ROUNDS + 1))]
+
+
+def place(block: int, n: int, salt: str, turn: int, k: list[int]) -> int:
+    """Place of a block in the order of a pass: a bijection of 0 to n - 1. PLACE is the same in SQL."""
+    x = (k[0] * block + k[1]) % n
+    for i in range(1, ROUNDS + 1):
+        y = (k[1 + i] - x) % n
+        if ord(hashlib.md5(f"{salt}|{turn}|{i}|{max(x, y)}".encode()).hexdigest()[0]) % 2:
+            x = y
+    return x
+
+
+PLACE = f"""aggregate(sequence(1, {ROUNDS}), pmod(turns[r][0] * j + turns[r][1], blocks), (x, i) -> if(
+    ascii(md5(concat_ws('|', salt, r, i, greatest(x, pmod(turns[r][1 + i] - x, blocks))))) % 2 = 1, pmod(turns[r][1 + i] - x, blocks), x))"""
+
+
+def quota(size: int, whole: int, block: int, last_place: int) -> tuple[int, int]:
+    """Blocks that give `whole` words of a stream of `size` words, and how many words of the last drawn; last_place is that of the short block in the pass drawn in part."""
+    n = -(-size // block)
+    full, rest = divmod(whole, size) if size else (0, 0)
+    if not rest:
+        return full * n, block
+    lacks = n * block - size
+    words = lambda k: k * block - (lacks if last_place < k else 0)
+    q = -(-rest // block)
+    q += words(q) < rest
+    return full * n + q, rest - words(q - 1)
+
+
 def place_hash(seed: int = 1) -> Column:
-    """Place of a document in its source's order; one without an id has its place by its text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), key))
+    """Place of a row in its source's order, by its id and text."""
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text))
 
 
-def mixture(docs: DataFrame, block_words: int = 64, shards: int = 16, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs(doc_id, source, text, ...) with size, source_size, target, taken, draws and h, by which draws find their text.
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int | None = None, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, draws, h) for each row of docs(doc_id, source, text).
 
     size is the number of words (null: 0), target the words due to the source, taken the words of the document in the mix,
     repeats counted: from 0 to 3 times its size. draws lists (pass, first word, words, shard, order): words drawn
-    from the text, and where they go. Sources by code point, null last, have the given weights in turn. Each source's taken
+    from the text, the shard that drew them and their place there; h finds the text. Sources by code point, null last, have the given weights in turn. Each source's taken
     words are its target, rounded. One row per source is collected (names and sums). Documents without words
-    have no draws; equal rows share one place in the order and are both placed there, so doc_id should be unique; input columns of these names are replaced;
-    an empty table gives an empty one."""
+    have no draws; rows with equal id and text have one place in the order, one after another. Null ids and sources are values like others, other columns are
+    ignored, an empty table gives an empty one. shards is SHARDS, or more for a mix of many words."""
     spark = docs.sparkSession
-    sized = docs.drop("size", "source_size", "target", "taken", "draws").withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    narrow = sized.select("doc_id", "source", "size", place_hash(seed).alias("h"))
-    narrow = narrow.withColumn("part", F.substring("h", 1, 3))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    narrow = docs.select("doc_id", "source", size.alias("size"), place_hash(seed).alias("h"))
+    digits = 3
+    while docs.count() > PART * 16**digits and digits < 8:
+        digits += 1
+    narrow = narrow.withColumn("part", F.substring("h", 1, digits))
     parts = narrow.groupBy("source", "part").agg(F.sum("size").alias("words"))
     sums = parts.groupBy("source").agg(F.sum("words").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = [int(r["words"]) for r in sums]
     due = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     whole = [min(round(t), REPEATS * s) for t, s in zip(due, sizes, strict=True)]
     block_words = block_size(sum(whole), block_words)
-    quotas = split_quotas([-(-w // block_words) for w in whole], shards, seed)
-    bounds = np.minimum(np.concatenate((np.zeros((1, len(sizes)), np.int64), np.cumsum(quotas, axis=0))) * block_words, whole)
+    shards = shards or max(SHARDS, -(-sum(whole) // SHARD_WORDS))
+    rows, drawn = [], []
+    for i, (r, s, t, w) in enumerate(zip(sums, sizes, due, whole, strict=True)):
+        n, salt = -(-s // block_words), f"{seed}|{i}"
+        turns = [keys(seed, i, turn, n) for turn in range(REPEATS)]
+        part = w // s if s else 0
+        last = place(n - 1, n, salt, part, turns[part]) if n and part < REPEATS else n
+        q, cut = quota(s, w, block_words, last)
+        drawn.append(q)
+        rows.append([r["source"], s, t, n, salt, turns, q, cut])
+    bounds = np.concatenate((np.zeros((1, len(rows)), np.int64), np.cumsum(split_quotas(drawn, shards, seed), axis=0)))
     plan = spark.createDataFrame(
-        [(r["source"], s, t, w, [int(x) for x in bounds[:, i]]) for i, (r, s, t, w) in enumerate(zip(sums, sizes, due, whole, strict=True))],
-        "source string, source_size long, target double, whole long, bounds array<long>",
+        [(*row, bounds[:, i].tolist()) for i, row in enumerate(rows)],
+        "source string, source_size long, target double, blocks long, salt string, turns array<array<long>>, quota long, cut long, bounds array<long>",
     )
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("n")
-    placed = placed.join(starts.alias("s"), F.expr("n.source <=> s.source and n.part = s.part")).select("n.*", "s.before")
-    placed = placed.alias("n").join(plan.alias("p"), F.expr("n.source <=> p.source")).select("n.*", "p.source_size", "p.target", "p.whole", "p.bounds")
+    placed = placed.join(starts.alias("s"), F.expr("n.source <=> s.source and n.part = s.part")).select("n.*", F.expr("s.before + n.inside").alias("o"))
+    placed = placed.alias("n").join(plan.withColumnRenamed("source", "__source"), F.expr("source <=> __source"))
+    of_blocks = f"""
+      transform(sequence(o div {block_words}, (o + size - 1) div {block_words}), j -> named_struct('pass', r, 'j', j, 'at', r * blocks + {PLACE}))"""
+    found = F.when(F.col("size") > 0, F.expr(f"filter(flatten(transform(sequence(0, {REPEATS - 1}), r -> {of_blocks})), x -> x.at < quota)"))
+    # down the splitting tree to the shard whose range has the block
+    shard = f"""aggregate(sequence(1, {max(1, math.ceil(math.log2(max(shards, 2))))}), named_struct('lo', 0, 'hi', {shards}), (s, i) -> if(
+        x.at >= bounds[(s.lo + s.hi) div 2], named_struct('lo', int((s.lo + s.hi) div 2), 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2))), s -> s.lo)"""
+    end = f"least(o + size, if(x.at = quota - 1, x.j * {block_words} + cut, (x.j + 1) * {block_words}))"
     draws = F.expr(f"""
-      filter(flatten(transform(sequence(0, {REPEATS - 1}), r -> transform(
-        filter(sequence(0, {shards - 1}), k -> bounds[k + 1] > r * source_size + before + inside and bounds[k] < r * source_size + before + inside + size),
-        k -> named_struct('pass', r, 'first', greatest(bounds[k] - (r * source_size + before + inside), 0L),
-          'words', least(bounds[k + 1], r * source_size + before + inside + size) - greatest(bounds[k], r * source_size + before + inside),
-          'shard', k, 'order', xxhash64(doc_id, r, k, {seed}))))), d -> d.words > 0)""")
-    placed = placed.withColumn("draws", draws).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)"))
+      filter(transform(found, x -> named_struct('pass', x.pass, 'first', greatest(x.j * {block_words} - o, 0L), 'words', {end} - greatest(x.j * {block_words}, o),
+        'shard', {shard}, 'order', xxhash64(salt, x.at, {seed}))), d -> d.words > 0)""")
+    none = F.array().cast("array<struct<pass: int, first: bigint, words: bigint, shard: int, order: bigint>>")
+    placed = placed.withColumn("found", found).withColumn("draws", F.coalesce(draws, none)).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)"))
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "draws", "h")
 
 
 def drawn_texts(docs: DataFrame, mixed: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of docs, once for each pass that draws from them; a text drawn in part keeps only the drawn words."""
-    taken = mixed.filter("taken > 0").select(F.col("h").alias("__h"), "size", "draws", F.col("source").alias("__source")).dropDuplicates(["__h", "__source"]).withColumnRenamed("size", "__size").withColumnRenamed("draws", "__draws")
-    passes = F.expr("""
-      filter(transform(array_distinct(transform(__draws, d -> d.pass)), p -> named_struct('pass', p,
-        'first', array_min(transform(filter(__draws, d -> d.pass = p), d -> d.first)),
-        'words', aggregate(filter(__draws, d -> d.pass = p), 0L, (a, d) -> a + d.words))), x -> x.words > 0)""")
-    words = F.expr("slice(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), cast(__x.first as int) + 1, cast(__x.words as int))")
-    rows = docs.withColumn("__k", place_hash(seed)).join(taken, F.expr("__k = __h and source <=> __source")).withColumn("__x", F.explode(passes))
-    text = F.when(F.col("__x.words") >= F.col("__size"), F.col("text")).otherwise(F.array_join(words, " "))
-    return rows.withColumn("text", text).select(*docs.columns)
+    """The rows of docs, once for each pass and shard that draws from them, with the drawn words in their order. Shards are written one after another within tasks, each shuffled."""
+    taken = mixed.filter("taken > 0").groupBy(F.col("h").alias("__h"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    taken = taken.agg(F.collect_list(F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), d["first"].alias("first"), d["words"].alias("words"), d["order"].alias("order")))).alias("__copies"))
+    taken = taken.select("*", F.posexplode("__copies").alias("__copy", "__draws")).drop("__copies")
+    taken = taken.withColumn("__x", F.explode(F.expr("array_distinct(transform(__draws, d -> named_struct('pass', d.pass, 'shard', d.shard)))")))
+    own = F.expr("array_sort(transform(filter(__draws, d -> d.pass = __x.pass and d.shard = __x.shard), d -> named_struct('first', int(d.first), 'words', int(d.words), 'order', d.order)))")
+    taken = taken.select("__h", "__source", "__size", "__x", own.alias("__own"))
+    once = docs.withColumn("__k", place_hash(seed)).withColumn("__nth", F.row_number().over(Window.partitionBy("__k", "source").orderBy("__k"))).filter("__nth = 1")
+    rows = once.join(taken, F.expr("__k = __h and source <=> __source"))
+    words = F.filter(F.split("text", BREAK), lambda w: w != "")
+    drawn = F.expr("flatten(transform(__own, d -> slice(__words, d.first + 1, d.words)))")
+    whole = F.expr("aggregate(__own, 0L, (a, d) -> a + d.words)") >= F.col("__size")
+    rows = rows.withColumn("__words", F.when(~whole, words))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(drawn, " "))
+    rows = rows.withColumn("text", text).withColumn("__order", F.expr("__own[0].order"))
+    return rows.repartition("__x.shard").sortWithinPartitions("__x.shard", "__order", "__k").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
-
-
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    md5('1|' || doc_id) AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
-    row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
-o AS (SELECT *, (SELECT sum(source_size) FROM s)::BIGINT AS total,
-    coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
-    sum(w) OVER (ORDER BY 3 * source_size / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS ws FROM s),
-l AS (SELECT min_by(1.0::DOUBLE * (total - capped) / ws, 3 * source_size / w) AS level FROM o WHERE 3 * source_size > (total - capped)::DOUBLE / ws * w),
-t AS (SELECT source, source_size, least(3 * source_size::DOUBLE, level * w) AS target FROM s, l),
-p AS (SELECT d.*, t.source_size, t.target, least(round_even(t.target, 0)::BIGINT, 3 * t.source_size) AS whole,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(least(whole, c + size) - c, 0) + greatest(least(whole, source_size + c + size) - source_size - c, 0)
-  + greatest(least(whole, 2 * source_size + c + size) - 2 * source_size - c, 0))::BIGINT AS taken FROM p
-"""
+    return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "draws")

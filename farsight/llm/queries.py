@@ -16,4 +16,4 @@ QUERIES = {
     "op9_jaccard": jaccard.query,
     "op10_token_counts": token_counts.query,
 }
-ORACLES = {"op5_substring": substring.ORACLE, "op8_mixing": mixing.ORACLE, "op9_jaccard": jaccard.ORACLE}
+ORACLES = {"op5_substring": substring.ORACLE, "op9_jaccard": jaccard.ORACLE}

@@ -223,7 +223,7 @@ def _scored(raw: list[bytes], field: Field, memo: dict[int, float]) -> Iterator[
         yield odds / (1 + odds), words.sizes
 
 
-def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], held, names: list[str]) -> Iterator[pa.RecordBatch]:
     field, memo = held.value, {}
     for batch in batches:
         raw = texts(batch)
@@ -237,7 +237,7 @@ def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
                 at += 1
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-            [*batch.schema.names, "score", "spans"],
+            [*batch.schema.names, *names],
         )
 
 
@@ -272,17 +272,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byte
     return fitted(rows, lambda got: fit([(r["text"].encode(), r["toxic"]) for r in got], stand=stand))
 
 
-def toxic_scores(docs: DataFrame, field: Field) -> DataFrame:
-    """docs(text, ...) with score and spans.
+def toxic_scores(docs: DataFrame, field: Field, score: str = "score", spans: str = "spans") -> DataFrame:
+    """docs(text, ...) with score and spans, under these names.
 
     score lies between 0 and 1; spans are code point offsets of runs of words with a toxic marginal over one half.
     Null and empty texts get the score of a text without words and no spans. Every row stays, repeated ones and such
-    with null ids too; input columns named score or spans are replaced; an empty table gives an empty one. Without labels
+    with null ids too; input columns of these two names are replaced; an empty table gives an empty one. Without labels
     of both kinds, all texts get the same score on the side of the only kind."""
-    docs = docs.drop("score", "spans")
+    docs = docs.drop(score, spans)
     held = docs.sparkSession.sparkContext.broadcast(field)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("score double, spans array<struct<start: int, end: int>>").fields])
-    return docs.mapInArrow(lambda it: _score(it, held), schema)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"{score} double, {spans} array<struct<start: int, end: int>>").fields])
+    return docs.mapInArrow(lambda it: _score(it, held, [score, spans]), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
