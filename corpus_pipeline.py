@@ -12,38 +12,49 @@ from farsight.llm.common import crc32_mod, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't scored as toxic. The field learns from labels of ids in four of five folds."""
+    """Documents that aren't scored as toxic. The field learns from labels of ids in four of five folds.
+
+    Null and empty texts are scored as texts without words, repeated rows and such with null ids each alike; an empty table stays empty. Columns of any name stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.train(docs.filter(crc32_mod("doc_id", 5) != 0), labels)
-    return toxicity.toxic_scores(docs, field).filter("score < 0.5").select(*docs.columns)
+    return toxicity.toxic_scores(docs, field, "__toxicity", "__spans").filter("__toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id.
+
+    Rows without words or without an id stay, as they are like no other; all rows of an id stay or go together; columns of any name stay as they are."""
     found = jaccard.near_duplicates(docs, words=5, num=80, den=100)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))  # without an id nothing is a duplicate
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").unionByName(docs.filter("doc_id is null"))  # without an id nothing is a duplicate
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 13 words or more that an earlier document has; emptied documents go."""
-    found = substring.repeated_substrings(docs, length=13, carry=True)
+    """Texts without the passages of 13 words or more that an earlier document has; documents that lose all words go.
+
+    Null and empty texts and rows without an id stay as they are; rows that repeat an id with its text get the same result. Columns but text and n_chars, of any name, stay as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *others).alias("__row"))
+    found = substring.repeated_substrings(held, length=13, carry=True)
     return (
         found.filter("n_removed = 0 or n_removed < n_words")
-        .withColumns({"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))})
-        .withColumn("n_chars", F.length("text").cast("long"))
+        .withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+        .select("doc_id", "text", "__row.*")
+        .withColumns({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
         .select(*docs.columns)
     )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each time a document is drawn; one drawn in part has only the words drawn."""
+    """The mix of the sources: a row for each time that a shard draws from a document, with the words drawn, shuffled within the shard.
+
+    Documents without words aren't drawn. Null ids and sources are values like others; columns but text and n_chars, of any name, stay as they are."""
     drawn = mixing.drawn_texts(docs, mixing.mixture(docs))
-    return drawn.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return drawn.withColumns({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each text goes among sequences of 2048 tokens."""
+    """Where each piece of each text goes among sequences of 2048 tokens. A null or empty text is its end mark alone; every row is packed, repeated ones too."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
