@@ -2,7 +2,7 @@
 
 Equal shingle sets are collapsed, within a batch before their tokens are dealt and over all batches before they are grouped. Each different set
 gives the leading part of its tokens in one global order (common tokens last): two sets whose Jaccard index reaches the threshold share
-SHARED tokens of these parts, or all that they must share. Similar sets are dealt into groups of bounded size by their least shared token.
+SHARED tokens of these parts, or all that they must share. Similar sets are dealt into groups of bounded size by the token that they share with most others.
 
 First each group is opened for its own members: what links them makes preliminary components. Parts of one crowd
 have a few members in common, so that thousands of near copies are one component after this round.
@@ -207,11 +207,11 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     met = leading.groupBy("token").agg(F.min(least).alias("lo"), F.max(most).alias("hi")).filter("lo < hi").select("token")
     every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
     met = written(leading.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
-    shared = met.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("token")
+    shared = met.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     leads = written(met.join(shared, "token"))
 
     needed = lambda n: F.least(F.lit(SHARED), F.ceil(n * num / den))
-    home = leads.groupBy("doc_id").agg(F.min("token").alias("g"), F.first("n").alias("n"), F.count("*").alias("tokens")).filter(F.col("tokens") >= needed(F.col("n")))
+    home = leads.groupBy("doc_id").agg(F.max_by("token", F.struct("df", "token")).alias("g"), F.first("n").alias("n"), F.count("*").alias("tokens")).filter(F.col("tokens") >= needed(F.col("n")))
     parts = F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_TOKENS))).cast("int")
     some = F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"), F.min_by("doc_id", F.xxhash64("doc_id"))))
     crowds = home.groupBy("g").agg(parts.alias("parts"), some.alias("some"))
@@ -225,6 +225,8 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     owned = written(owned.select("token", "doc_id", "n", "g", "c", "component"))
     apart = owned.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     owned = written(owned.join(apart, "token"))
+    able = owned.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).filter(F.col("tokens") >= needed(F.col("n"))).select("doc_id")
+    owned = owned.join(able, "doc_id")
     matrix = owned.groupBy("token", "g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     matrix = written(matrix)
     one, two = (matrix.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("g", "c", "least", "most", "lo", "hi"))) for i in (1, 2))
