@@ -3,10 +3,12 @@
 A token is a tag with its class, or a text, together with the path of elements around it. Over the pages of a host,
 each token has an occurrence vector: how often each page has it. Tokens with equal vectors form a class; the vectors are compared by
 a sum of page hashes times counts, so that no task ever holds a host's pages. A class is valid if enough of
-the pages have it; valid classes are nested by their paths and make the host's template: its texts are constants,
-its tags hold the slots; paragraphs and headings of an article are never constants. What remains is extracted from the slot that holds the article: inside article or main if
-the page has it, else inside the template element that holds most free text on this host. Elements that are navigation,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by tag, role or class are no slots."""
+the pages have it and it has a tag: its texts that lie within one of its own tags are constants of the template, for they come and go with
+the element around them; a text with another vector than all tags around it is content, however many pages have it. Tags that stand once on each page that has them are the nodes of the
+template, nested by their paths. Free text, which is no constant, adds to all nodes around it. The slot that is extracted is the deepest node with
+most of the host's free text and all of its first-level headings; a node that is an article or main element comes first, if it has these. Navigation,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by tag, role or class hold no free text. A page without the slot, or
+of a host without a template, gives what its article or main element holds, else all free text."""
 
 from __future__ import annotations
 
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from farsight.llm.common import written
 
 #: Share of a host's pages, and number, that must have a class for it to be valid.
-SUPPORT, LEAST = 0.5, 3
+SUPPORT, LEAST = 0.5, 4
+#: Share of a host's free text that its slot has at least.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<",
@@ -34,7 +38,6 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 _OUT = frozenset("head nav header footer aside form button select option dialog menu object canvas audio video".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notices?|comments?|respond|reply|replies|disqus|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|search|complementary|contentinfo|alert)(?:$|[\s_-])",
@@ -76,7 +79,7 @@ def events(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                         yield "close", label, tuple(s[1] for s in stack)
                 elif stack[i][0] in _LIMITS:
                     break
-        names = " ".join(x for found in _CLASS.findall(m[3] or "") for x in found if x)
+        names = re.sub(r"[0-9]+", "0", " ".join(x for found in _CLASS.findall(m[3] or "") for x in found if x))  # ids with numbers differ by page
         label = f"{tag}.{names}" if names else tag
         yield "open", label, tuple(s[1] for s in stack)
         stack.append((tag, label))
@@ -99,86 +102,90 @@ def _clean(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
-def page_tokens(page: str) -> tuple[dict[int, int], dict[str, int]]:
-    """Occurrences of each token of a page, and free text by the path of its container."""
-    count: dict[int, int] = {}
-    mass: dict[str, int] = {}
+def page_tokens(page: str) -> dict[tuple[int, bool, str], list[int]]:
+    """Occurrences of each token of a page by (hash, whether it is a tag, where it is), and their free text and free headings."""
+    out: dict[tuple[int, bool, str], list[int]] = {}
     for kind, value, path in events(page):
-        if kind == "open":
-            t = _hash("tag", value, _structure(path))
+        if kind == "open" and value.partition(".")[0] in _BLOCK:
+            place = _structure((*path, value))
+            row = out.setdefault((_hash("tag", place), True, place), [0, 0, 0])
         elif kind == "text" and value.strip():
-            value = _clean(value)
-            t = _hash("text", value, _structure(path))
-            blocks = [p for p in path if p.partition(".")[0] in _BLOCK]
-            if blocks and not _outside(path) and not any(p.partition(".")[0] == "a" for p in path):
-                holder = ">".join(blocks[:-1] if blocks[-1].partition(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") else blocks)
-                mass[holder] = mass.get(holder, 0) + len(value)
+            value, place = _clean(value), _structure(path)
+            row = out.setdefault((_hash("text", value, place), False, place), [0, 0, 0])
+            if not _outside(path) and not any(p.partition(".")[0] == "a" for p in path):
+                row[1] += len(value)
+                row[2] += len(value) * any(p.partition(".")[0] == "h1" for p in path)
         else:
             continue
-        count[t] = count.get(t, 0) + 1
-    return count, mass
+        row[0] += 1
+    return out
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, holder, vector, pages, mass), summed over a batch; token null for the mass of a holder."""
+    """(host, token, tag, place, vector, pages, times, free, heading), summed over a batch."""
+    names = ["host", "token", "tag", "place", "vector", "pages", "times", "free", "heading"]
+    types = (pa.string(), pa.int64(), pa.bool_(), pa.string(), *[pa.int64()] * 5)
     for batch in batches:
         sums: dict[tuple, list[int]] = {}
         for page, host, html in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            count, mass = page_tokens(html or "")
             h = _hash("page", str(page)) | 1
-            for t, n in count.items():
-                row = sums.setdefault((host, t, None), [0, 0, 0])
+            for token, (n, free, heading) in page_tokens(html or "").items():
+                row = sums.setdefault((host, *token), [0, 0, 0, 0, 0])
                 row[0] = (row[0] + h * n) & 0xFFFFFFFFFFFFFFF
-                row[1] += 1
-            for p, n in mass.items():
-                sums.setdefault((host, None, p), [0, 0, 0])[2] += n
-        rows = list(sums.items())
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = [[k[0] for k, _ in rows], [k[1] for k, _ in rows], [k[2] for k, _ in rows], *([v[i] for _, v in rows] for i in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "token", "holder", "vector", "pages", "mass"])
+                for i, x in enumerate((1, n, free, heading), 1):
+                    row[i] += x
+        columns = [*([k[i] for k in sums] for i in range(4)), *([v[i] for v in sums.values()] for i in range(5))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def main_text(page: str, constants: set[int], holder: str | None) -> str:
-    """The page's article: one line for each block."""
+def _within(place: str, slot: str) -> bool:
+    return place == slot or place.startswith(slot + ">")
+
+
+def main_text(page: str, constants: set[int], slot: str | None) -> str:
+    """What the slot of a page holds, or its article: one line for each block."""
     if not page:
         return ""
     parsed = list(events(page))
-    slot = None
-    for name in ("article", "main"):
-        if any(k == "open" and v.partition(".")[0] == name and not _outside((*p, v)) for k, v, p in parsed):
-            slot = name
+    tag = None
+    if not slot or not any(k == "text" and v.strip() and not _outside(p) and _within(_structure(p), slot) for k, v, p in parsed):
+        slot = None  # a page of another make
+        for name in ("article", "main"):
+            if any(k == "open" and v.partition(".")[0] == name and not _outside((*p, v)) for k, v, p in parsed):
+                tag = name
+                break
+    for held in (constants, set()):  # a page of constants alone keeps them
+        blocks: list[str] = []
+        parts: list[str] = []
+
+        def flush(parts: list[str] = parts, blocks: list[str] = blocks) -> None:
+            text = _clean("".join(parts))
+            if text:
+                blocks.append(text)
+            parts.clear()
+
+        for kind, value, path in parsed:
+            if kind in ("open", "close"):
+                if value.partition(".")[0] in _BLOCK:
+                    flush()
+            elif kind == "break":
+                parts.append(" ")
+            elif not _outside(path):
+                place = _structure(path)
+                within = _within(place, slot) if slot else not tag or any(p.partition(".")[0] == tag for p in path)
+                if within and (not value.strip() or _hash("text", _clean(value), place) not in held):
+                    parts.append(value)
+        flush()
+        if blocks or not constants:
             break
-    if holder and not any(k == "text" and v.strip() and _structure(p).startswith(holder) for k, v, p in parsed):
-        holder = None  # a page of another make
-    blocks: list[str] = []
-    parts: list[str] = []
-
-    def flush() -> None:
-        text = _clean("".join(parts))
-        if text:
-            blocks.append(text)
-        parts.clear()
-
-    for kind, value, path in parsed:
-        if kind in ("open", "close"):
-            if value.partition(".")[0] in _BLOCK:
-                flush()
-        elif kind == "break":
-            parts.append(" ")
-        elif not _outside(path):
-            within = any(p.partition(".")[0] == slot for p in path) if slot else (not holder or _structure(path).startswith(holder))
-            prose = slot and any(p.partition(".")[0] in _PROSE for p in path)  # an article's own paragraphs may repeat
-            if within and (prose or not value.strip() or _hash("text", _clean(value), _structure(path)) not in constants):
-                parts.append(value)
-    flush()
     return "\n".join(blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for html, constants, holder in zip(*(batch.column(c).to_pylist() for c in ("html", "tokens", "holder")), strict=True):
-            found.append(main_text(html or "", set(constants or ()), holder))
+        for html, constants, slot in zip(*(batch.column(c).to_pylist() for c in ("html", "constants", "slot")), strict=True):
+            found.append(main_text(html or "", set(constants or ()), slot))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"]
         )
@@ -189,19 +196,33 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """(host, tokens, holder): the tokens of each host's valid classes, and the element that holds most of its free text."""
+    """(host, constants, slot): texts of each host's valid classes, and the path of the template's node that holds the articles; null where there is none."""
     rows = pages.select("page_id", host().alias("host"), "html")
-    seen = rows.mapInArrow(_occurrences, "host string, token long, holder string, vector long, pages long, mass long")
+    seen = rows.mapInArrow(_occurrences, "host string, token long, tag boolean, place string, vector long, pages long, times long, free long, heading long")
     # sums are taken modulo 2**60, so that partial sums never overflow
-    seen = seen.groupBy("host", "token", "holder").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("pages").alias("pages"), F.sum("mass").alias("mass"))
-    # a table, as both joins below need it: the pages are parsed for it once
+    seen = seen.groupBy("host", "token", "tag", "place").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), *(F.sum(c).alias(c) for c in ("pages", "times", "free", "heading")))
+    # a table, as the joins below need it: the pages are parsed for it once
     seen = written(seen.withColumn("v", F.pmod("v", F.lit(1 << 60).cast("decimal(38,0)")).cast("long")))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    tokens = seen.filter("token is not null").join(sizes, "host").filter((F.col("pages") >= least) & (F.col("pages") >= support * F.col("n")))
-    classes = tokens.groupBy("host", "v", "pages").agg(F.collect_set("token").alias("tokens"))
-    nested = classes.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    holders = seen.filter("holder is not null").groupBy("host").agg(F.max_by("holder", F.struct("mass", "holder")).alias("holder"))
-    return sizes.select("host").join(nested, "host", "left").join(holders, "host", "left")
+    common = seen.join(sizes, "host").filter((F.col("pages") >= least) & (F.col("pages") >= support * F.col("n")))
+    # tokens that half of a host's pages have are at most twice those of a page
+    classes = common.groupBy("host", "v", "pages").agg(
+        F.collect_list(F.when(F.col("tag"), F.struct("place", (F.col("times") == F.col("pages")).alias("once")))).alias("tags"),
+        F.collect_list(F.when(~F.col("tag"), F.struct("token", "place"))).alias("texts"),
+    ).filter("size(tags) > 0")
+    inside = F.expr("filter(texts, t -> exists(tags, x -> t.place = x.place or startswith(t.place, concat(x.place, '>'))))")
+    nested = written(classes.select("host", F.transform(inside, lambda t: t["token"]).alias("constants"), F.expr("transform(filter(tags, x -> x.once), x -> x.place)").alias("nodes")))
+    constants = nested.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("constants"))).alias("constants"))
+    nodes = nested.select("host", F.explode("nodes").alias("node"))
+    free = seen.filter("free > 0").join(nested.select("host", F.explode("constants").alias("token")), ["host", "token"], "left_anti")
+    free = free.groupBy("host", "place").agg(F.sum("free").alias("free"), F.sum("heading").alias("heading"))
+    total = free.groupBy("host").agg(F.sum("free").alias("all_free"), F.sum("heading").alias("all_heading"))
+    around = F.expr("transform(sequence(1, size(split(place, '>'))), i -> array_join(slice(split(place, '>'), 1, i), '>'))")
+    masses = free.withColumn("node", F.explode(around)).groupBy("host", "node").agg(F.sum("free").alias("free"), F.sum("heading").alias("heading"))
+    fit = masses.join(nodes, ["host", "node"]).join(total, "host").filter((F.col("free") > MOST * F.col("all_free")) & (F.col("heading") >= F.col("all_heading")))
+    named = F.regexp_extract("node", "([^>.]*)[^>]*$", 1).isin("article", "main")
+    slots = fit.groupBy("host").agg(F.max_by("node", F.struct(named, F.length("node"), "node")).alias("slot"))
+    return sizes.select("host").join(constants, "host", "left").join(slots, "host", "left")
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
@@ -209,8 +230,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> D
 
     A null or empty html, and a page whose article is empty, give an empty text. Character references are decoded, white space
     inside a block is one space, blocks are joined by a line break in page order; nothing is cut. A null
-    url counts as a host of its own name ''; hosts with fewer than `least` pages have no template and keep all
-    that isn't navigation and the like. Repeated rows keep their rows, other columns are ignored, an empty table gives an empty one."""
+    url counts as a host of its own name ''; hosts with fewer than `least` pages have no template. Repeated rows keep their rows, other columns are ignored, an empty table gives an empty one."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host().alias("host"))
     # as a table its size is known, and Spark broadcasts it only if that is small
     return rows.join(written(templates(pages, support, least)), "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
