@@ -33,6 +33,15 @@ MARKS = [
 ]
 
 
+# What strip() takes for white space, as a class that patterns in Spark and in SQL share.
+BLANKS = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def strip(text: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
 def _canonical(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: unicodedata.normalize("NFKC", x).casefold().strip(), na_action="ignore")
 
@@ -40,7 +49,7 @@ def _canonical(labels: pd.Series) -> pd.Series:
 def canonical_label(label: Column) -> Column:
     """Compatibility-normalised, case-folded and trimmed label, '' for null; ASCII labels stay in the JVM."""
     text = F.coalesce(label.cast("string"), F.lit(""))
-    return F.when(text.rlike("^[\\x00-\\x7F]*$"), F.lower(F.regexp_replace(text, "^\\s+|\\s+$", ""))).otherwise(F.pandas_udf(_canonical, T.StringType())(text))
+    return F.when(text.rlike("^[\\x00-\\x7F]*$"), F.lower(strip(text))).otherwise(F.pandas_udf(_canonical, T.StringType())(text))
 
 
 def iri_tail(iri: Column) -> Column:
@@ -70,12 +79,12 @@ def word_count(text: Column) -> Column:
 
 def first_paragraph(text: Column) -> Column:
     """Text up to the first blank line."""
-    return F.trim(F.split(F.trim(text), "\n\n", 2)[0])
+    return strip(F.split(strip(text), "\n\n", 2)[0])
 
 
 def pair_text(label: Column, context: Column) -> Column:
     """`label : context`, or the context alone if it has the label in any case."""
-    name, text = F.trim(F.coalesce(label, F.lit(""))), F.trim(F.coalesce(context, F.lit("")))
+    name, text = strip(F.coalesce(label, F.lit(""))), strip(F.coalesce(context, F.lit("")))
     return F.when((name != "") & ~F.contains(F.lower(text), F.lower(name)), F.concat(name, F.lit(" : "), text)).otherwise(text)
 
 
@@ -89,7 +98,7 @@ def tag_name(*parts: Column) -> Column:
 
 
 def length_and_suffix(text: Column, most: int, endings: list[str]) -> Column:
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     ends = F.lit(False)
     for e in endings:
         ends = ends | t.endswith(e)
@@ -98,7 +107,7 @@ def length_and_suffix(text: Column, most: int, endings: list[str]) -> Column:
 
 def two_source_text(first: Column, second: Column, cut_first: bool = False) -> Column:
     """First source if it isn't blank, else the first paragraph of the second, else null."""
-    one = F.nullif(F.trim(first), F.lit(""))
+    one = F.nullif(strip(first), F.lit(""))
     return F.coalesce(first_paragraph(one) if cut_first else one, F.nullif(first_paragraph(second), F.lit("")))
 
 
@@ -122,7 +131,7 @@ def token_window(first: Column, last: Column, size: Column, limit: int, context:
 
 def first_of(*columns: Column) -> Column:
     """First column that is neither null nor blank."""
-    return F.coalesce(*(F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns))
+    return F.coalesce(*(F.nullif(strip(c.cast("string")), F.lit("")) for c in columns))
 
 
 def page_key(qid: Column, tag: Column) -> Column:
@@ -132,7 +141,7 @@ def page_key(qid: Column, tag: Column) -> Column:
 
 def usable_label(label: Column) -> Column:
     """Label that says something: not blank, no id, no number and no name of the source (F1)."""
-    t = F.trim(F.coalesce(label, F.lit("")))
+    t = strip(F.coalesce(label, F.lit("")))
     return (t != "") & ~t.rlike("^Q\\d+$") & ~t.rlike("^\\d+$") & ~F.lower(t).rlike("wikidata|wikipedia|wikimedia")
 
 
@@ -155,7 +164,7 @@ def stub_paragraph(text: Column) -> Column:
 
 def clean_paragraph(text: Column, min_words: int = 10) -> Column:
     """Paragraph with single spaces; null if empty, too short or a disambiguation."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))
+    t = strip(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))
     low = F.lower(t)
     bad = low.rlike("^(" + "|".join(LEADS) + ")") | F.left(low, F.lit(200)).rlike("|".join(MARKS))
     return F.when((t != "") & ~bad & (word_count(t) >= min_words), t)

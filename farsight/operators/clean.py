@@ -29,7 +29,7 @@ def keep_first_with_tags(items: DataFrame, order: tuple[str, ...] = ("file", "po
 
 def keep_longest(pages: DataFrame, keys: list[str], text: str, *ties: str) -> DataFrame:
     """Row with the longest trimmed text of each key, the first of equals; blank texts go (A3)."""
-    df = pages.withColumn("__t", F.trim(text)).filter("__t <> ''").withColumn("__l", F.length("__t"))
+    df = pages.withColumn("__t", X.strip(text)).filter("__t <> ''").withColumn("__l", F.length("__t"))
     return keep_one(df, keys, F.desc("__l"), *ties).withColumn(text, F.col("__t")).drop("__t", "__l")
 
 
@@ -42,13 +42,13 @@ def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def unique_tags(items: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct trimmed, non-blank tags over several list columns (A5)."""
     every = F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns)))
-    return items.select(F.explode(every).alias("tag")).select(F.trim("tag").alias("tag")).filter("tag <> ''").distinct()
+    return items.select(F.explode(every).alias("tag")).select(X.strip("tag").alias("tag")).filter("tag <> ''").distinct()
 
 
 def drop_keyword_tags(items: DataFrame, words: tuple[str, ...] = ("wikipedia", "wikidata")) -> DataFrame:
-    """Items whose tags have no text with any of the words, with the number of tags removed."""
-    hit = lambda s: F.coalesce(F.lower(s).rlike("|".join(words)), F.lit(False))
-    keep = F.filter("related_tags", lambda t: ~(hit(t["qid"]) | hit(t["label"])))
+    """Items whose tags have none of the words in any text at any depth, with the number of tags removed."""
+    values = lambda t: F.lower(F.regexp_replace(F.to_json(F.struct(t)), '"[^"\\\\]*":', ""))  # noqa: E731  without the names of fields
+    keep = F.filter("related_tags", lambda t: ~F.coalesce(values(t).rlike("|".join(words)), F.lit(False)))
     return items.withColumn("removed", F.size("related_tags") - F.size(keep)).withColumn("related_tags", keep)
 
 
@@ -93,5 +93,5 @@ def validated(items: DataFrame) -> DataFrame:
 
 def with_text(ids: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids with a non-blank paragraph, and one row with the number of those without."""
-    texts = pages.filter(F.trim("text") != "").select("qid", "text")
+    texts = pages.filter(X.strip("text") != "").select("qid", "text")
     return ids.join(texts, "qid"), ids.join(texts, "qid", "left_anti").agg(F.count("*").alias("skipped"))

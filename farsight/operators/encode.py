@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from farsight.functions import vectors as V
 
 #: An encoder maker returns a function from texts to rows of float vectors; it runs once per Python worker and task.
 Encoder = Callable[[list[str]], np.ndarray]
+#: Words that a hashing encoder keeps.
+MEMO = 200_000
 _ENCODERS: dict[str, Callable[[], Encoder]] = {}
 
 
@@ -31,14 +33,22 @@ def encoder(name: str) -> Callable[[], Encoder]:
 
 
 def hashing_encoder(width: int = 64) -> Encoder:
-    """Signed hashed word counts."""
+    """Signed hashed word counts: the first 15 digits of a word's md5 give its entry, the next one its sign. Words met before are looked up, MEMO at most."""
+    memo: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        digits = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[word] = at = 2 * (int(digits[:15], 16) % width) + (digits[15] >= "8")
+        return at
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width))
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = xxhash.xxh3_64_intdigest(w.encode())
-                out[i, h % width] += 1 if h >> 63 else -1
+            at = [memo[w] if w in memo else place(w) for w in t.lower().split()]
+            n = np.bincount(np.array(at, np.int64), minlength=2 * width)
+            out[i] = n[1::2] - n[::2]
         return out
 
     return encode
@@ -83,7 +93,7 @@ def extend_bank(bank: DataFrame, texts: DataFrame, name: str = "hashing", on_dim
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, start, end, token): words with their offsets, from lengths alone."""
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
-    rows = docs.select("doc_id", F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.trim(F.translate(p, "\n\t\r", "   ")).alias("token"))).alias("p"))
+    rows = docs.select("doc_id", F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), X.strip(p).alias("token"))).alias("p"))
     starts = F.aggregate(F.col("p"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
     rows = rows.withColumn("s", starts).select("doc_id", F.posexplode(F.arrays_zip("p", "s")).alias("idx", "x")).filter("x.p is not null and x.p.token <> ''")
     return rows.select("doc_id", "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.p.token")).alias("end"), F.col("x.p.token").alias("token"))

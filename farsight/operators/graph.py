@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
+from farsight.functions.order import ordered
 from farsight.operators.clean import keep_last, keep_one
+from farsight.sources.shared import cut
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -74,8 +76,11 @@ def grouped_claims(claims: DataFrame) -> DataFrame:
 
 
 def claim_union(*sources: DataFrame) -> DataFrame:
-    """Union of statement, qualifier, reference and direct claims, distinct by item, property and value."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources).dropDuplicates(["qid", "pid", "value_qid"])
+    """Union of statement, qualifier, reference and direct claims(qid, pid, value_qid, value, pos), distinct by item, property and value: an item's id or
+    else the literal. Of equal claims the first source's first stays (U1)."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.withColumn("__s", F.lit(i)) for i, s in enumerate(sources)))
+    every = every.withColumn("__v", F.coalesce(F.concat(F.lit("i:"), F.nullif("value_qid", F.lit(""))), F.concat(F.lit("l:"), F.col("value").cast("string"))))
+    return keep_one(every, ["qid", "pid", "__v"], "__s", "pos", "value_qid", "value").drop("__s", "__v")
 
 
 def with_fallback(primary: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -86,7 +91,7 @@ def with_fallback(primary: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def resolve_labels(tags: DataFrame, labels: DataFrame) -> DataFrame:
     """Tags with the smallest id that has exactly their label and language; unmatched keep null, blanks go."""
     ids = labels.groupBy("lang", "label").agg(F.min("qid").alias("qid"))
-    return tags.filter(F.trim("label") != "").join(ids, ["lang", "label"], "left")
+    return tags.filter(X.strip("label") != "").join(ids, ["lang", "label"], "left")
 
 
 def one_hop(edges: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def neutral_lists(edges: DataFrame, neutrals: DataFrame) -> DataFrame:
 
 def tag_pages(tags: DataFrame, pages: DataFrame) -> DataFrame:
     """Tags whose trimmed text is a page title; a blank tag is an error."""
-    t = F.trim("tag")
+    t = X.strip("tag")
     named = tags.select(F.when(t != "", t).otherwise(F.raise_error(F.lit("blank tag")).cast("string")).alias("tag"))
     return named.join(pages, F.col("tag") == F.col("title"))
 
@@ -196,22 +201,24 @@ def page_titles(ids: DataFrame, sitelinks: DataFrame, lang: str) -> DataFrame:
     return ids.join(sitelinks.filter(F.col("lang") == lang), "qid")
 
 
-def closure(spark: SparkSession, edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """Nodes from which a chain of edges(child, parent) leads to a start node, and these (U4). Cycles end by themselves."""
-    found = start.select("node").distinct()
-    front = found
-    for _ in range(most):
-        front = edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(found, "node", "left_anti").persist()
-        if front.isEmpty():
-            break
-        found = found.union(front).persist()
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes from which a chain of edges(child, parent) of any length leads to a start node, and these (U4).
+
+    Each round is checkpointed in the shared folder; cycles end by themselves, as a round only follows nodes that are new."""
+    found = front = cut(start.select("node").distinct())
+    while not front.isEmpty():
+        parents = front.select(F.col("node").alias("parent"))
+        front = cut(edges.join(parents, "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(found, "node", "left_anti"))
+        found = cut(found.union(front))
     return found
 
 
 def merge_cache(old: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows without a key as they are; the first row of each key, refreshed from the cache; new keys last (K8)."""
+    """Rows without a key as they are; the first row of each key, refreshed from the cache; new keys last, in the order of their ids after the last place (K8)."""
     value = "wikipedia_first_paragraph"
     fresh = cache.select("qid", F.col(value).alias("fresh"))
     first = keep_one(old.filter("qid is not null"), ["qid"], "pos").join(fresh, "qid", "left").withColumn(value, F.coalesce("fresh", value)).drop("fresh")
-    new = cache.join(old.select("qid"), "qid", "left_anti").withColumn("pos", F.lit(None).cast("long"))
+    last = old.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last"))  # one row
+    new = cache.join(old.select("qid"), "qid", "left_anti")
+    new = new.join(ordered(new, "qid").withColumnRenamed("node", "qid"), "qid").join(F.broadcast(last)).withColumn("pos", F.col("last") + F.col("idx") + 1).drop("last", "idx")
     return old.filter("qid is null").unionByName(first).unionByName(new, allowMissingColumns=True)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
+from farsight.functions import vectors as V
 from farsight.operators import encode, sampling, stats
 
 
@@ -41,14 +42,17 @@ def ridge(train: DataFrame, alpha: float = 1.0) -> LinearRegression:
     return LinearRegression(labelCol="y", elasticNetParam=0.0, standardization=False, solver="normal" if exact else "l-bfgs", regParam=alpha * (sd or 1.0) / n)
 
 
-MODELS: dict[str, Callable[[DataFrame], Estimator | float]] = {
+#: By name: a maker of an estimator, of a constant, or of a function that adds predictions to a table.
+MODELS: dict[str, Callable[[DataFrame], Estimator | float | Callable[[DataFrame], DataFrame]]] = {
     "zero": lambda train: 0.0,
     "one": lambda train: 1.0,
+    "mean": lambda train: float(train.agg(F.avg("y")).first()[0] or 0.0),
+    "cosine": lambda train: lambda df: df.withColumn("pred", V.paired_cosine(vector_to_array("features"))),
     "ridge": ridge,
     "linear_head": lambda train: LinearRegression(labelCol="y", regParam=1e-4, elasticNetParam=0.0),
     "huber": lambda train: LinearRegression(labelCol="y", loss="huber", regParam=1e-4),
     "gbt": lambda train: GBTRegressor(labelCol="y", maxIter=300, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42),
-    "forest": lambda train: RandomForestRegressor(labelCol="y", numTrees=100, maxDepth=12, seed=42),
+    "forest": lambda train: RandomForestRegressor(labelCol="y", numTrees=100, maxDepth=30, seed=42),
 }
 ALIASES = {"linear": "ridge", "xgboost": "gbt", "xgb": "gbt", "randomforest": "forest", "random_forest": "forest", "rf": "forest", "mlp": "linear_head"}
 
@@ -63,10 +67,12 @@ def model(name: str) -> Callable[[DataFrame], Estimator | float]:
 
 def fitted(name: str, train: DataFrame):
     made = model(name)(train)
-    return made if isinstance(made, float) else made.fit(train)
+    return made.fit(train) if isinstance(made, Estimator) else made
 
 
 def predicted(fit, df: DataFrame) -> DataFrame:
+    if callable(fit):
+        return fit(df)
     return df.withColumn("pred", F.lit(fit)) if isinstance(fit, float) else fit.transform(df).withColumnRenamed("prediction", "pred")
 
 
@@ -91,17 +97,27 @@ def artifact(train: DataFrame, name: str = "ridge") -> PipelineModel:
     """Scaler and model in one, to be saved together."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
     made = model(name)(train)
-    if isinstance(made, float):
-        raise ValueError("a constant is no artifact")
+    if not isinstance(made, Estimator):
+        raise ValueError(f"{name} is no estimator and makes no artifact")
     return PipelineModel([scaler, made.copy({made.featuresCol: "scaled"}).fit(scaler.transform(train))])
 
 
 def score_pairs(pairs: DataFrame, model: PipelineModel, artifact_name: str, encoder: str = "hashing", text_mode: str = "canonical", label: str = "label", context: str = "context") -> DataFrame:
-    """pairs with risk_score, score_model_artifact, score_retriever and score_text_mode; other columns stay. Batch or stream."""
-    if text_mode not in ("context", "canonical"):
-        raise ValueError("text_mode is context or canonical")
-    text = F.col(context) if text_mode == "context" else X.pair_text(F.col(label), F.col(context))
-    rows = encode.embed(pairs.withColumn("__text", text), "__text", encoder)
+    """pairs with risk_score, score_model_artifact, score_retriever and score_text_mode; other columns stay. Batch or stream, `span` in batch only.
+
+    context encodes the context, canonical `label : context`, span the label where it stands in the context; a context without it is encoded whole."""
+    if text_mode not in ("context", "canonical", "span"):
+        raise ValueError("text_mode is context, canonical or span")
+    if text_mode == "span":
+        whole, name = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (context, label))
+        rows = pairs.withColumn("__text", whole).withColumn("__key", F.md5(F.concat_ws("\x00", name, whole)))
+        docs = rows.select(F.col("__key").alias("doc_id"), F.col("__text").alias("text"), name.alias("phrase")).distinct()
+        spans = encode.embed_spans(docs, encoder).select(F.col("doc_id").alias("__key"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
+        rest = encode.embed(rows.join(spans, "__key", "left_anti"), "__text", encoder)
+        rows = rows.join(spans, "__key").unionByName(rest)
+    else:
+        text = F.col(context) if text_mode == "context" else X.pair_text(F.col(label), F.col(context))
+        rows = encode.embed(pairs.withColumn("__text", text), "__text", encoder)
     rows = rows.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     return model.transform(rows).select(
         *pairs.columns, F.col("prediction").alias("risk_score"), F.lit(artifact_name).alias("score_model_artifact"), F.lit(encoder).alias("score_retriever"), F.lit(text_mode).alias("score_text_mode")

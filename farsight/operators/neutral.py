@@ -5,47 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIME, FACTOR = 2147483647, 48271
+from farsight.functions.order import ordered
 
 
-def _draw(target: str, j: str, seed: int, size: str) -> str:
-    """Number of the j-th draw for a target, below size: two steps of a multiplicative generator."""
-    x = f"(({target} * 1000003 + {j} * 7919 + {seed} * 104729 + 17) % {PRIME} + {PRIME}) % {PRIME}"
-    return f"((({x}) * {FACTOR} % {PRIME}) * 16807 % {PRIME}) % {size}"
-
-
-def indexed(nodes: DataFrame, node: str = "node") -> DataFrame:
-    """(node, idx): dense numbers in the order of the nodes, from counts of ranges of nodes, so that no task holds all."""
-    ranges = nodes.select(F.col(node).alias("node")).distinct().withColumn("r", F.floor(F.col("node") / 4096))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranges.groupBy("r").count().select("r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("r").orderBy("node"))
-    return ranges.withColumn("n", within).join(counts, "r").select("node", (F.col("before") + F.col("n") - 1).alias("idx"))
+def draw(target: str, j: str, seed: int, size: str) -> str:
+    """Number of the j-th draw for a target of any type, below size: 48 bits of a hash."""
+    return f"cast(conv(substr(md5(concat_ws('|', '{seed}', {target}, {j})), 1, 12), 16, 10) as bigint) % {size}"
 
 
 def neutral_sample(targets: DataFrame, nodes: DataFrame, related: DataFrame, order: int, seed: int = 1, draws: int = 3) -> DataFrame:
-    """(target, neutral, pos): up to `order` different nodes for each of targets(target), none of them itself or in related(target, node).
+    """(target, neutral, pos): up to `order` different nodes for each of targets(target), none of them itself or in related(target, node). Ids are of any type.
 
     Each target makes draws * order numbered draws from the dense index of nodes; unsuitable and repeated ones are
-    dropped and the first `order` stay. Targets still short of min(order, |nodes| - |related| - 1) take the rest of
-    their complement in the order of ids: only they meet all nodes."""
-    idx = indexed(nodes)
+    dropped and the first `order` stay. Targets still short of min(order, |nodes| - |related| - 1) go on along the index from
+    their draw 0, over as many nodes as they lack and have to leave out."""
+    idx = ordered(nodes)
     size = idx.count()
     if not size:
         return targets.select("target", F.col("target").alias("neutral"), F.lit(1).alias("pos")).limit(0)
     drawn = targets.select("target", F.explode(F.sequence(F.lit(1), F.lit(draws * order))).alias("j"))
-    drawn = drawn.withColumn("idx", F.expr(_draw("target", "j", seed, str(size)))).join(idx, "idx").filter("node <> target")
+    drawn = drawn.withColumn("idx", F.expr(draw("target", "j", seed, str(size)))).join(idx, "idx").filter("node <> target")
     drawn = drawn.join(related.select("target", "node"), ["target", "node"], "left_anti").groupBy("target", "node").agg(F.min("j").alias("j"))
     place = F.row_number().over(Window.partitionBy("target").orderBy("j"))
     first = drawn.withColumn("pos", place).filter(F.col("pos") <= order).select("target", F.col("node").alias("neutral"), "pos")
-    possible = related.join(idx.select("node"), "node", "left_semi").filter("node <> target").select("target", "node").distinct().groupBy("target").count()
-    want = F.least(F.lit(order), F.lit(size - 1) - F.coalesce("count", F.lit(0)))
-    have = targets.join(first.groupBy("target").agg(F.count("*").alias("have")), "target", "left").join(possible, "target", "left")
-    short = have.filter(F.coalesce("have", F.lit(0)) < want).select("target", F.coalesce("have", F.lit(0)).alias("have"), want.alias("want"))
-    rest = short.join(F.broadcast(idx.select("node")) if size <= 100_000 else idx.select("node"), F.col("node") != F.col("target"))
+    out = related.join(idx.select("node"), "node", "left_semi").select("target", "node").unionByName(targets.join(idx, F.col("target") == F.col("node")).select("target", "node"))
+    out = out.distinct().groupBy("target").agg(F.count("*").alias("out"))
+    have = targets.join(first.groupBy("target").agg(F.count("*").alias("have")), "target", "left").join(out, "target", "left").fillna(0, ["have", "out"])
+    short = have.withColumn("want", F.least(F.lit(order), F.lit(size) - F.col("out"))).filter("have < want")
+    steps = F.sequence(F.lit(0), F.least(F.lit(size), F.col("want") + F.col("out")).cast("int") - 1)
+    rest = short.withColumn("k", F.explode(steps)).withColumn("idx", (F.expr(draw("target", "0", seed, str(size))) + F.col("k")) % size).join(idx, "idx").filter("node <> target")
     rest = rest.join(related.select("target", "node"), ["target", "node"], "left_anti").join(first.select("target", F.col("neutral").alias("node")), ["target", "node"], "left_anti")
-    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("node"))).filter("have + k <= want")
-    return first.unionByName(rest.select("target", F.col("node").alias("neutral"), (F.col("have") + F.col("k")).cast("int").alias("pos")))
+    rest = rest.withColumn("i", F.row_number().over(Window.partitionBy("target").orderBy("k"))).filter("have + i <= want")
+    return first.unionByName(rest.select("target", F.col("node").alias("neutral"), (F.col("have") + F.col("i")).cast("int").alias("pos")))
 
 
 def sample_ids(ids: DataFrame, n: int, seed: int = 1, key: str = "id") -> DataFrame:

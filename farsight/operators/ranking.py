@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 from farsight.functions import vectors as V
 
 
+#: Items of a tag in a block.
+BLOCK = 4096
+
+
 def capped(neutrals: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """First n - 1 neutrals of each (qid, tag) in an order by hash, before any vector is looked up."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", "tag", "neutral"))
@@ -18,9 +24,9 @@ def capped(neutrals: DataFrame, n: int, seed: int = 1) -> DataFrame:
 
 
 def tag_similarities(pairs: DataFrame, bank: DataFrame, digits: int = 9) -> DataFrame:
-    """(tag, other, sim) for pairs(tag, other) whose two ids have vectors, each computed once."""
+    """pairs(tag, other, ...) whose two ids have vectors, with sim in place of these."""
     a, b = bank.select(F.col("qid").alias("tag"), F.col("embedding").alias("x")), bank.select(F.col("qid").alias("other"), F.col("embedding").alias("y"))
-    return pairs.join(a, "tag").join(b, "other").select("tag", "other", F.round(V.dot("x", "y"), digits).alias("sim"))
+    return pairs.join(b, "other").join(a, "tag").select(*pairs.columns, F.round(V.dot("x", "y"), digits).alias("sim"))
 
 
 def ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, orders: list[int]) -> DataFrame:
@@ -29,8 +35,7 @@ def ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, orders: list[i
     rank is 1 + the neutrals among the first n - 1 that are more like the tag than the item is; sample_size is 1 + those
     found. A tag's similarities are computed once and serve all its items and all orders. Pairs
     without a vector are left out; neutrals without one are skipped."""
-    sims = tag_similarities(neutrals.filter(F.col("pos") < max(orders)).select("tag", F.col("neutral").alias("other"), "pos").select("tag", "other"), bank)
-    sims = sims.join(neutrals.select("tag", F.col("neutral").alias("other"), "pos"), ["tag", "other"])
+    sims = tag_similarities(neutrals.filter(F.col("pos") < max(orders)).select("tag", F.col("neutral").alias("other"), "pos"), bank)
     own = tag_similarities(edges.select("tag", F.col("qid").alias("other")), bank).select("tag", F.col("other").alias("qid"), F.col("sim").alias("s0"))
     lists = sims.groupBy("tag").agg(F.collect_list(F.struct("pos", "sim")).alias("sims"))  # max(orders) - 1 entries at most
     joined = own.join(lists, "tag", "left").withColumn("n", F.explode(F.array(*map(F.lit, orders))))
@@ -43,17 +48,33 @@ def ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, orders: list[i
     )
 
 
+def sweep(edges: DataFrame, neutrals: DataFrame, banks: dict[str, DataFrame], orders: list[int]) -> DataFrame:
+    """ranks for every retriever's bank and every order, with `retriever` (W4). Each retriever's similarities are computed once for all orders."""
+    found = [ranks(edges, neutrals, bank, orders).select(F.lit(name).alias("retriever"), "*") for name, bank in banks.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def by_first(results: DataFrame, value: str, first: int) -> DataFrame:
+    """results(retriever, n, ...) with `place`: of the retriever by its value at the first order, highest first, missing last, then by name (P3). There is a row for each retriever in the order."""
+    names = results.groupBy("retriever").agg(F.max(F.when(F.col("n") == first, F.col(value))).alias("v"))
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "retriever"))
+    return results.join(F.broadcast(names.select("retriever", place.alias("place"))), "retriever")
+
+
 def block_ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, n: int) -> DataFrame:
     """ranks for one order by matrix products: each tag meets its items' and neutrals' vectors once (M3).
 
-    A tag has n - 1 neutrals at most; its items come in blocks dealt by hash, so that no task holds a common tag's items."""
-    spread = edges.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(16)).cast("int"))
+    A tag has n - 1 neutrals at most; its items come in blocks of about BLOCK, dealt by hash, so that no task holds a common tag's items. Ids are of any type."""
+    blocks = edges.groupBy("tag").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    spread = edges.join(blocks, "tag").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
     vec = lambda k: bank.select(F.col("qid").alias(k), F.col("embedding").alias("v"))
     blocks = spread.select("tag", "block").distinct()
     items = spread.join(vec("qid"), "qid").select("tag", "block", F.lit(0).alias("kind"), "qid", "v")
     others = neutrals.filter(F.col("pos") < n).join(vec("neutral"), "neutral").join(blocks, "tag").select("tag", "block", F.lit(1).alias("kind"), F.col("neutral").alias("qid"), "v")
     tags = blocks.join(vec("tag"), "tag").select("tag", "block", F.lit(2).alias("kind"), F.col("tag").alias("qid"), "v")
 
+    kind = bank.schema["qid"].dataType.simpleString()
+
     def rank(df: pd.DataFrame) -> pd.DataFrame:
         t, items, others = (df[df.kind == k] for k in (2, 0, 1))
         if t.empty or items.empty:
@@ -64,7 +85,7 @@ def block_ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, n: int)
         over = len(sims) - np.searchsorted(sims, own, side="right")
         return pd.DataFrame({"qid": items.qid.to_numpy(), "tag": items.tag.to_numpy(), "rank": over + 1, "sample_size": len(sims) + 1})
 
-    return items.unionByName(others).unionByName(tags).groupBy("tag", "block").applyInPandas(rank, "qid long, tag long, rank int, sample_size int")
+    return items.unionByName(others).unionByName(tags).groupBy("tag", "block").applyInPandas(rank, f"qid {kind}, tag {kind}, rank int, sample_size int")
 
 
 def wide(ranked: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farsight.functions.order import ordered, placed
 from farsight.operators.stats import bucket, score_range
 
 MODES = ("count", "average", "percentage", "equal", "equal_tails")
@@ -22,7 +23,9 @@ def _checked(df: DataFrame, y: str) -> None:
 
 
 def _first(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    return df.orderBy(shuffled(key, seed), key).limit(n)
+    """The first n rows in an order by hash; n may be a share of all rows."""
+    ranked = placed(df.withColumn("__h", shuffled(key, seed)).withColumn("__all", F.lit(0)), "__h", key, ["__all"])
+    return ranked.filter(F.col("__r") <= n).select(*df.columns)
 
 
 def by_histogram(df: DataFrame, y: str, key: str, bins: int, mode: str = "average", amount: float = 1.0, seed: int = 42) -> DataFrame:
@@ -49,8 +52,8 @@ def by_histogram(df: DataFrame, y: str, key: str, bins: int, mode: str = "averag
     cap = int(amount) if mode == "count" else math.ceil(sum(sizes) / max(len(sizes), 1)) if mode == "average" else math.ceil(amount * max(sizes, default=0))
     if cap < 1 and sizes:
         raise ValueError("the cap leaves nothing")
-    w = Window.partitionBy("bin").orderBy(shuffled(key, seed), key)
-    return binned.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= cap).drop("__n")
+    ranked = placed(binned.withColumn("__h", shuffled(key, seed)), "__h", key, ["bin"])
+    return ranked.filter(F.col("__r") <= cap).drop("__r", "__h")
 
 
 def extremes(df: DataFrame, y: str, key: str, share: float, k: int, seed: int = 42) -> DataFrame:
@@ -90,20 +93,16 @@ def split(df: DataFrame, key: str, seed: int = 42, strata: str | None = None) ->
 
 def range_splits(df: DataFrame, order: str, size: int, drop_tail: bool = False) -> DataFrame:
     """df with `split`: the number of its run of `size` rows in order (K5)."""
-    from farsight.operators.neutral import indexed
-
-    idx = indexed(df, order).select(F.col("node").alias(order), F.floor(F.col("idx") / size).alias("split"))
+    idx = ordered(df, order).select(F.col("node").alias(order), F.floor(F.col("idx") / size).alias("split"))
     out = df.join(idx, order)
     return out.filter(F.col("split") < df.count() // size) if drop_tail else out
 
 
 def shards(df: DataFrame, order: str, workers: int) -> DataFrame:
     """df with `shard`: contiguous runs of which the first n % workers have one row more (K6)."""
-    from farsight.operators.neutral import indexed
-
     n = df.count()
     small, big = n // workers, n % workers
-    idx = indexed(df, order)
+    idx = ordered(df, order)
     cut = big * (small + 1)
     shard = F.when(F.col("idx") < cut, F.floor(F.col("idx") / (small + 1))).otherwise(big + F.floor((F.col("idx") - cut) / max(small, 1)))
     return df.join(idx.select(F.col("node").alias(order), shard.cast("int").alias("shard")), order)

@@ -85,6 +85,11 @@ def legacy_ranks(ranks: Column) -> Column:
     return F.when(F.size(r) > 0, r).otherwise(F.raise_error(F.lit("no ranks")).cast("array<int>"))
 
 
+def order_ranks(n: int) -> Column:
+    """Ranks of the export form for one order, as numbers; what is none is dropped."""
+    return F.filter(F.transform(f"rank_among_unrelevant_tags_{n}", lambda x: x.cast("string").try_cast("int")), lambda x: x.isNotNull())
+
+
 def normalised(df: DataFrame, column: str, method: str) -> Column:
     """Column by none, max, zscore or minmax over df; one row of aggregates is read."""
     if method == "none":

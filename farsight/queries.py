@@ -4,13 +4,17 @@ Edges, neutrals and scores that the tables don't hold are derived from them in S
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
 from farsight.functions import vectors as V
+from farsight.functions.order import ordered
 from farsight.operators import clean, encode, graph, models, neutral, ranking, sampling, scores, stats
+from farsight.sources.shared import cut
 
 ORDERS = [10, 25, 50]
 
@@ -32,10 +36,10 @@ def _ring(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     steps = numbered.withColumn("k", F.explode(F.array(*map(F.lit, range(1, 5))))).withColumn("j", (F.col("i") + F.col("k")) % F.col("size"))
     edges = steps.join(numbered.select("label", F.col("i").alias("j"), F.col("qid").alias("tag")), ["label", "j"]).filter("qid <> tag")
     edges = edges.select("qid", "tag").distinct()
-    idx = neutral.indexed(bank.select(F.col("qid").alias("node")))
+    idx = ordered(bank.select(F.col("qid").alias("node")))
     size = idx.count()
     drawn = bank.select(F.col("qid").alias("tag"), "label", F.explode(F.sequence(F.lit(1), F.lit(3 * max(ORDERS)))).alias("j"))
-    drawn = drawn.withColumn("idx", F.expr(neutral._draw("tag", "j", 1, str(max(size, 1))))).join(idx, "idx")
+    drawn = drawn.withColumn("idx", F.expr(neutral.draw("tag", "j", 1, str(max(size, 1))))).join(idx, "idx")
     drawn = drawn.join(bank.select(F.col("qid").alias("node"), F.col("label").alias("other")), "node").filter("label <> other")
     first = drawn.groupBy("tag", "node").agg(F.min("j").alias("j"))
     pos = F.row_number().over(Window.partitionBy("tag").orderBy("j"))
@@ -46,7 +50,7 @@ _RING = f"""
 WITH b AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS size,
     row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS total FROM embeddings),
 edges AS (SELECT DISTINCT a.qid, t.qid AS tag FROM b a, range(1, 5) k(k), b t WHERE t.label = a.label AND t.i = (a.i + k.k) % a.size AND t.qid <> a.qid),
-drawn AS (SELECT b.qid AS tag, b.label, j.j, ((((b.qid * 1000003 + j.j * 7919 + 104729 + 17) % 2147483647) * 48271 % 2147483647) * 16807 % 2147483647) % b.total AS idx
+drawn AS (SELECT b.qid AS tag, b.label, j.j, ('0x' || substr(md5('1|' || b.qid || '|' || j.j), 1, 12))::BIGINT % b.total AS idx
     FROM b, range(1, {3 * max(ORDERS) + 1}) j(j)),
 first AS (SELECT d.tag, n.qid AS neutral, min(d.j) AS j FROM drawn d JOIN b n ON n.idx = d.idx WHERE n.label <> d.label GROUP BY 1, 2),
 neutrals AS (SELECT tag, neutral, row_number() OVER (PARTITION BY tag ORDER BY j) AS pos FROM first),
@@ -82,6 +86,16 @@ def rps_sweep_high_low(spark, d):
     return scores.on_grid(scores.high_low(s), n=[*ORDERS, 100]).select("n", *(F.round(F.col(c).cast("double"), 9).alias(c) for c in ("high", "low", "ratio")))
 
 
+def retriever_sweep(spark, d):
+    """High scores by retriever (each half of the vectors serves as one) and order, with the retrievers' places at the first order."""
+    bank, edges, neutrals = _ring(spark, d)
+    half = lambda lo: bank.select("qid", F.slice("embedding", lo, 16).alias("embedding"))
+    r = ranking.sweep(edges, neutrals, {"front": half(1), "back": half(17)}, ORDERS)
+    s = r.groupBy("retriever", "qid", "n").agg(F.collect_list("rank").alias("r")).select("retriever", "n", scores.below("r", 5).alias("score"))
+    found = ranking.by_first(scores.high_low(s, by=("retriever", "n")), "ratio", ORDERS[0])
+    return found.select("retriever", "n", "high", "low", F.round("ratio", 9).alias("ratio"), F.col("place").cast("long").alias("place"))
+
+
 def rank_risk_scores(spark, d):
     r = _ranks(spark, d, [50]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("tag", "rank"))).alias("x")).select("qid", F.transform("x", lambda v: v["rank"]).alias("r"))
     named = {"worst": "worst_rank", "mean": "mean_rank", "p90": "percentile_rank", "combo": "minmax_combo", "logc": "dev_log_num_tags", "power": "dev_num_tags_inverse_power", "below": "portion_below_k", "top": "exists_in_top_k"}
@@ -192,7 +206,7 @@ def class_closure(spark, d):
     r = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))
     start = table(spark, d, "region").filter("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return graph.closure(spark, r.unionByName(s), start)
+    return graph.closure(r.unionByName(s), start)
 
 
 def _covered(spark, d):
@@ -250,6 +264,139 @@ def insert_ignore(spark, d):
     return graph.insert_or_ignore(old, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+# --- items built from the tables: tags of a part are its suppliers, labels are names --------------------------------
+
+
+def _items(spark, d):
+    """(qid, label, related_tags): parts with their suppliers in the order of lines, of which some lack an id."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), F.col("s_name").alias("name"), "s_nationkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_orderkey", "l_linenumber").join(s, "dst")
+    tag = F.struct(F.when(F.col("s_nationkey") > 2, F.concat(F.lit("Q"), "dst")).alias("qid"), F.col("name").alias("label"))
+    lists = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "dst", tag.alias("t"))))
+    lists = rows.groupBy("src").agg(F.transform(lists, lambda x: x["t"]).alias("related_tags"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("src"), F.col("p_name").alias("label"), "p_brand")
+    return parts.join(lists, "src").select(F.concat(F.lit("Q"), "src").alias("qid"), "label", "p_brand", "related_tags")
+
+
+_ITEMS = """WITH t AS (SELECT 'Q' || l_partkey AS qid, CASE WHEN s_nationkey > 2 THEN 'Q' || l_suppkey END AS tag, s_name AS label,
+    row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS pos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"""
+
+
+def normalised_tags(spark, d):
+    n = graph.normalised_tags(_items(spark, d))
+    return n.select("qid", F.col("pos").cast("long").alias("pos"), "tag", "label")
+
+
+def tag_statistics(spark, d):
+    items = _items(spark, d)
+    hops = F.transform("related_tags", lambda t: F.struct(t["qid"].alias("qid"), t["label"].alias("label"), F.when(t["qid"].isNotNull(), F.array(t["label"], t["label"])).alias("one_hop_related_tags")))
+    return graph.tag_statistics(items.withColumn("related_tags", hops))
+
+
+def node_universe(spark, d):
+    return graph.universe(_edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst")))
+
+
+def target_ids(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("qid"))
+    nodes = _edges(spark, d).select(F.col("src").alias("node")).filter("node % 3 = 0")
+    return graph.target_ids(items, nodes, table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid")))
+
+
+def first_with_tags(spark, d):
+    """First part of each brand's label that has usable tags."""
+    p = table(spark, d, "part").select((F.col("p_partkey") % 7).cast("string").alias("k"), F.split("p_name", " ").alias("related_tags"), F.col("p_brand").alias("label"), F.lit(0).alias("file"), F.col("p_partkey").alias("pos"))
+    return clean.keep_first_with_tags(p.withColumn("qid", F.when(F.col("k") == "0", F.lit(" ")).otherwise(F.col("k")))).select(F.col("pos").cast("long").alias("pos"), F.array_join("related_tags", " ").alias("tags"))
+
+
+def enriched_items(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("label"))
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("wikipedia_title"), F.col("lang").alias("wikipedia_lang"), F.substring("text", 1, 20).alias("wikipedia_first_paragraph"))
+    e = clean.enriched(items, pages)
+    return e.select("qid", "label", "wikipedia_checked", "wikipedia_exists", "wikipedia_lang", "wikipedia_title", F.md5("wikipedia_first_paragraph").alias("paragraph"))
+
+
+def cache_records(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select(
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Q"), "o_custkey")).otherwise(" ").alias("qid"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Q"), "o_orderkey")).otherwise(F.col("o_orderpriority")).alias("tag"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).alias("label"), F.lit("").alias("wikipedia_lang"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus")).alias("wikipedia_title"),
+        F.col("o_orderkey").alias("wikipedia_first_paragraph"),
+    )
+    return clean.cache_record(rows)
+
+
+def merged_cache(spark, d):
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("Q"), "user_id")).alias("qid"), F.col("event_type").alias("wikipedia_first_paragraph"), F.col("event_id").cast("long").alias("pos"))
+    cache = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("Q"), "c_custkey").alias("qid"), F.concat(F.lit("p"), "c_custkey").alias("wikipedia_first_paragraph"))
+    return graph.merge_cache(e, cache).select("qid", "wikipedia_first_paragraph", F.col("pos").cast("long").alias("pos"))
+
+
+def covered_relations(spark, d):
+    """Edges whose two ends have a page, and how many sources keep none."""
+    edges, pages, parts = _covered(spark, d)
+    edges, every = edges.withColumn("dst", F.col("dst") + 10_000_000), parts.union(pages.select(F.col("node") + 10_000_000))
+    kept, none = graph.covered_edges(edges, every)
+    return kept.select("src", "dst").withColumn("none", F.lit(none.count()))
+
+
+def full_coverage(spark, d):
+    pages = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("page"))
+    return graph.full_coverage(pages, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")), "key")
+
+
+def neutral_lists(spark, d):
+    e = _edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"))
+    tags = table(spark, d, "supplier").filter("s_nationkey < 12").select((F.col("s_suppkey") + 10_000_000).alias("node"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("pos"))
+    items = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("node"), F.lit(1).alias("pos"))
+    lists = tags.unionByName(items).withColumn("neutral", F.col("node") * 10 + F.col("pos"))
+    return graph.neutral_lists(e, lists).select("src", "dst", "neutral", F.col("pos").cast("long").alias("pos"))
+
+
+def claim_union(spark, d):
+    """Claims of lines by supplier (items) and by ship mode (literals), united."""
+    li = table(spark, d, "lineitem")
+    items = li.select(F.col("l_partkey").alias("qid"), F.lit("P1").alias("pid"), F.concat(F.lit("Q"), "l_suppkey").alias("value_qid"), F.lit(None).cast("string").alias("value"), F.col("l_orderkey").alias("pos"))
+    texts = li.select(F.col("l_partkey").alias("qid"), F.lit("P2").alias("pid"), F.lit(None).cast("string").alias("value_qid"), F.col("l_returnflag").alias("value"), F.col("l_orderkey").alias("pos"))
+    return graph.claim_union(items, texts, items).select("qid", "pid", "value_qid", "value", F.col("pos").cast("long").alias("pos"))
+
+
+def capped_neutrals(spark, d):
+    e = _edges(spark, d).select(F.lit(1).alias("qid"), F.col("src").alias("tag"), F.col("dst").alias("neutral"))
+    return ranking.capped(e, 3).select("qid", "tag", "neutral", F.col("pos").cast("long").alias("pos"))
+
+
+def keyword_filter(spark, d):
+    words = ("ing", "07")
+    return clean.drop_keyword_tags(_items(spark, d), words).select("qid", F.col("removed").cast("long").alias("removed"), F.size("related_tags").cast("long").alias("left"))
+
+
+def clean_tag_lists(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.array_append(F.split("p_name", " "), F.concat(F.lit("Q"), "p_partkey")).alias("tags"))
+    return p.select("p_partkey", F.array_join(X.clean_tags(F.col("tags")), "|").alias("tags"))
+
+
+def related_tags(spark, d):
+    """Suppliers of a part that aren't the part itself, by order, one for each id."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("value_label"))
+    li = table(spark, d, "lineitem").join(s, "l_suppkey").select(
+        F.concat(F.lit("Q"), "l_partkey").alias("qid"), F.lit("wikibase-item").alias("value_type"), F.concat(F.lit("Q"), "l_suppkey").alias("value_qid"), "value_label",
+        F.right(F.col("l_partkey").cast("string"), F.lit(1)).alias("item_label"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")).alias("pos"),
+    )
+    return graph.related_tags(li).select("qid", F.array_join(F.transform("related_tags", lambda t: t["qid"]), ",").alias("tags"))
+
+
+def resolved_labels(spark, d):
+    tags = table(spark, d, "events").select("event_id", F.lit("en").alias("lang"), F.col("event_type").alias("label"))
+    labels = table(spark, d, "events").filter("event_id % 3 = 0").select(F.lit("en").alias("lang"), F.col("event_type").alias("label"), F.col("user_id").alias("qid"))
+    return graph.resolve_labels(tags, labels).select("event_id", "qid")
+
+
+def not_processed(spark, d):
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.when(F.col("o_orderkey") % 4 == 0, True).alias("wikipedia_checked"), F.when(F.col("o_orderkey") % 9 == 0, False).alias("wikipedia_exists"))
+    return clean.not_processed(table(spark, d, "customer").select(F.col("c_custkey").alias("qid")), done)
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------
 
 
@@ -352,7 +499,9 @@ def sampled_ids(spark, d):
 
 
 def hash_embed(spark, d):
-    return encode.embed(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").cast("long").alias("width"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    e = encode.embed(table(spark, d, "documents").select("doc_id", "text"), "text")
+    signs = F.array_join(F.transform("embedding", lambda x: F.signum(x).cast("int").cast("string")), ",")
+    return e.select("doc_id", F.size("embedding").cast("long").alias("width"), F.round(V.norm(F.col("embedding")), 4).alias("norm"), signs.alias("signs"))
 
 
 def span_embed(spark, d):
@@ -381,7 +530,7 @@ def discriminant_axes(spark, d):
 
 
 def score_pairs(spark, d):
-    train = encode.embed(table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text", F.log1p("n_chars").alias("y")), "text")
+    train = cut(encode.embed(table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text", F.log1p("n_chars").alias("y")), "text").drop("text"))  # encoded once
     model = models.artifact(train.select("qid", array_to_vector(V.doubles("embedding")).alias("features"), "y"))
     pairs = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("label"), F.col("text").alias("context"))
     return models.score_pairs(pairs, model, "ridge").select("conv_id", "turn", F.round("risk_score", 4).alias("risk_score"))
@@ -401,6 +550,7 @@ QUERIES = {
         upsert_labels, insert_ignore, score_normalize, score_histogram, quantile_classes, regression_metrics, confusion_matrix, class_metrics,
         kappa_mcc, spearman, seed_aggregate, curve_band, loss_table, extremes, exact_split, stratified_split, worker_shards, sampled_ids, hash_embed,
         span_embed, model_metrics, principal_axes, discriminant_axes, score_pairs,
+        normalised_tags, tag_statistics, node_universe, target_ids, first_with_tags, enriched_items, cache_records, merged_cache, covered_relations, full_coverage, neutral_lists, claim_union, capped_neutrals, keyword_filter, clean_tag_lists, related_tags, resolved_labels, not_processed, retriever_sweep,
     )
 } | {f"stratified_{m}": _sample(m, a) for m, a in (("count", 20), ("average", 1), ("percentage", 0.3), ("equal", 2), ("equal_tails", 3))}
 
@@ -408,7 +558,12 @@ _CLASS = "CASE WHEN least(greatest({0}, 0), 1) >= 0.66 THEN 'high' WHEN least(gr
 _CLASSED = f"{_PREDICTIONS}, c AS (SELECT {_CLASS.format('y')} AS truth, {_CLASS.format('pred')} AS pred FROM p)"
 _CELLS = f"{_CLASSED}, k AS (SELECT unnest(['low', 'medium', 'high']) AS class), m AS (SELECT k.class, count(*) FILTER (c.truth = k.class) AS support, count(*) FILTER (c.pred = k.class) AS predicted, count(*) FILTER (c.truth = k.class AND c.pred = k.class) AS hit FROM k, c GROUP BY 1), f AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall FROM m), g AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f)"
 _SPLIT = "CASE WHEN r <= ceil(0.15::DOUBLE * n) THEN 'test' WHEN r <= ceil(0.15::DOUBLE * n) + ceil((0.15::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE)) * (n - ceil(0.15::DOUBLE * n))) THEN 'val' ELSE 'train' END"
-_TRIM = "regexp_replace({0}, '^ +| +$', '', 'g')"
+
+
+def _strip(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{X.BLANKS}+|{X.BLANKS}+$', '', 'g')"
+
+
 
 ORACLES = {
     "rps_by_item": _RING + "SELECT qid, round(avg(CASE WHEN rank < 10 THEN 1.0::DOUBLE ELSE 0 END), 9) AS rps, count(*) AS tags FROM ranks WHERE n = 50 GROUP BY 1",
@@ -427,26 +582,26 @@ ORACLES = {
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
     "unit_vectors": """SELECT vec_id, 1.0::DOUBLE AS norm, round(e[6] / sqrt(list_dot_product(e, e)), 9) AS fifth
         FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS e FROM embeddings)""",
-    "keep_first_canonical": r"""WITH a AS (SELECT doc_id, source, replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), 'ß', 'ss') AS c FROM documents)
+    "keep_first_canonical": r"""WITH a AS (SELECT doc_id, source, replace(lower(@text@), 'ß', 'ss') AS c FROM documents)
         SELECT doc_id, md5(c) AS canon FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY source, doc_id) AS r FROM a WHERE c <> '') WHERE r = 1""",
-    "clean_paragraphs": r"""WITH a AS (SELECT doc_id, text, trim(regexp_replace(string_split(trim(text), chr(10) || chr(10))[1], '\s+', ' ', 'g')) AS t FROM documents),
+    "clean_paragraphs": r"""WITH s AS (SELECT doc_id, text, regexp_replace(string_split(@text@, chr(10) || chr(10))[1], '\s+', ' ', 'g') AS p FROM documents), a AS (SELECT doc_id, text, @p@ AS t FROM s),
         b AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS n FROM a)
         SELECT doc_id, md5(CASE WHEN t <> '' AND n >= 10 AND NOT regexp_matches(low, '^(may refer to|may also refer to|can refer to|can also refer to|may stand for|may mean|this category should only contain articles on species)')
           AND NOT regexp_matches(low[1:200], 'disambiguation|may refer to one of the following|refer to one of the following|this page lists articles|this disambiguation page|wikipedia does not have an article with this exact name|this category should only contain articles on species') THEN t ELSE '-' END) AS paragraph,
-        length(trim(text)) < 60 AND regexp_matches(trim(text), '(may refer to:|is a given name and a surname\.|is a given name\.|is a surname\.)$') AS stub FROM b""",
+        length(@text@) < 60 AND regexp_matches(@text@, '(may refer to:|is a given name and a surname\.|is a given name\.|is a surname\.)$') AS stub FROM b""",
     "neutral_sample": f"""{_EDGES}, u AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, count(*) OVER () AS total FROM supplier),
-        w AS (SELECT p_partkey AS target, j.j, ((((p_partkey * 1000003 + j.j * 7919 + 104729 + 17) % 2147483647) * 48271 % 2147483647) * 16807 % 2147483647) % (SELECT count(*) FROM supplier) AS idx FROM part, range(1, 31) j(j)),
-        f AS (SELECT w.target, u.node, min(w.j) AS j FROM w JOIN u ON u.idx = w.idx ANTI JOIN e ON e.src = w.target AND e.dst = u.node WHERE u.node <> w.target GROUP BY 1, 2),
+        w AS (SELECT p_partkey AS target, j.j, ('0x' || substr(md5('1|' || p_partkey || '|' || j.j), 1, 12))::BIGINT % (SELECT count(*) FROM supplier) AS idx FROM part, range(0, 31) j(j)),
+        f AS (SELECT w.target, u.node, min(w.j) AS j FROM w JOIN u ON u.idx = w.idx ANTI JOIN e ON e.src = w.target AND e.dst = u.node WHERE u.node <> w.target AND w.j > 0 GROUP BY 1, 2),
         g AS (SELECT target, node, row_number() OVER (PARTITION BY target ORDER BY j) AS pos FROM f), h AS (SELECT * FROM g WHERE pos <= 10),
-        k AS (SELECT p_partkey AS target, least(10, (SELECT count(*) - 1 FROM supplier) - (SELECT count(*) FROM e WHERE e.src = p_partkey AND e.dst <> p_partkey)) - (SELECT count(*) FROM h WHERE h.target = p_partkey) AS need FROM part),
-        r AS (SELECT k.target, u.node, k.need, row_number() OVER (PARTITION BY k.target ORDER BY u.node) AS i FROM k JOIN u ON u.node <> k.target ANTI JOIN e ON e.src = k.target AND e.dst = u.node ANTI JOIN h ON h.target = k.target AND h.node = u.node WHERE k.need > 0)
+        k AS (SELECT p_partkey AS target, least(10, (SELECT count(*) FROM supplier WHERE s_suppkey <> p_partkey) - (SELECT count(*) FROM e WHERE e.src = p_partkey AND e.dst <> p_partkey)) - (SELECT count(*) FROM h WHERE h.target = p_partkey) AS need FROM part),
+        r AS (SELECT k.target, u.node, k.need, row_number() OVER (PARTITION BY k.target ORDER BY (u.idx - w.idx + u.total) % u.total) AS i FROM k JOIN u ON u.node <> k.target JOIN w ON w.target = k.target AND w.j = 0 ANTI JOIN e ON e.src = k.target AND e.dst = u.node ANTI JOIN h ON h.target = k.target AND h.node = u.node WHERE k.need > 0)
         SELECT target, node AS neutral FROM h UNION ALL SELECT target, node FROM r WHERE i <= need""",
-    "keep_longest_page": "SELECT lang, source, arg_min(doc_id, (-length(trim(text)), doc_id)) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY 1, 2",
+    "keep_longest_page": "SELECT lang, source, arg_min(doc_id, (-length(@text@), doc_id)) AS doc_id FROM documents WHERE @text@ <> '' GROUP BY 1, 2",
     "last_value_by_user": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
     "usable_labels": """SELECT p_partkey, p_name, contains(lower(p_name), lower(substr(p_name, 1, 4))) AS self FROM part
-        WHERE trim(p_name) <> '' AND NOT regexp_matches(trim(p_name), '^Q\\d+$') AND NOT regexp_matches(trim(p_name), '^\\d+$') AND NOT regexp_matches(lower(p_name), 'wikidata|wikipedia|wikimedia')""",
-    "unique_words": "SELECT DISTINCT trim(tag) AS tag FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part UNION ALL SELECT p_brand FROM part) WHERE trim(tag) <> ''",
-    "pair_texts": """SELECT conv_id, turn, md5(CASE WHEN trim(role) <> '' AND NOT contains(lower(trim(text)), lower(trim(role))) THEN trim(role) || ' : ' || trim(text) ELSE trim(text) END) AS pair,
+        WHERE @p_name@ <> '' AND NOT regexp_matches(@p_name@, '^Q\\d+$') AND NOT regexp_matches(@p_name@, '^\\d+$') AND NOT regexp_matches(lower(p_name), 'wikidata|wikipedia|wikimedia')""",
+    "unique_words": "SELECT DISTINCT @tag@ AS tag FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part UNION ALL SELECT p_brand FROM part) WHERE @tag@ <> ''",
+    "pair_texts": """SELECT conv_id, turn, md5(CASE WHEN @role@ <> '' AND NOT contains(lower(@text@), lower(@role@)) THEN @role@ || ' : ' || @text@ ELSE @text@ END) AS pair,
         role || '_' || turn AS name FROM conversations""",
     "url_parts": """SELECT page_id, CASE WHEN contains(u, '/entity/') THEN string_split(u, '/entity/')[-1] ELSE '' END AS tail, CASE WHEN regexp_matches(url, '^https?://') THEN 'wikibase-item' ELSE 'string' END AS kind,
         md5(replace(replace(html, '\\', '\\\\'), '"', '\\"')) AS escaped FROM (SELECT *, replace(url, '/en/', '/entity/') AS u FROM pages)""",
@@ -494,11 +649,57 @@ ORACLES = {
     "stratified_split": f"WITH a AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_HASHED}) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, {_SPLIT} AS part FROM a",
     "worker_shards": "SELECT c_custkey, ntile(7) OVER (ORDER BY c_custkey) - 1 AS shard FROM customer",
     "sampled_ids": "SELECT user_id AS id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('1|' || user_id) LIMIT 20",
-    "hash_embed": "SELECT doc_id, 64::BIGINT AS width, 1.0::DOUBLE AS norm FROM documents",
+    "phrase_places": """WITH p AS (SELECT doc_id, length(text) AS n, string_split(lower(text), 'the') AS s FROM documents),
+        a AS (SELECT doc_id, n, CASE WHEN len(s) > 1 THEN list_sum(list_transform(s[1:least(3, len(s) - 1)], lambda x: length(x)))::BIGINT + (least(3, len(s) - 1) - 1) * 3 END AS at FROM p)
+        SELECT doc_id, at, coalesce(at, 0) AS w0, least(coalesce(at, 0) + 3, greatest(n, 3)) AS w1 FROM a""",
+    "hash_embed": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{X.BLANKS}+')) AS w FROM documents),
+        c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT % 64 AS b, sum(CASE WHEN substr(md5(w), 16, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM w WHERE w <> '' GROUP BY 1, 2),
+        g AS (SELECT doc_id, b.b, coalesce(c.n, 0) AS n FROM documents CROSS JOIN range(64) b(b) LEFT JOIN c USING (doc_id, b))
+        SELECT doc_id, 64::BIGINT AS width, CASE WHEN sum(n * n) > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm, string_agg(sign(n)::INT::VARCHAR, ',' ORDER BY b) AS signs FROM g GROUP BY 1""",
+    "retriever_sweep": _RING + """, h AS (SELECT * FROM (VALUES ('front', 1), ('back', 17)) h(retriever, lo)),
+        ns2 AS (SELECT h.retriever, n.tag, n.pos, round(list_dot_product(t.e[lo:lo + 15], u.e[lo:lo + 15]), 9) AS sim FROM neutrals n JOIN b t ON t.qid = n.tag JOIN b u ON u.qid = n.neutral, h),
+        os2 AS (SELECT h.retriever, e.qid, e.tag, round(list_dot_product(t.e[lo:lo + 15], u.e[lo:lo + 15]), 9) AS s0 FROM edges e JOIN b t ON t.qid = e.tag JOIN b u ON u.qid = e.qid, h),
+        r2 AS (SELECT os2.retriever, os2.qid, os2.tag, o.n, count(*) FILTER (ns2.pos < o.n AND ns2.sim > os2.s0) + 1 AS rank FROM os2 JOIN (VALUES (10), (25), (50)) o(n) ON true
+          LEFT JOIN ns2 ON ns2.tag = os2.tag AND ns2.retriever = os2.retriever GROUP BY 1, 2, 3, 4),
+        s2 AS (SELECT retriever, qid, n, avg(CASE WHEN rank < 5 THEN 1.0::DOUBLE ELSE 0 END) AS score FROM r2 GROUP BY 1, 2, 3),
+        h2 AS (SELECT retriever, n, count(*) FILTER (score > 0.5) AS high, count(*) FILTER (score <= 0.5) AS low FROM s2 GROUP BY 1, 2),
+        v AS (SELECT *, CASE WHEN low > 0 THEN high::DOUBLE / (high + low) END AS ratio FROM h2),
+        p AS (SELECT retriever, row_number() OVER (ORDER BY max(ratio) FILTER (n = 10) DESC NULLS LAST, retriever) AS place FROM v GROUP BY 1)
+        SELECT v.retriever, v.n, high, low, round(ratio, 9) AS ratio, p.place FROM v JOIN p ON p.retriever = v.retriever""",
     "stratified_count": _B10 + " SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b) WHERE r <= 20",
     "stratified_average": _B10 + ", c AS (SELECT ceil(count(*) / count(DISTINCT bin)) AS cap FROM b) SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b), c WHERE r <= cap",
     "stratified_percentage": _B10 + ", c AS (SELECT ceil(0.3::DOUBLE * max(n)) AS cap FROM (SELECT count(*) AS n FROM b GROUP BY bin)) SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) AS r FROM b), c WHERE r <= cap",
     "stratified_equal": _B10 + ", c AS (SELECT count(*) AS k FROM b WHERE bin < 2) SELECT o_orderkey, bin FROM b WHERE bin < 2 UNION ALL SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin >= 2), c WHERE r <= k",
     "stratified_equal_tails": _B10 + """, c AS (SELECT least(count(*) FILTER (bin < 3), count(*) FILTER (bin >= 7)) AS k FROM b)
         SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin < 3), c WHERE r <= k UNION ALL SELECT o_orderkey, bin FROM (SELECT *, row_number() OVER (ORDER BY h) AS r FROM b WHERE bin >= 7), c WHERE r <= k""",
+    "normalised_tags": _ITEMS + " SELECT qid, pos, tag, label FROM (SELECT *, row_number() OVER (PARTITION BY qid, tag ORDER BY pos) AS r FROM t WHERE tag <> qid) WHERE r = 1 UNION ALL SELECT qid, pos, tag, label FROM t WHERE tag IS NULL",
+    "tag_statistics": _ITEMS + " SELECT count(DISTINCT qid) AS items, count(*) AS tags, count(tag) AS with_id, count(*) FILTER (tag IS NULL) AS without_id, (2 * count(tag))::BIGINT AS one_hop FROM t",
+    "node_universe": f"{_EDGES} SELECT src AS node FROM e UNION SELECT dst + 10000000 FROM e",
+    "target_ids": "SELECT DISTINCT p_partkey AS qid FROM part WHERE p_partkey % 3 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem)",
+    "first_with_tags": """WITH a AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 7 > 0 THEN 'i:' || (p_partkey % 7) ELSE 'l:' || lower(p_brand) END AS k,
+          list_filter(string_split(p_name, ' '), lambda t: NOT regexp_matches(t, '^Q\\d+$|[_/]') AND NOT contains(lower(t), 'wiki')) AS tags FROM part)
+        SELECT pos, array_to_string(tags, ' ') AS tags FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS r FROM a WHERE len(tags) > 0) WHERE r = 1""",
+    "enriched_items": """SELECT p_partkey AS qid, p_name AS label, true AS wikipedia_checked, text IS NOT NULL AS wikipedia_exists, coalesce(lang, 'en') AS wikipedia_lang, coalesce(source, p_name) AS wikipedia_title,
+        md5(coalesce(text[1:20], '')) AS paragraph FROM part LEFT JOIN documents ON doc_id = p_partkey""",
+    "cache_records": """WITH r AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Q' || o_custkey ELSE ' ' END AS qid, CASE WHEN o_orderkey % 2 = 0 THEN 'Q' || o_orderkey ELSE o_orderpriority END AS tag,
+          CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS label, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END AS title, o_orderkey AS p FROM orders), s AS (SELECT *, coalesce(title, label, tag) AS t FROM r)
+        SELECT CASE WHEN qid NOT IN (' ', 'Q0') THEN qid WHEN regexp_matches(tag, '^Q[1-9]') THEN tag END AS qid, tag, coalesce(label, t) AS label, 'en' AS wikipedia_lang, t AS wikipedia_title, p AS wikipedia_first_paragraph FROM s""",
+    "merged_cache": """WITH e AS (SELECT CASE WHEN event_id % 11 > 0 THEN 'Q' || user_id END AS qid, event_type AS p, event_id::BIGINT AS pos FROM events), c AS (SELECT 'Q' || c_custkey AS qid, 'p' || c_custkey AS p FROM customer WHERE c_custkey % 2 = 0)
+        SELECT qid, p AS wikipedia_first_paragraph, pos FROM e WHERE qid IS NULL UNION ALL SELECT f.qid, coalesce(c.p, f.p), f.pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS r FROM e WHERE qid IS NOT NULL) f LEFT JOIN c ON c.qid = f.qid WHERE r = 1
+        UNION ALL SELECT qid, p, (SELECT max(pos) FROM e) + row_number() OVER (ORDER BY qid) FROM c WHERE qid NOT IN (SELECT qid FROM e WHERE qid IS NOT NULL)""",
+    "covered_relations": f"""{_EDGES}, k AS (SELECT src, dst + 10000000 AS dst FROM e WHERE dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND src IN (SELECT p_partkey FROM part WHERE p_size > 10))
+        SELECT src, dst, (SELECT count(DISTINCT src) FROM e WHERE src NOT IN (SELECT src FROM k)) AS none FROM k""",
+    "full_coverage": "SELECT s_suppkey AS key, CASE WHEN s_acctbal > 0 THEN s_name END AS page FROM supplier",
+    "neutral_lists": f"""{_EDGES}, l AS (SELECT s_suppkey + 10000000 AS node, p.p AS pos FROM supplier, range(1, 3) p(p) WHERE s_nationkey < 12 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_size > 25)
+        SELECT e.src, e.dst + 10000000 AS dst, l.node * 10 + l.pos AS neutral, l.pos FROM e JOIN l ON l.node = CASE WHEN e.dst + 10000000 IN (SELECT node FROM l) THEN e.dst + 10000000 ELSE e.src END""",
+    "claim_union": """SELECT l_partkey AS qid, 'P1' AS pid, 'Q' || l_suppkey AS value_qid, NULL::VARCHAR AS value, min(l_orderkey)::BIGINT AS pos FROM lineitem GROUP BY 1, 2, 3
+        UNION ALL SELECT l_partkey, 'P2', NULL, l_returnflag, min(l_orderkey) FROM lineitem GROUP BY 1, 4""",
+    "capped_neutrals": f"{_EDGES} SELECT 1 AS qid, src AS tag, dst AS neutral, pos FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('1|1|' || src || '|' || dst), dst) AS pos FROM e) WHERE pos < 3",
+    "keyword_filter": _ITEMS + " SELECT qid, count(*) FILTER (h) AS removed, count(*) FILTER (NOT h) AS left FROM (SELECT qid, regexp_matches(lower(coalesce(tag, '') || '|' || label), 'ing|07') AS h FROM t) GROUP BY 1",
+    "clean_tag_lists": """SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda t: NOT regexp_matches(t, '^Q\\d+$|[_/]') AND NOT contains(lower(t), 'wiki')), '|') AS tags FROM part""",
+    "related_tags": """WITH a AS (SELECT 'Q' || l_partkey AS qid, 'Q' || l_suppkey AS v, min((l_orderkey * 10 + l_linenumber)::BIGINT * 100000 + l_suppkey) AS pos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+          WHERE l_partkey <> l_suppkey AND NOT contains(lower(s_name), right(l_partkey::VARCHAR, 1)) GROUP BY 1, 2) SELECT qid, string_agg(v, ',' ORDER BY pos) AS tags FROM a GROUP BY 1""",
+    "resolved_labels": "SELECT event_id, q.qid FROM events e LEFT JOIN (SELECT event_type, min(user_id) AS qid FROM events WHERE event_id % 3 = 0 GROUP BY 1) q ON q.event_type = e.event_type",
+    "not_processed": "SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0)",
 }
+ORACLES = {name: re.sub("@([^@]+)@", lambda m: _strip(m[1]), sql) for name, sql in ORACLES.items()}

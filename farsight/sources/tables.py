@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from farsight.functions import text as X
 from pyspark.sql import types as T
 
 ITEM_V1 = "qid string, label string, related_tags array<string>, _error string"
@@ -24,7 +26,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, str
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row with the number of lines that aren't objects of the schema."""
     full = T.StructType.fromDDL(schema).add("_bad", "string")
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(X.strip("value") != "")
     parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.agg(F.count_if(F.col("r").isNull() | F.col("r._bad").isNotNull()).alias("bad"))
 
@@ -55,7 +57,7 @@ def read_ranks(spark: SparkSession, path: str, combos: list[tuple[str, int]]) ->
 def read_pairs(spark: SparkSession, path: str, label: str = "label", context: str = "context") -> DataFrame:
     """Label and context pairs as strings, without blank contexts; none at all is an error."""
     df = spark.read.json(path)
-    df = df.withColumn(label, F.col(label).cast("string")).withColumn(context, F.col(context).cast("string")).filter(F.trim(context) != "")
+    df = df.withColumn(label, F.col(label).cast("string")).withColumn(context, F.col(context).cast("string")).filter(X.strip(context) != "")
     if df.isEmpty():
         raise ValueError("there are no pairs")
     return df
@@ -85,7 +87,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split", error: str = "_
 
 def write_cache(df: DataFrame, path: str, text: str = "wikipedia_first_paragraph") -> None:
     """Only rows with a paragraph (K7)."""
-    df.filter(F.trim(text) != "").write.mode("overwrite").json(path)
+    df.filter(X.strip(text) != "").write.mode("overwrite").json(path)
 
 
 def publish(spark: SparkSession, tables: dict[str, str], drop: list[str] | None = None) -> None:
@@ -107,3 +109,8 @@ def scan_report(items: DataFrame, score, ranks: str = "ranks") -> DataFrame:
 def compact(spark: SparkSession, parts: str, whole: str, schema: str) -> None:
     """Splits merged into one table in one commit; readers then use the whole."""
     spark.read.schema(schema).json(parts).write.mode("overwrite").parquet(whole)
+
+
+def write_in_order(df: DataFrame, path: str, pos: str = "pos") -> None:
+    """JSON lines in the order of pos, within files and from file to file, without the column."""
+    df.repartitionByRange(pos).sortWithinPartitions(pos).drop(pos).write.mode("overwrite").json(path)

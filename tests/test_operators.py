@@ -28,7 +28,7 @@ def test_graph(spark):
     assert rows(graph.covered_list(lists, pages, "k", "v"), "k") == [(1, ["a", "a"]), (2, []), (3, [])]
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
     start = spark.createDataFrame([("c",)], "node string")
-    assert [r[0] for r in rows(graph.closure(spark, edges, start))] == ["a", "b", "c"]
+    assert [r[0] for r in rows(graph.closure(edges, start))] == ["a", "b", "c"]
     old, new = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z", 1), (2, "w", 2), (3, "q", 1)], "k int, v string, seq int")
     assert rows(graph.upsert(old, new, ["k"], "seq").select("k", "v")) == [(1, "x"), (2, "w"), (3, "q")]
     cache = spark.createDataFrame([("Q1", "new"), ("Q9", "n")], "qid string, wikipedia_first_paragraph string")
@@ -45,6 +45,85 @@ def test_neutral_sample(spark):
     assert few.count() == 2 and few.filter("neutral in (0, 1, 2)").count() == 0
 
 
+def test_neutral_sample_of_any_ids(spark):
+    nodes = spark.createDataFrame([(f"Q{i}",) for i in range(50)], "node string")
+    related = spark.createDataFrame([("Q1", f"Q{i}") for i in range(2, 45)], "target string, node string")
+    targets = spark.createDataFrame([("Q1",), ("Q7",), ("other",)], "target string")
+    got = neutral.neutral_sample(targets, nodes, related, 10, draws=1)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.target, []).append((r.pos, r.neutral))
+    assert {n for _, n in by["Q1"]} == {"Q0", "Q45", "Q46", "Q47", "Q48", "Q49"}  # all that there are
+    for t in ("Q7", "other"):
+        assert sorted(p for p, _ in by[t]) == list(range(1, 11)) and len({n for _, n in by[t]} - {t}) == 10
+    large = spark.createDataFrame([(10**15 + i,) for i in range(20)], "node long")
+    assert neutral.neutral_sample(large.select(F.col("node").alias("target")), large, spark.createDataFrame([], "target long, node long"), 3).count() == 60
+
+
+def test_dense_numbers_do_not_depend_on_ranges(spark, monkeypatch):
+    from farsight.functions import order
+
+    ids = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}",) for i in range(1000)] + [(None,), ("far away",)], "node string")
+    want = [(k, i) for i, k in enumerate(sorted(r[0] for r in ids.collect() if r[0]))]
+    assert rows(order.ordered(ids), "idx") == want
+    monkeypatch.setattr(order, "RANGE", 100)
+    assert rows(order.ordered(ids), "idx") == want
+
+
+def test_claim_union_keeps_literals(spark):
+    schema = "qid string, pid string, value_qid string, value string, pos int"
+    one = spark.createDataFrame([("Q1", "P1", None, "a", 1), ("Q1", "P1", None, "b", 2), ("Q1", "P2", "Q5", "x", 3)], schema)
+    two = spark.createDataFrame([("Q1", "P1", None, "a", 9), ("Q1", "P2", "Q5", "y", 1), ("Q1", "P1", "", "b", 1)], schema)
+    assert rows(graph.claim_union(one, two), "pos") == [("Q1", "P1", None, "a", 1), ("Q1", "P1", None, "b", 2), ("Q1", "P2", "Q5", "x", 3)]
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(12)], "child int, parent int")
+    assert graph.closure(edges, spark.createDataFrame([(0,)], "node int")).count() == 13
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from farsight.functions import text as X
+    from farsight.operators import clean
+
+    pages = spark.createDataFrame([("a", "\n\t\n", 1), ("a", "\u00a0x\n", 2), ("b", " \u3000", 3)], "k string, text string, pos int")
+    assert rows(clean.keep_longest(pages, ["k"], "text", "pos")) == [("a", "x", 2)]
+    got = spark.createDataFrame([("L", "a text\n")], "l string, c string").select(X.pair_text(F.col("l"), F.col("c"))).first()[0]
+    assert got == "L : a text"
+
+
+def test_keyword_filter_looks_at_values_at_any_depth(spark):
+    from farsight.operators import clean
+
+    schema = "related_tags array<struct<qid: string, label: string, wikipedia_title: string, more: array<struct<x: string>>>>"
+    items = spark.createDataFrame([([("Q1", "a", "b", []), ("Q2", "a", "b", [("in Wikidata",)]), ("Q3", 'say "x": wikipedia', None, None)],)], schema)
+    got = clean.drop_keyword_tags(items).first()
+    assert [t.qid for t in got.related_tags] == ["Q1"] and got.removed == 2
+
+
+def test_sweep_and_places(spark):
+    bank = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.7, 0.0])], "qid long, embedding array<float>")
+    edges, neutrals = spark.createDataFrame([(2, 1)], "qid long, tag long"), spark.createDataFrame([(1, 3, 1)], "tag long, neutral long, pos int")
+    flipped = bank.withColumn("embedding", F.transform("embedding", lambda x: -x * x))
+    got = ranking.sweep(edges, neutrals, {"a": bank, "b": flipped.filter("qid < 3")}, [2])
+    assert rows(got.select("retriever", "rank", "sample_size")) == [("a", 2, 2), ("b", 1, 1)]
+    r = spark.createDataFrame([("a", 10, None), ("b", 10, 0.2), ("c", 10, 0.9), ("c", 20, 0.1)], "retriever string, n int, ratio double")
+    assert rows(ranking.by_first(r, "ratio", 10).select("retriever", "place").distinct()) == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_constant_and_cosine_models_and_span_scores(spark):
+    data = spark.createDataFrame([(i, [1.0, 0.0, float(i % 2), float(1 - i % 2), 0.0, 0.0, 0.0, 0.0], float(i % 4)) for i in range(40)], "qid long, v array<double>, y double")
+    data = data.select("qid", array_to_vector("v").alias("features"), "y")
+    assert models.predicted(models.fitted("mean", data), data).select("pred").distinct().collect() == [(1.5,)]
+    assert sorted(round(r[0], 6) for r in models.predicted(models.fitted("cosine", data), data).select("pred").distinct().collect()) == [0.5, 1.0]
+    texts = spark.createDataFrame([(i, f"word{i % 5} other", float(i % 5)) for i in range(30)], "qid long, text string, y double")
+    train = encode.embed(texts, "text").select("qid", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), "y")
+    pairs = spark.createDataFrame([("word1", "see word1 here"), ("none", "see word2 here"), (None, None)], "label string, context string")
+    got = {r.label: r for r in models.score_pairs(pairs, models.artifact(train), "m", text_mode="span").collect()}
+    alone = models.score_pairs(spark.createDataFrame([("x", "word1")], "label string, context string"), models.artifact(train), "m", text_mode="context").first()
+    assert len(got) == 3 and got["word1"].risk_score == pytest.approx(alone.risk_score, abs=1e-6) and got["none"].score_text_mode == "span"
+
+
 def test_ranks(spark):
     bank = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.7, 0.0]), (4, [0.5, 1.0]), (5, [0.1, 0.0])], "qid long, embedding array<float>")
     edges = spark.createDataFrame([(2, 1)], "qid long, tag long")
