@@ -165,7 +165,7 @@ def phrase_places(spark, d):
     docs = table(spark, d, "documents")
     low = X.occurrence(F.col("text"), F.lit("the"), 3)
     first, last = X.token_window(F.coalesce(low, F.lit(0)), F.coalesce(low, F.lit(0)) + 3, F.greatest(F.length("text"), F.lit(3)), 512)
-    return docs.select("doc_id", low.alias("at"), first.alias("w0"), last.alias("w1"))
+    return docs.select("doc_id", F.coalesce(low, F.lit(-1)).alias("at"), first.alias("w0"), last.alias("w1"))
 
 
 def token_spans(spark, d):
@@ -650,8 +650,8 @@ ORACLES = {
     "worker_shards": "SELECT c_custkey, ntile(7) OVER (ORDER BY c_custkey) - 1 AS shard FROM customer",
     "sampled_ids": "SELECT user_id AS id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('1|' || user_id) LIMIT 20",
     "phrase_places": """WITH p AS (SELECT doc_id, length(text) AS n, string_split(lower(text), 'the') AS s FROM documents),
-        a AS (SELECT doc_id, n, CASE WHEN len(s) > 1 THEN list_sum(list_transform(s[1:least(3, len(s) - 1)], lambda x: length(x)))::BIGINT + (least(3, len(s) - 1) - 1) * 3 END AS at FROM p)
-        SELECT doc_id, at, coalesce(at, 0) AS w0, least(coalesce(at, 0) + 3, greatest(n, 3)) AS w1 FROM a""",
+        a AS (SELECT doc_id, n, CASE WHEN len(s) > 1 THEN list_sum(list_transform(s[1:least(3, len(s) - 1)], lambda x: length(x)))::BIGINT + (least(3, len(s) - 1) - 1) * 3 END AS place FROM p)
+        SELECT doc_id, coalesce(place, -1) AS "at", coalesce(place, 0) AS w0, least(coalesce(place, 0) + 3, greatest(n, 3)) AS w1 FROM a""",
     "hash_embed": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{X.BLANKS}+')) AS w FROM documents),
         c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT % 64 AS b, sum(CASE WHEN substr(md5(w), 16, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM w WHERE w <> '' GROUP BY 1, 2),
         g AS (SELECT doc_id, b.b, coalesce(c.n, 0) AS n FROM documents CROSS JOIN range(64) b(b) LEFT JOIN c USING (doc_id, b))
