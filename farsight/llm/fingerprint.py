@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farsight.functions.order import range_of
 from farsight.llm.common import documents
 
 PARAGRAPHS = 8
 #: Documents in a range of ids, about, and the most ranges.
-FAN, RANGES = 1024, 1 << 16
+FAN, RANGES = 4096, 1 << 14
 
 
 def fingerprint(text: Column) -> Column:
@@ -57,19 +58,19 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, column: str) -> DataFrame:
     """docs(doc_id, ...) with `next`, the column of the following row by doc_id, after the last of the first.
 
-    Ids are cut into ranges of equal width (RANGES at most). The first row of each range is also put at the end of the range before it, so one
-    exchange of the rows serves: the list of first ids, a row for each range, is what joins them."""
-    span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi, n = (int(x or 0) for x in span)
-    width = max(1, -(-(hi - lo + 1) // min(RANGES, max(1, n // FAN))))
-    ranged = docs.select("doc_id", F.expr(f"coalesce(doc_id - {lo}L, 0L) div {width}L").alias("r"))
+    Ids are cut into ranges at approximate quantiles, so that each has about FAN rows (more beyond RANGES ranges) wherever the ids lie. The first row of each range is also put
+    at the end of the range before it, so one exchange of the rows serves: the list of first ids, a row for each range, is what joins them."""
+    ranges = min(RANGES, docs.count() // FAN)
+    cuts = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+    which = range_of(F.coalesce("doc_id", F.lit(-(1 << 63))), sorted({int(x) for x in cuts}))
+    ranged = docs.select("doc_id", which.alias("r"))
     heads = ranged.groupBy("r").agg(F.min("doc_id").alias("head"))
-    before = F.coalesce(F.lag("r").over(Window.orderBy("r")), F.lit(-1).cast("long"))  # -1: the first follows the last
+    before = F.coalesce(F.lag("r").over(Window.orderBy("r")), F.lit(-1))  # -1: the first follows the last
     last = heads.agg(F.max("r").alias("last"))
     heads = heads.withColumn("before", before).join(F.broadcast(last)).select(
         F.col("head").alias("__head"), F.when(F.col("before") < 0, F.col("last")).otherwise(F.col("before")).alias("__before")
     )
-    rows = docs.withColumn("__r", F.expr(f"coalesce(doc_id - {lo}L, 0L) div {width}L"))
+    rows = docs.withColumn("__r", which)
     rows = rows.join(F.broadcast(heads), F.col("doc_id") == F.col("__head"), "left")  # RANGES rows at most
     places = F.array(F.struct(F.col("__r").alias("r"), F.lit(0).alias("late")), F.struct(F.col("__before").alias("r"), F.lit(1).alias("late")))
     rows = rows.withColumn("__x", F.explode(F.filter(places, lambda x: x["r"].isNotNull())))

@@ -137,11 +137,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     tested = cells.filter("quality is not null").join(F.broadcast(plan), F.expr("stratum <=> s")).filter("not (thin and fold and quality = 1)")
     joint = tested.groupBy("stratum", "quality", step.alias("step")).count().collect()
     out = {}
+    steps_of = {s: [[0] * (len(steps) + 1) for _ in range(2)] for s, steps in chains.items()}
+    for r in joint:
+        steps_of[r["stratum"]][r["quality"]][r["step"]] += r["count"]
     for s, steps in chains.items():
-        at = [[0] * (len(steps) + 1) for _ in range(2)]
-        for r in joint:
-            if r["stratum"] == s:
-                at[r["quality"]][r["step"]] += r["count"]
+        at = steps_of[s]
         rejected = [(sum(at[1][: i + 1]), sum(at[0][: i + 1])) for i in range(len(steps))]
         i = choose(rejected, sum(at[1]), sum(at[0]), alpha, delta / len(chains))
         if i is not None:
@@ -150,11 +150,14 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def verdicts(measured: DataFrame, cutoffs: dict[tuple[str | None, str], float]) -> DataFrame:
+    """measured with `kept`; the cutoffs, a row for each stratum that has any, are joined."""
+    strata = sorted({s for s, _ in cutoffs}, key=str)
+    table = measured.sparkSession.createDataFrame([(s, *(cutoffs.get((s, rule)) for rule in RULES)) for s in strata], ", ".join(["s string", *(f"cutoff_{rule} double" for rule in RULES)]))
+    joined = measured.join(F.broadcast(table), F.expr("stratum <=> s"), "left")
     kept = ~F.col("base_failed")
-    for (stratum, rule), cutoff in sorted(cutoffs.items(), key=str):
-        here = F.col("stratum").eqNullSafe(F.lit(stratum))
-        kept = kept & ~(here & (F.expr(RULES[rule]) > cutoff))
-    return measured.withColumn("kept", kept)
+    for rule, rate in RULES.items():
+        kept = kept & F.coalesce(F.expr(rate) <= F.col(f"cutoff_{rule}"), F.lit(True))
+    return joined.select(*measured.columns, kept.alias("kept"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

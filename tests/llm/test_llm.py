@@ -151,6 +151,22 @@ def test_packing_plan_is_near_the_bound():
     assert packing.packing_plan({}, 512) == []
 
 
+def brute_quality(text):
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    often = Counter(runs)
+    inside = {i + j for i, r in enumerate(runs) if often[r] > 1 for j in range(8)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside), len(w) < 20 or 100 * len(inside) > 30 * len(w))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are missing")
+def test_quality_measures_of_a_table(spark, odd):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for docs, rows in ((odd, [(r[0], r[1]) for r in ODD]), (spark.read.parquet(f"{DATA}/documents.parquet"), texts)):
+        got = quality.measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+        assert collect(got) == sorted(((d, *brute_quality(t)) for d, t in rows), key=str)
+
+
 def test_quality(spark, odd):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     got = quality.quality_rules(odd, labels).collect()
@@ -177,15 +193,44 @@ def test_quality_cutoffs_of_strata_with_few_labels(spark):
     assert quality.chain(bad, others) == [{"b": 2}, {"b": 2, "a": 1}, {"b": 2, "a": 2}]
 
 
-def test_fingerprints(odd):
-    rows = {r.doc_id: r for r in fingerprint.edited_fingerprints(odd).collect()}
-    texts = [(d, t or "") for d, t, *_ in ODD]
-    for i, (d, t) in enumerate(texts[:-2]):
-        nxt = texts[i + 1][1]
+def brute_fingerprint(text):
+    """Root and leaves of the tree, digest by digest."""
+    leaves = [[format(xx64(c.encode()), "x") for c in re.split(r"(?<=[.,!?|;:] )", p)] for p in text.split("\n")]
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    sections = [[",".join(p) for p in leaves[i : i + fingerprint.PARAGRAPHS]] for i in range(0, len(leaves), fingerprint.PARAGRAPHS)]
+    root = md5(";".join(md5("/".join(md5(p) for p in s)) for s in sections))
+    return root + ":" + ";".join("/".join(s) for s in sections), {x for p in leaves for x in p}
+
+
+def xx64(raw):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(raw, seed=42)
+
+
+def brute_fingerprints(rows):
+    rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0], r[1].encode()))
+    like = lambda a, b: 1.0 if a[0].split(":")[0] == b[0].split(":")[0] else 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1]))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        assert rows[d].n_chars == len(t) and rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-    assert rows[4].fingerprint == rows[5].fingerprint and rows[4].near_next == 1.0
-    assert rows[1].fingerprint != rows[2].fingerprint
+        own, new, other = brute_fingerprint(t), brute_fingerprint(edited), brute_fingerprint(nxt)
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), own[0].lower(), new[0].lower(), round(like(own, new), 9), round(like(own, other), 9)))
+    return sorted(out, key=str)
+
+
+def test_fingerprints(spark, odd, monkeypatch):
+    def got(docs):
+        return sorted(((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprint.edited_fingerprints(docs).collect()), key=str)
+
+    assert got(odd) == brute_fingerprints(ODD)  # the last is followed by the first, equal rows by each other
+    far = [(i, f"text {i}. and\nmore, {i % 3}") for i in range(200)] + [(10**15, "far away"), (-(10**15), "before")]
+    docs = spark.createDataFrame(far, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(fingerprint, "FAN", 20)
+    assert got(docs) == brute_fingerprints(far)
+    ranged = fingerprint.with_next(docs, "text")
+    assert ranged.count() == len(far)
 
 
 def test_differing_paragraphs(spark):
