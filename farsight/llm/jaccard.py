@@ -25,9 +25,9 @@ from farsight.llm.common import documents, grams, lists, merged, runs, shared_fo
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 #: Documents of one batch that share a token before the batch reports it as common; least sum that makes it so.
-LOCAL_COMMON, COMMON = 4, 16
+LOCAL_COMMON, COMMON = 2, 3
 #: Tokens of its leading part that a set must share with another's, or all that it must share if those are fewer.
 SHARED = 3
 #: Members and tokens that a group has on average at most; larger groups are dealt into several.
