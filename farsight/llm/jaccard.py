@@ -62,10 +62,13 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         one, two = (pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8))
         none = pa.nulls(len(sizes), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), one, two, none, none], names)
-        tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *different.values()]), return_counts=True)
-        often = counts >= LOCAL_COMMON
+        every = np.concatenate([np.zeros(0, np.uint64), *different.values()])
+        different.clear()
+        every.sort()  # in place: most tokens are there once
+        tokens, counts = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+        often = counts + 1 >= LOCAL_COMMON
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [signed(tokens[often]), pa.array(counts[often].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [signed(tokens[often]), pa.array(counts[often].astype(np.int64) + 1)], names)
 
 
 def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
