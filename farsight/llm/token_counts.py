@@ -38,8 +38,8 @@ _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(MARKS.encode())] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
-SCHEMA = "block long, part string, code int, doc_id long, n_bytes long, known long, codes array<int>, counts array<int>"
-NAMES = ["block", "part", "code", "doc_id", "n_bytes", "known", "codes", "counts"]
+SCHEMA = "block long, part string, code int, doc_id long, n_bytes long, known long, freq binary"
+NAMES = ["block", "part", "code", "doc_id", "n_bytes", "known", "freq"]
 _TOKENIZERS: dict = {}
 
 
@@ -169,11 +169,13 @@ class _Block:
         known = np.bincount(doc, pieces[code] * count, len(self.docs)).astype(np.int64)
         rare = pieces[code] == 0
         doc, code, count = doc[rare], code[rare], count[rare]
-        starts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(self.docs))))).astype(np.int32))
+        # numbers and frequencies as pairs of 32-bit numbers, in bytes: Spark measures each row that it passes on, and lists take long
+        starts = (8 * np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(self.docs)))))).astype(np.int32)
         n = len(self.docs)
-        kept = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (code, count)]
+        pairs = np.stack((code, count), 1).astype("<i4").tobytes()
+        kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(pairs)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(self.docs, pa.int64()), pa.array([len(t) for t in self.raw], pa.int64()), pa.array(known), *kept],
+            [pa.array(np.full(n, block)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(self.docs, pa.int64()), pa.array([len(t) for t in self.raw], pa.int64()), pa.array(known), kept],
             NAMES,
         )
         names = pa.array(parts, pa.string())
@@ -181,7 +183,7 @@ class _Block:
         for lo in range(0, len(rest), 50_000):
             here = rest[lo : lo + 50_000]
             n = len(here)
-            none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), names.take(pa.array(here)), pa.array(here.astype(np.int32)), *none], NAMES)
 
 
@@ -259,9 +261,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pieces[code] = part.column("pieces").slice(0, first).to_numpy()
                 part = part.slice(first)
             if len(part):
-                codes, counts = part.column("codes"), part.column("counts")
-                sizes = np.diff(codes.offsets.to_numpy())
-                each = pieces[codes.flatten().to_numpy()] * counts.flatten().to_numpy()
+                freq = part.column("freq")
+                offsets = np.frombuffer(freq.buffers()[1], np.int32)[freq.offset : freq.offset + len(freq) + 1]
+                sizes = np.diff(offsets) // 8
+                pairs = np.frombuffer(freq.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view("<i4").reshape(-1, 2)
+                each = pieces[pairs[:, 0]] * pairs[:, 1]
                 sums = np.concatenate(([0], np.cumsum(each)))
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 tokens.append(sums[ends[1:]] - sums[ends[:-1]] + part.column("known").to_numpy())
@@ -283,7 +287,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     blocks = written(docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA))
     parts = blocks.filter("part is not null").select("part", "block", "code").repartition("part").sortWithinPartitions("part")
     pieces = parts.mapInArrow(lambda it: _counted(it, path), "block long, code int, pieces int")
-    rows = pieces.unionByName(blocks.filter("part is null").select("block", "doc_id", "n_bytes", "known", "codes", "counts"), allowMissingColumns=True)
+    rows = pieces.unionByName(blocks.filter("part is null").select("block", "doc_id", "n_bytes", "known", "freq"), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions(F.expr("2 * block + if(code is null, 1, 0)"))  # by one number: Spark sorts these without comparing rows
     sums = rows.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
