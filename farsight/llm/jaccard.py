@@ -180,8 +180,10 @@ def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
 
 
 def _opened(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): the links that open groups give; rows(doc_id, g, c, part, guest, component) say who comes where."""
-    places = rows.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "part", "guest", "component")).alias("places"))
+    """(a, b): the links that open groups give; rows(doc_id, g, c, part, guest, component) say who comes where.
+
+    The places are written first: Spark then knows their size, and texts without a place don't enter the shuffle while it is under its broadcast threshold."""
+    places = written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "part", "guest", "component")).alias("places")))
     shipped = docs.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("x")).select("x.*", "doc_id", "text")
     return shipped.repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id").mapInArrow(lambda it: _open(it, k, num, den), "a long, b long")
 
@@ -206,8 +208,7 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     common(token, n) sets the order of tokens; any content gives the same result."""
     held = _levels(docs, common)
     leading = written(docs.mapInArrow(lambda it: _prefixes(it, k, num, den, held), "token long, doc_id long, others array<long>"))
-    least, most = F.least("doc_id", F.array_min("others")), F.greatest("doc_id", F.array_max("others"))
-    met = leading.groupBy("token").agg(F.min(least).alias("lo"), F.max(most).alias("hi")).filter("lo < hi").select("token")
+    met = leading.groupBy("token").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(F.size("others") + 1)).alias("docs")).filter("docs > 1").select("token")
     every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
     met = written(leading.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
     shared = met.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
