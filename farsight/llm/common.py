@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,36 +26,29 @@ BREAKS[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of texts whose words are hashed together, about.
 RUN_BYTES = 1 << 18
 
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of _BASE and of its inverse, n at least: as much memory as 16 times the longest run."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(4 * RUN_BYTES, n)
-        _POWERS[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of the bytes in data; spans are in order and not empty. Equal bytes have equal hashes wherever they stand."""
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        begin = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, begin + 4 * RUN_BYTES, side="right")))
-        piece = data[begin : int(ends[to - 1])]
-        up, down = _powers(len(piece))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-        first, last = starts[at:to] - begin, ends[at:to] - begin
-        out[at:to] = (sums[last] - sums[first]) * down[first]
-        at = to
-    out ^= out >> _SHIFT
-    out += (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-    out *= _MIX
-    out ^= out >> np.uint64(29)
-    return out
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The bytes of each span of data; spans are in order and don't overlap."""
+    if not len(starts):
+        return pa.array([], pa.binary())
+    begin = int(starts[0])
+    edges = np.zeros(int(ends[-1]) - begin + 1, np.int8)
+    edges[starts - begin] += 1
+    edges[ends - begin] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[begin : int(ends[-1])][inside])])
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:
+    """The number of each span among the different ones, and these, told apart by their bytes."""
+    found = spelled(data, starts, ends).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def hashed(words: pa.BinaryArray) -> np.ndarray:
+    """64-bit hash of each word's bytes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, count=len(words))
 
 
 def runs(sizes: list[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
@@ -78,8 +72,12 @@ class Words:
     ends: np.ndarray
     sizes: np.ndarray
 
+    def numbered(self) -> tuple[np.ndarray, pa.BinaryArray]:
+        return numbered(self.data, self.starts, self.ends)
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        code, different = self.numbered()
+        return hashed(different)[code]
 
     def first(self) -> np.ndarray:
         """Number of the first word of each text, and the number of words."""

@@ -44,7 +44,7 @@ class _Ids:
     """Token ids of texts, as arrays of little-endian unsigned 32-bit numbers.
 
     In plain texts a word is tokenized alone as within the text, with the space or line break before it, so each different word of a run of
-    texts is tokenized once, and what a task has met is kept, by hash, in arrays. Texts with other white space are tokenized whole."""
+    texts is tokenized once, and what a task has met is kept, by its bytes. Texts with other white space are tokenized whole."""
 
     def __init__(self, path: str):
         self.path = path
@@ -53,18 +53,19 @@ class _Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(0, "<u4")
         self.start, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, keys: np.ndarray, words: list[tuple[int, str]]) -> None:
-        """Adds words, which are tokenized in few texts and told apart by the bytes of their tokens. A line break is a token, which a text's first word lacks."""
-        lead = np.array([k for k, _ in words])
-        found, start, many = [self.flat], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    def learn(self, parts: list[bytes]) -> None:
+        """Adds words with what goes before them, which are tokenized in few texts and told apart by the bytes of their tokens. A line break is a token, which a text's first word lacks."""
+        lead = np.array([0 if p[0] not in b" \n" else 1 if p[0] == 0x20 else 2 for p in parts])
+        found, start, many = [self.flat], np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         held = len(self.flat)
         for between, here in ((" ", np.flatnonzero(lead == 1)), ("\n", np.flatnonzero(lead != 1))):
             for lo in range(0, len(here), 5000):
                 part = here[lo : lo + 5000]
-                texts_ = [words[i][1] for i in part.tolist()]
+                texts_ = [parts[i][lead[i] > 0 :].decode("utf-8") for i in part.tolist()]
                 (ids,) = _encoded(self.tokenizer, [between + between.join(texts_)])
                 ends = np.cumsum([len(w.encode()) + 1 for w in texts_])
                 cuts = np.searchsorted(np.cumsum(_sizes(self.path)[ids]), ends) + 1
@@ -72,9 +73,8 @@ class _Ids:
                 start[part], many[part] = held + first, cuts - first
                 found.append(ids)
                 held += len(ids)
-        keys, start, many = (np.concatenate(x) for x in ((self.keys, keys), (self.start, start), (self.many, many)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.many, self.flat = keys[order], start[order], many[order], np.concatenate(found)
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.flat, self.start, self.many = np.concatenate(found), np.concatenate((self.start, start)), np.concatenate((self.many, many))
 
     def of_marks(self, marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = [m for m in marks if m not in self.marks]
@@ -93,13 +93,13 @@ class _Ids:
         if not rest:
             return out
         words = plain_words([raw[i] for i in rest])
-        if len(self.keys) + len(words.keys) > MEMO or len(self.marks) > MEMO:
+        if len(self.known) + len(words.parts) > MEMO or len(self.marks) > MEMO:
             self.forget()
             self.marks.clear()
-        at = np.minimum(np.searchsorted(self.keys, words.keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != words.keys) if len(self.keys) else np.arange(len(words.keys))
-        self.learn(words.keys[new], words.words(new))
-        at = np.searchsorted(self.keys, words.keys)[words.code]
+        new = [p for p in words.parts if p not in self.known]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words.parts), np.int64, count=len(words.parts))[words.code]
         ends, sizes = self.of_marks(words.marks)
         # words and their marks by turns
         flat = np.concatenate((self.flat, ends))
@@ -194,7 +194,7 @@ def packing_plan(histogram: dict[int, int], size: int) -> list[tuple[dict[int, i
         room = size - sum(n * k for n, k in lengths.items())
         while room > 0:
             fits = np.flatnonzero(left[1 : room + 1]) + 1
-            fits = [n for n in fits[::-1][:64] if left[n] > lengths.get(int(n), 0)]
+            fits = [n for n in fits[::-1] if left[n] > lengths.get(int(n), 0)]
             if not fits:
                 break
             n = int(fits[0])

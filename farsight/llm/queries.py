@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farsight.llm import fingerprint, html, jaccard, language, mixing, packing, quality, substring, token_counts, toxicity
+from farsight.llm import fingerprint, html, jaccard, language, mixing, ordered_packing, packing, quality, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_jaccard": jaccard.query,
     "op10_token_counts": token_counts.query,
+    "op13_ordered_packing": ordered_packing.query,
 }
 ORACLES = {"op5_substring": substring.ORACLE, "op9_jaccard": jaccard.ORACLE}

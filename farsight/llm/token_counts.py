@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, sample, span_hashes, texts, words_of, written
+from farsight.llm.common import documents, numbered, sample, texts, words_of, written
 
 #: A block ends at so many documents or bytes; a longer text is a block of its own.
 BLOCK_DOCS, BLOCK_BYTES = 20_000, 12 << 20
@@ -33,7 +33,7 @@ MARKS = ".,;:!?|#*$%&"
 #: Bytes that part the words of plain texts, and what goes before a word that begins a text or follows one of them.
 PARTS = np.zeros(256, bool)
 PARTS[[0x20, 0x0A]] = True
-LEADS = ("", " ", "\n")
+LEADS = (b"", b" ", b"\n")
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(MARKS.encode())] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -83,22 +83,23 @@ def pre_tokens(text: str, special: list[str]) -> list[str]:
 class PlainWords:
     """Words of plain texts, in order, without the marks after a last letter, which are apart: no token spans the two.
 
-    code and mark (-1: none) number the different ones, sizes are the words of each text. keys are hashes of the different words with what goes before them."""
+    code and mark (-1: none) number the different ones, sizes are the words of each text. parts are the different words with what goes before them."""
 
     code: np.ndarray
     mark: np.ndarray
     sizes: np.ndarray
-    keys: np.ndarray
+    parts: list[bytes]
     marks: list[str]
-    leads: np.ndarray
-    data: bytes
-    spans: tuple[np.ndarray, np.ndarray]
 
-    def words(self, which: np.ndarray) -> list[tuple[int, str]]:
-        """Different words by number, each after what goes before it (a number in LEADS)."""
-        start, end = self.spans
-        data = self.data
-        return [(k, data[a:b].decode("utf-8")) for k, a, b in zip(self.leads[which].tolist(), start[which].tolist(), end[which].tolist(), strict=True)]
+
+def stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that end in marks after a letter, and where the marks of each begin."""
+    solid = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
+    stem = np.maximum(solid[ends - 1] + 1, starts)
+    one, two = data[stem - 1], data[stem - 2]
+    letter = _LETTER[one] | ((stem - 2 >= starts) & (one >= 0x80) & (two >= 0xC3) & (two <= 0xC8) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))
+    cut = np.flatnonzero((stem > starts) & (stem < ends) & letter)
+    return cut, stem[cut]
 
 
 def plain_words(raw: list[bytes]) -> PlainWords:
@@ -106,20 +107,20 @@ def plain_words(raw: list[bytes]) -> PlainWords:
     data, starts, ends = words.data, words.starts, words.ends
     lead = 1 + (data[starts - 1] == 0x0A)
     lead[words.first()[:-1][words.sizes > 0]] = 0
-    solid = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
-    stem = np.maximum(solid[ends - 1] + 1, starts)
-    one, two = data[stem - 1], data[stem - 2]
-    letter = _LETTER[one] | ((stem - 2 >= starts) & (one >= 0x80) & (two >= 0xC3) & (two <= 0xC8) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))
-    cut = np.flatnonzero((stem > starts) & (stem < ends) & letter)
+    cut, stem = stems(data, starts, ends)
     mark, marks = np.full(len(starts), -1), []
     if len(cut):
-        _, at, mark[cut] = np.unique(span_hashes(data, stem[cut], ends[cut]), return_index=True, return_inverse=True)
-        marks = [data[a:b].tobytes().decode() for a, b in zip(stem[cut[at]].tolist(), ends[cut[at]].tolist(), strict=True)]
+        mark[cut], different = numbered(data, stem, ends[cut])
+        marks = [m.decode() for m in different.to_pylist()]
     last = ends.copy()
-    last[cut] = stem[cut]
-    keys = span_hashes(data, starts, last) ^ (lead.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    keys, at, code = np.unique(keys, return_index=True, return_inverse=True)
-    return PlainWords(code, mark, words.sizes, keys, marks, lead[at], data.tobytes(), (starts[at], last[at]))
+    last[cut] = stem
+    code, different = numbered(data, starts, last)
+    code = 3 * code + lead
+    met = np.zeros(3 * len(different), bool)
+    met[code] = True
+    names = different.to_pylist()
+    parts = [LEADS[i % 3] + names[i // 3] for i in np.flatnonzero(met).tolist()]
+    return PlainWords((np.cumsum(met) - 1)[code], mark, words.sizes, parts, marks)
 
 
 class _Block:
@@ -150,7 +151,7 @@ class _Block:
             docs.append(np.full(len(parts), i))
         if even:
             words = plain_words([self.raw[i] for i in even])
-            base = np.array([codes.setdefault(LEADS[lead] + word, len(codes)) for lead, word in words.words(np.arange(len(words.keys)))])
+            base = np.array([codes.setdefault(p.decode("utf-8"), len(codes)) for p in words.parts])
             ends = np.array([codes.setdefault(m, len(codes)) for m in words.marks], np.int64)
             doc = np.repeat(np.array(even), words.sizes)
             marked = words.mark >= 0
