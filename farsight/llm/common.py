@@ -46,6 +46,12 @@ def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What flat has from each start, so much, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def hashed(words: pa.BinaryArray) -> np.ndarray:
     """64-bit hash of each word's bytes."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, count=len(words))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, runs, texts, written
+from farsight.llm.common import documents, gathered, runs, texts, written
 from farsight.llm.token_counts import plain, plain_words, tokenizer
 
 #: Distinct words whose token ids a task keeps for its next texts, and bytes of texts that are tokenized together, about.
@@ -34,12 +34,6 @@ def _encoded(t, parts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
 
-def _gathered(flat: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The numbers in flat from each start, so many, one after another."""
-    ends = np.cumsum(many)
-    return flat[np.repeat(start - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
 class _Ids:
     """Token ids of texts, as arrays of little-endian unsigned 32-bit numbers.
 
@@ -107,7 +101,7 @@ class _Ids:
         start[:, 0], many[:, 0] = self.start[at], self.many[at]
         marked = words.mark >= 0
         start[marked, 1], many[marked, 1] = (len(self.flat) + np.cumsum(sizes) - sizes)[words.mark[marked]], sizes[words.mark[marked]]
-        ids = _gathered(flat, start.ravel(), many.ravel())
+        ids = gathered(flat, start.ravel(), many.ravel())
         cuts = np.cumsum(many.sum(1))[np.cumsum(words.sizes)[:-1] - 1]
         for i, part in zip(rest, np.split(ids, cuts), strict=True):
             out[i] = part
