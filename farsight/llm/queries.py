@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farsight.llm import divergence, fingerprint, html, jaccard, language, mixing, ordered_packing, packing, quality, substring, token_counts, toxicity
+from farsight.llm import collocations, divergence, fingerprint, html, jaccard, language, mixing, ordered_packing, packing, quality, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_jaccard": jaccard.query,
     "op10_token_counts": token_counts.query,
+    "op11_collocations": collocations.query,
     "op12_divergence": divergence.query,
     "op13_ordered_packing": ordered_packing.query,
 }
-ORACLES = {"op5_substring": substring.ORACLE, "op9_jaccard": jaccard.ORACLE, "op12_divergence": divergence.ORACLE}
+ORACLES = {"op5_substring": substring.ORACLE, "op9_jaccard": jaccard.ORACLE, "op11_collocations": collocations.ORACLE, "op12_divergence": divergence.ORACLE}

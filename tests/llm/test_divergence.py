@@ -52,11 +52,29 @@ def test_odd_rows(spark, least, top):
     assert D.audit(docs.limit(0), least, top).count() == 0
 
 
-def test_blocks_and_runs_make_no_difference(spark, monkeypatch):
-    monkeypatch.setattr(D, "RUN", 16)
-    monkeypatch.setattr(D, "CELLS", 4)
-    docs = spark.createDataFrame(ODD, "text string, lang string, source string").coalesce(1)
-    assert sorted(map(tuple, D.audit(docs, 2, 50).collect())) == brute(ODD, 2, 50)
+def test_blocks_and_runs_make_no_difference(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] or "" for r in ODD]) for i in range(3)], ["text", "lang", "source"])
+    seen = []
+    for run in (16, 1 << 20):
+        monkeypatch.setattr(D, "RUN", run)
+        seen.append(Counter())
+        for out in D._counted([batch]):
+            for *term, n, docs in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                seen[-1][*term, "n"] += n
+                seen[-1][*term, "docs"] += docs
+    assert seen[0] == seen[1] and seen[0]["en", "a", "the", "n"] == 4 and seen[0]["en", "a", "the", "docs"] == 3
+    entry = pa.array([[{"source": "b", "n": 4}], [{"source": "a", "n": 1}, {"source": "c", "n": 9}], [{"source": "a", "n": 2}]])
+    k = len(entry)
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * k), entry, pa.array([["a", "b", "c"]] * k), pa.array([[3, 4, 9]] * k), pa.array([3] * k)], ["lang", "found", "sources", "totals", "kept"])
+    found = []
+    for cells in (1, 1 << 20):
+        monkeypatch.setattr(D, "CELLS", cells)
+        found.append([o.to_pydict() for o in D._distances([rows])])
+    p = [[1 + 10**9 * (c + 5) // (t + 15) for c in counts] for counts, t in (((0, 1, 2), 3), ((4, 0, 0), 4), ((0, 9, 0), 9))]
+    want = {(i, j): sum(abs(a - b) for a, b in zip(p[i], p[j])) for i in range(3) for j in range(i + 1, 3)}
+    assert found[0] == found[1] and dict(zip(zip(found[0][0]["i"], found[0][0]["j"]), found[0][0]["value"])) == want
 
 
 def test_radix_order_and_packing():
