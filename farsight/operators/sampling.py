@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farsight.functions.order import ordered, placed
+from farsight.operators.quantiles import quantiles
 from farsight.operators.stats import bucket, score_range
 
 MODES = ("count", "average", "percentage", "equal", "equal_tails")
@@ -39,6 +40,8 @@ def by_histogram(df: DataFrame, y: str, key: str, bins: int, mode: str = "averag
     if mode == "percentage" and not 0 < amount <= 1:
         raise ValueError("a percentage lies over 0 and up to 1")
     _checked(df, y)
+    if mode.startswith("equal") and not 1 <= int(amount) < bins:
+        raise ValueError("equal samples need at least one pivot bin and fewer than all")
     lo, hi = score_range(df, y)
     binned = df.withColumn("bin", bucket(y, lo, hi, bins))
     sizes = [r["count"] for r in binned.groupBy("bin").count().collect()]
@@ -60,9 +63,9 @@ def extremes(df: DataFrame, y: str, key: str, share: float, k: int, seed: int =
     """At most k rows from each end: y up to the quantile of share, and from that of 1 - share."""
     if not 0 < share < 0.5:
         raise ValueError("the share lies between 0 and 0.5")
-    lo, hi = df.agg(F.percentile(y, F.lit(share)), F.percentile(y, F.lit(1 - share))).first()
-    low = _first(df.filter(F.col(y) <= lo), k, key, seed).withColumn("side", F.lit("low"))
-    return low.unionByName(_first(df.filter(F.col(y) >= hi), k, key, seed).withColumn("side", F.lit("high")))
+    lo, hi = quantiles(df, y, [share, 1 - share]) or (None, None)
+    low = _first(df.filter(F.col(y) <= F.lit(lo)), k, key, seed).withColumn("side", F.lit("low"))
+    return low.unionByName(_first(df.filter(F.col(y) >= F.lit(hi)), k, key, seed).withColumn("side", F.lit("high")))
 
 
 def split_sizes(n: int, train: float = 0.7, val: float = 0.15, test: float = 0.15) -> tuple[int, int, int]:
@@ -77,14 +80,10 @@ def split(df: DataFrame, key: str, seed: int = 42, strata: str | None = None) ->
 
     Places in the order by hash come from counts per hash prefix, so that no task orders all rows."""
     group = strata or "__all"
-    rows = df.withColumn("__h", shuffled(key, seed)).withColumn("__p", F.substring("__h", 1, 3))
+    rows = df.withColumn("__h", shuffled(key, seed))
     rows = rows if strata else rows.withColumn("__all", F.lit(0))
-    counts = rows.groupBy(group, "__p").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("c").over(Window.partitionBy(group))
-    starts = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("__b"), total.alias("__n"))
-    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(group, "__p").orderBy("__h", key)))
-    ranked = ranked.join(starts, F.expr(f"{group} <=> __g and __p = __q")).withColumn("__r", F.col("__b") + F.col("__i"))
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    ranked = placed(rows, "__h", key, [group]).join(sizes, F.expr(f"`{group}` <=> __g"))
     test = F.ceil(F.lit(0.15) * F.col("__n"))
     val = F.ceil(F.lit(0.15 / (0.7 + 0.15)) * (F.col("__n") - test))
     part = F.when(F.col("__r") <= test, "test").when(F.col("__r") <= test + val, "val").otherwise("train")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farsight.functions.order import range_of
 from farsight.functions.vectors import safe_divide, score_class
+from farsight.operators.quantiles import quantiles
 
 CLASSES = ["low", "medium", "high"]
+#: Ranges of values that are ranked each by itself.
+RANGES = 256
 
 
 def score_range(df: DataFrame, column: str) -> tuple[float, float]:
@@ -36,23 +41,52 @@ def histogram(df: DataFrame, column: str, bins: int, density: bool = False) -> D
     return out
 
 
-def bin_count(df: DataFrame, column: str, rule: str = "auto") -> int:
-    """Number of bins by a named rule: sturges, fd or auto, the one with narrower bins."""
-    n, lo, hi, q1, q3 = df.agg(F.count(column), F.min(column), F.max(column), F.percentile(column, F.lit(0.25)), F.percentile(column, F.lit(0.75))).first()
+def bin_width(df: DataFrame, column: str, rule: str = "auto") -> tuple[int, float, float, float]:
+    """(rows, least, largest, width) by a named rule for the width of equal bins.
+
+    sqrt, sturges, rice, scott, doane, fd, and auto: the narrower of fd and sturges, or sturges where fd has no width."""
+    x = F.col(column).cast("double")
+    n, lo, hi, sd, skew = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_pop(x), F.skewness(x)).first()
     if not n or hi == lo:
-        return 1
-    import math
+        return n or 0, lo or 0.0, hi or 0.0, 0.0
+    span = hi - lo
+
+    def quartiles() -> float:
+        q1, q3 = quantiles(df, column, [0.25, 0.75])
+        return 2 * (q3 - q1) / n ** (1 / 3)
+
+    def doane() -> float:
+        if n < 3:
+            return 0.0
+        spread = math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))
+        return span / (1 + math.log2(n) + math.log2(1 + abs(skew) / spread))
+
+    rules = {
+        "sqrt": lambda: span / math.sqrt(n), "sturges": lambda: span / (math.log2(n) + 1), "rice": lambda: span / (2 * n ** (1 / 3)),
+        "scott": lambda: (24 * math.sqrt(math.pi) / n) ** (1 / 3) * sd, "doane": doane, "fd": quartiles,
+    }
+    if rule not in (*rules, "auto"):
+        raise ValueError(f"unknown rule {rule!r}; there are auto, {', '.join(rules)}")
+    width = min(w for w in (rules["sturges"](), quartiles()) if w > 0) if rule == "auto" else rules[rule]()
+    return n, lo, hi, width
+
 
-    widths = {"sturges": (hi - lo) / (math.log2(n) + 1), "fd": 2 * (q3 - q1) / n ** (1 / 3)}
-    if rule not in (*widths, "auto"):
-        raise ValueError(f"unknown rule {rule!r}")
-    width = min(w for w in widths.values() if w > 0) if rule == "auto" else widths[rule]
+def bin_count(df: DataFrame, column: str, rule: str = "auto") -> int:
+    """Number of equal bins over the range by a named rule."""
+    _, lo, hi, width = bin_width(df, column, rule)
     return max(1, math.ceil((hi - lo) / width)) if width > 0 else 1
 
 
+def bin_edges(df: DataFrame, column: str, rule: str = "auto") -> list[float]:
+    """Edges of equal bins by a named rule, one more than there are bins; a lone value gets a bin of width 1 from it."""
+    lo, hi = score_range(df, column)
+    k = bin_count(df, column, rule)
+    return [lo + (hi - lo) * i / k for i in range(k)] + [hi]
+
+
 def quantile_classes(df: DataFrame, column: str, classes: int) -> DataFrame:
     """df with `class` from 0: how many inner quantile edges are at most the value. Ties may leave classes empty."""
-    edges = df.agg(F.percentile(column, F.array(*(F.lit(i / classes) for i in range(1, classes)))).alias("e")).first()["e"] or []
+    edges = quantiles(df, column, [i / classes for i in range(1, classes)])
     return df.withColumn("class", sum(((F.lit(float(e)) <= F.col(column)).cast("int") for e in edges), F.lit(0)))
 
 
@@ -68,26 +102,28 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "pred", by: tuple[s
     )
 
 
-def mean_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank): the mean rank of equal values, from counts per distinct value and ranges of values."""
-    counts = df.groupBy(F.col(column).alias("value")).count()
-    lo, hi = score_range(df, column)
-    ranged = counts.withColumn("r", bucket("value", lo, hi, 1024))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("r").agg(F.sum("count").alias("c")).select("r", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("count").over(Window.partitionBy("r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("inside", inside).join(starts, "r").select("value", (F.col("before") + F.col("inside") + (F.col("count") + 1) / 2).alias("rank"))
+def mean_ranks(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, value, rank): the mean rank of equal values within each group, from counts per different value and ranges of values.
+
+    Ranges lie between approximate quantiles over all groups, so that a range holds like numbers of rows whatever the values are."""
+    counts = df.groupBy(*by, F.col(column).alias("value")).count()
+    bounds = df.agg(F.percentile_approx(F.col(column), [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("b")).first()["b"]
+    ranged = counts.withColumn("r", range_of(F.col("value"), sorted(set(bounds or []))))
+    before = Window.partitionBy(*by).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "r").agg(F.sum("count").alias("c")).select(*by, "r", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("count").over(Window.partitionBy(*by, "r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("inside", inside).join(starts, [*by, "r"]).select(*by, "value", (F.col("before") + F.col("inside") + (F.col("count") + 1) / 2).alias("rank"))
 
 
-def spearman(df: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    """One row with Spearman's correlation, equal values at their mean rank."""
-    a, b = mean_ranks(df, y).select(F.col("value").alias(y), F.col("rank").alias("ra")), mean_ranks(df, p).select(F.col("value").alias(p), F.col("rank").alias("rb"))
-    pairs = df.groupBy(y, p).count().join(a, y).join(b, p)
+def spearman(df: DataFrame, y: str = "y", p: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
+    """Spearman's correlation, equal values at their mean rank, of all rows or of each group (A29). Group columns must not be null."""
+    a, b = (mean_ranks(df, c, by).select(*by, F.col("value").alias(c), F.col("rank").alias(r)) for c, r in ((y, "ra"), (p, "rb")))
+    pairs = df.groupBy(*by, y, p).count().join(a, [*by, y]).join(b, [*by, p])
     m = F.sum(F.col("count"))
     mean_a, mean_b = F.sum(F.col("ra") * F.col("count")) / m, F.sum(F.col("rb") * F.col("count")) / m
     cov = F.sum(F.col("ra") * F.col("rb") * F.col("count")) / m - mean_a * mean_b
     va, vb = F.sum(F.col("ra") * F.col("ra") * F.col("count")) / m - mean_a * mean_a, F.sum(F.col("rb") * F.col("rb") * F.col("count")) / m - mean_b * mean_b
-    return pairs.agg(safe_divide(cov, F.sqrt(va * vb)).alias("spearman"))
+    return pairs.groupBy(*by).agg(safe_divide(cov, F.sqrt(va * vb)).alias("spearman"))
 
 
 def confusion(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None) -> DataFrame:
