@@ -5,8 +5,8 @@ these longest windows are counted, by language. Spark's ROLLUP then sums them ov
 occurrences of every phrase at once: each occurrence heads one window. No shorter phrases are listed or counted by themselves.
 
 A window may end early where no longer prefix of it can be frequent. A first pass counts words and neighbouring words in a table of a bounded
-number of slots by hash; a slot that stays under the threshold proves that each of its words or pairs does, and so every phrase with them. Counts of all frequent
-phrases stay exact whatever the size of the table; a full table only leaves more windows."""
+number of slots by hash, a second one the longer prefixes of what is left of the windows; a slot that stays under the threshold proves that each of its phrases does, and so every
+phrase with them. Counts of all frequent phrases stay exact whatever the size of the tables; full tables only leave more windows."""
 
 from __future__ import annotations
 
@@ -56,30 +56,62 @@ class Words:
         return hashed(self.different) ^ np.uint64(xxhash.xxh3_64_intdigest(lang, 1))
 
 
-def _pairs(keys: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of neighbours that the given words begin."""
-    out = keys[code[first]] * _MIX
-    out ^= (out >> np.uint64(29)) + keys[code[first + 1]]
+def _joined(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word."""
+    out = hashes * _MIX
+    out ^= (out >> np.uint64(29)) + keys
     return out * _MIX
 
 
+def _reached(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the slots of phrases have reached the threshold."""
+    return bits[_slot(hashes, len(bits))]
+
+
+def _unpacked(held) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
+
+
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+    return ((hashes * _MIX) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """Runs of texts of a language."""
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
+    """Words of runs of texts of a language."""
     lang, raw = batch.column("lang").dictionary_encode(), texts(batch)
     for k, name in enumerate(lang.dictionary.to_pylist()):
         own = [raw[i] for i in np.flatnonzero(lang.indices.to_numpy() == k).tolist()]
         for lo, hi in runs([len(t) for t in own], RUN):
-            yield name, own[lo:hi]
+            words = Words(own[lo:hi])
+            if len(words.code):
+                yield name, words
 
 
-def _slots(batches: Iterator[pa.RecordBatch], slots: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """(chunk, counts) of a task's words and pairs by slot, and (lang, n) with the number of its words."""
+def _follows(words: Words, keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words may be frequent, and after which the next one may belong to the same frequent phrase, with WORDS more at the end."""
+    good = _reached(keys, bits)[words.code]
+    first = np.flatnonzero(words.joined[:-1] & good[:-1] & good[1:])
+    follows = np.zeros(len(good) + WORDS, bool)
+    follows[first[_reached(_joined(keys[words.code[first]], keys[words.code[first + 1]]), bits)]] = True
+    return good, follows
+
+
+def _longer(words: Words, keys: np.ndarray, follows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Heads and hashes of phrases of 3 words, of 4 and so on whose pairs may all be frequent."""
+    at = np.flatnonzero(follows)
+    hashes = _joined(keys[words.code[at]], keys[words.code[at + 1]])
+    for k in range(2, WORDS):
+        on = follows[at + k - 1]
+        at, hashes = at[on], hashes[on]
+        hashes = _joined(hashes, keys[words.code[at + k]])
+        yield at, hashes
+
+
+def _slots(batches: Iterator[pa.RecordBatch], slots: int, chunk: int, held=None) -> Iterator[pa.RecordBatch]:
+    """(chunk, counts) by slot of a task's words and pairs, and (lang, n) with the number of its words; or, where held has the bits of these, of longer phrases."""
     names = ["chunk", "counts", "lang", "n"]
     table, total = np.zeros(slots, np.uint8), {}
+    bits = None if held is None else _unpacked(held)
 
     def add(hashes: np.ndarray, times: np.ndarray | None = None) -> None:
         at = _slot(hashes, slots)
@@ -93,17 +125,20 @@ def _slots(batches: Iterator[pa.RecordBatch], slots: int, chunk: int) -> Iterato
         table[at] = np.minimum(table[at] + times.astype(np.int64), FULL)
 
     for batch in batches:
-        for lang, raw in _by_language(batch):
-            words = Words(raw)
-            if len(words.code):
-                keys = words.keys(lang.encode())
-                add(keys * _MIX, np.bincount(words.code, minlength=len(keys)))
-                add(_pairs(keys, words.code, np.flatnonzero(words.joined)))
+        for lang, words in _by_language(batch):
+            keys = words.keys(lang.encode())
+            if bits is None:
                 total[lang] = total.get(lang, 0) + len(words.code)
+                add(keys, np.bincount(words.code, minlength=len(keys)))
+                first = np.flatnonzero(words.joined)
+                add(_joined(keys[words.code[first]], keys[words.code[first + 1]]))
+            else:
+                for _, hashes in _longer(words, keys, _follows(words, keys, bits)[1]):
+                    add(hashes)
     chunks = np.flatnonzero(table.reshape(-1, chunk).any(1))
     if len(chunks):
-        held = [table[k * chunk : (k + 1) * chunk].tobytes() for k in chunks.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), pa.array(held, pa.binary()), pa.nulls(len(held), pa.string()), pa.nulls(len(held), pa.int64())], names)
+        rows = [table[k * chunk : (k + 1) * chunk].tobytes() for k in chunks.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
     if total:
         n = len(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
@@ -129,34 +164,40 @@ def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield out()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], held, slots: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], short, long) -> Iterator[pa.RecordBatch]:
     """(lang, w1 ... w5, n): different longest windows of runs of texts, with their number. Empty words follow the last of a short window."""
-    reach = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
+    bits, deep = _unpacked(short), _unpacked(long)
     for batch in batches:
-        for lang, raw in _by_language(batch):
-            words = Words(raw)
-            if not len(words.code):
-                continue
+        for lang, words in _by_language(batch):
             keys = words.keys(lang.encode())
-            often = reach[_slot(keys * _MIX, slots)]
-            good = often[words.code]
-            first = np.flatnonzero(words.joined[:-1] & good[:-1] & good[1:])
-            follows = np.zeros(len(words.code) + WORDS, bool)  # the next word may belong to the same frequent phrase
-            follows[first[reach[_slot(_pairs(keys, words.code, first), slots)]]] = True
+            good, follows = _follows(words, keys, bits)
             # different frequent words by number from 1, 0 for none
-            number = np.where(often, np.cumsum(often), 0).astype(np.int32)
-            code = np.concatenate((number[words.code], np.zeros(WORDS, np.int32)))
+            often = _reached(keys, bits)
+            code = np.concatenate((np.where(often, np.cumsum(often), 0).astype(np.int32)[words.code], np.zeros(WORDS, np.int32)))
+            reach = np.zeros(len(code), np.int8)  # words of each head's window
+            reach[: len(good)] = good
+            reach[follows] = 2
+            for k, (at, hashes) in enumerate(_longer(words, keys, follows), 3):
+                on = (reach[at] == k - 1) & _reached(hashes, deep)
+                reach[at[on]] = k
             at = np.flatnonzero(good)
-            lead, columns = np.ones(len(at), bool), []
-            for k in range(WORDS):
-                columns.append(pa.array(np.where(lead, code[at + k], 0)))
-                lead = lead & follows[at + k]
+            columns = [pa.array(np.where(reach[at] > k, code[at + k], 0)) for k in range(WORDS)]
             counted = pa.table(columns, COLUMNS).group_by(COLUMNS, use_threads=False).aggregate([([], "count_all")])
             spelled = pa.concat_arrays([pa.array([b""], pa.binary()), words.different.filter(pa.array(often))]).cast(pa.string())
             for part in counted.to_batches():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *(spelled.take(part.column(c)) for c in COLUMNS), part.column("count_all")], ["lang", *COLUMNS, "n"])
 
 
+def _bits(seen: DataFrame, slots: int, chunk: int, least: int):
+    """Broadcast bits of the slots that reach the threshold over all tasks: MOST_SLOTS / 8 bytes at most, 8 MB."""
+    dealt = seen.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
+    size = chunk // 8
+    bits = bytearray(slots // 8)
+    for row in dealt.mapInArrow(lambda it: _added(it, least), "chunk int, bits binary").collect():
+        bits[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
+    return seen.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
 def _size(docs: DataFrame) -> int:
     """Bytes of the input as Spark's plan has them; they only set the size of the table of slots."""
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -166,16 +207,12 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     """(lang, phrase, words, f) of all phrases of 1 to 5 words of docs(text, lang) that occur `least` times, and (lang, n) with the number of words."""
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (_size(docs) // SLOT_BYTES).bit_length()))
-    chunk = min(CHUNK, slots)
-    seen = written(docs.mapInArrow(lambda it: _slots(it, slots, chunk), "chunk int, counts binary, lang string, n long"))
+    chunk, schema = min(CHUNK, slots), "chunk int, counts binary, lang string, n long"
+    seen = written(docs.mapInArrow(lambda it: _slots(it, slots, chunk), schema))
     totals = seen.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    dealt = seen.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    size = chunk // 8
-    bits = bytearray(slots // 8)  # MOST_SLOTS / 8 bytes at most: 8 MB
-    for row in dealt.mapInArrow(lambda it: _added(it, least), "chunk int, bits binary").toLocalIterator():
-        bits[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
-    held = docs.sparkSession.sparkContext.broadcast(bytes(bits))
-    windows = docs.mapInArrow(lambda it: _windows(it, held, slots), f"lang string, {', '.join(f'{c} string' for c in COLUMNS)}, n long")
+    short = _bits(seen, slots, chunk, least)
+    long = _bits(docs.mapInArrow(lambda it: _slots(it, slots, chunk, short), schema), slots, chunk, least)
+    windows = docs.mapInArrow(lambda it: _windows(it, short, long), f"lang string, {', '.join(f'{c} string' for c in COLUMNS)}, n long")
     longest = windows.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
     prefixes = longest.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"))
     last = F.coalesce(*reversed(COLUMNS))  # what is rolled up is null, what a short window lacks is empty

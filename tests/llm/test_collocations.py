@@ -65,7 +65,7 @@ def test_runs_make_no_difference(monkeypatch):
     for run in (30, 1 << 20):
         monkeypatch.setattr(C, "RUN", run)
         seen.append(Counter())
-        for out in C._windows([batch], every, 16):
+        for out in C._windows([batch], every, every):
             for *window, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
                 seen[-1][tuple(window)] += n
     assert seen[0] == seen[1] and seen[0]["de", "one", "two", "three", "four", "five"] == 4 and seen[0]["de", "one", "", "", "", ""] == 1
