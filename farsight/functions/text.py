@@ -37,9 +37,12 @@ MARKS = [
 BLANKS = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
+_BLANK_CHARACTERS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(text: Column | str) -> Column:
-    """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    """Text without white space of any kind at its ends, from which it works."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(_BLANK_CHARACTERS))
 
 
 def _canonical(labels: pd.Series) -> pd.Series:

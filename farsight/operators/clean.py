@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
 
 
 def keep_one(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """First row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """First row of each key in the given ascending order; aggregated before the shuffle, so that a common key is one row a task."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
 def keep_first_canonical(items: DataFrame, label: str = "label", order: tuple[str, ...] = ("file", "pos")) -> DataFrame:
@@ -30,7 +30,7 @@ def keep_first_with_tags(items: DataFrame, order: tuple[str, ...] = ("file", "po
 def keep_longest(pages: DataFrame, keys: list[str], text: str, *ties: str) -> DataFrame:
     """Row with the longest trimmed text of each key, the first of equals; blank texts go (A3)."""
     df = pages.withColumn("__t", X.strip(text)).filter("__t <> ''").withColumn("__l", F.length("__t"))
-    return keep_one(df, keys, F.desc("__l"), *ties).withColumn(text, F.col("__t")).drop("__t", "__l")
+    return keep_one(df, keys, -F.col("__l"), *ties).withColumn(text, F.col("__t")).drop("__t", "__l")
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -85,10 +85,22 @@ def cache_record(rows: DataFrame, lang: str = "en") -> DataFrame:
     )
 
 
-def validated(items: DataFrame) -> DataFrame:
-    """The items; a tag without label or one-hop list fails the job."""
-    good = F.forall("related_tags", lambda t: t["label"].isNotNull() & t["one_hop_related_tags"].isNotNull())
-    return items.filter(F.when(good, True).otherwise(F.raise_error(F.lit("a tag lacks label or one_hop_related_tags")).cast("boolean")))
+def validated(items: DataFrame, tags: str = "related_tags") -> DataFrame:
+    """The items; one whose tags break the form of a finished item fails the job, with its id and what is wrong.
+
+    A tag is there and has a label and a list of one-hop tags, each of which is there and has a label; ids may be missing but not blank."""
+    named = lambda t: t.isNotNull() & t["label"].isNotNull()
+    blank = lambda t: F.coalesce(X.strip(t["qid"]) == "", F.lit(False))
+    hops = lambda t: F.coalesce(t["one_hop_related_tags"], F.array())
+    fault = (
+        F.when(F.col(tags).isNull(), "related_tags is missing")
+        .when(~F.forall(tags, named), "a tag lacks its label")
+        .when(F.exists(tags, blank), "a tag has a blank id")
+        .when(~F.forall(tags, lambda t: t["one_hop_related_tags"].isNotNull()), "a tag lacks one_hop_related_tags")
+        .when(~F.forall(tags, lambda t: F.forall(hops(t), named)), "a one-hop tag lacks its label")
+        .when(F.exists(tags, lambda t: F.exists(hops(t), blank)), "a one-hop tag has a blank id")
+    )
+    return items.filter(F.when(fault.isNull(), True).otherwise(F.raise_error(F.concat(F.coalesce(F.col("qid"), F.lit("?")), F.lit(": "), fault)).cast("boolean")))
 
 
 def with_text(ids: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -94,21 +94,30 @@ def resolve_labels(tags: DataFrame, labels: DataFrame) -> DataFrame:
     return tags.filter(X.strip("label") != "").join(ids, ["lang", "label"], "left")
 
 
-def one_hop(edges: DataFrame) -> DataFrame:
-    """(src, dst, hops): each edge with the sorted neighbours of its target, [] if none. Each distinct target is expanded once."""
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """(dst, hops): the sorted different neighbours of every node that is a target and has some, once a node: edges refer to it by dst.
+
+    Of repeated edges one is left before the lists are made, so that they and the work grow with the different edges, not with paths."""
     targets = edges.select("dst").distinct()
-    lists = edges.select(F.col("src").alias("dst"), F.col("dst").alias("hop")).join(targets, "dst", "left_semi").groupBy("dst").agg(F.sort_array(F.collect_set("hop")).alias("hops"))
+    steps = edges.select(F.col("src").alias("dst"), F.col("dst").alias("hop")).distinct()
+    return steps.join(targets, "dst", "left_semi").groupBy("dst").agg(F.sort_array(F.collect_list("hop")).alias("hops"))
+
+
+def one_hop(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops): each edge with the sorted neighbours of its target, [] if none (J7). For export: neighbour_lists has each list once."""
+    lists = neighbour_lists(edges)
     none = F.array().cast(lists.schema["hops"].dataType)
     return edges.join(lists, "dst", "left").select("src", "dst", F.coalesce("hops", none).alias("hops"))
 
 
 def unique_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes at depth 1 and 2 of edges(src, dst, label, pos), first label wins."""
-    deep = edges.alias("a").join(edges.alias("b"), F.expr("a.dst = b.src")).select(F.col("b.dst").alias("node"), F.col("b.label").alias("label"), F.struct(F.lit(2), F.col("a.pos"), F.col("b.pos")).alias("o"))
-    near = edges.select(F.col("dst").alias("node"), "label", F.struct(F.lit(1), F.col("pos"), F.lit(0).cast("long")).alias("o"))
-    order = "struct<a:int,b:bigint,c:bigint>"
-    both = near.withColumn("o", F.col("o").cast(order)).unionByName(deep.withColumn("o", F.col("o").cast(order)))
-    return both.groupBy("node").agg(F.min_by("label", "o").alias("label"))
+    """(node, label): nodes at depth 1 and 2 of edges(src, dst, label, pos) with their first label: near ones first, then by the place of the first edge, then of the second.
+
+    A node's first place as a target is found before the second step, so that an edge is one row of that step however many lead to it."""
+    first = edges.groupBy(F.col("dst").alias("src")).agg(F.min("pos").alias("first"))
+    deep = edges.join(first, "src").select(F.col("dst").alias("node"), "label", F.lit(2).alias("depth"), F.col("first").cast("long").alias("a"), F.col("pos").cast("long").alias("b"))
+    near = edges.select(F.col("dst").alias("node"), "label", F.lit(1).alias("depth"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return near.unionByName(deep).groupBy("node").agg(F.min_by("label", F.struct("depth", "a", "b", "label")).alias("label"))
 
 
 def normalised_tags(items: DataFrame) -> DataFrame:

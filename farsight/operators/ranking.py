@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from farsight.functions import vectors as V
-
-
-#: Items of a tag in a block.
-BLOCK = 4096
+#: Bytes of a block's vectors, pairs of a part of a tile, about, and ranges of similarity.
+BLOCK_BYTES, TILE_PAIRS, LEVELS = 64 << 20, 1 << 20, 256
 
 
 def capped(neutrals: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -24,9 +23,62 @@ def capped(neutrals: DataFrame, n: int, seed: int = 1) -> DataFrame:
 
 
 def tag_similarities(pairs: DataFrame, bank: DataFrame, digits: int = 9) -> DataFrame:
-    """pairs(tag, other, ...) whose two ids have vectors, with sim in place of these."""
-    a, b = bank.select(F.col("qid").alias("tag"), F.col("embedding").alias("x")), bank.select(F.col("qid").alias("other"), F.col("embedding").alias("y"))
-    return pairs.join(b, "other").join(a, "tag").select(*pairs.columns, F.round(V.dot("x", "y"), digits).alias("sim"))
+    """pairs(tag, other, ...) whose two ids have vectors, with sim in place of these, by matrix products of tiles.
+
+    Ids of any type are dealt into blocks by hash, so large that the vectors of two blocks fit in a task. A tile is a block of tags and one of others; it gets each
+    vector that a pair of it needs once, however many pairs need it, and its pairs without vectors. A tile with many pairs, as a common tag makes, is cut into parts by
+    the hash of the other id. A task holds the vectors of one part; its pairs stream by."""
+    known = bank.select(F.col("qid").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("v")).filter("v is not null")
+    n, width = known.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-4 * n * (width or 1) // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.withColumns({"__t": block("tag"), "__o": block("other")})
+    parts = dealt.groupBy("__t", "__o").agg(F.ceil(F.count("*") / F.lit(TILE_PAIRS)).cast("int").alias("__parts"))  # blocks^2 rows
+    dealt = dealt.join(parts, ["__t", "__o"]).withColumn("__p", F.pmod(F.xxhash64("other", F.lit(7)), F.col("__parts")).cast("int")).drop("__parts")
+    place = ["__t", "__o", "__p"]
+    needed = [dealt.select(*place, F.lit(kind).alias("__k"), F.col(c).alias("id")).distinct() for kind, c in ((0, "tag"), (1, "other"))]
+    vectors = needed[0].unionByName(needed[1]).join(known, "id").select(*place, "__k", F.col("id").alias("tag"), F.lit(None).cast(pairs.schema["other"].dataType).alias("other"), "v")
+    extra = [c for c in pairs.columns if c not in ("tag", "other")]
+    rows = dealt.withColumns({"__k": F.lit(2), "__x": F.struct(*(extra or [F.lit(0).alias("none")])), "v": F.lit(None).cast("array<float>")})
+    rows = rows.select(*place, "__k", "tag", "other", "__x", "v").unionByName(vectors, allowMissingColumns=True)
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "__k")
+    out = T.StructType([rows.schema["tag"], rows.schema["other"], rows.schema["__x"], T.StructField("sim", T.DoubleType())])
+    sims = rows.mapInArrow(lambda it: _tiles(it, digits), out)
+    return sims.select(*(F.col(f"__x.{c}") if c in extra else c for c in pairs.columns), "sim")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile: vectors of tags, vectors of others, then pairs."""
+    now, held = None, ({}, {})  # by side: the numbers of ids
+    vectors: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    sides: list[np.ndarray] = []
+    for batch in batches:
+        place = np.stack([batch.column(c).to_numpy() for c in ("__t", "__o", "__p", "__k")], 1)
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+            if a == b:
+                continue
+            *tile, kind = place[a].tolist()
+            if tile != now:
+                now, held, vectors, sides = tile, ({}, {}), ([], []), []
+            part = batch.slice(a, b - a)
+            if kind < 2:
+                ids, v = part.column("tag").to_pylist(), part.column("v")
+                held[kind].update(zip(ids, range(len(held[kind]), len(held[kind]) + len(ids)), strict=True))
+                vectors[kind].append(v.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
+                continue
+            if not sides:
+                sides = [np.concatenate(v) if v else np.zeros((0, 0)) for v in vectors]
+            at = [np.array([ids.get(i, -1) for i in part.column(c).to_pylist()]) for c, ids in zip(("tag", "other"), held, strict=True)]
+            good = np.flatnonzero((at[0] >= 0) & (at[1] >= 0))
+            one, two = at[0][good], at[1][good]
+            tags, code = np.unique(one, return_inverse=True)
+            if len(good) * 4 >= len(tags) * len(sides[1]) > 0:  # most entries of the product are wanted
+                sim = (sides[0][tags] @ sides[1].T)[code, two]
+            else:
+                sim = np.einsum("ij,ij->i", sides[0][one], sides[1][two]) if len(good) else np.zeros(0)
+            kept = part.take(pa.array(good))
+            yield pa.RecordBatch.from_arrays([kept.column("tag"), kept.column("other"), kept.column("__x"), pa.array(np.round(sim, digits) + 0.0)], ["tag", "other", "__x", "sim"])
 
 
 def ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, orders: list[int]) -> DataFrame:
@@ -62,30 +114,22 @@ def by_first(results: DataFrame, value: str, first: int) -> DataFrame:
 
 
 def block_ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, n: int) -> DataFrame:
-    """ranks for one order by matrix products: each tag meets its items' and neutrals' vectors once (M3).
-
-    A tag has n - 1 neutrals at most; its items come in blocks of about BLOCK, dealt by hash, so that no task holds a common tag's items. Ids are of any type."""
-    blocks = edges.groupBy("tag").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    spread = edges.join(blocks, "tag").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
-    vec = lambda k: bank.select(F.col("qid").alias(k), F.col("embedding").alias("v"))
-    blocks = spread.select("tag", "block").distinct()
-    items = spread.join(vec("qid"), "qid").select("tag", "block", F.lit(0).alias("kind"), "qid", "v")
-    others = neutrals.filter(F.col("pos") < n).join(vec("neutral"), "neutral").join(blocks, "tag").select("tag", "block", F.lit(1).alias("kind"), F.col("neutral").alias("qid"), "v")
-    tags = blocks.join(vec("tag"), "tag").select("tag", "block", F.lit(2).alias("kind"), F.col("tag").alias("qid"), "v")
-
-    kind = bank.schema["qid"].dataType.simpleString()
-
-    def rank(df: pd.DataFrame) -> pd.DataFrame:
-        t, items, others = (df[df.kind == k] for k in (2, 0, 1))
-        if t.empty or items.empty:
-            return pd.DataFrame({"qid": [], "tag": [], "rank": [], "sample_size": []})
-        v = np.asarray(t.v.iloc[0], np.float64)
-        own = np.round(np.stack(items.v.to_list()).astype(np.float64) @ v, 9)
-        sims = np.sort(np.round(np.stack(others.v.to_list()).astype(np.float64) @ v, 9)) if len(others) else np.zeros(0)
-        over = len(sims) - np.searchsorted(sims, own, side="right")
-        return pd.DataFrame({"qid": items.qid.to_numpy(), "tag": items.tag.to_numpy(), "rank": over + 1, "sample_size": len(sims) + 1})
-
-    return items.unionByName(others).unionByName(tags).groupBy("tag", "block").applyInPandas(rank, f"qid {kind}, tag {kind}, rank int, sample_size int")
+    """(qid, tag, rank, sample_size) for one order, by counts of greater similarities that are merged (M3).
+
+    A tag's items and neutrals meet by similarity alone: each item's place among its tag's neutrals comes from counts over both, dealt into ranges of similarity, so that
+    neither a common tag's items nor its neutrals are one row or one task. Ids are of any type."""
+    others = tag_similarities(neutrals.filter(F.col("pos") < n).select("tag", F.col("neutral").alias("other")), bank).select("tag", "sim")
+    own = tag_similarities(edges.select("tag", F.col("qid").alias("other")), bank).select("tag", F.col("other").alias("qid"), "sim")
+    level = F.floor((1 - F.col("sim")) * LEVELS / 2)  # the most similar first; any vectors, unit ones spread best
+    others, own = others.withColumn("r", level), own.withColumn("r", level)
+    counts = others.groupBy("tag", "r", "sim").agg(F.count("*").alias("c"))
+    by_range = counts.groupBy("tag", "r").agg(F.sum("c").alias("c"))
+    ranges = own.select("tag", "r").distinct().join(by_range.select("tag", F.col("r").alias("s"), "c"), "tag", "left")  # LEVELS ranges at most of each side
+    above = ranges.groupBy("tag", "r").agg(F.coalesce(F.sum(F.when(F.col("s") < F.col("r"), F.col("c"))), F.lit(0)).alias("above"), F.coalesce(F.sum("c"), F.lit(0)).alias("all"))
+    values = own.select("tag", "r", "sim").distinct().join(counts.select("tag", "r", F.col("sim").alias("x"), "c"), ["tag", "r"], "left")
+    inside = values.groupBy("tag", "r", "sim").agg(F.coalesce(F.sum(F.when(F.col("x") > F.col("sim"), F.col("c"))), F.lit(0)).alias("inside"))
+    placed = inside.join(above, ["tag", "r"]).select("tag", "sim", (F.col("inside") + F.col("above") + 1).cast("int").alias("rank"), (F.col("all") + 1).cast("int").alias("sample_size"))
+    return own.join(placed, ["tag", "sim"]).select("qid", "tag", "rank", "sample_size")
 
 
 def wide(ranked: DataFrame) -> DataFrame:

@@ -196,8 +196,9 @@ def one_hop(spark, d):
 
 
 def unique_nodes(spark, d):
-    n = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("src"), (F.col("s_nationkey") + 20_000_000).cast("long").alias("dst"), F.lit("nation").alias("label"), F.col("s_suppkey").cast("long").alias("pos"))
-    e = _edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"), F.lit("supplier").alias("label"), "pos").unionByName(n)
+    """Suppliers by the parity of the line that leads to them, nations by the supplier's balance: most nodes have two labels."""
+    n = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("src"), (F.col("s_nationkey") + 20_000_000).cast("long").alias("dst"), F.when(F.col("s_acctbal") > 0, "credit").otherwise("debit").alias("label"), F.col("s_suppkey").cast("long").alias("pos"))
+    e = _edges(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"), F.when(F.col("pos") % 2 == 0, "even").otherwise("odd").alias("label"), "pos").unionByName(n)
     return graph.unique_nodes(e)
 
 
@@ -608,7 +609,10 @@ ORACLES = {
     "relation_edges": f"{_EDGES} SELECT src, count(*) AS n, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS tags FROM e GROUP BY 1",
     "one_hop": f"""{_EDGES}, a AS (SELECT src, dst + 10000000 AS dst FROM e UNION ALL SELECT s_suppkey + 10000000, s_nationkey + 20000000 FROM supplier)
         SELECT a.src, a.dst, coalesce(h.hops, '') AS hops FROM a LEFT JOIN (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS hops FROM (SELECT DISTINCT src, dst FROM a) GROUP BY 1) h ON h.src = a.dst""",
-    "unique_nodes": f"""{_EDGES}, a AS (SELECT dst + 10000000 AS node, 'supplier' AS label FROM e UNION SELECT s_nationkey + 20000000, 'nation' FROM supplier) SELECT DISTINCT node, label FROM a""",
+    "unique_nodes": f"""{_EDGES}, x AS (SELECT src, dst + 10000000 AS dst, CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS label, pos FROM e
+          UNION ALL SELECT s_suppkey + 10000000, s_nationkey + 20000000, CASE WHEN s_acctbal > 0 THEN 'credit' ELSE 'debit' END, s_suppkey FROM supplier),
+        o AS (SELECT dst AS node, label, 1 AS k, pos AS a, 0 AS b FROM x UNION ALL SELECT y.dst, y.label, 2, x.pos, y.pos FROM x JOIN x y ON x.dst = y.src)
+        SELECT node, arg_min(label, (k, a, b, label)) AS label FROM o GROUP BY 1""",
     "class_closure": """WITH RECURSIVE g AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
         t(node) AS (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey < 2 UNION SELECT g.child FROM t JOIN g ON g.parent = t.node) SELECT node FROM t""",
     "coverage_counters": f"""{_EDGES}, o AS (SELECT e.src, CASE WHEN p.s_suppkey IS NULL THEN 'no_page' WHEN t.p_partkey IS NOT NULL THEN 'tag_list' WHEN i.p_partkey IS NOT NULL THEN 'item_list' ELSE 'no_list' END AS o
