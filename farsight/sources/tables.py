@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farsight.functions import text as X
-from pyspark.sql import types as T
+from farsight.sources import objects
 
 ITEM_V1 = "qid string, label string, related_tags array<string>, _error string"
 ITEM_V2 = "qid string, label string, related_tags array<struct<qid: string, label: string, one_hop_related_tags: array<struct<qid: string, label: string>>>>"
@@ -16,11 +17,17 @@ FINAL_ITEM = "qid string, label string, related_tags array<struct<qid: string, l
 PAGE = "tag string, qid string, label string, wikipedia_lang string, wikipedia_title string, wikipedia_first_paragraph string"
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, glob: str | None = None, with_file: bool = False) -> DataFrame:
-    """JSON lines, plain or gzip by extension. strict: a bad line fails the job, else it is skipped."""
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, glob: str | None = None, with_file: bool = False, spread: int | None = None) -> DataFrame:
+    """JSON lines, plain or gzip by extension. strict: a bad line fails the job, else it is skipped.
+
+    with_file adds `file` and `pos`: pos holds the byte at which the line's split starts and the line's place in it, so that it orders a file's lines however Spark deals the splits. spread deals the rows
+    to so many tasks, as a gzip file, which can't be split, is read by one."""
     reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
     df = (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
-    return df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")) if with_file else df
+    if with_file:
+        pos = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+        df = df.select("*", F.col("_metadata.file_path").alias("file"), pos.alias("pos"))
+    return df.repartition(spread) if spread else df
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,10 +39,8 @@ def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_relation_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object id -> record, as a row for each record."""
-    kind = T.MapType(T.StringType(), T.StructType.fromDDL(FINAL_ITEM))
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", kind)).alias("key", "r")).select(F.coalesce("r.qid", "key").alias("qid"), "r.label", "r.related_tags")
+    """One JSON object id -> record, as a row for each record, read by as many tasks as the file has splits."""
+    return objects.read_relation_map(spark, path, FINAL_ITEM)
 
 
 def read_bank(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
@@ -90,27 +95,11 @@ def write_cache(df: DataFrame, path: str, text: str = "wikipedia_first_paragraph
     df.filter(X.strip(text) != "").write.mode("overwrite").json(path)
 
 
-def publish(spark: SparkSession, tables: dict[str, str], drop: list[str] | None = None) -> None:
-    """Interim tables under their final names; a missing one fails before any is moved."""
-    missing = [t for t in tables if not spark.catalog.tableExists(t)]
-    if missing:
-        raise ValueError(f"missing: {', '.join(missing)}")
-    for interim, final in tables.items():
-        spark.table(interim).write.mode("overwrite").saveAsTable(final)
-    for t in drop or []:
-        spark.sql(f"DROP TABLE IF EXISTS {t}")
-
-
 def scan_report(items: DataFrame, score, ranks: str = "ranks") -> DataFrame:
     """(qid, label, risk_score, ranks); items without ranks get NaN."""
     return items.select("qid", "label", F.when(F.size(ranks) > 0, score(F.col(ranks))).otherwise(float("nan")).alias("risk_score"), ranks)
 
 
-def compact(spark: SparkSession, parts: str, whole: str, schema: str) -> None:
-    """Splits merged into one table in one commit; readers then use the whole."""
-    spark.read.schema(schema).json(parts).write.mode("overwrite").parquet(whole)
-
-
 def write_in_order(df: DataFrame, path: str, pos: str = "pos") -> None:
     """JSON lines in the order of pos, within files and from file to file, without the column."""
     df.repartitionByRange(pos).sortWithinPartitions(pos).drop(pos).write.mode("overwrite").json(path)
