@@ -23,10 +23,10 @@ from farsight.llm.common import documents, hashed, numbered, runs, texts, writte
 #: Words of the longest phrase, and bytes of texts that are worked on together, about.
 WORDS, RUN = 5, 8 << 20
 #: Slots of the table: one for so many bytes of input (as Spark sees its size), between these bounds. A slot takes a byte and counts to FULL.
-SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 48, 1 << 20, 1 << 26
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 20, 1 << 26
 FULL = 255
-#: Slots in a row of the shuffle.
-CHUNK = 1 << 13
+#: Slots in a row of the shuffle, which is compressed, as a task fills few of them.
+CHUNK, CODEC = 1 << 15, pa.Codec("zstd", 1)
 COLUMNS = [f"w{i}" for i in range(1, WORDS + 1)]
 _PART = np.zeros(256, bool)
 _PART[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -137,14 +137,14 @@ def _slots(batches: Iterator[pa.RecordBatch], slots: int, chunk: int, held=None)
                     add(hashes)
     chunks = np.flatnonzero(table.reshape(-1, chunk).any(1))
     if len(chunks):
-        rows = [table[k * chunk : (k + 1) * chunk].tobytes() for k in chunks.tolist()]
+        rows = [CODEC.compress(table[k * chunk : (k + 1) * chunk], asbytes=True) for k in chunks.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
     if total:
         n = len(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
 
 
-def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     """(chunk, bits): rows come sorted by chunk; which of its slots reach the threshold."""
     now, sums = None, np.zeros(0, np.int64)
 
@@ -153,7 +153,7 @@ def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            found = np.frombuffer(counts, np.uint8).astype(np.int64)
+            found = np.frombuffer(CODEC.decompress(counts, size), np.uint8).astype(np.int64)
             if chunk == now:
                 sums += found
             else:
@@ -193,7 +193,7 @@ def _bits(seen: DataFrame, slots: int, chunk: int, least: int):
     dealt = seen.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
     size = chunk // 8
     bits = bytearray(slots // 8)
-    for row in dealt.mapInArrow(lambda it: _added(it, least), "chunk int, bits binary").collect():
+    for row in dealt.mapInArrow(lambda it: _added(it, least, chunk), "chunk int, bits binary").collect():
         bits[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
     return seen.sparkSession.sparkContext.broadcast(bytes(bits))
 
