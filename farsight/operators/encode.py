@@ -1,4 +1,4 @@
-"""Batch text and span embeddings with encoders by name, and the embedding bank."""
+"""Batch text and span embeddings with encoders by name, and the embedding bank."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
-from farsight.functions import vectors as V
 
 #: An encoder maker returns a function from texts to rows of float vectors; it runs once per Python worker and task.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -74,7 +73,7 @@ def embed(df: DataFrame, text: str, name: str = "hashing", batch: int = 64) -> D
 
 
 def extend_bank(bank: DataFrame, texts: DataFrame, name: str = "hashing", on_dim_change: str = "fail") -> DataFrame:
-    """bank(qid, text, embedding) with texts(qid, text) whose qid it lacks; each distinct text is encoded once.
+    """bank(qid, text, embedding) with texts(qid, text) whose qid it lacks; each distinct text is encoded once (K9).
 
     If the new vectors are of another width, `fail` raises and `reset` encodes everything anew."""
     if on_dim_change not in ("fail", "reset"):
@@ -90,6 +89,41 @@ def extend_bank(bank: DataFrame, texts: DataFrame, name: str = "hashing", on_dim
     return bank.select("qid", "text", "embedding").unionByName(new)
 
 
+def text_key(text: Column | str) -> Column:
+    """Two 64-bit hashes of a text: what a text-keyed bank is dealt and joined by. Texts themselves decide."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def text_bank(spark: SparkSession) -> DataFrame:
+    """An empty text-keyed bank(key, text, qid, embedding)."""
+    return spark.createDataFrame([], "key struct<a: bigint, b: bigint>, text string, qid string, embedding array<float>")
+
+
+def extend_text_bank(bank: DataFrame, requests: DataFrame, name: str = "hashing") -> DataFrame:
+    """bank(key, text, qid, embedding) with the texts of requests(pos, text, qid) that it lacks.
+
+    Each different text is encoded once, whatever ids ask for it, and keeps the id of its first request by pos, '' for none. Null texts are no texts. Vectors of another width than the bank's fail. An id may ask
+    for a new text, which the bank then has too."""
+    asked = requests.filter("text is not null").groupBy("text").agg(F.min_by("qid", "pos").alias("qid")).withColumn("key", text_key("text"))
+    known = bank.select("key", F.col("text").alias("__known"))
+    missing = asked.join(known, (asked["key"] == known["key"]) & (F.col("text") == F.col("__known")), "left_anti")
+    new = embed(missing.select("key", "text", F.coalesce("qid", F.lit("")).alias("qid")), "text", name)
+    old, got = bank.select(F.size("embedding")).first(), new.select(F.size("embedding")).first() if not bank.isEmpty() else None
+    if old and got and old[0] != got[0]:
+        raise ValueError(f"the bank's vectors have {old[0]} entries, new ones {got[0]}")
+    columns = ["key", "text", "qid", "embedding"]
+    return bank.select(*columns).unionByName(new.select(*columns))
+
+
+def answered(requests: DataFrame, bank: DataFrame) -> DataFrame:
+    """requests with the embedding of each one's text, in any number of repeats; pos still gives their order (K9b). A text that the bank lacks fails the job."""
+    rows = requests.withColumn("__key", text_key("text"))
+    held = bank.select(F.col("key").alias("__bank"), F.col("text").alias("__text"), F.col("embedding").alias("__v"))
+    found = rows.join(held, (F.col("__key") == F.col("__bank")) & (F.col("text") == F.col("__text")), "left")
+    lost = F.raise_error(F.concat(F.lit("not in the bank: "), F.coalesce(F.left("text", F.lit(50)), F.lit("null")))).cast("array<float>")
+    return found.withColumn("embedding", F.coalesce("__v", lost)).select(*requests.columns, "embedding")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, start, end, token): words with their offsets, from lengths alone."""
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
@@ -99,16 +133,96 @@ def tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.p.token")).alias("end"), F.col("x.p.token").alias("token"))
 
 
+#: Characters of a bucket of offsets.
+BUCKET = 64
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id", width: int = BUCKET) -> DataFrame:
+    """Rows of left(key, start, end, ...) and right(key, c0, c1, ...) whose half-open ranges share a place, once each.
+
+    Ranges are dealt into buckets of `width` places and meet there, so a long text with many ranges is many join keys, not all pairs of its ranges. Two that meet in
+    several buckets count in the one where the later of them starts. Empty ranges overlap nothing."""
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+    one = left.filter("start < end").withColumn("__b", buckets("start", "end"))
+    two = right.filter("c0 < c1").withColumn("__b", buckets("c0", "c1"))
+    met = one.join(two, [key, "__b"]).filter("start < c1 and c0 < end")
+    return met.filter(F.col("__b") == F.floor(F.greatest("start", "c0") / width)).drop("__b")
+
+
+def phrase_spans(docs: DataFrame, phrase: str = "phrase", nth: int = 1) -> DataFrame:
+    """(doc_id, c0, c1) of an occurrence of docs(doc_id, text, phrase)'s phrase in any case, of the last if there are fewer; documents without it are left out."""
+    found = docs.withColumn("c0", X.occurrence(F.col("text"), F.col(phrase), nth)).filter("c0 is not null")
+    return found.select("doc_id", "c0", (F.col("c0") + F.length(phrase)).alias("c1"))
+
+
 def span_tokens(docs: DataFrame, phrase: str = "phrase", nth: int = 1) -> DataFrame:
     """Tokens of docs(doc_id, text, phrase) that overlap an occurrence of the phrase."""
-    found = docs.withColumn("c0", X.occurrence(F.col("text"), F.col(phrase), nth)).filter("c0 is not null")
-    spans = found.select("doc_id", "c0", (F.col("c0") + F.length(phrase)).alias("c1"))
-    return tokens(found).join(spans, "doc_id").filter("greatest(start, c0) < least(end, c1)").drop("c0", "c1")
+    spans = phrase_spans(docs, phrase, nth)
+    return overlapping(tokens(docs.join(spans.select("doc_id"), "doc_id", "left_semi")), spans).drop("c0", "c1")
+
+
+def span_windows(docs: DataFrame, phrase: str = "phrase", nth: int = 1, limit: int = 512, context: int = 0) -> DataFrame:
+    """(doc_id, first, last, start, tokens): tokens of a window around a phrase, numbered from `start` in the text; first to last (exclusive) of the text's are the phrase's.
 
+    The window has `limit` tokens at most, or the phrase's and `context` on each side, moved to lie within the text; only its tokens are gathered. A window shorter than the phrase holds the phrase's first tokens."""
+    spans = phrase_spans(docs, phrase, nth)
+    every = tokens(docs.join(spans.select("doc_id"), "doc_id", "left_semi"))
+    # tokens are numbered without gaps in their order: those without letters of their own have none
+    every = every.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
+    sizes = every.groupBy("doc_id").agg(F.count("*").cast("int").alias("size"))
+    hit = overlapping(every, spans).groupBy("doc_id").agg(F.min("n").alias("first"), (F.max("n") + 1).alias("last"))
+    start, end = X.token_window(F.col("first"), F.col("last"), F.col("size"), limit, context)
+    windows = hit.join(sizes, "doc_id").select("doc_id", "first", "last", start.alias("w0"), end.alias("w1"))
+    inside = every.join(windows, "doc_id").filter("n >= w0 and n < w1")
+    return inside.groupBy("doc_id", "first", "last", F.col("w0").alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+
+
+#: A maker of a function from windows of tokens to a row of floats for each token of each; it sees the whole window.
+TokenEncoder = Callable[[list[list[str]]], list[np.ndarray]]
+_TOKEN_ENCODERS: dict[str, Callable[[], TokenEncoder]] = {}
+
+
+def register_token_encoder(name: str, maker: Callable[[], TokenEncoder]) -> None:
+    _TOKEN_ENCODERS[name.strip().lower()] = maker
+
+
+def contextual(name: str, share: float = 0.5) -> Callable[[], TokenEncoder]:
+    """A token encoder from an encoder of texts: a token's vector and a share of the mean of its window's."""
+
+    def make() -> TokenEncoder:
+        encode = encoder(name)()
+
+        def run(windows: list[list[str]]) -> list[np.ndarray]:
+            every = encode([t for w in windows for t in w])
+            parts = np.split(every, np.cumsum([len(w) for w in windows])[:-1])
+            return [p + share * p.mean(0) for p in parts]
+
+        return run
+
+    return make
+
+
+def token_encoder(name: str) -> Callable[[], TokenEncoder]:
+    """The token encoder of this name, or one made from the encoder of this name."""
+    key = name.strip().lower()
+    return _TOKEN_ENCODERS[key] if key in _TOKEN_ENCODERS else contextual(name)
+
+
+def embed_spans(docs: DataFrame, name: str = "hashing", nth: int = 1, limit: int = 512, context: int = 0, batch: int = 16) -> DataFrame:
+    """(doc_id, embedding): unit mean of the vectors that a phrase's tokens have within their window; a document without the phrase is left out (M2).
+
+    The encoder gets whole windows, so each token's vector may depend on what is around it."""
+    windows = span_windows(docs, nth=nth, limit=limit, context=context)
+    make = token_encoder(name)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
+        for frame in frames:
+            held = [list(t) for t in frame["tokens"]]
+            rows = [r for i in range(0, len(held), batch) for r in encode(held[i : i + batch])]
+            means = [r[max(0, a - s) : b - s].mean(0) for r, a, b, s in zip(rows, frame["first"], frame["last"], frame["start"], strict=True)]
+            norms = [float(np.linalg.norm(m)) or 1.0 for m in means]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "embedding": [m / n for m, n in zip(means, norms, strict=True)]})
 
-def embed_spans(docs: DataFrame, name: str = "hashing", nth: int = 1) -> DataFrame:
-    """(doc_id, embedding): unit mean of the vectors of the tokens of a phrase; a document without it is left out (M2)."""
-    t = span_tokens(docs, nth=nth)
-    vectors = embed(t.select("token").distinct(), "token", name).select("token", V.doubles("embedding").alias("v"))
-    rows = t.join(vectors, "token").groupBy("doc_id").agg(F.collect_list("v").alias("vs"))  # as many as the phrase has words
-    return rows.select("doc_id", V.normalised(V.mean_vector(F.col("vs"))).alias("embedding"))
+    return windows.mapInPandas(run, f"doc_id {kind}, embedding array<double>")

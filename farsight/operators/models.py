@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from farsight.functions import text as X
 from farsight.functions import vectors as V
 from farsight.operators import encode, sampling, stats
+from farsight.sources.shared import cut
 
 
 def training_set(items: DataFrame, bank: DataFrame, scores: DataFrame) -> DataFrame:
@@ -76,21 +79,58 @@ def predicted(fit, df: DataFrame) -> DataFrame:
     return df.withColumn("pred", F.lit(fit)) if isinstance(fit, float) else fit.transform(df).withColumnRenamed("prediction", "pred")
 
 
-def evaluate(rows: DataFrame, names: list[str], seeds: list[int] | None = None, compat: bool = False) -> DataFrame:
-    """(model, seed, part, metric, value) of models on rows(qid, features, y).
+def predictions(rows: DataFrame, names: list[str], seeds: list[int] | None = None, compat: bool = False) -> DataFrame:
+    """(model, seed, part, qid, y, pred) of models on rows(qid, features, y), written once.
 
-    The scaler is fitted on the training part (with compat on all rows). Select by stats.over_seeds and stats.best_model."""
+    A seed's rows are split and scaled once, by the training part (with compat by all rows), and every model predicts them all in one pass."""
     out = []
     for seed in seeds or [42]:
-        parts = sampling.split(rows, "qid", seed).persist()
-        train = parts.filter("part = 'train'")
-        scaled = standardised(parts, None if compat else train).persist()
-        for name in names:
-            done = predicted(fitted(name, scaled.filter("part = 'train'").drop("part")), scaled)
-            for part in ("val", "test"):
-                suite = stats.metric_suite(done.filter(F.col("part") == part).select("y", "pred"))
-                out.append(suite.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.lit(part).alias("part"), "metric", "value"))
-    return stats.union_all(*out)
+        parts = sampling.split(rows.select("qid", "features", "y"), "qid", seed)
+        scaled = cut(standardised(parts, None if compat else parts.filter("part = 'train'")))
+        train, done = scaled.filter("part = 'train'").drop("part"), scaled
+        for i, name in enumerate(names):
+            done = predicted(fitted(name, train), done).withColumnRenamed("pred", f"__p{i}")
+        each = F.array(*(F.struct(F.lit(n).alias("model"), F.col(f"__p{i}").cast("double").alias("pred")) for i, n in enumerate(names)))
+        out.append(done.select(F.lit(seed).alias("seed"), "part", "qid", "y", F.explode(each).alias("x")).select("x.model", "seed", "part", "qid", "y", "x.pred"))
+    return cut(stats.union_all(*out))
+
+
+def evaluate(rows: DataFrame, names: list[str], seeds: list[int] | None = None, compat: bool = False) -> DataFrame:
+    """(model, seed, part, metric, value) of models on rows(qid, features, y), all models and seeds in one grouped pass over their predictions."""
+    done = predictions(rows, names, seeds, compat).filter("part <> 'train'")
+    return stats.metric_suite(done, by=("model", "seed", "part"))
+
+
+@dataclass
+class Evaluation:
+    """What an experiment leaves: metrics of each model, seed and part; their means over seeds; the best model by the validation part; the table of the test part."""
+
+    metrics: DataFrame
+    summary: DataFrame
+    best: str
+    report: DataFrame
+
+
+def experiment(rows: DataFrame, families: dict[str, list[str]], seeds: list[int] | None = None, metric: str = "rmse", folder: str | None = None, compat: bool = False) -> Evaluation:
+    """Evaluates models by family over seeds, chooses the best that can be kept, and saves its artifact in folder as `<family>_best_<model>`.
+
+    The best has the least mean of the metric on the validation part, the first by order of equals. It is fitted on the first seed's training part."""
+    names = [n for group in families.values() for n in group]
+    family = {n: f for f, group in families.items() for n in group}
+    metrics = cut(evaluate(rows, names, seeds, compat))
+    summary = stats.over_seeds(metrics, ("model", "part", "metric"))
+    place = F.coalesce(*(F.when(F.col("model") == n, i) for i, n in enumerate(names)))
+    of = F.coalesce(*(F.when(F.col("model") == n, F.lit(f)) for n, f in family.items()))
+    kept = [n for n in names if n not in ("zero", "one", "mean", "cosine")]
+    tried = summary.filter((F.col("part") == "val") & (F.col("metric") == metric) & F.col("model").isin(kept)).select("model", F.col("mean").alias(metric), place.alias("pos"))
+    row = stats.best_model(tried, metric).first()
+    best = row["model"] if row else ""
+    test = summary.filter("part = 'test'").select(of.alias("family"), "model", "metric", F.col("mean").alias("value"))
+    report = stats.report_table(test, ["rmse", "mae", "pearson", "spearman", "macro_precision", "macro_recall", "macro_f1", "micro_f1", "weighted_f1", "accuracy"])
+    if folder and best:
+        train = sampling.split(rows.select("qid", "features", "y"), "qid", (seeds or [42])[0]).filter("part = 'train'").drop("part")
+        artifact(train, best).write().overwrite().save(f"{folder}/{family[best]}_best_{best}")
+    return Evaluation(metrics, summary, best, report)
 
 
 def artifact(train: DataFrame, name: str = "ridge") -> PipelineModel:
@@ -124,11 +164,29 @@ def score_pairs(pairs: DataFrame, model: PipelineModel, artifact_name: str, enco
     )
 
 
-def choose_artifact(registry: DataFrame, tag: str | None = None) -> DataFrame:
-    """The newest artifact, mlp_best before baseline_best before others."""
+def choose_artifact(registry: DataFrame, path: str | None = None, folder: str | None = None, tag: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The artifact of registry(path, name, folder, mtime) to score with.
+
+    A path must be there and is taken as it is. Else the first place that has artifacts counts: the folder if given; or else the folder of the tag, then those whose names match a pattern with * in their order. Within a
+    folder mlp_best comes before baseline_best before others, then the newest, then by name. Nothing to be found is an error."""
+    if path:
+        found = registry.filter(F.col("path") == path).limit(1)
+        if found.isEmpty():
+            raise ValueError(f"no artifact {path}")
+        return found
     priority = F.when(F.col("name").startswith("mlp_best_"), 0).when(F.col("name").startswith("baseline_best_"), 1).otherwise(2)
-    rows = registry if tag is None else registry.filter(F.contains("name", F.lit(tag)))
-    return rows.orderBy(priority, F.desc("mtime"), "name").limit(1)
+    place = F.lit(None).cast("int")
+    if folder:
+        place = F.when(F.col("folder") == folder, 0)
+    elif tag or pattern:
+        like = ("^" + ".*".join(map(re.escape, pattern.split("*"))) + "$") if pattern else None
+        place = F.when(F.col("folder") == (tag or ""), 0).when(F.col("folder").rlike(like) if like else F.lit(False), 1)
+    else:
+        place = F.lit(0)
+    found = registry.withColumn("__place", place).filter("__place is not null").orderBy("__place", F.when(F.col("__place") == 1, F.col("folder")), priority, F.desc("mtime"), "name").limit(1)
+    if found.isEmpty():
+        raise ValueError(f"no artifact in {', '.join(x for x in (folder, tag, pattern) if x) or 'the registry'}")
+    return found.drop("__place")
 
 
 def principal(df: DataFrame, k: int = 2) -> DataFrame:

@@ -126,49 +126,50 @@ def spearman(df: DataFrame, y: str = "y", p: str = "pred", by: tuple[str, ...] =
     return pairs.groupBy(*by).agg(safe_divide(cov, F.sqrt(va * vb)).alias("spearman"))
 
 
-def confusion(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None) -> DataFrame:
-    """(truth, pred, n) for all pairs of the classes."""
+def confusion(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, truth, pred, n) for all pairs of the classes, of each group (A30). Group columns must not be null."""
     classes = classes or CLASSES
     cells = F.array(*(F.struct(F.lit(a).alias("truth"), F.lit(b).alias("pred")) for a in classes for b in classes))
-    counts = df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(1).select(F.explode(cells).alias("c")).select("c.*")
-    return grid.join(counts, ["truth", "pred"], "left").select("truth", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    grid = groups.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
+    return grid.join(counts, [*by, "truth", "pred"], "left").select(*by, "truth", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def class_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None) -> DataFrame:
-    """(class, precision, recall, f1, support) of each class, 0 for 0/0."""
-    cells = confusion(df, truth, pred, classes)
-    rows = cells.groupBy(F.col("truth").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"))
-    cols = cells.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    out = rows.join(cols, "class").withColumn("precision", safe_divide(F.col("hit"), F.col("predicted"))).withColumn("recall", safe_divide(F.col("hit"), F.col("support")))
-    return out.withColumn("f1", safe_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("class", "precision", "recall", "f1", "support", "predicted", "hit")
+def class_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, class, precision, recall, f1, support) of each class, 0 for 0/0."""
+    cells = confusion(df, truth, pred, classes, by)
+    rows = cells.groupBy(*by, F.col("truth").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"))
+    cols = cells.groupBy(*by, F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
+    out = rows.join(cols, [*by, "class"]).withColumn("precision", safe_divide(F.col("hit"), F.col("predicted"))).withColumn("recall", safe_divide(F.col("hit"), F.col("support")))
+    return out.withColumn("f1", safe_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select(*by, "class", "precision", "recall", "f1", "support", "predicted", "hit")
 
 
-def overall_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None) -> DataFrame:
-    """Accuracy, macro and weighted averages, Matthews correlation and kappa."""
-    m = class_metrics(df, truth, pred, classes)
-    k = len(classes or CLASSES)
+def overall_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred", classes: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy, macro, micro and weighted averages, Matthews correlation and kappa, of all rows or of each group."""
+    m = class_metrics(df, truth, pred, classes, by)
     n, hit = F.sum("support"), F.sum("hit")
     rc, c2, r2 = F.sum(F.col("support") * F.col("predicted")), F.sum(F.col("predicted") * F.col("predicted")), F.sum(F.col("support") * F.col("support"))
     averages = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
     averages += [safe_divide(F.sum(F.col(c) * F.col("support")), n).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
     accuracy, chance = safe_divide(hit, n), safe_divide(rc, n * n)
-    assert k
-    return m.agg(
-        n.alias("n"), accuracy.alias("accuracy"), *averages,
+    return m.groupBy(*by).agg(
+        n.alias("n"), accuracy.alias("accuracy"), accuracy.alias("micro_f1"), *averages,
         safe_divide(hit * n - rc, F.sqrt((n * n - c2).cast("double") * (n * n - r2))).alias("mcc"),
         safe_divide(accuracy - chance, 1 - chance).alias("kappa"),
     )
 
 
-def metric_suite(df: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    """(metric, value): all regression metrics, and class metrics of the scores by thirds."""
-    reg = regression_metrics(df, y, p).join(spearman(df, y, p))
-    classed = df.select(score_class(F.col(y)).alias("truth"), score_class(F.col(p)).alias("pred"))
-    both = reg.drop("n").join(overall_metrics(classed))
-    flat = confusion(classed).select(F.concat_ws("_", F.lit("cm"), "truth", "pred").alias("metric"), F.col("n").cast("double").alias("value"))
-    wide = both.select(*(F.col(c).cast("double").alias(c) for c in both.columns))
-    return wide.unpivot([], wide.columns, "metric", "value").unionByName(flat)
+def metric_suite(df: DataFrame, y: str = "y", p: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, metric, value): all regression metrics, and class metrics of the scores by thirds, of all rows or of each group in one pass over the groups."""
+    reg = regression_metrics(df, y, p, by).drop("n")
+    classed = df.select(*by, score_class(F.col(y)).alias("truth"), score_class(F.col(p)).alias("pred"))
+    wide = reg
+    for more in (spearman(df, y, p, by), overall_metrics(classed, by=by)):
+        wide = wide.join(more, list(by)) if by else wide.join(more)
+    names = [c for c in wide.columns if c not in by]
+    flat = confusion(classed, by=by).select(*by, F.concat_ws("_", F.lit("cm"), "truth", "pred").alias("metric"), F.col("n").cast("double").alias("value"))
+    return wide.select(*by, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(list(by), names, "metric", "value").unionByName(flat)
 
 
 def over_seeds(metrics: DataFrame, by: tuple[str, ...] = ("model", "metric")) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farsight import item_queries
 from farsight.functions import text as X
 from farsight.functions import vectors as V
-from farsight.functions.order import ordered
+from farsight.functions.order import ordered, placed
 from farsight.operators import clean, encode, graph, models, neutral, ranking, sampling, scores, stats
 from farsight.sources.shared import cut
 
@@ -29,8 +30,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _ring(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bank; edges from each vector to the next four of its label; neutrals of each vector from other labels."""
     bank = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding", "label")
-    w = Window.partitionBy("label").orderBy("qid")
-    numbered = bank.select("qid", "label", (F.row_number().over(w) - 1).alias("i"))
+    numbered = placed(bank.select("qid", "label", F.md5(F.col("qid").cast("string")).alias("h")), "h", "qid", ["label"]).select("qid", "label", (F.col("__r") - 1).alias("i"))
     sizes = numbered.groupBy("label").agg(F.count("*").alias("size"))
     numbered = numbered.join(sizes, "label")
     steps = numbered.withColumn("k", F.explode(F.array(*map(F.lit, range(1, 5))))).withColumn("j", (F.col("i") + F.col("k")) % F.col("size"))
@@ -47,7 +47,7 @@ def _ring(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 _RING = f"""
-WITH b AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS size,
+WITH b AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS size,
     row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS total FROM embeddings),
 edges AS (SELECT DISTINCT a.qid, t.qid AS tag FROM b a, range(1, 5) k(k), b t WHERE t.label = a.label AND t.i = (a.i + k.k) % a.size AND t.qid <> a.qid),
 drawn AS (SELECT b.qid AS tag, b.label, j.j, ('0x' || substr(md5('1|' || b.qid || '|' || j.j), 1, 12))::BIGINT % b.total AS idx
@@ -168,11 +168,6 @@ def phrase_places(spark, d):
     return docs.select("doc_id", F.coalesce(low, F.lit(-1)).alias("at"), first.alias("w0"), last.alias("w1"))
 
 
-def token_spans(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("that the").alias("phrase"))
-    return encode.span_tokens(docs).select("doc_id", "start", "end", "token")
-
-
 # --- graph ----------------------------------------------------------------------------------------------------------
 
 
@@ -505,21 +500,12 @@ def hash_embed(spark, d):
     return e.select("doc_id", F.size("embedding").cast("long").alias("width"), F.round(V.norm(F.col("embedding")), 4).alias("norm"), signs.alias("signs"))
 
 
-def span_embed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("that the").alias("phrase"))
-    return encode.embed_spans(docs).select("doc_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
-
-
 def _features(spark, d):
     e = table(spark, d, "embeddings")
     y = F.get("embedding", F.lit(0)).cast("double") + 0.5 * F.get("embedding", F.lit(1)).cast("double") + F.col("label") / 10.0
     return e.select(F.col("vec_id").alias("qid"), array_to_vector(V.doubles("embedding")).alias("features"), y.alias("y"), "label")
 
 
-def model_metrics(spark, d):
-    return models.evaluate(_features(spark, d), ["zero", "one", "ridge"]).select("model", "seed", "part", "metric", F.round("value", 6).alias("value"))
-
-
 def principal_axes(spark, d):
     p = models.principal(_features(spark, d))
     return p.select("qid", F.round(F.abs(F.get("projection", F.lit(0))), 5).alias("a"), F.round(F.abs(F.get("projection", F.lit(1))), 5).alias("b"))
@@ -546,11 +532,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         rps_by_item, rank_table, block_rank_table, rps_sweep_high_low, rank_risk_scores, rank_export, paired_cosine_score, unit_vectors, keep_first_canonical,
-        keep_longest_page, last_value_by_user, clean_paragraphs, usable_labels, unique_words, pair_texts, url_parts, phrase_places, token_spans,
+        keep_longest_page, last_value_by_user, clean_paragraphs, usable_labels, unique_words, pair_texts, url_parts, phrase_places,
         relation_edges, one_hop, unique_nodes, class_closure, coverage_counters, covered_edges, covered_lists, neutral_sample, unlabeled_ids, id_counts,
         upsert_labels, insert_ignore, score_normalize, score_histogram, quantile_classes, regression_metrics, confusion_matrix, class_metrics,
         kappa_mcc, spearman, seed_aggregate, curve_band, loss_table, extremes, exact_split, stratified_split, worker_shards, sampled_ids, hash_embed,
-        span_embed, model_metrics, principal_axes, discriminant_axes, score_pairs,
+        principal_axes, discriminant_axes, score_pairs,
         normalised_tags, tag_statistics, node_universe, target_ids, first_with_tags, enriched_items, cache_records, merged_cache, covered_relations, full_coverage, neutral_lists, claim_union, capped_neutrals, keyword_filter, clean_tag_lists, related_tags, resolved_labels, not_processed, retriever_sweep,
     )
 } | {f"stratified_{m}": _sample(m, a) for m, a in (("count", 20), ("average", 1), ("percentage", 0.3), ("equal", 2), ("equal_tails", 3))}
@@ -706,4 +692,6 @@ ORACLES = {
     "resolved_labels": "SELECT event_id, q.qid FROM events e LEFT JOIN (SELECT event_type, min(user_id) AS qid FROM events WHERE event_id % 3 = 0 GROUP BY 1) q ON q.event_type = e.event_type",
     "not_processed": "SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0)",
 }
+QUERIES |= item_queries.QUERIES
+ORACLES |= item_queries.ORACLES
 ORACLES = {name: re.sub("@([^@]+)@", lambda m: _strip(m[1]), sql) for name, sql in ORACLES.items()}

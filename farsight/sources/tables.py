@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farsight.functions import text as X
-from farsight.sources import objects
+from farsight.functions.order import ordered
+from farsight.sources import objects, versions
 
 ITEM_V1 = "qid string, label string, related_tags array<string>, _error string"
 ITEM_V2 = "qid string, label string, related_tags array<struct<qid: string, label: string, one_hop_related_tags: array<struct<qid: string, label: string>>>>"
@@ -53,10 +55,21 @@ def read_bank(spark: SparkSession, path: str, on_error: str = "fail") -> DataFra
     return df.withColumn("embedding", F.transform("embedding", lambda x: x.cast("float")))
 
 
-def read_ranks(spark: SparkSession, path: str, combos: list[tuple[str, int]]) -> DataFrame:
-    """Rank rows of the asked (retriever, n); partitions that don't exist give no rows."""
-    asked = reduce(lambda a, b: a | b, ((F.col("retriever") == r) & (F.col("n") == n) for r, n in combos), F.lit(False))
-    return spark.read.parquet(path).filter(asked)
+def read_ranks(spark: SparkSession, paths: str | list[str], combos: list[tuple[str, int]]) -> DataFrame:
+    """Rank rows of the asked (retriever, n) from tables with folders `retriever=` and `n=`: each combo from the first path that has it, the others being legacy places.
+
+    A combo that no path has is warned of and gives no rows."""
+    found = []
+    for retriever, n in combos:
+        places = [f"{p}/retriever={retriever}/n={n}" for p in ([paths] if isinstance(paths, str) else paths)]
+        place = next((p for p in places if versions.exists(spark, p)), None)
+        if place is None:
+            warnings.warn(f"no ranks of {retriever}, {n}: tried {', '.join(places)}", stacklevel=2)
+        else:
+            found.append(spark.read.parquet(place).withColumns({"retriever": F.lit(retriever), "n": F.lit(n)}))
+    if not found:
+        return spark.createDataFrame([], "qid string, tag string, rank int, sample_size int, retriever string, n int")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def read_pairs(spark: SparkSession, path: str, label: str = "label", context: str = "context") -> DataFrame:
@@ -68,8 +81,29 @@ def read_pairs(spark: SparkSession, path: str, label: str = "label", context: st
     return df
 
 
+def page_bounds(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(page, first, last, rows): the range of keys of each page of `size` different keys in their order, from 0. Null keys are on no page.
+
+    Keys are numbered by counts per range, so no task orders them all."""
+    idx = ordered(df, key).select(F.col("node").alias(key), F.floor(F.col("idx") / size).alias("page"))
+    return df.join(idx, key).groupBy("page").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("rows"))
+
+
+def write_pages(df: DataFrame, key: str, size: int, path: str) -> None:
+    """df in the order of key, and the bounds of its pages, for read_page (S9, P1). Written once; each page is then a scan of what its range needs."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/rows")
+    page_bounds(df.select(key), key, size).coalesce(1).write.mode("overwrite").parquet(f"{path}/pages")
+
+
+def read_page(spark: SparkSession, path: str, key: str, number: int) -> DataFrame:
+    """Page `number` (from 0), unordered: a filter on key that reaches the files. A page that isn't there is empty."""
+    rows = spark.read.parquet(f"{path}/rows")
+    bounds = spark.read.parquet(f"{path}/pages").filter(F.col("page") == number).select("first", "last").first()
+    return rows.filter(F.col(key).between(bounds["first"], bounds["last"])) if bounds else rows.limit(0)
+
+
 def page_of(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
-    """Page `number` (from 0) of the rows in order."""
+    """Page `number` (from 0) of the rows in order, for a single look; write_pages serves many."""
     return df.orderBy(order).offset(number * size).limit(size)
 
 
