@@ -4,7 +4,7 @@ Each word of a piece heads a window of up to WORDS words: the columns after the
 these longest windows are counted, by language. Spark's ROLLUP then sums them over successively shorter prefixes, which gives the number of
 occurrences of every phrase at once: each occurrence heads one window. No shorter phrases are listed or counted by themselves.
 
-A window may end early where no longer prefix of it can be frequent. A first pass counts words and neighbouring words in a table of a bounded
+A window may end early where no longer prefix of it can be frequent. A first pass counts pairs of neighbouring words in a table of a bounded
 number of slots by hash, a second one the longer prefixes of what is left of the windows; a slot that stays under the threshold proves that each of its phrases does, and so every
 phrase with them. Counts of all frequent phrases stay exact whatever the size of the tables; full tables only leave more windows."""
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from farsight.llm.common import documents, hashed, numbered, runs, texts, written
 
-#: Words of the longest phrase, and bytes of texts that are worked on together, about.
-WORDS, RUN = 5, 8 << 20
+#: Words of the longest phrase, bytes of texts that are worked on together, about, and windows of a task that are held.
+WORDS, RUN, MERGE = 5, 8 << 20, 1_500_000
 #: Slots of the table: one for so many bytes of input (as Spark sees its size), between these bounds. A slot takes a byte and counts to FULL.
 SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 20, 1 << 26
 FULL = 255
@@ -87,13 +87,18 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
                 yield name, words
 
 
-def _follows(words: Words, keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words may be frequent, and after which the next one may belong to the same frequent phrase, with WORDS more at the end."""
-    good = _reached(keys, bits)[words.code]
-    first = np.flatnonzero(words.joined[:-1] & good[:-1] & good[1:])
-    follows = np.zeros(len(good) + WORDS, bool)
-    follows[first[_reached(_joined(keys[words.code[first]], keys[words.code[first + 1]]), bits)]] = True
-    return good, follows
+def _pairs(words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of words with the next one of their piece."""
+    first = np.flatnonzero(words.joined)
+    return first, _joined(keys[words.code[first]], keys[words.code[first + 1]])
+
+
+def _follows(words: Words, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """After which words the next one may belong to the same frequent phrase, with WORDS more at the end."""
+    first, hashes = _pairs(words, keys)
+    follows = np.zeros(len(words.code) + WORDS, bool)
+    follows[first[_reached(hashes, bits)]] = True
+    return follows
 
 
 def _longer(words: Words, keys: np.ndarray, follows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,32 +113,26 @@ def _longer(words: Words, keys: np.ndarray, follows: np.ndarray) -> Iterator[tup
 
 
 def _slots(batches: Iterator[pa.RecordBatch], slots: int, chunk: int, held=None) -> Iterator[pa.RecordBatch]:
-    """(chunk, counts) by slot of a task's words and pairs, and (lang, n) with the number of its words; or, where held has the bits of these, of longer phrases."""
+    """(chunk, counts) by slot of a task's pairs, and (lang, n) with the number of its words; or, where held has the bits of these, of longer phrases."""
     names = ["chunk", "counts", "lang", "n"]
     table, total = np.zeros(slots, np.uint8), {}
     bits = None if held is None else _unpacked(held)
 
-    def add(hashes: np.ndarray, times: np.ndarray | None = None) -> None:
+    def add(hashes: np.ndarray) -> None:
         at = _slot(hashes, slots)
-        if times is None:
-            at.sort()
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            at, times = at[first], np.diff(np.append(first, len(at)))
-        else:
-            at, back = np.unique(at, return_inverse=True)
-            times = np.bincount(back, times)
-        table[at] = np.minimum(table[at] + times.astype(np.int64), FULL)
+        at.sort()
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        times = np.diff(np.append(first, len(at)))
+        table[at[first]] = np.minimum(table[at[first]] + times, FULL)
 
     for batch in batches:
         for lang, words in _by_language(batch):
             keys = words.keys(lang.encode())
             if bits is None:
                 total[lang] = total.get(lang, 0) + len(words.code)
-                add(keys, np.bincount(words.code, minlength=len(keys)))
-                first = np.flatnonzero(words.joined)
-                add(_joined(keys[words.code[first]], keys[words.code[first + 1]]))
+                add(_pairs(words, keys)[1])
             else:
-                for _, hashes in _longer(words, keys, _follows(words, keys, bits)[1]):
+                for _, hashes in _longer(words, keys, _follows(words, keys, bits)):
                     add(hashes)
     chunks = np.flatnonzero(table.reshape(-1, chunk).any(1))
     if len(chunks):
@@ -165,27 +164,34 @@ def _added(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator
 
 
 def _windows(batches: Iterator[pa.RecordBatch], short, long) -> Iterator[pa.RecordBatch]:
-    """(lang, w1 ... w5, n): different longest windows of runs of texts, with their number. Empty words follow the last of a short window."""
+    """(lang, w1 ... w5, n): a task's different longest windows, with their number. Empty words follow the last of a short window."""
     bits, deep = _unpacked(short), _unpacked(long)
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        found = pa.concat_tables(held).group_by(["lang", *COLUMNS], use_threads=False).aggregate([("n", "sum")])
+        return found.rename_columns(["lang", *COLUMNS, "n"]).combine_chunks()
+
     for batch in batches:
         for lang, words in _by_language(batch):
             keys = words.keys(lang.encode())
-            good, follows = _follows(words, keys, bits)
-            # different frequent words by number from 1, 0 for none
-            often = _reached(keys, bits)
-            code = np.concatenate((np.where(often, np.cumsum(often), 0).astype(np.int32)[words.code], np.zeros(WORDS, np.int32)))
-            reach = np.zeros(len(code), np.int8)  # words of each head's window
-            reach[: len(good)] = good
+            follows = _follows(words, keys, bits)
+            code = np.concatenate((words.code.astype(np.int32) + 1, np.zeros(WORDS, np.int32)))  # 0 for none
+            reach = np.ones(len(code), np.int8)  # words of each head's window
             reach[follows] = 2
             for k, (at, hashes) in enumerate(_longer(words, keys, follows), 3):
-                on = (reach[at] == k - 1) & _reached(hashes, deep)
-                reach[at[on]] = k
-            at = np.flatnonzero(good)
-            columns = [pa.array(np.where(reach[at] > k, code[at + k], 0)) for k in range(WORDS)]
-            counted = pa.table(columns, COLUMNS).group_by(COLUMNS, use_threads=False).aggregate([([], "count_all")])
-            spelled = pa.concat_arrays([pa.array([b""], pa.binary()), words.different.filter(pa.array(often))]).cast(pa.string())
-            for part in counted.to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *(spelled.take(part.column(c)) for c in COLUMNS), part.column("count_all")], ["lang", *COLUMNS, "n"])
+                reach[at[(reach[at] == k - 1) & _reached(hashes, deep)]] = k
+            n = len(words.code)
+            columns = [pa.array(np.where(reach[:n] > k, code[k : n + k], 0)) for k in range(WORDS)]
+            counted = pa.table(columns, COLUMNS).group_by(COLUMNS, use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            spelled = pa.concat_arrays([pa.array([b""], pa.binary()), words.different]).cast(pa.string())
+            held.append(pa.table([pa.array([lang] * len(counted), pa.string()), *(spelled.take(counted.column(c).combine_chunks()) for c in COLUMNS), counted.column("count_all")], ["lang", *COLUMNS, "n"]))
+            if sum(map(len, held)) > MERGE:
+                held = [merged()]
+                if 2 * len(held[0]) > MERGE:
+                    yield from held.pop().to_batches(50_000)
+    if held:
+        yield from merged().to_batches(50_000)
 
 
 def _bits(seen: DataFrame, slots: int, chunk: int, least: int):
