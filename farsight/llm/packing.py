@@ -59,7 +59,7 @@ class _Ids:
         for between, here in ((" ", np.flatnonzero(lead == 1)), ("\n", np.flatnonzero(lead != 1))):
             for lo in range(0, len(here), 5000):
                 part = here[lo : lo + 5000]
-                texts_ = [parts[i][lead[i] > 0 :].decode("utf-8") for i in part.tolist()]
+                texts_ = [parts[i][int(lead[i] > 0) :].decode("utf-8") for i in part.tolist()]
                 (ids,) = _encoded(self.tokenizer, [between + between.join(texts_)])
                 ends = np.cumsum([len(w.encode()) + 1 for w in texts_])
                 cuts = np.searchsorted(np.cumsum(_sizes(self.path)[ids]), ends) + 1
