@@ -163,11 +163,15 @@ def crc32_mod(doc_id: str, k: int) -> Column:
 SAMPLE_BYTES, SAMPLE_TOTAL = 1 << 16, 1 << 25
 
 
-def bounded(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows(text, ...) in this order, or as many as have SAMPLE_TOTAL bytes of text."""
-    first = rows.orderBy(*order).limit(n)
-    held = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") <= SAMPLE_TOTAL).drop("held")
+def bounded(rows: DataFrame, n: int, *order: str, group: str | None = None) -> DataFrame:
+    """The first n rows(text, ...) in this order, or as many as have SAMPLE_TOTAL bytes of text. With a group column each group is cut at the same share of its rows, so that none is lost."""
+    share = F.lit(0.0)
+    if group:
+        own = Window.partitionBy(group)
+        share = F.row_number().over(own.orderBy(*order)) / F.count("*").over(own)
+    first = rows.withColumn("share", share).orderBy("share", *order).limit(n)
+    held = F.sum(F.octet_length("text")).over(Window.orderBy("share", *order).rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") <= SAMPLE_TOTAL).drop("held", "share")
 
 
 def sample(docs: DataFrame, n: int, salt: str, *columns: str, max_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -29,7 +29,7 @@ SUPPORT, LEAST = 0.5, 4
 MOST = 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[^>=]++)*+)>|[^<]+|<",
     re.S | re.I,
 )
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -39,10 +39,11 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _OUT = frozenset("head nav header footer aside form button select option dialog menu object canvas audio video".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notices?|comments?|respond|reply|replies|disqus|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|search|complementary|contentinfo|alert)(?:$|[\s_-])",
-    re.I,
+#: Parts of a name by which an element is no part of an article, if all its other parts are of the second kind: share-buttons, but not share-price.
+_FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices comment comments respond reply replies disqus footer header masthead share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay toolbar pagination pager search complementary contentinfo alert".split()
 )
+_GENERIC = frozenset("0 site page main top bottom left right global list section box wrapper container area bar links link buttons button icons form thread block inner outer widget item items post posts article articles content side secondary primary wide small sticky message text title slot unit zone".split())
 #: A start tag of the key closes an open element of these names first.
 _CLOSES = {t: frozenset({"p"}) for t in _BLOCK - {"body", "html", "head"}} | {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}),
@@ -52,7 +53,7 @@ _LIMITS = frozenset("ul ol dl table article section div body main nav aside head
 
 
 def events(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """('open', label, path), ('close', label, path), ('break', '', path) and ('text', text, path), the path being the labels of open elements."""
+    """('open', label, path), ('close', label, path), ('break', tag, path) and ('text', text, path), the path being the labels of open elements."""
     stack: list[tuple[str, str]] = []
     for m in _TOKEN.finditer(page):
         raw, tag = m[0], (m[2] or "").lower()
@@ -67,8 +68,9 @@ def events(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                     label = stack.pop()[1]
                     yield "close", label, tuple(s[1] for s in stack)
             continue
-        if tag == "br" or tag in _VOID:
-            yield "break", tag, tuple(s[1] for s in stack)
+        if tag in _VOID:
+            if tag in ("br", "hr"):
+                yield "break", tag, tuple(s[1] for s in stack)
             continue
         closes = _CLOSES.get(tag)
         if closes:
@@ -90,8 +92,17 @@ def _structure(path: tuple[str, ...]) -> str:
     return ">".join(p for p in path if p.partition(".")[0] in _BLOCK)
 
 
+def _furniture(names: str) -> bool:
+    """Whether one of an element's names says that it is no part of an article."""
+    for name in names.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        if any(x in _FURNITURE for x in parts) and all(x in _FURNITURE or x in _GENERIC for x in parts):
+            return True
+    return False
+
+
 def _outside(path: tuple[str, ...]) -> bool:
-    return any(p.partition(".")[0] in _OUT or ("." in p and _NAMES.search(p.partition(".")[2])) for p in path)
+    return any(p.partition(".")[0] in _OUT or ("." in p and _furniture(p.partition(".")[2])) for p in path)
 
 
 def _hash(*parts: str) -> int:
@@ -169,7 +180,10 @@ def main_text(page: str, constants: set[int], slot: str | None) -> str:
                 if value.partition(".")[0] in _BLOCK:
                     flush()
             elif kind == "break":
-                parts.append(" ")
+                if value == "hr":
+                    flush()
+                else:
+                    parts.append(" ")
             elif not _outside(path):
                 place = _structure(path)
                 within = _within(place, slot) if slot else not tag or any(p.partition(".")[0] == tag for p in path)

@@ -145,7 +145,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = SAMPLE_BYT
     shares = rows.sparkSession.createDataFrame([(lang, min(1.0, (2 * taken[lang] + 50) / n)) for n, lang in sizes], "lang string, share double")
     near = near.join(F.broadcast(shares), "lang").filter(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") < F.col("share") * float(1 << 48))
     ids = near.select("doc_id", "lang", "h", "most").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter("nth <= most")
-    got = bounded(short.join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"]), max_docs, "h", "text").select("text", "lang")
+    got = bounded(short.join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"]), max_docs, "h", "text", group="lang").select("text", "lang")
     return fitted(got, lambda found: fit([(r["text"], r["lang"]) for r in found], idf))
 
 

@@ -267,9 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byte
     there = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     chosen = [ids.filter(F.col("toxic") == y).orderBy("h").limit(most[y]) for y in (1, 0)]
     rows = short.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    rows = bounded(rows.select("toxic", "h", F.coalesce("text", F.lit("")).alias("text")), max_docs, "h", "text")
-    stand = tuple(max(1.0, there.get(y, 0) / max(most[y], 1)) for y in (0, 1))
-    return fitted(rows, lambda got: fit([(r["text"].encode(), r["toxic"]) for r in got], stand=stand))
+    rows = bounded(rows.select("toxic", "h", F.coalesce("text", F.lit("")).alias("text")), max_docs, "h", "text", group="toxic")
+
+    def learn(got: list[dict]) -> Field:
+        left = [sum(r["toxic"] == y for r in got) for y in (0, 1)]  # what the bound on bytes has left of each
+        stand = tuple(max(1.0, there.get(y, 0) / max(left[y], 1)) for y in (0, 1))
+        return fit([(r["text"].encode(), r["toxic"]) for r in got], stand=stand)
+
+    return fitted(rows, learn)
 
 
 def toxic_scores(docs: DataFrame, field: Field, score: str = "score", spans: str = "spans") -> DataFrame:

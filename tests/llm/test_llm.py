@@ -357,6 +357,19 @@ def test_html(spark):
     assert got[9].text == got[10].text == "" and got[11].text == "cut off"
 
 
+def test_html_as_browsers_read_it():
+    text = lambda body: html.main_text(body, set(), None)
+    assert text("<article><p title=it's>First words here</p><p>I don't know</p></article>") == "First words here\nI don't know"
+    assert text("<article><p title = 'a > b' data-x=\"it's\" hidden>One</p><a href=x?a='b'>two</a></article>") == "One\ntwo"
+    assert text('<article><p class="x>One</p></article>') == "One"  # a quote that nothing closes
+    assert text("<article><p>one<hr>two</p></article>") == "one\ntwo"
+    assert text("<article><p>foo<wbr>bar <img src=x>b<img alt='>'>az a<br>b</p></article>") == "foobar baz a b"
+    kept = '<article><div class="share-price">4 pounds</div><section id="search-methods">By hand</section><div class="related work">Much</div></article>'
+    assert text(kept.replace("related work", "work-related-injuries")) == "4 pounds\nBy hand\nMuch"
+    for name in ("share-buttons", "social share", "comments", "comment-list-12", "ad_slot_3", "site-footer", "related-posts"):
+        assert text(f'<article><p>Kept</p><div class="{name}">Gone</div></article>') == "Kept", name
+
+
 def test_html_template_without_names(spark):
     # no article element and no telling names: only the occurrence vectors part template and content
     def page(i):
@@ -456,6 +469,17 @@ def test_samples_are_bounded(spark, monkeypatch):
     assert common.sample(docs, 100, "s", "text").agg(F.sum(F.length("text"))).first()[0] <= 500
 
 
+def test_long_texts_leave_every_class_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLE_TOTAL", 4000)
+    rows = [(f"{i:04d}", "rare" if i % 10 == 0 else "often", "x" * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "h string, kind string, text string")
+    left = Counter(r.kind for r in common.bounded(df, 150, "h", group="kind").collect())
+    assert left == {"rare": 4, "often": 36}
+    docs = [(i, ("straße und häuser " if i % 10 == 0 else "the cat and dog ") * 3 + "y" * 40, "de" if i % 10 == 0 else "en") for i in range(200)]
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(model.langs) == ["de", "en"]
+
+
 def test_null_ids(spark):
     import corpus_pipeline
 
