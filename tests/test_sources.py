@@ -104,3 +104,30 @@ def test_compaction_drops_what_it_has_read(spark, tmp_path, monkeypatch):
     assert seen() == ["a", "b", "c", "d"]
     versions.compact(spark, parts, root, "qid string")
     assert seen() == ["a", "b", "c", "d"]
+
+
+def test_pages_by_key(spark, tmp_path):
+    rng = random.Random(7)
+    keys = [rng.choice([rng.randrange(10), rng.randrange(10**12), None]) for _ in range(300)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, v int").repartition(5)
+    tables.write_pages(df, "k", 40, str(tmp_path))
+    order = sorted({k for k in keys if k is not None})
+    for number in range(-(-len(order) // 40) + 1):
+        own = set(order[40 * number : 40 * number + 40])
+        got = sorted(r.v for r in tables.read_page(spark, str(tmp_path), "k", number).collect())
+        assert got == [i for i, k in enumerate(keys) if k in own]
+    plan = tables.read_page(spark, str(tmp_path), "k", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k" in plan
+
+
+def test_ranks_of_either_place(spark, tmp_path):
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    one = lambda q: spark.createDataFrame([(q, "t", 1, 5)], "qid string, tag string, rank int, sample_size int")
+    one("a").write.parquet(f"{new}/retriever=x/n=10")
+    one("b").write.parquet(f"{old}/retriever=x/n=10")
+    one("c").write.parquet(f"{old}/retriever=x/n=20")
+    with pytest.warns(UserWarning, match="no ranks of y, 10"):
+        got = tables.read_ranks(spark, [new, old], [("x", 10), ("x", 20), ("y", 10)]).collect()
+    assert sorted((r.qid, r.retriever, r.n) for r in got) == [("a", "x", 10), ("c", "x", 20)]
+    with pytest.warns(UserWarning):
+        assert tables.read_ranks(spark, new, [("z", 1)]).count() == 0
