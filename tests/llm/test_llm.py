@@ -223,12 +223,16 @@ def test_quality_cutoffs_of_strata_with_few_labels(spark):
 
 
 def brute_fingerprint(text):
-    """Root and leaves of the tree, digest by digest."""
-    leaves = [[format(xx64(c.encode()), "x") for c in re.split(r"(?<=[.,!?|;:] )", p)] for p in text.split("\n")]
+    """Root, leaves and sections of the tree, digest by digest."""
+    leaves = [",".join(format(xx64(c.encode()), "x") for c in re.split(r"(?<=[.,!?|;:] )", p)) for p in text.split("\n")]
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    sections = [[",".join(p) for p in leaves[i : i + fingerprint.PARAGRAPHS]] for i in range(0, len(leaves), fingerprint.PARAGRAPHS)]
+    sections = [[]]
+    for i, p in enumerate(leaves):
+        sections[-1].append(p)
+        if xx64(p.encode()) % fingerprint.PARAGRAPHS == 0 and i + 1 < len(leaves):
+            sections.append([])
     root = md5(";".join(md5("/".join(md5(p) for p in s)) for s in sections))
-    return root + ":" + ";".join("/".join(s) for s in sections), {x for p in leaves for x in p}
+    return root + ":" + ";".join("/".join(s) for s in sections), {x for p in leaves for x in p.split(",")}, sections
 
 
 def xx64(raw):
@@ -237,35 +241,48 @@ def xx64(raw):
     return xxhash.xxh64_intdigest(raw, seed=42)
 
 
+def brute_apart(a, b):
+    """How many different paragraphs of a lie in sections that b lacks, and not in sections that only b has."""
+    one, two = ({tuple(s) for s in x[2]} for x in (a, b))
+    return len({p for s in one - two for p in s} - {p for s in two - one for p in s}) if a[0].split(":")[0] != b[0].split(":")[0] else 0
+
+
 def brute_fingerprints(rows):
-    rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0], r[1].encode()))
+    rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     like = lambda a, b: 1.0 if a[0].split(":")[0] == b[0].split(":")[0] else 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1]))
     out = []
     for i, (d, t) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         own, new, other = brute_fingerprint(t), brute_fingerprint(edited), brute_fingerprint(nxt)
-        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), own[0].lower(), new[0].lower(), round(like(own, new), 9), round(like(own, other), 9)))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), own[0].lower(), new[0].lower(), round(like(own, new), 9), round(like(own, other), 9), brute_apart(own, new), brute_apart(new, own)))
     return sorted(out, key=str)
 
 
 def test_fingerprints(spark, odd, monkeypatch):
     def got(docs):
-        return sorted(((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprint.edited_fingerprints(docs).collect()), key=str)
+        return sorted(((*r[:5], round(r.near_edited, 9), round(r.near_next, 9), r.gone, r.new) for r in fingerprint.edited_fingerprints(docs).collect()), key=str)
 
     assert got(odd) == brute_fingerprints(ODD)  # the last is followed by the first, equal rows by each other
     far = [(i, f"text {i}. and\nmore, {i % 3}") for i in range(200)] + [(10**15, "far away"), (-(10**15), "before")]
     docs = spark.createDataFrame(far, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(fingerprint, "FAN", 20)
     assert got(docs) == brute_fingerprints(far)
+    nulls = [(None, "no id. one"), (None, "a, no id"), *far]
+    assert got(spark.createDataFrame(nulls, "doc_id long, text string").repartition(3)) == brute_fingerprints(nulls)  # the last is followed by the first null id
     ranged = fingerprint.with_next(docs, "text")
     assert ranged.count() == len(far)
 
 
 def test_differing_paragraphs(spark):
-    df = spark.createDataFrame([("a\nb\nc", "a\nx\nc"), ("a", "a"), ("a", "a\nb")], "a string, b string").coalesce(1)
-    got = [r[0] for r in df.select(fingerprint.differing(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b")))).collect()]
-    assert got == [[1], [], [1]]
+    long = [f"line {i}, of many." for i in range(300)]
+    put_in = [*long[:100], "a new one", *long[100:]]
+    pairs = [("a\nb\nc", "a\nx\nc"), ("a", "a"), ("a", "a\nb"), ("\n".join(put_in), "\n".join(long)), ("\n".join(long), "\n".join(put_in))]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    both = df.select(fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
+    got = both.select(fingerprint.differing(F.col("a"), F.col("b")).alias("d"), F.size(fingerprint.apart(F.col("a"), F.col("b"))["sections"]).alias("s")).collect()
+    assert [r.d for r in got] == [[1], [], [], [100], []]
+    assert got[3].s <= 2 and got[4].s == 1  # a line that is put in changes the section around it alone
 
 
 def brute_mixing(rows, block, shards, seed):
