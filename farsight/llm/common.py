@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,23 +197,50 @@ def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, a folder in the warehouse, which all machines share too."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder in the warehouse, which must not lie on one machine of a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_farsight"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not sc.master.startswith("local") and warehouse.partition(":")[0] in (warehouse, "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"{warehouse}/_farsight"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+#: Lists that note the folders of tables written meanwhile.
+_NOTED: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that no lost executor makes it run again."""
+    """df as a Parquet table in the shared folder, so that no lost executor makes it run again. It stays, as what is made of it may be read later; `noted` tells where it is."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/farsight/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _NOTED[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the tables that `written` makes meanwhile."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.remove(paths)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, in any store. Whatever was made of their tables must have been written by now."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

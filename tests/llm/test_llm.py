@@ -578,5 +578,9 @@ def test_matches_sql(spark, name):
 def test_pipeline(spark):
     import corpus_pipeline
 
+    folder = common.shared_folder(spark).removeprefix("file:")
+    tables = lambda: sorted(os.listdir(f"{folder}/farsight")) if os.path.isdir(f"{folder}/farsight") else []
+    before = tables()
     rows = corpus_pipeline.run(spark, DATA).toPandas()
+    assert tables() == before and len([x for x in os.listdir(f"{folder}/pipeline")]) == 1  # only the last stage's rows are left
     assert len(rows) and rows.length.max() <= 2048 and set(rows.columns) >= {"doc_id", "sequence_id", "offset"}
