@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight import item_queries
+from farsight import file_queries, item_queries
 from farsight.functions import text as X
 from farsight.functions import vectors as V
 from farsight.functions.order import ordered, placed
@@ -299,6 +299,25 @@ def target_ids(spark, d):
     return graph.target_ids(items, nodes, table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid")))
 
 
+def fallback_ids(spark, d):
+    """Ids of suppliers, as no item is among the nodes."""
+    items = table(spark, d, "part").select((F.col("p_partkey") + 10_000_000).alias("qid"))
+    nodes = _edges(spark, d).filter("dst % 3 = 0").select(F.col("dst").alias("node"))
+    return graph.target_ids(items, nodes, table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid")))
+
+
+def first_unlabeled(spark, d):
+    """The first 30 customers without a large order."""
+    done = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return graph.unlabeled(table(spark, d, "customer").select("c_custkey"), done, "c_custkey", 30)
+
+
+def named_exactly(spark, d):
+    """Parts whose name holds their brand's last letters as they are, and in any case."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.upper(F.substring("p_name", 2, 3)).alias("item"))
+    return p.select("p_partkey", X.refers_to_itself(F.col("item"), F.col("p_name"), False).alias("exact"), X.refers_to_itself(F.col("item"), F.col("p_name"), True).alias("any_case"))
+
+
 def first_with_tags(spark, d):
     """First part of each brand's label that has usable tags."""
     p = table(spark, d, "part").select((F.col("p_partkey") % 7).cast("string").alias("k"), F.split("p_name", " ").alias("related_tags"), F.col("p_brand").alias("label"), F.lit(0).alias("file"), F.col("p_partkey").alias("pos"))
@@ -373,10 +392,11 @@ def clean_tag_lists(spark, d):
 
 
 def related_tags(spark, d):
-    """Suppliers of a part that aren't the part itself, by order, one for each id."""
+    """Suppliers of a part that aren't the part itself, by order, one for each id; second lines have literals, third ones no id."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("value_label"))
     li = table(spark, d, "lineitem").join(s, "l_suppkey").select(
-        F.concat(F.lit("Q"), "l_partkey").alias("qid"), F.lit("wikibase-item").alias("value_type"), F.concat(F.lit("Q"), "l_suppkey").alias("value_qid"), "value_label",
+        F.concat(F.lit("Q"), "l_partkey").alias("qid"), F.when(F.col("l_linenumber") == 2, "string").otherwise("wikibase-item").alias("value_type"),
+        F.when(F.col("l_linenumber") == 3, " ").otherwise(F.concat(F.lit("Q"), "l_suppkey")).alias("value_qid"), "value_label",
         F.right(F.col("l_partkey").cast("string"), F.lit(1)).alias("item_label"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")).alias("pos"),
     )
     return graph.related_tags(li).select("qid", F.array_join(F.transform("related_tags", lambda t: t["qid"]), ",").alias("tags"))
@@ -537,7 +557,7 @@ QUERIES = {
         upsert_labels, insert_ignore, score_normalize, score_histogram, quantile_classes, regression_metrics, confusion_matrix, class_metrics,
         kappa_mcc, spearman, seed_aggregate, curve_band, loss_table, extremes, exact_split, stratified_split, worker_shards, sampled_ids, hash_embed,
         principal_axes, discriminant_axes, score_pairs,
-        normalised_tags, tag_statistics, node_universe, target_ids, first_with_tags, enriched_items, cache_records, merged_cache, covered_relations, full_coverage, neutral_lists, claim_union, capped_neutrals, keyword_filter, clean_tag_lists, related_tags, resolved_labels, not_processed, retriever_sweep,
+        fallback_ids, first_unlabeled, named_exactly, normalised_tags, tag_statistics, node_universe, target_ids, first_with_tags, enriched_items, cache_records, merged_cache, covered_relations, full_coverage, neutral_lists, claim_union, capped_neutrals, keyword_filter, clean_tag_lists, related_tags, resolved_labels, not_processed, retriever_sweep,
     )
 } | {f"stratified_{m}": _sample(m, a) for m, a in (("count", 20), ("average", 1), ("percentage", 0.3), ("equal", 2), ("equal_tails", 3))}
 
@@ -567,8 +587,8 @@ ORACLES = {
     "rank_export": _RING + "SELECT qid, " + ", ".join(f"string_agg(rank::VARCHAR, ',' ORDER BY tag) FILTER (n = {n}) AS r{n}" for n in ORDERS) + " FROM ranks GROUP BY 1",
     "paired_cosine_score": """SELECT vec_id, round(0.5 * (list_dot_product(e[1:16], e[17:32]) / ((sqrt(list_dot_product(e[1:16], e[1:16])) + 1e-8) * (sqrt(list_dot_product(e[17:32], e[17:32])) + 1e-8)) + 1), 9) AS score
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
-    "unit_vectors": """SELECT vec_id, 1.0::DOUBLE AS norm, round(e[6] / sqrt(list_dot_product(e, e)), 9) AS fifth
-        FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS e FROM embeddings)""",
+    "unit_vectors": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM e)
+        SELECT vec_id, round(sqrt(list_dot_product(u, u)), 9) AS norm, round(u[6], 9) AS fifth FROM u""",
     "keep_first_canonical": r"""WITH a AS (SELECT doc_id, source, replace(lower(@text@), 'ß', 'ss') AS c FROM documents)
         SELECT doc_id, md5(c) AS canon FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY source, doc_id) AS r FROM a WHERE c <> '') WHERE r = 1""",
     "clean_paragraphs": r"""WITH s AS (SELECT doc_id, text, regexp_replace(string_split(@text@, chr(10) || chr(10))[1], '\s+', ' ', 'g') AS p FROM documents), a AS (SELECT doc_id, text, @p@ AS t FROM s),
@@ -688,10 +708,15 @@ ORACLES = {
     "keyword_filter": _ITEMS + " SELECT qid, count(*) FILTER (h) AS removed, count(*) FILTER (NOT h) AS left FROM (SELECT qid, regexp_matches(lower(coalesce(tag, '') || '|' || label), 'ing|07') AS h FROM t) GROUP BY 1",
     "clean_tag_lists": """SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda t: NOT regexp_matches(t, '^Q\\d+$|[_/]') AND NOT contains(lower(t), 'wiki')), '|') AS tags FROM part""",
     "related_tags": """WITH a AS (SELECT 'Q' || l_partkey AS qid, 'Q' || l_suppkey AS v, min((l_orderkey * 10 + l_linenumber)::BIGINT * 100000 + l_suppkey) AS pos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-          WHERE l_partkey <> l_suppkey AND NOT contains(lower(s_name), right(l_partkey::VARCHAR, 1)) GROUP BY 1, 2) SELECT qid, string_agg(v, ',' ORDER BY pos) AS tags FROM a GROUP BY 1""",
+          WHERE l_linenumber NOT IN (2, 3) AND l_partkey <> l_suppkey AND NOT contains(lower(s_name), right(l_partkey::VARCHAR, 1)) GROUP BY 1, 2) SELECT qid, string_agg(v, ',' ORDER BY pos) AS tags FROM a GROUP BY 1""",
     "resolved_labels": "SELECT event_id, q.qid FROM events e LEFT JOIN (SELECT event_type, min(user_id) AS qid FROM events WHERE event_id % 3 = 0 GROUP BY 1) q ON q.event_type = e.event_type",
     "not_processed": "SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0)",
 }
-QUERIES |= item_queries.QUERIES
-ORACLES |= item_queries.ORACLES
+ORACLES |= {
+    "fallback_ids": "SELECT s_suppkey AS qid FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)",
+    "first_unlabeled": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) ORDER BY c_custkey LIMIT 30",
+    "named_exactly": "SELECT p_partkey, contains(p_name, upper(substr(p_name, 2, 3))) AS exact, true AS any_case FROM part",
+}
+QUERIES |= item_queries.QUERIES | file_queries.QUERIES
+ORACLES |= item_queries.ORACLES | file_queries.ORACLES
 ORACLES = {name: re.sub("@([^@]+)@", lambda m: _strip(m[1]), sql) for name, sql in ORACLES.items()}
