@@ -35,6 +35,13 @@ def token_spans(spark, d):
     return encode.span_tokens(_phrases(spark, d)).select("doc_id", "start", "end", "token")
 
 
+def token_offsets(spark, d):
+    """Words of all titles and turns by the table function in SQL."""
+    encode.register_token_offsets(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("farsight_turns")
+    return spark.sql("SELECT c.conv_id, c.turn, cast(t.idx AS bigint) AS idx, t.start, t.end, t.token FROM farsight_turns c, LATERAL token_offsets(c.text) t")
+
+
 def span_windows(spark, d):
     """Windows of up to 9 tokens around a phrase."""
     w = encode.span_windows(_phrases(spark, d), limit=9, context=4)
@@ -223,13 +230,16 @@ def training_rows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_spans, span_windows, span_embed, text_bank, model_metrics, model_report, page_bounds, upsert_metrics, scan_report, grouped_claims, best_model, residual_histogram, fully_expanded, with_text, new_by_label,
+        token_spans, token_offsets, span_windows, span_embed, text_bank, model_metrics, model_report, page_bounds, upsert_metrics, scan_report, grouped_claims, best_model, residual_histogram, fully_expanded, with_text, new_by_label,
         missing_tags, tag_pages, page_titles, labels_by_language, two_sources, training_rows,
     )
 }
 
 ORACLES = {
     "token_spans": _TOKENS + """ SELECT doc_id, a AS "start", b AS "end", token FROM t WHERE hit""",
+    "token_offsets": """WITH p AS (SELECT conv_id, turn, regexp_split_to_array(text, '[\\x20\\x09-\\x0D]') AS a FROM conversations), u AS (SELECT conv_id, turn, unnest(a) AS token, generate_subscripts(a, 1) AS i FROM p),
+        o AS (SELECT *, (sum(length(token) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(token) - 1)::INT AS a FROM u)
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS idx, a AS "start", (a + length(token))::INT AS "end", token FROM o WHERE token <> ''""",
     "span_windows": _WINDOWS + " SELECT doc_id, first, last, w0 AS start, string_agg(token, ' ' ORDER BY n) AS tokens FROM w GROUP BY 1, 2, 3, 4",
     "span_embed": _WINDOWS + """, q AS (SELECT doc_id, n >= first AND n < last AS own, ('0x' || substr(md5(lower(token)), 1, 15))::BIGINT % 64 AS b, CASE WHEN substr(md5(lower(token)), 16, 1) >= '8' THEN 1 ELSE -1 END AS x FROM w),
         k AS (SELECT doc_id, count(*) FILTER (own) AS m, count(*) AS n FROM q GROUP BY 1),

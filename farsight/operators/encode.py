@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -124,6 +125,22 @@ def answered(requests: DataFrame, bank: DataFrame) -> DataFrame:
     return found.withColumn("embedding", F.coalesce("__v", lost)).select(*requests.columns, "embedding")
 
 
+_WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
+
+
+class TokenOffsets:
+    """Table function text -> (idx, start, end, token): words with their offsets, for SQL (G5). `tokens` does the same in the JVM."""
+
+    def eval(self, text: str):
+        for idx, m in enumerate(_WORDS.finditer(text or "")):
+            yield idx, m.start(), m.end(), m[0]
+
+
+def register_token_offsets(spark: SparkSession, name: str = "token_offsets") -> None:
+    """Makes the table function known to SQL: SELECT ... FROM docs, LATERAL token_offsets(text)."""
+    spark.udtf.register(name, F.udtf(TokenOffsets, returnType="idx int, start int, end int, token string"))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, start, end, token): words with their offsets, from lengths alone."""
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)

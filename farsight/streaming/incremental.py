@@ -73,12 +73,13 @@ def into_set(stream: DataFrame, path: str, checkpoint: str, key: str = "qid") ->
     return to_sink(stream, path, checkpoint, new)
 
 
-def label_missing(seen: DataFrame, names: DataFrame, path: str, checkpoint: str, key: str = "qid") -> StreamingQuery:
-    """Looks up labels of arriving ids that have none yet, batch by batch (R2 to R4). A restart goes on after the last batch. Read the labels by `committed`."""
+def label_missing(seen: DataFrame, names: DataFrame, path: str, checkpoint: str, key: str = "qid", seed: DataFrame | None = None) -> StreamingQuery:
+    """Looks up labels of arriving ids that have none yet, neither in the sink nor in a seed cache, batch by batch (R2 to R4). A restart goes on after the last batch. Read the labels by `committed`."""
     schema = names.select(key, "label").schema
 
     def new(batch: DataFrame, number: int) -> DataFrame:
         done = committed(batch.sparkSession, path, schema, before=number).drop("batch")
+        done = done.select(key) if seed is None else done.select(key).unionByName(seed.select(key))
         todo = unlabeled(batch.select(key).filter(F.col(key).isNotNull()).distinct(), done, key)
         return todo.join(names.select(key, "label"), key)
 
