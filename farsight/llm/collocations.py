@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, hashed, numbered, runs, texts, written
+from farsight.llm.common import documents, hashed, numbered, runs, texts, tidy, written
 
 #: Words of the longest phrase, bytes of texts that are worked on together, about, and windows of a task that are held.
 WORDS, RUN, MERGE = 5, 8 << 20, 1_500_000
@@ -199,7 +199,7 @@ def _bits(seen: DataFrame, slots: int, chunk: int, least: int):
     dealt = seen.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
     size = chunk // 8
     bits = bytearray(slots // 8)
-    for row in dealt.mapInArrow(lambda it: _added(it, least, chunk), "chunk int, bits binary").collect():
+    for row in dealt.mapInArrow(tidy(lambda it: _added(it, least, chunk)), "chunk int, bits binary").collect():
         bits[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
     return seen.sparkSession.sparkContext.broadcast(bytes(bits))
 
@@ -214,11 +214,11 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (_size(docs) // SLOT_BYTES).bit_length()))
     chunk, schema = min(CHUNK, slots), "chunk int, counts binary, lang string, n long"
-    seen = written(docs.mapInArrow(lambda it: _slots(it, slots, chunk), schema))
+    seen = written(docs.mapInArrow(tidy(lambda it: _slots(it, slots, chunk)), schema))
     totals = seen.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     short = _bits(seen, slots, chunk, least)
-    long = _bits(docs.mapInArrow(lambda it: _slots(it, slots, chunk, short), schema), slots, chunk, least)
-    windows = docs.mapInArrow(lambda it: _windows(it, short, long), f"lang string, {', '.join(f'{c} string' for c in COLUMNS)}, n long")
+    long = _bits(docs.mapInArrow(tidy(lambda it: _slots(it, slots, chunk, short)), schema), slots, chunk, least)
+    windows = docs.mapInArrow(tidy(lambda it: _windows(it, short, long)), f"lang string, {', '.join(f'{c} string' for c in COLUMNS)}, n long")
     longest = windows.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
     prefixes = longest.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"))
     last = F.coalesce(*reversed(COLUMNS))  # what is rolled up is null, what a short window lacks is empty

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, gathered, runs, texts, words_of, written
+from farsight.llm.common import documents, gathered, runs, texts, tidy, words_of, written
 
 #: Bytes of texts that are counted together, about, and entries of the blocks of terms by sources.
 RUN, CELLS = 8 << 20, 1 << 20
@@ -158,7 +158,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     there are none. Part `term`: kept terms that the source has more often than its language, by p - q, the first `top`. Ranks go by value, highest first, then by item in the order of its bytes.
     Repeated rows count each. Other columns are ignored; an empty table gives an empty one, a lone source no pairs."""
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    found = docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    found = docs.mapInArrow(tidy(_counted), "lang string, source string, term string, n long, docs long")
     found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     entry = F.collect_list(F.struct("source", "n"))  # an entry a source at most
     terms = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), entry.alias("found"))
@@ -170,7 +170,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     langs = groups.groupBy("lang").agg(by_source.alias("s")).join(kept, "lang", "left")
     langs = written(langs.select("lang", F.col("s.source").alias("sources"), F.col("s.total").alias("totals"), "kept", "every"))
 
-    sums = terms.select("lang", "found").join(langs.drop("every"), "lang").mapInArrow(_distances, "lang string, i int, j int, value long")
+    sums = terms.select("lang", "found").join(langs.drop("every"), "lang").mapInArrow(tidy(_distances), "lang string, i int, j int, value long")
     sums = sums.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
     one = langs.select("lang", "sources", F.posexplode("sources").alias("a", "source")).repartition("lang", "source")
     both = one.select("lang", "source", "a", F.posexplode("sources").alias("b", "item")).filter("a <> b")

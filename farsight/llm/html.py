@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import written
+from farsight.llm.common import tidy, written
 
 #: Share of a host's pages, and number, that must have a class for it to be valid.
 SUPPORT, LEAST = 0.5, 4
@@ -212,7 +212,7 @@ def host(url: str = "url"):
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
     """(host, constants, slot): texts of each host's valid classes, and the path of the template's node that holds the articles; null where there is none."""
     rows = pages.select("page_id", host().alias("host"), "html")
-    seen = rows.mapInArrow(_occurrences, "host string, token long, tag boolean, place string, vector long, pages long, times long, free long, heading long")
+    seen = rows.mapInArrow(tidy(_occurrences), "host string, token long, tag boolean, place string, vector long, pages long, times long, free long, heading long")
     # sums are taken modulo 2**60, so that partial sums never overflow
     seen = seen.groupBy("host", "token", "tag", "place").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), *(F.sum(c).alias(c) for c in ("pages", "times", "free", "heading")))
     # a table, as the joins below need it: the pages are parsed for it once
@@ -247,7 +247,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> D
     url counts as a host of its own name ''; hosts with fewer than `least` pages have no template. Repeated rows keep their rows, other columns are ignored, an empty table gives an empty one."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host().alias("host"))
     # as a table its size is known, and Spark broadcasts it only if that is small
-    return rows.join(written(templates(pages, support, least)), "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(written(templates(pages, support, least)), "host", "left").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, grams, lists, merged, runs, shared_folder, signed, texts, words_of, written
+from farsight.llm.common import documents, grams, lists, merged, runs, shared_folder, signed, texts, tidy, words_of, written
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
@@ -185,7 +185,7 @@ def _opened(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> Dat
     The places are written first: Spark then knows their size, and texts without a place don't enter the shuffle while it is under its broadcast threshold."""
     places = written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "part", "guest", "component")).alias("places")))
     shipped = docs.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("x")).select("x.*", "doc_id", "text")
-    return shipped.repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id").mapInArrow(lambda it: _open(it, k, num, den), "a long, b long")
+    return shipped.repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id").mapInArrow(tidy(lambda it: _open(it, k, num, den)), "a long, b long")
 
 
 def _levels(docs: DataFrame, common: DataFrame):
@@ -207,7 +207,7 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
 
     common(token, n) sets the order of tokens; any content gives the same result."""
     held = _levels(docs, common)
-    leading = written(docs.mapInArrow(lambda it: _prefixes(it, k, num, den, held), "token long, doc_id long, others array<long>"))
+    leading = written(docs.mapInArrow(tidy(lambda it: _prefixes(it, k, num, den, held)), "token long, doc_id long, others array<long>"))
     met = leading.groupBy("token").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(F.size("others") + 1)).alias("docs")).filter("docs > 1").select("token")
     every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
     met = written(leading.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
@@ -267,9 +267,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared_folder(docs.sparkSession)
     keys = "doc_id long, n_shingles long, h1 long, h2 long, token long, n long"
-    alone = docs.filter("doc_id is null").mapInArrow(lambda it: _keys(it, words), keys).filter("token is null")
+    alone = docs.filter("doc_id is null").mapInArrow(tidy(lambda it: _keys(it, words)), keys).filter("token is null")
     docs = docs.filter("doc_id is not null")
-    seen = written(docs.mapInArrow(lambda it: _keys(it, words), keys))
+    seen = written(docs.mapInArrow(tidy(lambda it: _keys(it, words)), keys))
     keyed, common = seen.filter("token is null").select("doc_id", "n_shingles", "h1", "h2"), seen.filter("token is not null").select("token", "n")
     classes = written(keyed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     groups = joined(docs, classes.select(F.col("rep").alias("doc_id"), "n"), common, words, num, den)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted
+from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted, tidy
 
 MAX_DOCS = 3000
 BUCKETS = 1 << 15
@@ -121,7 +121,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = SAMPLE_BYT
 
     Languages share the sample evenly, so that a rare one is learned too. One row per language is collected."""
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(tidy(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df, total = np.zeros(BUCKETS), 0
     for r in counts.collect():  # BUCKETS + 1 rows at most
         if r["bucket"] < 0:
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rows, other columns are ignored, an empty table gives an empty one; equal probabilities go to the language first by code point."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _predict(it, held), "doc_id long, lang_pred string, score double"
+        tidy(lambda it: _predict(it, held)), "doc_id long, lang_pred string, score double"
     )
 
 

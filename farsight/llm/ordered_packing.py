@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, numbered, runs, texts, words_of
+from farsight.llm.common import documents, numbered, runs, texts, tidy, words_of
 from farsight.llm.token_counts import stems, tokenizer
 
 #: Bytes of texts that are tokenized together, about, distinct words whose ids a task keeps, and token ids of a block, about.
@@ -247,7 +247,7 @@ def pack_in_order(docs: DataFrame, path: str, size: int = 4096, end: int = 2) ->
     are numbered by task, so that another split of the input gives other numbers and, at the ends of blocks, other cuts. Other columns are ignored; an empty
     table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(lambda it: _packed(it, path, size, end), SCHEMA)
+    return docs.mapInArrow(tidy(lambda it: _packed(it, path, size, end)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, gathered, runs, texts, written
+from farsight.llm.common import documents, gathered, runs, texts, tidy, written
 from farsight.llm.token_counts import plain, plain_words, tokenizer
 
 #: Distinct words whose token ids a task keeps for its next texts, and bytes of texts that are tokenized together, about.
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFram
     rows too. Equal lengths are interchangeable: ties are broken by id and piece. Other columns are ignored, doc_id
     may be null, and an empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(docs.mapInArrow(lambda it: _pieces(it, path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = written(docs.mapInArrow(tidy(lambda it: _pieces(it, path, size, end)), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     held = docs.sparkSession.sparkContext.broadcast(_slots(packing_plan(histogram, size)))
     salts = max(8, -(-max(histogram.values(), default=1) // NUMBERED))
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFram
         .join(starts, ["length", "salt"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     )
-    return ranked.mapInArrow(lambda it: _placed(it, held), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(lambda it: _placed(it, held)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import documents, grams, hashed_words, lists, merged, shared_folder, signed, texts, written
+from farsight.llm.common import documents, grams, hashed_words, lists, merged, shared_folder, signed, texts, tidy, written
 
 #: Words of an anchor. Any K below the length gives the same result; it only sets how many anchors there are.
 K = 5
@@ -156,11 +156,11 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
     alone, whole = whole.filter("doc_id is null"), whole.filter("doc_id is not null")
     docs = whole.select("doc_id", "text")
     shared_folder(docs.sparkSession)
-    keyed = written(docs.mapInArrow(_keys, "doc_id long, n_words long, h1 long, h2 long"))
+    keyed = written(docs.mapInArrow(tidy(_keys), "doc_id long, n_words long, h1 long, h2 long"))
     long_enough = keyed.filter(F.col("n_words") >= length)
     firsts = written(long_enough.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")))
 
-    occurrences = docs.mapInArrow(lambda it: _anchors(it, length), "anchor long, doc_id long, others array<long>")
+    occurrences = docs.mapInArrow(tidy(lambda it: _anchors(it, length)), "anchor long, doc_id long, others array<long>")
     rows = F.lit(1) + F.coalesce(F.size("others"), F.lit(0))
     met = occurrences.withColumn("df", F.sum(rows).over(Window.partitionBy("anchor"))).filter("df > 1")
     met = met.select("anchor", F.explode(F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))).alias("doc_id"))
@@ -170,7 +170,7 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
 
     placed = whole.repartition("doc_id")  # one exchange of the texts for both joins
     runs = placed.join(seeded, "doc_id").select(*whole.columns, "seeds").mapInArrow(
-        lambda it: _runs(it, length), "h1 long, at_h2 long, doc_id long, others array<struct<doc_id:bigint,at:bigint>>"
+        tidy(lambda it: _runs(it, length)), "h1 long, at_h2 long, doc_id long, others array<struct<doc_id:bigint,at:bigint>>"
     )
     own = F.expr("named_struct('doc_id', doc_id, 'at', shiftright(at_h2, 32))")
     every = F.array_append(F.coalesce("others", F.array().cast("array<struct<doc_id:bigint,at:bigint>>")), own)
@@ -184,7 +184,7 @@ def repeated_substrings(docs: DataFrame, length: int = 13, carry: bool = False)
     added = T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<first: int, last: int>>")
     schema = T.StructType([*(whole.schema[c] for c in carried), *added.fields])
     alone = alone.withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
-    found, rest = (x.mapInArrow(lambda it: _results(it, length, carried), schema) for x in (placed.join(decided, "doc_id", "left"), alone))
+    found, rest = (x.mapInArrow(tidy(lambda it: _results(it, length, carried)), schema) for x in (placed.join(decided, "doc_id", "left"), alone))
     return found.unionByName(rest)
 
 

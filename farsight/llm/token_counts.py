@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, numbered, sample, texts, words_of, written
+from farsight.llm.common import documents, numbered, sample, texts, tidy, words_of, written
 
 #: A block ends at so many documents or bytes; a longer text is a block of its own.
 BLOCK_DOCS, BLOCK_BYTES = 20_000, 12 << 20
@@ -212,10 +212,10 @@ def _listed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def common_pieces(docs: DataFrame, path: str) -> dict[str, int]:
     """Pieces of the pre-tokens that most blocks of a sample have, by documents of the sample: at most COMMON short ones."""
-    met = sample(docs, COMMON_DOCS, "pieces|", "text").mapInArrow(lambda it: _in_documents(it, path), "part string, df long")
+    met = sample(docs, COMMON_DOCS, "pieces|", "text").mapInArrow(tidy(lambda it: _in_documents(it, path)), "part string, df long")
     met = met.filter(F.octet_length("part") <= COMMON_BYTES).groupBy("part").agg(F.sum("df").alias("df"))
     top = met.filter("df > 1").orderBy(F.desc("df"), "part").limit(COMMON).select("part")
-    return {r["part"]: r["pieces"] for r in top.mapInArrow(lambda it: _listed(it, path), "part string, pieces int").collect()}
+    return {r["part"]: r["pieces"] for r in top.mapInArrow(tidy(lambda it: _listed(it, path)), "part string, pieces int").collect()}
 
 
 def _in_documents(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -285,12 +285,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = docs.sparkSession.sparkContext.broadcast(common_pieces(docs, path))
     # a table: both branches below read it, and a block keeps its number whatever is lost
-    blocks = written(docs.mapInArrow(lambda it: _frequencies(it, path, held.value), SCHEMA))
+    blocks = written(docs.mapInArrow(tidy(lambda it: _frequencies(it, path, held.value)), SCHEMA))
     parts = blocks.filter("part is not null").select("part", "block", "code").repartition("part").sortWithinPartitions("part")
-    pieces = parts.mapInArrow(lambda it: _counted(it, path), "block long, code int, pieces int")
+    pieces = parts.mapInArrow(tidy(lambda it: _counted(it, path)), "block long, code int, pieces int")
     rows = pieces.unionByName(blocks.filter("part is null").select("block", "doc_id", "n_bytes", "known", "freq"), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions(F.expr("2 * block + if(code is null, 1, 0)"))  # by one number: Spark sorts these without comparing rows
-    sums = rows.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    sums = rows.mapInArrow(tidy(_summed), "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted, runs, texts, words_of
+from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fitted, runs, texts, tidy, words_of
 
 #: Labelled rows that the field is fitted on, of at most SAMPLE_BYTES each: two in five toxic, as far as there are so many.
 MAX_DOCS = 4000
@@ -287,7 +287,7 @@ def toxic_scores(docs: DataFrame, field: Field, score: str = "score", spans: str
     docs = docs.drop(score, spans)
     held = docs.sparkSession.sparkContext.broadcast(field)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"{score} double, {spans} array<struct<start: int, end: int>>").fields])
-    return docs.mapInArrow(lambda it: _score(it, held, [score, spans]), schema)
+    return docs.mapInArrow(tidy(lambda it: _score(it, held, [score, spans])), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
