@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farsight.sources.shared import cut
+
 #: Bytes of a block's vectors, pairs of a part of a tile, about, and ranges of similarity.
 BLOCK_BYTES, TILE_PAIRS, LEVELS = 64 << 20, 1 << 20, 256
 
@@ -32,7 +34,7 @@ def tag_similarities(pairs: DataFrame, bank: DataFrame, digits: int = 9) -> Data
     n, width = known.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-4 * n * (width or 1) // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    dealt = pairs.withColumns({"__t": block("tag"), "__o": block("other")})
+    dealt = cut(pairs.withColumns({"__t": block("tag"), "__o": block("other")}))  # small without vectors, and read four times
     parts = dealt.groupBy("__t", "__o").agg(F.ceil(F.count("*") / F.lit(TILE_PAIRS)).cast("int").alias("__parts"))  # blocks^2 rows
     dealt = dealt.join(parts, ["__t", "__o"]).withColumn("__p", F.pmod(F.xxhash64("other", F.lit(7)), F.col("__parts")).cast("int")).drop("__parts")
     place = ["__t", "__o", "__p"]
