@@ -104,7 +104,9 @@ class _Group:
         self.num, self.den = num, den
         self.docs: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.of: list[int] = []  # each member's preliminary component
         self.components: set[int] = set()
+        self.met: set[tuple[int, int]] = set()  # components that a visit has linked
         self.members = None
 
     def index(self, members: np.ndarray) -> None:
@@ -145,11 +147,18 @@ class _Group:
         return links
 
     def visit(self, doc: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a guest with members of components that its own isn't linked with yet."""
         if not self.sets or self.components == {component}:
             return []
         if self.members is None:
             self.index(np.arange(len(self.sets)))
-        return [(doc, self.docs[j]) for j in self.linked(s).tolist()]
+        links = []
+        for j in self.linked(s).tolist():
+            pair = component, self.of[j]
+            if pair[0] != pair[1] and pair not in self.met:
+                self.met |= {pair, pair[::-1]}
+                links.append((doc, self.docs[j]))
+        return links
 
 
 def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -170,6 +179,7 @@ def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
             if not guest:
                 group.docs.append(doc)
                 group.sets.append(s)
+                group.of.append(component)
                 group.components.add(component)
             else:
                 visited = True
