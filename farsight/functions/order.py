@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farsight.sources.shared import cut
+
 #: Ids that one task numbers, about, and the most ranges.
 RANGE, RANGES = 100_000, 4096
 
@@ -26,16 +28,16 @@ def range_of(value: Column, bounds: list) -> Column:
 def ordered(nodes: DataFrame, node: str = "node") -> DataFrame:
     """(node, idx): distinct ids that aren't null, numbered from 0 in their order.
 
-    Ids are cut into ranges at bounds from a sample in an order by hash (16 ids a range); other bounds give the same numbers. Counts per range give
-    where each starts."""
+    Many ids are dealt to tasks by range, where they are numbered as they stand sorted, and written once, so that the counts that tell where each range starts are those of the same ranges."""
     ids = nodes.select(F.col(node).alias("node")).filter("node is not null").distinct()
     ranges = min(RANGES, ids.count() // RANGE)
-    bounds = sorted(r["node"] for r in ids.orderBy(F.xxhash64("node")).limit(16 * ranges).collect())[::16][1:] if ranges > 1 else []
-    ids = ids.withColumn("r", range_of(F.col("node"), bounds))
+    if ranges < 2:
+        return ids.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("idx"))
+    at = F.monotonically_increasing_id()  # the task's number, then the row's place in it
+    ids = cut(ids.repartitionByRange(ranges, "node").sortWithinPartitions("node").withColumn("at", at)).select("node", F.shiftright("at", 33).alias("r"), F.col("at").bitwiseAND((1 << 33) - 1).alias("n"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     counts = ids.groupBy("r").count().select("r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("r").orderBy("node"))
-    return ids.withColumn("n", within).join(F.broadcast(counts), "r").select("node", (F.col("before") + F.col("n") - 1).alias("idx"))
+    return ids.join(F.broadcast(counts), "r").select("node", (F.col("before") + F.col("n")).alias("idx"))
 
 
 def placed(df: DataFrame, hash_: str, key: str, group: list[str]) -> DataFrame:
