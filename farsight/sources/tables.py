@@ -119,8 +119,8 @@ def write_json_lines(df: DataFrame, path: str, gzip: bool = False, append: bool
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", error: str = "_error") -> None:
-    """Rows by split, rows with an error apart (K5)."""
-    df.filter(F.col(error).isNull()).write.mode("overwrite").partitionBy(split).json(f"{path}/items")
+    """Rows by split, rows with an error apart (K5). A split's rows are written by one task, so that there are as many files as splits, not as many as splits times tasks."""
+    df.filter(F.col(error).isNull()).repartition(split).write.mode("overwrite").partitionBy(split).json(f"{path}/items")
     df.filter(F.col(error).isNotNull()).write.mode("overwrite").json(f"{path}/failed")
 
 
