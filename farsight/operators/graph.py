@@ -113,11 +113,11 @@ def one_hop(edges: DataFrame) -> DataFrame:
 def unique_nodes(edges: DataFrame) -> DataFrame:
     """(node, label): nodes at depth 1 and 2 of edges(src, dst, label, pos) with their first label: near ones first, then by the place of the first edge, then of the second.
 
-    A node's first place as a target is found before the second step, so that an edge is one row of that step however many lead to it."""
-    first = edges.groupBy(F.col("dst").alias("src")).agg(F.min("pos").alias("first"))
-    deep = edges.join(first, "src").select(F.col("dst").alias("node"), "label", F.lit(2).alias("depth"), F.col("first").cast("long").alias("a"), F.col("pos").cast("long").alias("b"))
-    near = edges.select(F.col("dst").alias("node"), "label", F.lit(1).alias("depth"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    return near.unionByName(deep).groupBy("node").agg(F.min_by("label", F.struct("depth", "a", "b", "label")).alias("label"))
+    Both steps follow the same edges, so a node two steps away is the target of an edge as well, and that near one decides; the second step adds no node and no label. Each node's first
+    place is found for each of its labels, as numbers that add up in a hash table before the shuffle; only then do the few labels of a node meet."""
+    first = edges.groupBy("dst", "label").agg(F.count("pos").alias("n"), F.count("*").alias("all"), F.min("pos").alias("pos"))
+    first = first.withColumn("pos", F.when(F.col("n") == F.col("all"), F.col("pos")))  # a null place comes first
+    return first.groupBy(F.col("dst").alias("node")).agg(F.min_by("label", F.struct("pos", "label")).alias("label"))
 
 
 def normalised_tags(items: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def phrase_places(spark, d):
 def _edges(spark, d):
     """Distinct part -> supplier edges with the first line as their place."""
     e = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return e.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("p")).select("src", "dst", F.col("p.l_orderkey").cast("long").alias("pos"))
+    return e.agg(F.min("l_orderkey").cast("long").alias("pos"))
 
 
 _EDGES = "WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey)::BIGINT AS pos FROM lineitem GROUP BY 1, 2)"
