@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farsight.functions.workers import tidy
+
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BREAK = "[\\x20\\x09-\\x0D]+"
@@ -187,22 +187,6 @@ def sample(docs: DataFrame, n: int, salt: str, *columns: str, max_bytes: int = S
     return bounded(short.select("doc_id", *columns).join(F.broadcast(ids), "doc_id"), n, "h", *columns)
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work, after which its Python worker gives free memory back: workers are many, wait for other tasks, and would keep what their largest one took."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from work(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
-            if trim:
-                trim(0)
-
-    return run
-
-
 def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
     """What fit makes of a bounded sample, which goes to one task; only the model reaches the driver."""
 

@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farsight.functions import text as X
+from farsight.functions.workers import tidy
 
 #: An encoder maker returns a function from texts to rows of float vectors; it runs once per Python worker and task.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -61,16 +63,20 @@ def embed(df: DataFrame, text: str, name: str = "hashing", batch: int = 64) -> D
     """df with `embedding`, a unit vector of floats, of each text; null counts as empty (M1)."""
     make = encoder(name)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in df.columns if c != "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
-        for frame in frames:
-            texts = frame[text].fillna("").tolist()
-            rows = [r for i in range(0, len(texts), batch) for r in encode(texts[i : i + batch])]
-            norms = [float(np.linalg.norm(r)) or 1.0 for r in rows]
-            yield frame.assign(embedding=[(r / n).astype(np.float32) for r, n in zip(rows, norms, strict=True)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):  # only a few rows at a time are Python's
+                part = whole.slice(at, batch)
+                rows = encode([t or "" for t in part.column(text).to_pylist()])
+                unit = [(r / (float(np.linalg.norm(r)) or 1.0)).astype(np.float32) for r in rows]
+                ends = np.cumsum([0, *map(len, unit)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(unit)))], [*names, "embedding"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "embedding")
-    return df.drop("embedding").mapInPandas(run, schema + ", embedding array<float>")
+    return df.drop("embedding").mapInArrow(tidy(run), schema + ", embedding array<float>")
 
 
 def extend_bank(bank: DataFrame, texts: DataFrame, name: str = "hashing", on_dim_change: str = "fail") -> DataFrame:
@@ -125,7 +131,8 @@ def answered(requests: DataFrame, bank: DataFrame) -> DataFrame:
     return found.withColumn("embedding", F.coalesce("__v", lost)).select(*requests.columns, "embedding")
 
 
-_WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
+_WORD = "[^\\x20\\x09-\\x0D]"
+_WORDS = re.compile(_WORD + "+")
 
 
 class TokenOffsets:
@@ -145,11 +152,18 @@ def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, start, end, token): words with their offsets, from lengths alone."""
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
     rows = docs.select("doc_id", F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), X.strip(p).alias("token"))).alias("p"))
-    starts = F.aggregate(F.col("p"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
+    # running sums by chunks: a list that grew word by word would be copied as often as the text has words
+    sums = lambda values, start: F.aggregate(values, F.array(start), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    chunk = lambda c: F.slice(F.col("n"), c * CHUNK + 1, F.lit(CHUNK))
+    rows = rows.select("doc_id", "p", F.transform("p", lambda x: x["n"]).alias("n")).withColumn("c", F.sequence(F.lit(0), F.floor((F.size("n") - 1) / CHUNK).cast("int")))
+    rows = rows.withColumn("h", sums(F.transform("c", lambda c: F.aggregate(chunk(c), F.lit(0), lambda s, n: s + n)), F.lit(0)))
+    starts = F.flatten(F.transform("c", lambda c: F.slice(sums(chunk(c), F.get(F.col("h"), c)), F.lit(1), F.size(chunk(c)))))
     rows = rows.withColumn("s", starts).select("doc_id", F.posexplode(F.arrays_zip("p", "s")).alias("idx", "x")).filter("x.p is not null and x.p.token <> ''")
     return rows.select("doc_id", "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.p.token")).alias("end"), F.col("x.p.token").alias("token"))
 
 
+#: Words whose offsets are summed up together.
+CHUNK = 256
 #: Characters of a bucket of offsets.
 BUCKET = 64
 
@@ -181,17 +195,17 @@ def span_tokens(docs: DataFrame, phrase: str = "phrase", nth: int = 1) -> DataFr
 def span_windows(docs: DataFrame, phrase: str = "phrase", nth: int = 1, limit: int = 512, context: int = 0) -> DataFrame:
     """(doc_id, first, last, start, tokens): tokens of a window around a phrase, numbered from `start` in the text; first to last (exclusive) of the text's are the phrase's.
 
-    The window has `limit` tokens at most, or the phrase's and `context` on each side, moved to lie within the text; only its tokens are gathered. A window shorter than the phrase holds the phrase's first tokens."""
-    spans = phrase_spans(docs, phrase, nth)
-    every = tokens(docs.join(spans.select("doc_id"), "doc_id", "left_semi"))
-    # tokens are numbered without gaps in their order: those without letters of their own have none
-    every = every.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
-    sizes = every.groupBy("doc_id").agg(F.count("*").cast("int").alias("size"))
-    hit = overlapping(every, spans).groupBy("doc_id").agg(F.min("n").alias("first"), (F.max("n") + 1).alias("last"))
+    The window has `limit` tokens at most, or the phrase's and `context` on each side, moved to lie within the text; only its tokens are kept. A window shorter than the phrase holds the phrase's first tokens."""
+    words = lambda text: F.regexp_count(text, F.lit(_WORD + "+"))
+    # tokens that end by c0 are those of the text before it, but one that goes on there; those that start before c1 are those of the text before that: no text is taken apart into rows
+    has = docs.filter(F.col("doc_id").isNotNull() & (F.length(phrase) > 0) & F.contains(F.lower("text"), F.lower(phrase)))
+    spans = has.select("doc_id", "text", F.length(phrase).alias("width"), X.occurrence(F.col("text"), F.col(phrase), nth).alias("c0"))
+    goes_on = (F.col("c0") > 0) & F.substr("text", F.col("c0"), F.lit(2)).rlike(f"^{_WORD}{{2}}")
+    sizes = spans.select("doc_id", "text", (words(F.left("text", F.col("c0"))) - goes_on.cast("int")).alias("first"), words(F.left("text", F.col("c0") + F.col("width"))).alias("last"), words("text").alias("size"))
     start, end = X.token_window(F.col("first"), F.col("last"), F.col("size"), limit, context)
-    windows = hit.join(sizes, "doc_id").select("doc_id", "first", "last", start.alias("w0"), end.alias("w1"))
-    inside = every.join(windows, "doc_id").filter("n >= w0 and n < w1")
-    return inside.groupBy("doc_id", "first", "last", F.col("w0").alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    windows = sizes.filter("first < last").select("doc_id", "text", "first", "last", start.alias("start"), end.alias("end"))
+    every = F.regexp_extract_all("text", F.lit(_WORD + "+"), F.lit(0))
+    return windows.select("doc_id", "first", "last", "start", F.slice(every, F.col("start") + 1, F.col("end") - F.col("start")).alias("tokens"))
 
 
 #: A maker of a function from windows of tokens to a row of floats for each token of each; it sees the whole window.
