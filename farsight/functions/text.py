@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,14 +45,20 @@ def strip(text: Column | str) -> Column:
     return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(_BLANK_CHARACTERS))
 
 
-def _canonical(labels: pd.Series) -> pd.Series:
-    return labels.map(lambda x: unicodedata.normalize("NFKC", x).casefold().strip(), na_action="ignore")
+#: Labels that a task normalises together.
+LABELS = 256
+
+
+def _canonical(labels: pa.Array) -> pa.Array:
+    one = lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold().strip()
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([one(x.as_py()) for x in labels.slice(i, LABELS)], pa.string()) for i in range(0, len(labels), LABELS))])
 
 
 def canonical_label(label: Column) -> Column:
-    """Compatibility-normalised, case-folded and trimmed label, '' for null; ASCII labels stay in the JVM."""
+    """Compatibility-normalised, case-folded and trimmed label, '' for null; ASCII labels stay in the JVM: the workers get null for them."""
     text = F.coalesce(label.cast("string"), F.lit(""))
-    return F.when(text.rlike("^[\\x00-\\x7F]*$"), F.lower(strip(text))).otherwise(F.pandas_udf(_canonical, T.StringType())(text))
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, F.lower(strip(text))).otherwise(F.arrow_udf(_canonical, T.StringType())(F.when(~plain, text)))
 
 
 def iri_tail(iri: Column) -> Column:
