@@ -6,15 +6,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farsight.functions.workers import tidy
 from farsight.sources.shared import cut
 
 #: Bytes of a block's vectors, pairs of a part of a tile, about, and ranges of similarity.
-BLOCK_BYTES, TILE_PAIRS, LEVELS = 64 << 20, 1 << 20, 256
+BLOCK_BYTES, TILE_PAIRS, LEVELS = 16 << 20, 1 << 20, 256
 
 
 def capped(neutrals: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -45,15 +47,45 @@ def tag_similarities(pairs: DataFrame, bank: DataFrame, digits: int = 9) -> Data
     rows = rows.select(*place, "__k", "tag", "other", "__x", "v").unionByName(vectors, allowMissingColumns=True)
     rows = rows.repartition(*place).sortWithinPartitions(*place, "__k")
     out = T.StructType([rows.schema["tag"], rows.schema["other"], rows.schema["__x"], T.StructField("sim", T.DoubleType())])
-    sims = rows.mapInArrow(lambda it: _tiles(it, digits), out)
+    sims = rows.mapInArrow(tidy(lambda it: _tiles(it, digits)), out)
     return sims.select(*(F.col(f"__x.{c}") if c in extra else c for c in pairs.columns), "sim")
 
 
+class _Side:
+    """Ids of one side of a tile and their vectors, as they came: 32 bits an entry, and an index of ids without an object for each where they are numbers."""
+
+    def __init__(self, ids: list[np.ndarray], vectors: list[np.ndarray]):
+        self.index = pd.Index(np.concatenate(ids) if ids else [])
+        self.vectors = np.concatenate(vectors) if vectors else np.zeros((0, 0), np.float32)
+        last = ~self.index.duplicated("last")
+        if not last.all():
+            self.index, self.vectors = self.index[last], self.vectors[last]
+
+    @staticmethod
+    def values(ids: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(ids.type):
+            return ids.fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.empty(len(ids), object)
+        out[:] = ids.to_pylist()
+        return out
+
+    def places(self, ids: pa.Array) -> np.ndarray:
+        """The number of each id's vector, -1 if there is none."""
+        if not len(self.index):
+            return np.full(len(ids), -1)
+        at = self.index.get_indexer(pd.Index(self.values(ids)))
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, at)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self.vectors[at].astype(np.float64)
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile: vectors of tags, vectors of others, then pairs."""
-    now, held = None, ({}, {})  # by side: the numbers of ids
+    now = None
+    ids: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # by side
     vectors: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    sides: list[np.ndarray] = []
+    sides: list[_Side] = []
     for batch in batches:
         place = np.stack([batch.column(c).to_numpy() for c in ("__t", "__o", "__p", "__k")], 1)
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
@@ -62,23 +94,23 @@ def _tiles(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.Record
                 continue
             *tile, kind = place[a].tolist()
             if tile != now:
-                now, held, vectors, sides = tile, ({}, {}), ([], []), []
+                now, ids, vectors, sides = tile, ([], []), ([], []), []
             part = batch.slice(a, b - a)
             if kind < 2:
-                ids, v = part.column("tag").to_pylist(), part.column("v")
-                held[kind].update(zip(ids, range(len(held[kind]), len(held[kind]) + len(ids)), strict=True))
-                vectors[kind].append(v.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
+                ids[kind].append(_Side.values(part.column("tag")).copy())
+                vectors[kind].append(part.column("v").flatten().to_numpy().reshape(b - a, -1).copy())
                 continue
             if not sides:
-                sides = [np.concatenate(v) if v else np.zeros((0, 0)) for v in vectors]
-            at = [np.array([ids.get(i, -1) for i in part.column(c).to_pylist()]) for c, ids in zip(("tag", "other"), held, strict=True)]
+                sides = [_Side(*side) for side in zip(ids, vectors, strict=True)]
+                ids, vectors = ([], []), ([], [])
+            at = [side.places(part.column(c)) for c, side in zip(("tag", "other"), sides, strict=True)]
             good = np.flatnonzero((at[0] >= 0) & (at[1] >= 0))
             one, two = at[0][good], at[1][good]
             tags, code = np.unique(one, return_inverse=True)
-            if len(good) * 4 >= len(tags) * len(sides[1]) > 0:  # most entries of the product are wanted
-                sim = (sides[0][tags] @ sides[1].T)[code, two]
+            if len(good) * 4 >= len(tags) * len(sides[1].vectors) > 0:  # most entries of the product are wanted
+                sim = (sides[0].rows(tags) @ sides[1].vectors.astype(np.float64).T)[code, two]
             else:
-                sim = np.einsum("ij,ij->i", sides[0][one], sides[1][two]) if len(good) else np.zeros(0)
+                sim = np.einsum("ij,ij->i", sides[0].rows(one), sides[1].rows(two)) if len(good) else np.zeros(0)
             kept = part.take(pa.array(good))
             yield pa.RecordBatch.from_arrays([kept.column("tag"), kept.column("other"), kept.column("__x"), pa.array(np.round(sim, digits) + 0.0)], ["tag", "other", "__x", "sim"])
 
@@ -103,7 +135,8 @@ def ranks(edges: DataFrame, neutrals: DataFrame, bank: DataFrame, orders: list[i
 
 
 def sweep(edges: DataFrame, neutrals: DataFrame, banks: dict[str, DataFrame], orders: list[int]) -> DataFrame:
-    """ranks for every retriever's bank and every order, with `retriever` (W4). Each retriever's similarities are computed once for all orders."""
+    """ranks for every retriever's bank and every order, with `retriever` (W4). Each retriever's similarities are computed once for all orders; edges and neutrals are written once and serve all retrievers."""
+    edges, neutrals = cut(edges), cut(neutrals.filter(F.col("pos") < max(orders)))
     found = [ranks(edges, neutrals, bank, orders).select(F.lit(name).alias("retriever"), "*") for name, bank in banks.items()]
     return reduce(DataFrame.unionByName, found)
 
