@@ -4,8 +4,8 @@ A pre-token here is a word with the space or line break before it, as far as no
 before a single space that a word follows, and around a single line break. Other shapes (runs of white space, special strings) are joined with
 their neighbours into one longer pre-token. Documents are worked on in blocks of bounded size. A block gives a row for each of its distinct
 pre-tokens, and for each document a row with the frequencies of its pre-tokens, by their numbers in the block. Pre-tokens are
-dealt and sorted, each is counted once, and its number of pieces goes back to the blocks that have it, where they are joined to
-the documents' frequencies and summed. No ids are kept.
+dealt and sorted, each is counted once, and its number of pieces goes back to the blocks that have it, in one row with others of the
+block, where they are joined to the documents' frequencies and summed. No ids are kept.
 
 Pre-tokens that are common in a sample of documents are counted beforehand and broadcast, a table of bounded size:
 blocks sum theirs at once, and only the others are dealt. The sample decides which way a pre-token goes, not the result."""
@@ -28,6 +28,8 @@ from farsight.llm.common import documents, numbered, sample, texts, tidy, words_
 BLOCK_DOCS, BLOCK_BYTES = 20_000, 12 << 20
 #: Common pre-tokens that are broadcast at most, their bytes at most, and the documents that they are sought in.
 COMMON, COMMON_BYTES, COMMON_DOCS = 60_000, 64, 3_000
+#: Rows of pre-tokens whose numbers of pieces go back together, by block.
+GATHERED = 1 << 20
 #: Marks that are tokenized apart from a letter before them.
 MARKS = ".,;:!?|#*$%&"
 #: Bytes that part the words of plain texts, and what goes before a word that begins a text or follows one of them.
@@ -228,17 +230,45 @@ def _in_documents(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(np.bincount(code, minlength=len(parts)))], ["part", "df"])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, the low bytes of all before the higher ones, which are mostly zero and compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _by_block(block: np.ndarray, code: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
+    """A row for each block: the differences of its pre-tokens' numbers, in order, then their pieces."""
+    order = np.lexsort((code, block))
+    block, code, pieces = block[order], code[order], pieces[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    steps = np.diff(code, prepend=0)
+    steps[cuts] = code[cuts]
+    ends = np.append(cuts[1:], len(block))
+    packed = [_packed(np.concatenate((steps[a:b], pieces[a:b]))) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(packed, pa.binary())], ["block", "pieces"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(block, code, pieces): rows come sorted by pre-token, each is counted once for all blocks that have it."""
+    """(block, pieces): rows come sorted by pre-token, each is counted once for all blocks that have it; what GATHERED rows say to a block is one row."""
     t, _ = tokenizer(path)
     last, pieces = None, 0
+    held, rows = [], 0
     for batch in batches:
         part = batch.column("part").dictionary_encode()
         parts, at = part.dictionary.to_pylist(), part.indices.to_numpy()
         known = parts[:1] == [last]
         n = np.array([pieces] * known + _pieces(t, parts[known:]), np.int32)
         last, pieces = (parts[-1], int(n[-1])) if parts else (last, pieces)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(n[at])], ["block", "code", "pieces"])
+        held.append((np.array(batch.column("block")), np.array(batch.column("code")), n[at]))  # copies, as the batch's texts would stay too
+        rows += len(at)
+        if rows >= GATHERED:
+            yield _by_block(*map(np.concatenate, zip(*held, strict=True)))
+            held, rows = [], 0
+    if rows:
+        yield _by_block(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +284,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block[a] != now:
                 now, pieces = block[a], np.zeros(0, np.int64)
             part = batch.slice(a, b - a)
-            first = int(part.column("code").null_count != len(part)) and len(part) - part.column("code").null_count
+            first = len(part) - part.column("pieces").null_count
             if first:
-                code = part.column("code").slice(0, first).to_numpy()
+                found = [_unpacked(x.as_buffer()).reshape(2, -1) for x in part.column("pieces").slice(0, first)]
+                code, many = np.concatenate([np.cumsum(x) for x, _ in found]), np.concatenate([x for _, x in found])
                 more = int(code.max()) + 1 - len(pieces)
                 pieces = np.append(pieces, np.zeros(max(0, more), np.int64))
-                pieces[code] = part.column("pieces").slice(0, first).to_numpy()
+                pieces[code] = many
                 part = part.slice(first)
             if len(part):
                 freq = part.column("freq")
@@ -287,9 +318,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     # a table: both branches below read it, and a block keeps its number whatever is lost
     blocks = written(docs.mapInArrow(tidy(lambda it: _frequencies(it, path, held.value)), SCHEMA))
     parts = blocks.filter("part is not null").select("part", "block", "code").repartition("part").sortWithinPartitions("part")
-    pieces = parts.mapInArrow(tidy(lambda it: _counted(it, path)), "block long, code int, pieces int")
+    pieces = parts.mapInArrow(tidy(lambda it: _counted(it, path)), "block long, pieces binary")
     rows = pieces.unionByName(blocks.filter("part is null").select("block", "doc_id", "n_bytes", "known", "freq"), allowMissingColumns=True)
-    rows = rows.repartition("block").sortWithinPartitions(F.expr("2 * block + if(code is null, 1, 0)"))  # by one number: Spark sorts these without comparing rows
+    rows = rows.repartition("block").sortWithinPartitions(F.expr("2 * block + if(pieces is null, 1, 0)"))  # by one number: Spark sorts these without comparing rows
     sums = rows.mapInArrow(tidy(_summed), "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 

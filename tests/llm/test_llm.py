@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -584,3 +585,19 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DATA).toPandas()
     assert tables() == before and len([x for x in os.listdir(f"{folder}/pipeline")]) == 1  # only the last stage's rows are left
     assert len(rows) and rows.length.max() <= 2048 and set(rows.columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_pieces_go_back_in_a_row_for_each_block(monkeypatch):
+    words = [f" word{i}" for i in range(300)]
+    rows = [(b, w, 3 * i + b) for i, w in enumerate(words) for b in (5, 7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[lo : lo + 70]], t) for j, t in ((0, pa.int64()), (1, pa.string()), (2, pa.int32()))], ["block", "part", "code"]) for lo in range(0, 600, 70)]
+    want = {(b, c): len(token_counts.tokenizer(PATH)[0].encode(w, add_special_tokens=False).ids) for b, w, c in rows}
+    for gathered, least in ((token_counts.GATHERED, 2), (140, 2 * 5)):
+        monkeypatch.setattr(token_counts, "GATHERED", gathered)
+        found = [r for out in token_counts._counted(iter(batches), PATH) for r in out.to_pylist()]
+        assert len(found) == least
+        got = {}
+        for r in found:
+            steps, pieces = token_counts._unpacked(r["pieces"]).reshape(2, -1)
+            got |= {(r["block"], int(c)): int(n) for c, n in zip(steps.cumsum(), pieces, strict=True)}
+        assert got == want
