@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored as texts without words, repeated rows and such with null ids each alike; an empty table stays empty. Columns of any name stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.train(docs.filter(crc32_mod("doc_id", 5) != 0), labels)
-    return toxicity.toxic_scores(docs, field, "__toxicity", "__spans").filter("__toxicity < 0.5").select(*docs.columns)
+    return docs.filter(toxicity.toxic_score("text", field) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ BLOCK_WORDS, BLOCKS = 1024, 1 << 29
 SHARDS, SHARD_WORDS = 16, 1 << 26
 #: Documents of a source's hash prefix, about.
 PART = 1 << 16
+#: What is known of a source before its documents are placed.
+PLAN = pa.schema([
+    ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("blocks", pa.int64()), ("salt", pa.string()),
+    ("turns", pa.list_(pa.list_(pa.int64()))), ("quota", pa.int64()), ("cut", pa.int64()), ("bounds", pa.list_(pa.int64())),
+])
 #: Rounds in which the permutation of blocks swaps pairs.
 ROUNDS = 4
 
@@ -147,10 +153,8 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int | None
         drawn.append(q)
         rows.append([r["source"], s, t, n, salt, turns, q, cut])
     bounds = np.concatenate((np.zeros((1, len(rows)), np.int64), np.cumsum(split_quotas(drawn, shards, seed), axis=0)))
-    plan = spark.createDataFrame(
-        [(*row, bounds[:, i].tolist()) for i, row in enumerate(rows)],
-        "source string, source_size long, target double, blocks long, salt string, turns array<array<long>>, quota long, cut long, bounds array<long>",
-    )
+    columns = [*zip(*((*row, bounds[:, i].tolist()) for i, row in enumerate(rows)), strict=True)] or [[]] * len(PLAN)
+    plan = spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, PLAN, strict=True)], PLAN))  # rows of Python would start workers, which stay
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "part").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,7 +21,9 @@ from farsight.llm.common import documents, gathered, runs, texts, tidy, written
 from farsight.llm.token_counts import plain, plain_words, tokenizer
 
 #: Distinct words whose token ids a task keeps for its next texts, and bytes of texts that are tokenized together, about.
-MEMO, RUN = 500_000, 2 << 20
+MEMO, RUN = 200_000, 1 << 20
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1000
 #: Classes of lengths in the linear program, and its rounds.
 CLASSES, ROUNDS, STEP = 128, 1500, 0.1
 #: Pieces numbered by one task at most, about.
@@ -121,7 +123,7 @@ def _sizes(path: str) -> np.ndarray:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     tail, encoder = np.array([end], "<u4"), _Ids(path)
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    for batch in batches:
+    for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
         rows: tuple[list, ...] = ([], [], [], [], [])
         raw, docs = texts(batch), batch.column("doc_id").to_pylist()
         for lo, hi in runs([len(t) for t in raw], RUN):

@@ -96,7 +96,9 @@ class PlainWords:
 
 def stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words that end in marks after a letter, and where the marks of each begin."""
-    solid = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
+    solid = np.arange(len(data), dtype=np.int32)
+    solid[_MARK[data]] = -1
+    np.maximum.accumulate(solid, out=solid)
     stem = np.maximum(solid[ends - 1] + 1, starts)
     one, two = data[stem - 1], data[stem - 2]
     letter = _LETTER[one] | ((stem - 2 >= starts) & (one >= 0x80) & (two >= 0xC3) & (two <= 0xC8) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))

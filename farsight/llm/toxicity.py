@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from farsight.llm.common import SAMPLE_BYTES, bounded, crc32_mod, documents, fit
 MAX_DOCS = 4000
 #: Bytes of texts whose marginals are worked out together in fitting and scoring.
 RUN = 1 << 20
+#: Rows of a batch whose texts are Python objects at a time, where only scores are wanted.
+ROWS = 1000
 CHAIN = 64
 BUCKETS = 1 << 18
 MEMO = 200_000
@@ -223,14 +225,18 @@ def _scored(raw: list[bytes], field: Field, memo: dict[int, float]) -> Iterator[
         yield odds / (1 + odds), words.sizes
 
 
+def _likelihoods(marginal: np.ndarray, sizes: np.ndarray, field: Field) -> np.ndarray:
+    z = document_features(marginal, sizes) @ field.document
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _score(batches: Iterator[pa.RecordBatch], held, names: list[str]) -> Iterator[pa.RecordBatch]:
     field, memo = held.value, {}
     for batch in batches:
         raw = texts(batch)
         scores, spans, at = [], [], 0
         for marginal, sizes in _scored(raw, field, memo):
-            z = document_features(marginal, sizes) @ field.document
-            scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            scores.append(_likelihoods(marginal, sizes, field))
             ends = np.cumsum(sizes)
             for hit, size, end in zip(np.split(marginal > 0.5, ends[:-1]) if len(sizes) else [], sizes, ends, strict=True):
                 spans.append(_spans(raw[at], np.flatnonzero(hit)) if hit.any() else [])
@@ -290,6 +296,25 @@ def toxic_scores(docs: DataFrame, field: Field, score: str = "score", spans: str
     return docs.mapInArrow(tidy(lambda it: _score(it, held, [score, spans])), schema)
 
 
+def toxic_score(text: str, field: Field) -> Column:
+    """The score of toxic_scores for a column of texts: only texts go to the workers, and only scores come back."""
+    held = SparkSession.active().sparkContext.broadcast(field)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo: dict[int, float] = {}
+        for column in columns:
+            found = [np.zeros(0)]
+            for lo in range(0, len(column), ROWS):
+                raw = [t or b"" for t in column.slice(lo, ROWS).cast(pa.binary()).to_pylist()]
+                found += [_likelihoods(*x, held.value) for x in _scored(raw, held.value, memo)]
+            yield pa.array(np.concatenate(found))
+
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(columns)
+
+    return F.arrow_udf(score, "double")(F.col(text))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = train(docs.filter(crc32_mod("doc_id", 5) != 0), labels)

@@ -601,3 +601,20 @@ def test_pieces_go_back_in_a_row_for_each_block(monkeypatch):
             steps, pieces = token_counts._unpacked(r["pieces"]).reshape(2, -1)
             got |= {(r["block"], int(c)): int(n) for c, n in zip(steps.cumsum(), pieces, strict=True)}
         assert got == want
+
+
+def test_stages_leave_little_in_the_workers(spark, monkeypatch):
+    rows = [(1, "a vile b vile", "x"), (2, "a b", None), (None, None, "x"), (1, "a vile b vile", "x"), (3, "", "y")]
+    docs = spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "text", "source"]))
+    field = toxicity.fit([(b"a vile b", 1), (b"a b c", 0)] * 20)
+    monkeypatch.setattr(toxicity, "ROWS", 2)
+    want = toxicity.toxic_scores(docs, field).filter("score < 0.5").select(*docs.columns)
+    got = docs.filter(toxicity.toxic_score("text", field) < 0.5)
+    assert Counter(got.collect()) == Counter(want.collect()) and 0 < got.count() < 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan  # rows stay in the JVM
+    assert "PythonRDD" not in mixing.mixture(docs)._jdf.queryExecution().toRdd().toDebugString()
+    monkeypatch.setattr(packing, "ROWS", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a b", None, "c", "", "d e"])], ["doc_id", "text"])
+    parts = list(packing._pieces(iter([batch]), PATH, 256, 0))
+    assert [p.column("doc_id").to_pylist() for p in parts] == [[1, 2], [3, 4], [5]]
