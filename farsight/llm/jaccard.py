@@ -218,9 +218,10 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     common(token, n) sets the order of tokens; any content gives the same result."""
     held = _levels(docs, common)
     leading = written(docs.mapInArrow(tidy(lambda it: _prefixes(it, k, num, den, held)), "token long, doc_id long, others array<long>"))
-    met = leading.groupBy("token").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(F.size("others") + 1)).alias("docs")).filter("docs > 1").select("token")
+    dealt = leading.repartition("token")  # one exchange for the sums and the join
+    met = dealt.groupBy("token").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(F.size("others") + 1)).alias("docs")).filter("docs > 1").select("token")
     every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
-    met = written(leading.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
+    met = written(dealt.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
     shared = met.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     leads = written(met.join(shared, "token"))
 
