@@ -157,6 +157,23 @@ def lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values, mask=pa.array(sizes == 0))
 
 
+#: Bits of the table that tells which ids may be among others, whatever their number: 2**18 rows of 64 bits at most are broadcast.
+ID_BITS = 1 << 24
+
+
+def parted(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, ...) whose id may be among ids(doc_id), and those whose id isn't.
+
+    A table of hashed ids tells them apart where they are read, so that the others need no shuffle to be told. Where ids are
+    many for it, more rows than needed are in the first part; an exact join must follow there."""
+    slot = F.expr(f"xxhash64(cast(doc_id as bigint)) & {ID_BITS - 1}L")
+    marks = ids.select(slot.alias("__slot")).select(F.expr("__slot >> 6").alias("__word"), F.expr("shiftleft(1L, int(__slot & 63))").alias("__bit"))
+    marks = F.broadcast(written(marks.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))))
+    told = rows.withColumn("__slot", slot).withColumn("__word", F.expr("__slot >> 6")).join(marks, "__word", "left")
+    may = F.expr("coalesce(__bits, 0L) & shiftleft(1L, int(__slot & 63))") != 0
+    return tuple(told.filter(x).drop("__slot", "__word", "__bits") for x in (may, ~may))
+
+
 def crc32_mod(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k: the fixed folds of the held-out rows."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k

@@ -4,6 +4,10 @@ Equal shingle sets are collapsed, within a batch before their tokens are dealt a
 gives the leading part of its tokens in one global order (common tokens last): two sets whose Jaccard index reaches the threshold share
 SHARED tokens of these parts, or all that they must share. Similar sets are dealt into groups of bounded size by the token that they share with most others.
 
+A set has a sketch, the parity of how many of its tokens fall into each of about as many slots. Sketches of two sets differ in
+no more slots than the sets in tokens, which bounds the Jaccard index from above. Wherever texts would meet, their
+sketches meet first, and only texts with a partner that the bound allows are sent there.
+
 First each group is opened for its own members: what links them makes preliminary components. Parts of one crowd
 have a few members in common, so that thousands of near copies are one component after this round.
 Then the matrix holds (token, group) for the union of each group's leading tokens, without tokens that only one component has, and with the
@@ -18,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, grams, lists, merged, runs, shared_folder, signed, texts, tidy, words_of, written
+from farsight.llm.common import documents, grams, lists, merged, parted, runs, shared_folder, signed, texts, tidy, words_of, written
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
@@ -32,6 +36,8 @@ LOCAL_COMMON, COMMON = 2, 3
 SHARED = 3
 #: Members and tokens that a group has on average at most; larger groups are dealt into several.
 GROUP, GROUP_TOKENS = 256, 1 << 18
+#: Slots of a sketch at least and at most; a larger set's sketch bounds less, which costs texts, not links.
+LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
 #: Groups whose members visit an opened group together.
 VISITORS = 16
 
@@ -80,21 +86,101 @@ def _leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, levels) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id, others): a batch's documents by leading token; of equal sets the one with the smallest id."""
+    """(token, doc_id, others): a batch's documents by leading token; of equal sets the one with the smallest id. Rows without a token have its n and sketch."""
+    names = ["token", "doc_id", "others", "n", "sketch"]
     table = np.frombuffer(levels.value, np.uint8)
     for batch in batches:
-        firsts: dict[bytes, tuple[int, np.ndarray]] = {}
+        firsts: dict[bytes, tuple[int, np.ndarray, int, bytes]] = {}
         for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch), k), strict=True):
             digest = xxhash.xxh3_128_digest(s.tobytes())
             known = firsts.get(digest)
             if known is None:
-                firsts[digest] = doc, _leading(s, table, num, den)
+                firsts[digest] = doc, _leading(s, table, num, den), len(s), sketch(s)
             elif doc < known[0]:
-                firsts[digest] = doc, known[1]
-        ids = [np.full(len(lead), doc, np.int64) for doc, lead in firsts.values()]
-        token, doc_id = np.concatenate([np.zeros(0, np.uint64), *(lead for _, lead in firsts.values())]), np.concatenate([np.zeros(0, np.int64), *ids])
+                firsts[digest] = doc, *known[1:]
+        none = pa.nulls(len(firsts), pa.int64())
+        own = [pa.array([x[i] for x in firsts.values()], t) for i, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.binary()))]
+        yield pa.RecordBatch.from_arrays([none, own[0], pa.nulls(len(firsts), pa.list_(pa.int64())), *own[1:]], names)
+        ids = [np.full(len(lead), doc, np.int64) for doc, lead, *_ in firsts.values()]
+        token, doc_id = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in firsts.values())]), np.concatenate([np.zeros(0, np.int64), *ids])
         (token,), (doc_id,), more, (others,) = merged([token], [doc_id])
-        yield pa.RecordBatch.from_arrays([signed(token), pa.array(doc_id), lists(more, pa.array(others))], ["token", "doc_id", "others"])
+        none = pa.nulls(len(token), pa.int64())
+        yield pa.RecordBatch.from_arrays([signed(token), pa.array(doc_id), lists(more, pa.array(others)), none, pa.nulls(len(token), pa.binary())], names)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each slot: the power of two from len(s) on, within LEAST_BITS and MOST_BITS."""
+    slots = min(max(1 << max(len(s) - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+    return np.packbits(np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as of sketches with fewer slots."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+class _Sketches:
+    """Sketches of a group's members, by width."""
+
+    def __init__(self, sizes: list[int], sketches: list[bytes], num: int, den: int):
+        self.num, self.den = num, den
+        widths = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.by = []
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            rows = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), width)
+            self.by.append((at, np.array([sizes[i] for i in at.tolist()], np.int64), rows))
+
+    def near(self, size: int, own: bytes) -> np.ndarray:
+        """Members that a set of this size and sketch may link with."""
+        row, found = np.frombuffer(own, np.uint64)[None, :], []
+        for at, sizes, rows in self.by:
+            apart = np.abs(sizes - size) * (self.den + self.num) <= (sizes + size) * (self.den - self.num)
+            at, sizes, rows = at[apart], sizes[apart], rows[apart]
+            if len(at):
+                width = min(rows.shape[1], row.shape[1])
+                differ = np.bitwise_count(_folded(rows, width) ^ _folded(row, width)).sum(1, dtype=np.int64)
+                found.append(at[differ * (self.den + self.num) <= (sizes + size) * (self.den - self.num)])
+        return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch], num: int, den: int, among: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group, members before guests, those with a partner that sketches allow: members among themselves, or guests and members of other components."""
+    names = ["g", "c", "part", "guest", "doc_id", "component"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    key, last, members, found, hopes, kept = None, None, [], None, set(), []
+
+    def close() -> None:
+        if among and len(members) > 1:
+            found = _Sketches([m[-2] for m in members], [m[-1] for m in members], num, den)
+            hopes.update(i for i, m in enumerate(members) if len(found.near(m[-2], m[-1])) > 1)
+        kept.extend((*key, False, *members[i][:2]) for i in sorted(hopes))
+
+    for batch in batches:
+        for *place, guest, doc, component, size, own in zip(*(batch.column(n).to_pylist() for n in [*names, "n", "sketch"]), strict=True):
+            if place != key:
+                if key is not None:
+                    close()
+                key, last, members, found, hopes = place, None, [], None, set()
+            if (guest, doc) == last:  # a row that repeats an id
+                continue
+            last = guest, doc
+            if not guest:
+                members.append((doc, component, size, own))
+                continue
+            found = found or _Sketches([m[-2] for m in members], [m[-1] for m in members], num, den)
+            partners = [i for i in found.near(size, own).tolist() if members[i][1] != component]
+            if partners:
+                hopes.update(partners)
+                kept.append((*place, True, doc, component))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate(types)], names)
+        kept.clear()
+    if key is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate(types)], names)
 
 
 class _Group:
@@ -190,11 +276,9 @@ def _open(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
 
 
 def _opened(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): the links that open groups give; rows(doc_id, g, c, part, guest, component) say who comes where.
-
-    The places are written first: Spark then knows their size, and texts without a place don't enter the shuffle while it is under its broadcast threshold."""
+    """(a, b): the links that open groups give; rows(doc_id, g, c, part, guest, component) say who comes where. Texts without a place don't enter a shuffle."""
     places = written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "part", "guest", "component")).alias("places")))
-    shipped = docs.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("x")).select("x.*", "doc_id", "text")
+    shipped = parted(docs, places)[0].join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("x")).select("x.*", "doc_id", "text")
     return shipped.repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id").mapInArrow(tidy(lambda it: _open(it, k, num, den)), "a long, b long")
 
 
@@ -217,11 +301,13 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
 
     common(token, n) sets the order of tokens; any content gives the same result."""
     held = _levels(docs, common)
-    leading = written(docs.mapInArrow(tidy(lambda it: _prefixes(it, k, num, den, held)), "token long, doc_id long, others array<long>"))
-    dealt = leading.repartition("token")  # one exchange for the sums and the join
-    met = dealt.groupBy("token").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(F.size("others") + 1)).alias("docs")).filter("docs > 1").select("token")
+    leading = written(docs.mapInArrow(tidy(lambda it: _prefixes(it, k, num, den, held)), "token long, doc_id long, others array<long>, n long, sketch binary"))
+    sketches = leading.filter("token is null").select("doc_id", "n", "sketch")
+    leading = leading.filter("token is not null").select("token", "doc_id", "others")
+    rows = F.lit(1) + F.coalesce(F.size("others"), F.lit(0))
+    met = leading.withColumn("docs", F.sum(rows).over(Window.partitionBy("token"))).filter("docs > 1")  # one exchange for the sums and their rows
     every = F.array_append(F.coalesce("others", F.array().cast("array<long>")), F.col("doc_id"))
-    met = written(dealt.join(met, "token").select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
+    met = written(met.select("token", F.explode(every).alias("doc_id")).join(sets, "doc_id"))
     shared = met.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     leads = written(met.join(shared, "token"))
 
@@ -229,14 +315,19 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     home = leads.groupBy("doc_id").agg(F.max_by("token", F.struct("df", "token")).alias("g"), F.first("n").alias("n"), F.count("*").alias("tokens")).filter(F.col("tokens") >= needed(F.col("n")))
     parts = F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_TOKENS))).cast("int")
     some = F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"), F.min_by("doc_id", F.xxhash64("doc_id"))))
-    crowds = home.groupBy("g").agg(parts.alias("parts"), some.alias("some"))
-    home = written(home.join(crowds.select("g", "parts"), "g").select("doc_id", "n", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("c")))
+    crowds = home.groupBy("g").agg(parts.alias("parts"), some.alias("some"), F.count("*").alias("members"))
+    home = written(home.join(crowds.select("g", "parts", "members"), "g").select("doc_id", "n", "g", "members", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("c")))
     everywhere = crowds.filter("parts > 1").select("g", F.explode("some").alias("doc_id"), F.expr("sequence(0, parts - 1)").alias("c")).withColumn("c", F.explode("c"))
     place = [F.lit(0).alias("part"), F.lit(False).alias("guest"), F.lit(0).cast("long").alias("component")]
-    first = home.select("doc_id", "g", "c").union(everywhere.select("doc_id", "g", "c")).distinct().select("*", *place)
-    found = written(components(_opened(docs, first, k, num, den), "a", "b"))
+    first = home.filter("members > 1").select("doc_id", "g", "c").union(everywhere.select("doc_id", "g", "c")).distinct().select("*", *place)
+
+    def hopeful(rows: DataFrame, among: bool) -> DataFrame:
+        dealt = rows.join(sketches, "doc_id").repartition("g", "c", "part").sortWithinPartitions("g", "c", "part", "guest", "doc_id")
+        return dealt.mapInArrow(tidy(lambda it: _hopeful(it, num, den, among)), "g long, c int, part int, guest boolean, doc_id long, component long")
+
+    found = written(components(_opened(docs, hopeful(first, True), k, num, den), "a", "b"))
 
-    owned = leads.join(home.drop("n"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    owned = leads.join(home.drop("n", "members"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     owned = written(owned.select("token", "doc_id", "n", "g", "c", "component"))
     apart = owned.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     owned = written(owned.join(apart, "token"))
@@ -259,7 +350,7 @@ def joined(docs: DataFrame, sets: DataFrame, common: DataFrame, k: int, num: int
     inside = hosts.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(members, F.expr("g = g2 and c = c2")).select("doc_id", "g", "c", "part", F.lit(False).alias("guest"), "component")
     visits = pairs.join(hosts, ["g2", "c2"]).withColumn("part", F.pmod(F.xxhash64("g1", "c1"), F.col("parts")).cast("int")).join(members, F.expr("g = g1 and c = c1"))
     visits = visits.select("doc_id", F.col("g2").alias("g"), F.col("c2").alias("c"), "part", F.lit(True).alias("guest"), "component")
-    more = _opened(docs, inside.unionByName(visits), k, num, den)
+    more = _opened(docs, hopeful(inside.unionByName(visits), False), k, num, den)
     for end in ("a", "b"):  # links between preliminary components
         more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}0")), end, "left").withColumn(end, F.coalesce(f"{end}0", end)).drop(f"{end}0")
     late = components(more, "a", "b")

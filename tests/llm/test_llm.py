@@ -618,3 +618,60 @@ def test_stages_leave_little_in_the_workers(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a b", None, "c", "", "d e"])], ["doc_id", "text"])
     parts = list(packing._pieces(iter([batch]), PATH, 256, 0))
     assert [p.column("doc_id").to_pylist() for p in parts] == [[1, 2], [3, 4], [5]]
+
+
+def test_sketches_bound_the_likeness():
+    """No pair over the threshold is turned away, whatever the widths of the sketches; unlike sets are."""
+    rng = np.random.default_rng(5)
+    for num, den in ((90, 100), (80, 100), (30, 100)):
+        sets = [np.zeros(0, np.uint64)]
+        for size in (1, 3, 40, 63, 64, 65, 127, 130, 500, 1030, 70_000):
+            base = rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64)
+            for share in (0, 0.04, 0.1, 0.3, 0.7):
+                changed = base.copy()
+                changed[: int(share * size)] = rng.integers(0, 1 << 63, int(share * size), np.int64).astype(np.uint64)
+                sets += [np.unique(changed), np.unique(changed[: size - int(share * size) or size])]
+        found = jaccard._Sketches([len(s) for s in sets], [jaccard.sketch(s) for s in sets], num, den)
+        far = turned = 0
+        for s in sets:
+            near = set(found.near(len(s), jaccard.sketch(s)).tolist())
+            for i, other in enumerate(sets):
+                both = len(np.intersect1d(s, other))
+                if both and den * both >= num * (len(s) + len(other) - both):
+                    assert i in near
+                elif not both and min(len(s), len(other)) >= 100 and len(s) < 2000 and num >= 80:
+                    far, turned = far + 1, turned + (i not in near)
+        assert turned == far and (far > 0) == (num >= 80)
+
+
+def test_only_texts_with_a_possible_partner_meet(spark, monkeypatch):
+    """Texts that share a passage, but are not alike, are told apart by their sketches, in both rounds; few texts are shuffled."""
+    passage = " ".join(f"shared{i}" for i in range(30))
+    own = lambda d, n=300: " ".join(f"own{d}x{i}" for i in range(n))
+    rows = [(d, f"{passage} {own(d)}") for d in range(400)] + [(1000, own("a")), (1001, own("a") + " end"), (1002, None), (1003, "")]
+    rows += [(2000 + d, f"{own('b')} {own(d, 5)}") for d in range(40)]
+    docs, sent = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    real = jaccard._opened
+
+    def opened(docs, places, *rest):
+        sent.extend(r[0] for r in places.select("doc_id").distinct().collect())
+        return real(docs, places, *rest)
+
+    monkeypatch.setattr(jaccard, "_opened", opened)
+    got = {r[0]: r[2] for r in jaccard.near_duplicates(docs, words=3, num=90, den=100).collect()}
+    assert got == {d: 1000 if d == 1001 else 2000 if d >= 2000 else d for d, _ in rows}
+    assert set(sent) <= {1000, 1001, *range(2000, 2040)} and {1000, 1001} <= set(sent)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, bits):
+    """What surely isn't among some ids is told where it is read; ids that share a bit are told by the join that follows."""
+    monkeypatch.setattr(common, "ID_BITS", bits)
+    rows = spark.createDataFrame([(d, f"text {d}", d) for d in [*range(500), 7, 7, -1, None, None]], "doc_id int, text string, `a.b` int")
+    ids = spark.createDataFrame([(7,), (-1,), (10_000,)], "doc_id long")
+    maybe, others = common.parted(rows, ids)
+    assert maybe.columns == others.columns == rows.columns
+    first, rest = maybe.collect(), others.collect()
+    assert sorted(map(str, first + rest)) == sorted(map(str, rows.collect()))
+    assert {7, -1} <= {r[0] for r in first} and not {7, -1} & {r[0] for r in rest} and len(first) < (100 if bits == 64 else 8)
+    assert not re.search(r"Exchange (hash|range|Round)", others._jdf.queryExecution().executedPlan().toString())
