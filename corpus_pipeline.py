@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farsight.llm import jaccard, mixing, packing, substring, toxicity
-from farsight.llm.common import crc32_mod, drop, noted, shared_folder
+from farsight.llm.common import crc32_mod, drop, noted, parted, shared_folder, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without words or without an id stay, as they are like no other; all rows of an id stay or go together; columns of any name stay as they are."""
     found = jaccard.near_duplicates(docs, words=5, num=80, den=100)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").unionByName(docs.filter("doc_id is null"))  # without an id nothing is a duplicate
+    later = written(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    maybe, first = parted(docs.filter("doc_id is not null"), later)  # texts of the first ones needn't be shuffled
+    rest = maybe.join(later.withColumnRenamed("doc_id", "__later"), F.col("doc_id") == F.col("__later"), "left_anti")
+    return first.unionByName(rest).unionByName(docs.filter("doc_id is null"))  # without an id nothing is a duplicate
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
