@@ -72,6 +72,25 @@ def runs(sizes: list[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+#: Rows and bytes of the batches whose rows are merged together: as much as Spark's defaults put into one.
+TOGETHER, TOGETHER_BYTES = 10_000, 64 << 20
+
+
+def together(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER, most: int = TOGETHER_BYTES) -> Iterator[Iterator[pa.RecordBatch]]:
+    """Batches in groups of about so many rows or bytes, however small a batch is. A group is read as it comes, and must be read before the next one."""
+    batches = iter(batches)
+
+    def group(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        count = held = 0
+        while batch is not None:
+            count, held = count + batch.num_rows, held + batch.nbytes
+            yield batch
+            batch = next(batches, None) if count < rows and held < most else None
+
+    for first in batches:
+        yield group(first)
+
+
 @dataclass
 class Words:
     """Words of some texts, one text after another: their bytes in data from starts to ends, and how many each text has."""

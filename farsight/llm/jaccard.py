@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.common import documents, grams, lists, merged, parted, runs, shared_folder, signed, texts, tidy, words_of, written
+from farsight.llm.common import documents, grams, lists, merged, parted, runs, shared_folder, signed, texts, tidy, together, words_of, written
 from farsight.llm.components import components
 
 #: Slots of the table of common tokens (one byte each on every executor), whatever the size of the input.
@@ -58,16 +58,17 @@ def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows (token, number of documents) for what is common in a batch."""
     names = ["doc_id", "n_shingles", "h1", "h2", "token", "n"]
-    for batch in batches:
+    for group in together(batches):
         different: dict[bytes, np.ndarray] = {}
-        digests, sizes = [], []
-        for s in shingle_sets(texts(batch), k):
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            different.setdefault(digests[-1], s)
-        one, two = (pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8))
-        none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), one, two, none, none], names)
+        for batch in group:
+            digests, sizes = [], []
+            for s in shingle_sets(texts(batch), k):
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                different.setdefault(digests[-1], s)
+            one, two = (pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8))
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), one, two, none, none], names)
         every = np.concatenate([np.zeros(0, np.uint64), *different.values()])
         different.clear()
         every.sort()  # in place: most tokens are there once
@@ -89,9 +90,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lev
     """(token, doc_id, others): a batch's documents by leading token; of equal sets the one with the smallest id. Rows without a token have its n and sketch."""
     names = ["token", "doc_id", "others", "n", "sketch"]
     table = np.frombuffer(levels.value, np.uint8)
-    for batch in batches:
+    for group in together(batches):
         firsts: dict[bytes, tuple[int, np.ndarray, int, bytes]] = {}
-        for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch), k), strict=True):
+        for doc, s in (x for batch in group for x in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch), k), strict=True)):
             digest = xxhash.xxh3_128_digest(s.tobytes())
             known = firsts.get(digest)
             if known is None:

@@ -6,7 +6,7 @@ seed, all runs that selected it are taken to the left and right, and a run is ke
 smaller id has it too. Overlapping runs merge into maximal repeats, which are removed.
 
 Documents that repeat a whole word sequence are settled first, by its hash: all runs of a copy are in its first
-document. Each batch of documents reports an anchor or a run once, with the list of its places, so that what
+document. Each run of batches of documents reports an anchor or a run once, with the list of its places, so that what
 copies and common passages send to one task grows with the number of batches, not of documents."""
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.llm.common import documents, grams, hashed_words, lists, merged, shared_folder, signed, texts, tidy, written
+from farsight.llm.common import documents, grams, hashed_words, lists, merged, shared_folder, signed, texts, tidy, together, written
 
 #: Words of an anchor. Any K below the length gives the same result; it only sets how many anchors there are.
 K = 5
@@ -54,9 +54,9 @@ def _selected(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for group in together(batches):
         firsts: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal word sequences the one with the smallest id
-        for doc, words in zip(batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True):
+        for doc, words in (x for batch in group for x in zip(batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True)):
             digest = xxhash.xxh3_128_digest(words.tobytes())
             known = firsts.get(digest)
             if known is None:
@@ -72,12 +72,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """All runs that selected a seed: a 96-bit key, of which 32 bits share a column with the place, and the document."""
-    for batch in batches:
+    for group in together(batches):
         one, two, ids, places = [], [], [], []
-        seeds = batch.column("seeds")
-        for i, (doc, words) in enumerate(zip(batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True)):
+        for seeds, doc, words in (x for batch in group for x in zip(batch.column("seeds"), batch.column("doc_id").to_pylist(), hashed_words(texts(batch)), strict=True)):
             anchors, at = _selected(words, length)
-            found = np.flatnonzero(np.isin(anchors, seeds[i].values.to_numpy().view(np.uint64))[at])
+            found = np.flatnonzero(np.isin(anchors, seeds.values.to_numpy().view(np.uint64))[at])
             if len(found):
                 one.append(grams(words, length)[found])
                 two.append((grams(words, length, seed=7)[found] >> np.uint64(32)).astype(np.uint32))

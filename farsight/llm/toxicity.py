@@ -160,16 +160,17 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, rate: float = 0.5, pena
     parts = []
     for a, b in runs((8 * sizes).tolist(), RUN):
         x, n = np.concatenate([np.zeros(0, np.int32), *codes[a:b]]), sizes[a:b]
-        follows = np.ones(len(x), bool)
-        follows[(np.cumsum(n) - n)[n > 0]] = False  # words with a neighbour before them
-        parts.append((x, n, hit[x] & np.repeat(toxic[a:b] == 1, n), np.repeat(weight[a:b], n), np.flatnonzero(follows)))
+        codes[a:b] = [None] * (b - a)  # a run has them now
+        parts.append((x, n, hit[x] & np.repeat(toxic[a:b] == 1, n), weight[a:b]))
     seen_e, seen_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     n = int((-(-sizes // CHAIN)).sum())
     for _ in range(rounds):
         g, grad_t = np.zeros(len(buckets)), np.zeros((2, 2))
         by_word, t = field.emission[buckets].sum(1), np.exp(field.transition)
-        for x, each_size, y, each, follows in parts:
-            e = by_word[x]
+        for x, each_size, y, each_weight in parts:
+            e, each, follows = by_word[x], np.repeat(each_weight, each_size), np.ones(len(x), bool)
+            follows[(np.cumsum(each_size) - each_size)[each_size > 0]] = False
+            follows = np.flatnonzero(follows)  # words with a neighbour before them
             forward, backward = marginal_odds(e, field.transition, each_size)
             odds = forward * backward
             g += np.bincount(x, (odds / (1 + odds) - y) * each, len(buckets))
@@ -278,7 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byte
     def learn(got: list[dict]) -> Field:
         left = [sum(r["toxic"] == y for r in got) for y in (0, 1)]  # what the bound on bytes has left of each
         stand = tuple(max(1.0, there.get(y, 0) / max(left[y], 1)) for y in (0, 1))
-        return fit([(r["text"].encode(), r["toxic"]) for r in got], stand=stand)
+        rows = [(r["text"].encode(), r["toxic"]) for r in got]
+        got.clear()
+        return fit(rows, stand=stand)
 
     return fitted(rows, learn)
 

@@ -675,3 +675,39 @@ def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, bits):
     assert sorted(map(str, first + rest)) == sorted(map(str, rows.collect()))
     assert {7, -1} <= {r[0] for r in first} and not {7, -1} & {r[0] for r in rest} and len(first) < (100 if bits == 64 else 8)
     assert not re.search(r"Exchange (hash|range|Round)", others._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_duplicates", "substring_dedup", "packing"])
+def test_stages_send_small_batches_to_workers(spark, stage):
+    import corpus_pipeline
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat(id, ' word '), 500) as text", "'en' as lang", "'a' as source", "0L as n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(20), DATA)  # its last rows are made later
+        found = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    finally:
+        spark.conf.set(conf, before)
+    assert sum(found) > 14e6 and max(found) < 6e6
+
+
+def test_small_batches_are_merged_as_one():
+    texts = [" ".join(f"w{(i % 4) * 20 + j}" for j in range(40)) for i in range(12)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    small = [whole.slice(i, 3) for i in range(0, 12, 3)]
+    levels = type("Held", (), {"value": bytes(jaccard.SLOTS)})
+    for work in (lambda it: substring._anchors(it, 13), lambda it: jaccard._prefixes(it, 5, 80, 100, levels), lambda it: (b for b in jaccard._keys(it, 5) if b.column("doc_id").null_count)):
+        one, many = (pa.Table.from_batches(work(iter(x))).combine_chunks() for x in ([whole], small))
+        assert one.num_rows and many.equals(one)
+
+
+def test_batches_are_taken_together_up_to_rows_and_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64())], ["x"])
+    counts = lambda n, **most: [sum(b.num_rows for b in g) for g in common.together([batch] * n, **most)]
+    assert counts(7, rows=25) == [30, 30, 10] and counts(5, most=160) == [20, 20, 10] and counts(0) == []
